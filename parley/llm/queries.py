@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import decontaminate, jaccard, language_model, licenses, mixing, quality, secrets, sharding, toxicity
+from parley.llm import decontaminate, jaccard, language_model, licenses, mixing, quality, secrets, sharding, substrings, toxicity
 from parley.llm.tables import table
 
 
@@ -46,6 +46,10 @@ def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_quality_llr,
     op2_secret_ledger,
@@ -56,6 +60,7 @@ QUERIES = (
     op7_toxicity_fm,
     op8_virtual_slots,
     op9_suffix_automaton,
+    op10_suffix_dedup,
 )
 
 

@@ -85,17 +85,18 @@ def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles and the class ``node`` (null for empty sets) of every row."""
+    """The columns of ``docs`` without the text, n_shingles and the class ``node`` (null for empty sets) of every row."""
+    keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [W.encoded(t, lower=True) for t in pdf["text"]]
             for a, b in W.slices(texts):
                 _, _, sizes, nodes = _sets(texts[a:b], size)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].reset_index(drop=True), "n_shingles": sizes, "node": nodes})
+                yield pdf[keep].iloc[a:b].reset_index(drop=True).assign(n_shingles=sizes, node=nodes)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, node binary")
+    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.mapInPandas(run, f"{kept}, n_shingles long, node binary")
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -241,8 +242,9 @@ def linked_classes(found: DataFrame, sizes: DataFrame, percent: int, block_sets:
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS, chunk_bytes: int = H.CHUNK_BYTES, bucket_hashes: int = H.BUCKET_HASHES) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links and the class node (null for an empty set) of every row of ``docs``."""
-    rows = stored(classes(docs, size), "shingle-classes")
+    """doc_id, n_shingles, component_id, n_links, the class ``node`` and the component's ``label`` (null for an empty
+    set) of every row of ``docs``, and its column ``row`` if it has one."""
+    rows = stored(classes(docs.select("doc_id", "text", *[c for c in docs.columns if c == "row"]), size), "shingle-classes")
     sizes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "class-sizes")
     found = stored(candidates(docs, sizes, size, percent, chunk_bytes, bucket_hashes), "candidates")
     links = stored(linked_classes(found, sizes, percent, block_sets), "class-links")
@@ -250,6 +252,19 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     partners = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     known = sizes.join(labels, "node", "left").join(partners, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     smallest = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = stored(known.join(smallest, "label").select("node", "component_id", (F.col("links") + F.col("copies") - 1).alias("links")), "class-components")
+    of_class = stored(known.join(smallest, "label").select("node", "label", "component_id", (F.col("links") + F.col("copies") - 1).alias("links")), "class-components")
     out = rows.join(of_class, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "node")
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "node", "label", *[c for c in rows.columns if c == "row"])
+
+
+def without_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each component: the smallest doc_id stays (null after all
+    others; of several texts under it, and of repeated rows, one). Rows with empty sets stay."""
+    row = F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").cast("binary")))
+    found = jaccard_components(docs.select("doc_id", "text", row.alias("row")), size, percent)
+    choice = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
+    stays = found.where("node is not null").groupBy("label").agg(choice.alias("first")).select(F.col("first.row").alias("_stays"), F.lit(True).alias("_once"))
+    alone = found.where("node is null").select(F.col("row").alias("_stays"), F.lit(False).alias("_once")).distinct()
+    rows = docs.withColumn("_row", row).join(stays.unionByName(alone), F.col("_row") == F.col("_stays"))
+    number = F.row_number().over(Window.partitionBy("_row").orderBy("_once"))
+    return rows.withColumn("_number", number).where("_number = 1 or not _once").select(*[f"`{c}`" for c in docs.columns])

@@ -31,7 +31,7 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("node")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node", "label")
 
 
 def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

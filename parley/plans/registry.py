@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.plans import transcripts
+from parley.plans import documents, transcripts
 
-MODULES = (transcripts,)
+MODULES = (transcripts, documents)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def epoch_ms(text: Column) -> Column:
     """Milliseconds since 1970 of an RFC 3339 string, 0 if earlier; null if unreadable."""
     shaped = F.rlike(text, F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"))
-    return F.greatest(F.unix_millis(F.when(shaped, F.try_to_timestamp(text))), F.lit(0).cast("long"))
+    ms = F.unix_millis(F.when(shaped, F.try_to_timestamp(text)))
+    return F.when(ms.isNotNull(), F.greatest(ms, F.lit(0).cast("long")))
 
 
 def delta_ms(base: Column, later: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.plans import documents, transcripts
+from parley.plans import documents, streams, transcripts
 
-MODULES = (transcripts, documents)
+MODULES = (transcripts, documents, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -9,6 +9,8 @@ read again. Chunks and buckets grow in number with the input and stay alike in s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -30,36 +32,85 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def _bundled(chunk: int, pdf: pd.DataFrame) -> tuple[int, bytes]:
+    texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
+    null = pdf["doc_id"].isna().to_numpy()
+    ids = pdf["doc_id"].fillna(0).to_numpy(dtype=np.int64)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    head = np.array([len(texts)], dtype=np.int64).tobytes() + ids.tobytes() + null.astype(np.int64).tobytes() + lengths.tobytes()
+    return chunk, zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts))
+
+
+def bundles(docs: DataFrame, chunks: int) -> DataFrame:
+    """chunk and body: the documents (doc_id, text) that a task has for a chunk, compressed together before they are shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([_bundled(int(chunk), rows) for chunk, rows in pdf.groupby("chunk")], columns=["chunk", "body"])
+
+    return docs.select("doc_id", "text", chunk_of(docs["doc_id"], chunks).alias("chunk")).mapInPandas(run, "chunk long, body binary")
+
+
+def unbundled(bodies: pd.Series) -> tuple[list[int | None], list[bytes]]:
+    """doc_ids and texts of a chunk, by doc_id (nulls last), then text, however they arrived."""
+    rows: list[tuple[bool, int, bytes]] = []
+    for body in bodies:
+        data = zstandard.ZstdDecompressor().decompress(body)
+        n = int.from_bytes(data[:8], "little")
+        ids, null, lengths = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
+        at = 8 + 24 * n
+        for doc_id, is_null, length in zip(ids.tolist(), null.tolist(), lengths.tolist(), strict=True):
+            rows.append((bool(is_null), doc_id, data[at : at + length]))
+            at += length
+    rows.sort()
+    return [None if is_null else doc_id for is_null, doc_id, _ in rows], [text for _, _, text in rows]
+
+
 def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
     """The rows in an order that doesn't depend on how they arrived: by doc_id (nulls last), then text."""
     ids = pdf["doc_id"].isna()
     return pdf.assign(_null=ids, _text=pdf["text"].fillna("")).sort_values(["_null", "doc_id", "_text"], kind="stable").drop(columns=["_null", "_text"]).reset_index(drop=True)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers, byte plane by byte plane, compressed; the first byte tells how many planes."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
 def pack(hashes: np.ndarray) -> bytes:
-    """Sorted hashes: the first whole, then differences in as few bytes as the largest needs."""
+    """Sorted hashes: the first whole; of the steps between them the low bytes, which are random, as they are, and the rest compressed."""
     steps = np.diff(hashes)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + hashes[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    low = max(0, (int(np.median(steps)).bit_length() - 1) // 8) if len(steps) else 0
+    raw = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :low]).tobytes()
+    return bytes([low]) + hashes[:1].tobytes() + len(raw).to_bytes(8, "little") + raw + _planes(steps >> np.uint64(8 * low))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    body = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, width)
-    out = np.zeros((len(body) + 1, 8), dtype=np.uint8)
-    out[0] = np.frombuffer(data, dtype=np.uint8, offset=1, count=8)
-    out[1:, :width] = body
-    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+    low, size = data[0], int.from_bytes(data[9:17], "little")
+    high = _from_planes(data[17 + size :])
+    steps = np.zeros((len(high), 8), dtype=np.uint8)
+    steps[:, :low] = np.frombuffer(data, dtype=np.uint8, offset=17, count=size).reshape(len(high), low)
+    out = np.empty(len(high) + 1, dtype=np.uint64)
+    out[0] = np.frombuffer(data, dtype=np.uint64, offset=1, count=1)[0]
+    out[1:] = steps.view("<u8").ravel() | high << np.uint64(8 * low)
+    return np.cumsum(out, dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    kind = np.uint8 if not len(counts) or counts.max() < 256 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(counts.astype(kind).tobytes())
+    return _planes(counts)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data[1:])
-    return np.frombuffer(raw, dtype=np.uint8 if data[0] == 1 else np.uint64).astype(np.int64)
+    return _from_planes(data).astype(np.int64)
 
 
 def blocks(chunk: int, hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:

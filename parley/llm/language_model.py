@@ -30,6 +30,8 @@ ORDER = 3
 BACKOFF = 0.4
 UNSEEN = 0.5
 _EMPTY = np.uint64(0x1BADB002_5EEDF00D)
+#: Larger than elsewhere: the more text a chunk holds, the less room its sorted hashes take.
+CHUNK_BYTES = 6 << 20
 #: About this many bytes of text to a word, for the number of buckets only.
 WORD_BYTES = 6
 
@@ -38,69 +40,87 @@ RESULT = "n_words long, n_backoffs long, score double, mean_score double"
 
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Text number of each word, and for n = 1 to ``order`` the hashes of n-grams with the place of their first word."""
-    hashes, text, _, _ = W.hashed_words(texts)
-    return text, [W.ngrams(hashes, text, n) for n in range(1, order + 1)]
+    text: list[np.ndarray] = []
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+    words = 0
+    for a, b in W.slices(texts):
+        hashes, owner, _, _ = W.hashed_words(texts[a:b])
+        for n in range(order):
+            gram, at = W.ngrams(hashes, owner, n + 1)
+            found[n].append((gram, at + words))
+        text.append(owner + a)
+        words += len(hashes)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *text]), [(np.concatenate([none.astype(np.uint64), *(g for g, _ in f)]), np.concatenate([none, *(at for _, at in f)])) for f in found]
 
 
 def distinct(text: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of all orders with their counts; the empty n-gram counts the words."""
-    every = np.concatenate([g for g, _ in found])
-    hashes, counts = np.unique(every, return_counts=True)
+    hashes, counts = np.unique(np.concatenate([g for g, _ in found]), return_counts=True)
     at = int(np.searchsorted(hashes, _EMPTY))
     return np.insert(hashes, at, _EMPTY), np.insert(counts, at, len(text))
 
 
-def elsewhere(hashes: np.ndarray, owner: np.ndarray, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Occurrences of each n-gram in the corpus outside its own document."""
-    with np.errstate(over="ignore"):
-        mine = W.mix(hashes + W.mix(owner.astype(np.uint64) + np.uint64(1)))
-    _, group, own = np.unique(mine, return_inverse=True, return_counts=True)
-    return totals[np.searchsorted(known, hashes)] - own[group]
+def elsewhere(text: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], n_texts: int, totals: np.ndarray) -> tuple[int, list[np.ndarray]]:
+    """Words of the corpus, and for each order the occurrences of its n-grams outside their own documents."""
+    every = np.concatenate([g for g, _ in found])
+    order = np.argsort(every)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.diff(every[order]) != 0
+    run = np.cumsum(new) - 1
+    empty = int(np.searchsorted(every[order[new]], _EMPTY))
+    words, totals = int(totals[empty]), np.delete(totals, empty)
+    whose = run * n_texts + np.concatenate([text[at] for _, at in found])[order]
+    within = np.argsort(whose, kind="stable")  # almost sorted: only documents within one n-gram are not
+    first = np.ones(len(within), dtype=bool)
+    first[1:] = np.diff(whose[within]) != 0
+    begin = np.flatnonzero(first)
+    own = np.diff(np.append(begin, len(within)))
+    rest = np.empty(len(order), dtype=np.int64)
+    rest[order[within]] = totals[run[within]] - own[np.cumsum(first) - 1]
+    return words, np.split(rest, np.cumsum([len(g) for g, _ in found])[:-1])
 
 
 def scored(texts: list[bytes], order: int, backoff: float, totals: np.ndarray) -> pd.DataFrame:
     text, found = grams(texts, order)
-    known, _ = distinct(text, found)
     n = len(texts)
     words = np.bincount(text, minlength=n)
-    rest = totals[np.searchsorted(known, _EMPTY)] - words
-    first = np.concatenate([[0], np.cumsum(words)])[:-1][text] if len(text) else text
+    everywhere, counts = elsewhere(text, found, n, totals)
+    first = (np.cumsum(words) - words)[text]
     available = np.minimum(np.arange(len(text)) - first + 1, order)
     used = np.ones(len(text), dtype=np.int64)
-    history = np.maximum(rest, 1)[text].astype(np.float64)
-    log = np.zeros(len(text))
-    for size, (hashes, at) in enumerate(found, start=1):
-        count = elsewhere(hashes, text[at], known, totals)
-        if size == 1:
-            log = np.log(np.maximum(count, UNSEEN) / history)
-        else:
-            seen = count > 0
-            last = at[seen] + size - 1
-            log[last] = np.log(count[seen] / history[at[seen]])
-            used[last] = size
-        history = np.zeros(len(text))
+    log = np.log(np.maximum(counts[0], UNSEEN) / np.maximum(everywhere - words, 1)[text])
+    history = counts[0]
+    for size in range(2, order + 1):
+        at, count = found[size - 1][1], counts[size - 1]
+        seen = count > 0
+        last = at[seen] + size - 1
+        log[last] = np.log(count[seen] / history[at[seen]])
+        used[last] = size
+        history = np.zeros(len(text), dtype=np.int64)
         history[at] = count
     log += (available - used) * math.log(backoff)
     total = np.bincount(text, weights=log, minlength=n)
     return pd.DataFrame({"n_words": words, "n_backoffs": np.bincount(text, weights=available - used, minlength=n).astype(np.int64), "score": total, "mean_score": total / np.maximum(words, 1)})
 
 
-def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = H.CHUNK_BYTES, bucket_hashes: int = H.BUCKET_HASHES) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = H.BUCKET_HASHES) -> DataFrame:
     """doc_id, words, levels backed off, score and score per word of every row of ``docs``."""
     size = H.text_bytes(docs)
     chunks = max(1, math.ceil(size / chunk_bytes))
     buckets = max(1, math.ceil(size / WORD_BYTES * order / bucket_hashes))
-    dealt = docs.select("doc_id", "text").withColumn("chunk", H.chunk_of(docs["doc_id"], chunks))
-    kind = dealt.schema["doc_id"].dataType.simpleString()
+    dealt = H.bundles(docs, chunks)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, counts = distinct(*grams([W.encoded(t, lower=True) for t in H.in_order(pdf)["text"]], order))
+        _, texts = H.unbundled(pdf["body"])
+        known, counts = distinct(*grams([t.lower() for t in texts], order))
         return H.blocks(int(pdf["chunk"].iloc[0]), known, counts, buckets)
 
     def join(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        pdf = H.in_order(pdf)
-        out = scored([W.encoded(t, lower=True) for t in pdf["text"]], order, backoff, H.answered(answers))
-        out.insert(0, "doc_id", pdf["doc_id"])
+        ids, texts = H.unbundled(pdf["body"])
+        out = scored([t.lower() for t in texts], order, backoff, H.answered(answers))
+        out.insert(0, "doc_id", pd.array(ids, dtype="Int64"))
         return out
 
     answers = H.totals(dealt.groupBy("chunk").applyInPandas(ask, H.BLOCKS))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64

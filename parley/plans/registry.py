@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.plans import documents, streams, transcripts
+from parley.plans import documents, streams, transcripts, vectors
 
-MODULES = (transcripts, documents, streams)
+MODULES = (transcripts, documents, streams, vectors)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

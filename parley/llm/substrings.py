@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import hash_tables as H
 from parley.llm import words as W
-from parley.llm.suffix_sort import Bytes, equal_runs
+from parley.llm.suffix_sort import Bytes, equal_runs, repeated
 from parley.llm.tables import stored
 
 LENGTH = 50
@@ -83,7 +83,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     np.add.at(begins, starts[long] + lengths[long] - LENGTH + 1, -1)
     windows = np.flatnonzero(np.cumsum(begins)[: len(least)] > 0)
     place = windows + ((least[windows] - windows.astype(np.uint64)) & low).astype(np.int64)
-    place = np.unique(place)
+    chosen = np.zeros(len(grams), dtype=bool)
+    chosen[place] = True
+    place = np.flatnonzero(chosen)
     return grams[place], np.searchsorted(starts, place, side="right") - 1, place, data, starts
 
 
@@ -113,35 +115,45 @@ def _represented(pdf: pd.DataFrame, chosen: pd.DataFrame) -> tuple[list[bytes],
     return nodes, [found[n] for n in nodes], np.array([wanted[n] for n in nodes], dtype=np.int64)
 
 
-def _asked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _all_anchors(texts: list[bytes]) -> list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """``anchors`` of a chunk's texts slice by slice, with the number of the slice's first text."""
+    return [(a, anchors(texts[a:b])) for a, b in W.slices(texts, SLICE)]
+
+
+def _asked(found: list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct anchor hashes of a chunk, and how many of its texts hold each."""
-    every = []
-    for a, b in W.slices(texts, SLICE):
-        hashes, text, _, _, _ = anchors(texts[a:b])
-        order = np.lexsort((text, hashes))
-        hashes, text = hashes[order], text[order]
-        new = np.ones(len(hashes), dtype=bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-        every.append(hashes[new])
-    return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    every = [np.zeros(0, dtype=np.uint64)]
+    for _, (hashes, text, _, _, _) in found:
+        with np.errstate(over="ignore"):
+            once = np.unique(W.mix(hashes + W.mix(text.astype(np.uint64))), return_index=True)[1]
+        every.append(hashes[once])
+    return np.unique(np.concatenate(every), return_counts=True)
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct row, and the number of the distinct row for each row; by hash, verified by bytes."""
+    flat = Bytes(rows.ravel())
+    _, first, number = np.unique(flat.hashes(np.arange(len(rows)) * ROW, ROW), return_index=True, return_inverse=True)
+    if not np.array_equal(rows, rows[first[number]]):
+        _, first, number = np.unique(rows.view(f"V{ROW}").ravel(), return_index=True, return_inverse=True)
+    return first, number
 
 
 def _sent(chunk: int, nodes: list[bytes], texts: list[bytes], ids: np.ndarray, totals: np.ndarray, buckets: int) -> pd.DataFrame:
     """Distinct contexts of the shared anchors by bucket, and one row that keeps for each text which contexts it holds."""
-    known, _ = _asked(texts)
-    shared = known[totals > 1]
-    rows, hashes, owner, place = [], [], [], []
-    for a, b in W.slices(texts, SLICE):
-        grams, text, at, data, starts = anchors(texts[a:b])
+    found = _all_anchors(texts)
+    shared = _asked(found)[0][totals > 1]
+    rows, hashes, owner, place = [np.zeros((0, ROW), np.uint8)], [shared[:0]], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, (grams, text, at, data, starts) in found:
         keep = np.flatnonzero(np.isin(grams, shared))
-        lengths = np.array([len(t) for t in texts[a:b]], dtype=np.int64)
         begin = starts[text[keep]]
-        rows.append(contexts(data, begin, begin + lengths[text[keep]], at[keep]))
+        end = np.append(starts[1:] - 1, len(data))[text[keep]]
+        rows.append(contexts(data, begin, end, at[keep]))
         hashes.append(grams[keep])
-        owner.append(text[keep] + a)
+        owner.append(text[keep] + first)
         place.append(at[keep] - begin)
     rows, hashes, owner, place = np.concatenate(rows), np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
-    _, representative, context = np.unique(rows.view(f"V{ROW}").ravel(), return_index=True, return_inverse=True) if len(rows) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    representative, context = _distinct(rows)
     smallest = np.full(len(representative), LAST)
     np.minimum.at(smallest, context, ids[owner])
     bucket = ((hashes[representative] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -157,30 +169,37 @@ def _sent(chunk: int, nodes: list[bytes], texts: list[bytes], ids: np.ndarray, t
     return pd.DataFrame(out, columns=["key", "chunk", "bucket", "body", "docs"])
 
 
+def _runs(text: Bytes, starts: np.ndarray, group: np.ndarray, limit: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each string its number among the distinct ones of its group, and the smallest document of each. Only strings whose hash isn't alone are sorted."""
+    several = repeated(text, starts, group, limit)
+    alone, again = np.flatnonzero(~several), np.flatnonzero(several)
+    number, smallest = np.empty(len(starts), dtype=np.int64), [docs[alone]]
+    number[alone] = np.arange(len(alone))
+    if len(again):
+        again = again[np.argsort(group[again], kind="stable")]
+        order, new = equal_runs(text, starts[again], group[again], limit)
+        number[again[order]] = len(alone) + np.cumsum(new) - 1
+        smallest.append(np.minimum.reduceat(docs[again[order]], np.flatnonzero(new)))
+    return number, np.concatenate(smallest)
+
+
 def shared_windows(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each context a mask of its windows that a smaller document holds: bit o for the window o bytes before the anchor."""
     text = Bytes(np.concatenate([rows.ravel(), np.zeros(ROW, np.uint8)]))
-    anchor = text.hashes(np.arange(len(rows)) * ROW + BEFORE, GRAM)
-    by_anchor = np.argsort(anchor, kind="stable")
-    order, new = equal_runs(text, by_anchor * ROW, anchor[by_anchor], ROW)
-    order = by_anchor[order]
-    kind = np.empty(len(rows), dtype=np.int64)  # number of the context among the distinct ones, by anchor
-    kind[order] = np.cumsum(new) - 1
-    firsts = order[np.flatnonzero(new)]
-    smallest = np.minimum.reduceat(docs[order], np.flatnonzero(new))
-    several = np.bincount(np.unique(anchor[firsts], return_inverse=True)[1])[np.unique(anchor[firsts], return_inverse=True)[1]] > 1
-    compared = np.flatnonzero(several)
-    mask = np.zeros(len(firsts), dtype=np.uint32)
+    at = np.arange(len(rows)) * ROW
+    anchor = text.hashes(at + BEFORE, GRAM)
+    kind, smallest = _runs(text, at, anchor, ROW, docs)
+    first = np.empty(len(smallest), dtype=np.int64)
+    first[kind[::-1]] = np.arange(len(rows))[::-1]
+    mask = np.zeros(len(first), dtype=np.uint32)
+    _, where, times = np.unique(anchor[first], return_inverse=True, return_counts=True)
+    compared = np.flatnonzero(times[where] > 1)  # distinct contexts whose anchor has others
     if len(compared):
-        before, after = rows[firsts[compared], -2].astype(np.int64), rows[firsts[compared], -1].astype(np.int64)
+        before, after = rows[first[compared], -2].astype(np.int64), rows[first[compared], -1].astype(np.int64)
         offset = np.arange(BEFORE + 1)
         who, o = np.nonzero((offset <= before[:, None]) & (LENGTH - offset <= after[:, None]))
         who = compared[who]
-        starts, group = firsts[who] * ROW + BEFORE - o, anchor[firsts[who]]
-        run_order, run_new = equal_runs(text, starts, group, LENGTH)
-        run = np.empty(len(who), dtype=np.int64)
-        run[run_order] = np.cumsum(run_new) - 1
-        first_doc = np.minimum.reduceat(smallest[who[run_order]], np.flatnonzero(run_new))
+        run, first_doc = _runs(text, first[who] * ROW + BEFORE - o, anchor[first[who]], LENGTH, smallest[who])
         taken = first_doc[run] < smallest[who]
         np.bitwise_or.at(mask, who[taken], np.uint32(1) << o[taken].astype(np.uint32))
     return np.where(docs > smallest[kind], ALL, mask[kind])
@@ -266,7 +285,7 @@ def removed(docs: DataFrame, chunk_bytes: int = H.CHUNK_BYTES, bucket_hashes: in
 
     def ask(pdf: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         _, texts, _ = _represented(pdf, chosen)
-        hashes, counts = _asked(texts)
+        hashes, counts = _asked(_all_anchors(texts))
         if not len(hashes):
             return pd.DataFrame({"chunk": [], "bucket": [], "hashes": [], "counts": []})
         return H.blocks(int(pdf["chunk"].iloc[0]), hashes, counts, hash_buckets)

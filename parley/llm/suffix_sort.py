@@ -14,7 +14,7 @@ from parley.llm import words as W
 
 
 class Bytes:
-    """Bytes with their prefix hashes; a suffix is named by its first byte and compared up to a limit."""
+    """Bytes with their prefix hashes; a suffix is named by its first byte and compared up to a limit of at least 8."""
 
     def __init__(self, data: np.ndarray) -> None:
         self.data = data
@@ -36,10 +36,19 @@ class Bytes:
 
     def compare(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         """Negative, zero or positive as suffix a is before, equal to or after b."""
-        at = self.common(a, b, limit)
-        last = len(self.data) - 1
-        difference = self.data[np.minimum(a + at, last)].astype(np.int64) - self.data[np.minimum(b + at, last)]
-        return np.where(at == limit, 0, difference)
+        out = np.zeros(len(a), dtype=np.int64)
+        other = np.flatnonzero(self.hashes(a, limit) != self.hashes(b, limit))
+        a, b = a[other], b[other]
+        at = self.common(a, b, limit - 1)
+        out[other] = self.data[a + at].astype(np.int64) - self.data[b + at]
+        return out
+
+    def first_words(self, start: np.ndarray) -> np.ndarray:
+        """The first 8 bytes of suffixes as numbers in their order."""
+        out = np.zeros(len(start), dtype=np.uint64)
+        for k in range(8):
+            out = out << np.uint64(8) | self.data[start + k]
+        return out
 
     def equal(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         """Byte by byte."""
@@ -50,12 +59,15 @@ class Bytes:
 
 
 def sorted_suffixes(text: Bytes, starts: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
-    """Order of the suffixes within each group; ``group`` is sorted."""
+    """Order of the suffixes within each group; ``group`` is sorted. Suffixes are dealt by their first 8 bytes, and merged within those."""
     n = len(starts)
     order = np.arange(n)
     if not n:
         return order
-    new = np.diff(group, prepend=group[0] + 1) != 0
+    words = text.first_words(starts)
+    order = np.lexsort((words, group))
+    new = np.ones(n, dtype=bool)
+    new[1:] = (group[order[1:]] != group[order[:-1]]) | (words[order[1:]] != words[order[:-1]])
     first = np.flatnonzero(new)
     ends = np.append(first[1:], n)
     number = np.cumsum(new) - 1
@@ -86,6 +98,18 @@ def sorted_suffixes(text: Bytes, starts: np.ndarray, group: np.ndarray, limit: i
     return order
 
 
+def repeated(text: Bytes, starts: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
+    """Which suffixes can equal another one of their group up to ``limit``: those whose hash isn't alone."""
+    key = W.mix(text.hashes(starts, limit) ^ W.mix(group.astype(np.uint64)))
+    order = np.argsort(key)
+    ordered = key[order]
+    same = ordered[1:] == ordered[:-1]
+    out = np.zeros(len(starts), dtype=bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def equal_runs(text: Bytes, starts: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes, and in that order where a new string of ``limit`` bytes (or a new group) begins."""
     order = sorted_suffixes(text, starts, group, limit)

@@ -77,10 +77,10 @@ def best_lag(near: np.ndarray, far: np.ndarray, most: int = 1024) -> int:
     """Shift of ``far`` with the largest normalised product; shorter signals bound it."""
     n = min(len(near), len(far))
     most = min(most, n - 1)
+    norm = np.sqrt((near[:n] @ near[:n]) * (far[:n] @ far[:n]))
     best, best_score = 0, -np.inf
     for lag in range(-most, most + 1):
         a, b = (near[lag:n], far[: n - lag]) if lag >= 0 else (near[: n + lag], far[-lag:n])
-        norm = np.sqrt((a @ a) * (b @ b))
         score = a @ b / norm if norm else 0.0
         if score > best_score:
             best, best_score = lag, score

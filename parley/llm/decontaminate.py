@@ -23,6 +23,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.tables import small_batches
+
 WINDOW = 10
 BLOCK_WORDS = 200_000
 #: A document whose hit words are more than this share of its words is dropped; otherwise the spans are cut out.
@@ -167,37 +169,37 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOC
     return [*out, spark.sparkContext.broadcast(Automaton(block, window))] if block else out
 
 
-HIT_SCHEMA = "n_words long, runs array<struct<first:long,end:long>>, items array<string>"
+HIT = "n_words long, runs array<struct<first:long,end:long>>, items array<string>"
+
 
+def _hit_by(shared: Broadcast | None):
+    """A column function of the text: words, maximal runs of hit words and sorted item ids, by one automaton."""
 
-def _hits_by(shared: Broadcast | None, keep: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(HIT)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = shared.value if shared else Automaton([])
-        for pdf in batches:
-            found = []
-            for text in pdf["text"]:
+        for series in batches:
+            rows = []
+            for text in series:
                 words = WORD.findall(normalised(text))
                 runs, items = automaton.runs(words)
-                found.append((len(words), [{"first": a, "end": b} for a, b in runs], sorted(x for x in items if x is not None)))
-            hits = pd.DataFrame(found, columns=["n_words", "runs", "items"])
-            yield pd.concat([pdf[keep].reset_index(drop=True), hits], axis=1)
+                rows.append((len(words), [{"first": a, "end": b} for a, b in runs], sorted(x for x in items if x is not None)))
+            yield pd.DataFrame(rows, columns=["n_words", "runs", "items"])
 
-    return run
+    return found
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs`` with n_words, the maximal runs of hit words, and the sorted ids of the items hit."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    """All columns of ``docs`` and a column ``_hit``: n_words, the maximal runs of hit words, and the sorted ids of the items hit."""
+    small_batches(docs.sparkSession)
     blocks: list[Broadcast | None] = [*automata(benchmark, window, block_words)] or [None]
+    names = [f"_hit{i}" for i in range(len(blocks))]
+    out = docs.withColumns({name: _hit_by(block)("text") for name, block in zip(names, blocks, strict=True)})
     if len(blocks) == 1:
-        return docs.mapInPandas(_hits_by(blocks[0], docs.columns), f"{schema}, {HIT_SCHEMA}")
-    out = docs.mapInPandas(_hits_by(blocks[0], docs.columns), f"{schema}, {HIT_SCHEMA}")
-    for block in blocks[1:]:
-        passed = out.withColumnsRenamed({"n_words": "_n_words", "runs": "_runs", "items": "_items"})
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed.schema.fields)
-        out = passed.mapInPandas(_hits_by(block, passed.columns), f"{kinds}, {HIT_SCHEMA}")
-        out = out.withColumn("runs", united_columns(F.concat("_runs", "runs"))).withColumn("items", F.array_sort(F.array_union("_items", "items"))).drop("_n_words", "_runs", "_items")
-    return out
+        return out.withColumnRenamed("_hit0", "_hit")
+    runs = united_columns(F.concat(*[F.col(f"{n}.runs") for n in names]))
+    items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.items") for n in names])))
+    return out.withColumn("_hit", F.struct(F.col("_hit0.n_words").alias("n_words"), runs.alias("runs"), items.alias("items"))).drop(*names)
 
 
 def united_columns(runs: Column) -> Column:
@@ -214,10 +216,14 @@ def united_columns(runs: Column) -> Column:
     return F.aggregate(F.array_sort(runs), start, step)
 
 
+def hit_words() -> Column:
+    return F.aggregate("_hit.runs", F.lit(0).cast("long"), lambda total, run: total + run["end"] - run["first"])
+
+
 def report(hit: DataFrame) -> DataFrame:
     """One row for each document: counts, digest of item ids, and whether any word is hit."""
-    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, run: total + run["end"] - run["first"])
-    out = hit.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    items = F.col("_hit.items")
+    out = hit.select("doc_id", "_hit.n_words", hit_words().alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -234,25 +240,30 @@ def cut(text: str | None, runs: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, data[done:]]).decode("utf-8", "surrogatepass")
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE_LIMIT) -> DataFrame:
-    """``docs`` with hit spans cut out of the texts (``n_chars`` follows); documents mostly made of hits are dropped."""
-    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # no name of docs can clash
-    chars = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
-    hit = hits(docs.toDF(*names), benchmark, window)
-    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, run: total + run["end"] - run["first"])
-    kept = hit.where(n_hit <= coverage * F.col("n_words")).drop("n_words", "items")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spans = pdf.pop("runs")
-            touched = spans.map(len) > 0
-            new = [cut(t, [(r["first"], r["end"]) for r in s]) for t, s in zip(pdf.loc[touched, "text"], spans[touched], strict=True)]
-            pdf.loc[touched, "text"] = new
-            if chars:
-                pdf.loc[touched, chars] = [len(t) for t in new]
-            yield pdf
-
-    return kept.mapInPandas(run, kept.drop("runs").schema).toDF(*docs.columns)
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE_LIMIT, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with hit spans cut out of the texts (``n_chars`` follows); documents mostly made of hits are dropped.
+    One pass: only texts go to Python, and only changed ones come back."""
+    small_batches(docs.sparkSession)
+    blocks = automata(benchmark, window, block_words)
+
+    @F.pandas_udf("dropped boolean, text string")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            rows: list[tuple[bool, str | None]] = []
+            for text in series:
+                words = WORD.findall(normalised(text))
+                runs = united([run for block in blocks for run in block.value.runs(words)[0]])
+                hit = sum(end - first for first, end in runs)
+                dropped = hit > coverage * len(words)
+                rows.append((dropped, cut(text, runs) if hit and not dropped else None))
+            yield pd.DataFrame(rows, columns=["dropped", "text"])
+
+    changed = docs.withColumn("_clean", clean("text")).where("not _clean.dropped")
+    touched = F.col("_clean.text").isNotNull()
+    out = changed.withColumn("text", F.coalesce("_clean.text", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def bundles(docs: DataFrame, chunks: int) -> DataFrame:
     """chunk and body: the documents (doc_id, text) that a task has for a chunk, compressed together before they are shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in batches:  # Spark's larger batches are wanted here: more text of a chunk together
             yield pd.DataFrame([_bundled(int(chunk), rows) for chunk, rows in pdf.groupby("chunk")], columns=["chunk", "body"])
 
     return docs.select("doc_id", "text", chunk_of(docs["doc_id"], chunks).alias("chunk")).mapInPandas(run, "chunk long, body binary")
@@ -121,6 +121,10 @@ def blocks(chunk: int, hashes: np.ndarray, counts: np.ndarray, buckets: int) ->
     return pd.DataFrame({"chunk": chunk, "bucket": bucket[cuts[:-1]], "hashes": [pack(hashes[a:b]) for a, b in ranges], "counts": [pack_counts(counts[a:b]) for a, b in ranges]})
 
 
+def no_blocks() -> pd.DataFrame:
+    return pd.DataFrame({"chunk": [], "bucket": [], "hashes": [], "counts": []}, dtype=object)
+
+
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     parts = [unpack(x) for x in pdf["hashes"]]
     hashes, counts = np.concatenate(parts), np.concatenate([unpack_counts(x) for x in pdf["counts"]])

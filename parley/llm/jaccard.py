@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from parley.llm import hash_tables as H
 from parley.llm import words as W
 from parley.llm.components import components
-from parley.llm.tables import stored
+from parley.llm.tables import small_batches, stored
 from parley.llm.trie import Tree
 
 SHINGLE = 4
@@ -86,6 +86,7 @@ def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
     """The columns of ``docs`` without the text, n_shingles and the class ``node`` (null for empty sets) of every row."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,13 +108,14 @@ def _represented(pdf: pd.DataFrame, chosen: pd.DataFrame, size: int) -> tuple[li
     """Sets and nodes of the rows of a chunk that represent a class, each class once, by node."""
     pdf = pdf.assign(text=pdf["text"].fillna(""))
     texts = [W.encoded(t, lower=True) for t in pdf["text"]]
-    hashes, starts, sizes, nodes = _sets(texts, size)
     ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
     wanted = {(None if pd.isna(i) else int(i), bytes(n)) for i, n in zip(chosen["doc_id"], chosen["node"], strict=True)}
     found: dict[bytes, np.ndarray] = {}
-    for i, (doc_id, node) in enumerate(zip(ids, nodes, strict=True)):
-        if node is not None and node not in found and (doc_id, node) in wanted:
-            found[node] = hashes[starts[i] : starts[i] + sizes[i]]
+    for a, b in W.slices(texts):
+        hashes, starts, sizes, nodes = _sets(texts[a:b], size)
+        for i, (doc_id, node) in enumerate(zip(ids[a:b], nodes, strict=True)):
+            if node is not None and node not in found and (doc_id, node) in wanted:
+                found[node] = hashes[starts[i] : starts[i] + sizes[i]]
     order = sorted(found)
     return [found[n] for n in order], order
 
@@ -130,20 +132,25 @@ def candidates(docs: DataFrame, representatives: DataFrame, size: int, percent:
     def ask(pdf: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         sets, _ = _represented(pdf, chosen, size) if len(pdf) else ([], [])
         if not sets:
-            return pd.DataFrame({"chunk": [], "bucket": [], "hashes": [], "counts": []})
+            return H.no_blocks()
         hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
         return H.blocks(int(pdf["chunk"].iloc[0]), hashes, counts, buckets)
 
     def keep(pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": [], "n": [], "prefix": [], "tokens": []})
+        empty = pd.DataFrame({"node": [], "n": [], "prefix": [], "tokens": []}, dtype=object)
         answers = side[side["node"].isna()]
         if not len(pdf) or not len(answers):
             return empty
         sets, nodes = _represented(pdf, side[side["node"].notna()], size)
-        known, totals = np.unique(np.concatenate(sets)), H.answered(answers)
+        every = np.concatenate(sets)
+        order = np.argsort(every)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.diff(every[order]) != 0
+        held = np.empty(len(every), dtype=np.int64)
+        held[order] = H.answered(answers)[np.cumsum(new) - 1]
+        cuts = np.cumsum([0] + [len(s) for s in sets])
         rows = []
-        for node, hashes in zip(nodes, sets, strict=True):
-            held_by = totals[np.searchsorted(known, hashes)]
+        for node, hashes, held_by in zip(nodes, sets, np.split(held, cuts[1:-1]), strict=True):
             alone = int((held_by == 1).sum())
             reach = prefix_length(len(hashes), percent)
             if alone < reach:

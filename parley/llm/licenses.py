@@ -22,6 +22,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from parley.llm.tables import small_batches
+
 # Names and wording of short public license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -49,7 +51,7 @@ LEAST_SAVED = 0.2
 #: Most words missing, added or replaced, as a share of the template's words.
 MOST_CHANGED = 0.1
 #: Templates compared word by word, best first.
-RANKED = 4
+RANKED = 5
 
 
 @dataclass(frozen=True)
@@ -111,25 +113,48 @@ class Scanner:
         if not text or not HINT.search(text):
             return 0, []
         blocks = self.blocks(text)
-        todo, out = list(blocks), []
+        out: list[Finding] = []
+        for k, (start, end) in enumerate(blocks):
+            found = self.search(text, start, end)
+            if not found:  # a notice can go on in lines that mention nothing
+                before, after = blocks[k - 1][1] if k else 0, blocks[k + 1][0] if k + 1 < len(blocks) else len(text)
+                found = self.search(text, self.lines_back(text, start, before), self.lines_on(text, end, after), split=False)
+            out += found
+        return len(blocks), sorted(out, key=lambda f: (f.start, f.end, f.license))
+
+    @staticmethod
+    def lines_back(text: str, at: int, least: int) -> int:
+        for _ in range(GAP):
+            at = max(text.rfind("\n", least, max(at - 1, least)) + 1, least)
+        return at
+
+    @staticmethod
+    def lines_on(text: str, at: int, most: int) -> int:
+        for _ in range(GAP):
+            cut = text.find("\n", at + 1, most)
+            at = cut if cut >= 0 else most
+        return at
+
+    def search(self, text: str, start: int, end: int, split: bool = True) -> list[Finding]:
+        """Confirmed notices of a range: of the best ranked templates the one with the fewest changed words; then what is left."""
+        todo, out = [(start, end)], []
         while todo:
             start, end = todo.pop()
             block = text[start:end]
             if not HINT.search(block):
                 continue
-            for saved, name in self.ranking(block)[:RANKED]:
-                hit = self.confirmed(block, name) if saved >= LEAST_SAVED else None
-                if hit:
-                    out.append(Finding(start + hit[0], start + hit[1], name, round(saved, 6), hit[2]))
-                    todo += [(start, start + hit[0]), (start + hit[1], end)]
-                    break
-            else:
-                if "\n" in block:  # several notices can hide each other; line by line they don't
-                    at = start
-                    for line in block.split("\n"):
-                        todo.append((at, at + len(line)))
-                        at += len(line) + 1
-        return len(blocks), sorted(out, key=lambda f: (f.start, f.end, f.license))
+            ranked = [(saved, name, self.confirmed(block, name)) for saved, name in self.ranking(block)[:RANKED] if saved >= LEAST_SAVED]
+            hits = [(hit[2], -saved, name, hit) for saved, name, hit in ranked if hit]
+            if hits:
+                changed, saved, name, hit = min(hits)
+                out.append(Finding(start + hit[0], start + hit[1], name, round(-saved, 6), changed))
+                todo += [(start, start + hit[0]), (start + hit[1], end)]
+            elif split and "\n" in block:  # several notices can hide each other; line by line they don't
+                at = start
+                for line in block.split("\n"):
+                    todo.append((at, at + len(line)))
+                    at += len(line) + 1
+        return out
 
 
 RESULT = "n_blocks long, n_confirmed long, n_exact long, licenses string, spans string"
@@ -149,5 +174,6 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
             out.insert(0, "doc_id", pdf["doc_id"].reset_index(drop=True))
             yield out
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {RESULT}")

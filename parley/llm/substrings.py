@@ -281,13 +281,13 @@ def removed(docs: DataFrame, chunk_bytes: int = H.CHUNK_BYTES, bucket_hashes: in
     classes = stored(long.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "text-classes")
     chosen = classes.withColumn("chunk", H.chunk_of(classes["doc_id"], chunks))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blank = pd.DataFrame({"key": [], "chunk": [], "bucket": [], "body": [], "docs": []})
+    blank = pd.DataFrame({"key": [], "chunk": [], "bucket": [], "body": [], "docs": []}, dtype=object)
 
     def ask(pdf: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         _, texts, _ = _represented(pdf, chosen)
         hashes, counts = _asked(_all_anchors(texts))
         if not len(hashes):
-            return pd.DataFrame({"chunk": [], "bucket": [], "hashes": [], "counts": []})
+            return H.no_blocks()
         return H.blocks(int(pdf["chunk"].iloc[0]), hashes, counts, hash_buckets)
 
     def send(pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import words as W
+from parley.llm.tables import small_batches
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
@@ -91,25 +92,28 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]], seed: int = 7) -> Machine:
-    """``rows``: buckets, counts, length class and label of each training text."""
+def telling(toxic: np.ndarray, rows: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
+    """The buckets with the largest chi-square, from the numbers of toxic and of all training rows that hold each."""
+    share = n_toxic / n
+    expected = rows * share
+    chi = np.where(rows >= LEAST_ROWS, (toxic - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - rows / n), 1e-9), -1)
+    chosen = np.argsort(-chi, kind="stable")[:TERMS]
+    return chosen[chi[chosen] > 0]
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]], chosen: np.ndarray, seed: int = 7) -> Machine:
+    """``rows``: chosen buckets, counts, length class and label of each training text."""
     label = np.array([r[3] for r in rows], dtype=np.float64)
     if not rows or label.min() == label.max():
         return Machine()
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     bucket = np.concatenate([r[0] for r in rows]).astype(np.int64)
     count = np.concatenate([r[1] for r in rows])
-    toxic, all_rows, share = np.bincount(bucket, weights=label[owner], minlength=BUCKETS), np.bincount(bucket, minlength=BUCKETS), label.mean()
-    expected = all_rows * share
-    chi = np.where(all_rows >= LEAST_ROWS, (toxic - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - all_rows / len(rows)), 1e-9), -1)
-    chosen = np.argsort(-chi, kind="stable")[:TERMS]
-    chosen = chosen[chi[chosen] > 0]
     column = np.full(BUCKETS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     width = len(chosen) + LENGTHS
     x = np.zeros((len(rows), width), dtype=np.float32)
-    known = column[bucket] >= 0
-    x[owner[known], column[bucket[known]]] = np.log1p(count[known])
+    x[owner, column[bucket]] = np.log1p(count)
     x[np.arange(len(rows)), len(chosen) + np.array([r[2] for r in rows])] = 1
     random = np.random.default_rng(seed)
     weight = np.where(label == 1, TOXIC_WEIGHT, 1.0)
@@ -137,25 +141,54 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rows_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of one task: the numbers of toxic and of all rows that hold each bucket; row -1 counts the rows."""
+    toxic, rows = np.zeros(BUCKETS + 1, dtype=np.int64), np.zeros(BUCKETS + 1, dtype=np.int64)
     for pdf in batches:
-        texts = [prepared(t) for t in pdf["text"]]
+        texts, label = [prepared(t) for t in pdf["text"]], pdf["toxic"].to_numpy()
         for a, b in W.slices(texts):
-            text, bucket, count, length = terms(texts[a:b])
-            cuts = np.searchsorted(text, np.arange(b - a + 1))
-            packed = [(bucket[i:j].astype("<u4").tobytes(), count[i:j].astype("<u4").tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].reset_index(drop=True), "toxic": pdf["toxic"].iloc[a:b].to_numpy(), "buckets": [p[0] for p in packed], "counts": [p[1] for p in packed], "length": length})
+            text, bucket, _, _ = terms(texts[a:b])
+            rows[:-1] += np.bincount(bucket, minlength=BUCKETS)
+            toxic[:-1] += np.bincount(bucket[label[a:b][text] == 1], minlength=BUCKETS)
+        rows[-1] += len(pdf)
+        toxic[-1] += int((label == 1).sum())
+    full = np.flatnonzero(rows)
+    yield pd.DataFrame({"bucket": np.where(full == BUCKETS, -1, full), "toxic": toxic[full], "n": rows[full]})
+
+
+def _features(chosen: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = np.zeros(BUCKETS, dtype=bool)
+        wanted[chosen] = True
+        for pdf in batches:
+            texts = [prepared(t) for t in pdf["text"]]
+            for a, b in W.slices(texts):
+                text, bucket, count, length = terms(texts[a:b])
+                text, bucket, count = text[wanted[bucket]], bucket[wanted[bucket]], count[wanted[bucket]]
+                cuts = np.searchsorted(text, np.arange(b - a + 1))
+                packed = [(bucket[i:j].astype("<u4").tobytes(), count[i:j].astype("<u4").tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].reset_index(drop=True), "toxic": pdf["toxic"].iloc[a:b].to_numpy(), "buckets": [p[0] for p in packed], "counts": [p[1] for p in packed], "length": length})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machine:
     """Train on at most ``limit`` labelled rows that aren't held out; a doc_id labelled twice counts as toxic if it ever is."""
+    small_batches(docs.sparkSession)
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     sample = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # ``limit`` rows of two numbers
+    toxic, held = np.zeros(BUCKETS + 1, dtype=np.int64), np.zeros(BUCKETS + 1, dtype=np.int64)
+    counts = rows.mapInPandas(_rows_with, "bucket long, toxic long, n long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    for r in counts.toLocalIterator():  # BUCKETS rows at most
+        toxic[r["bucket"]], held[r["bucket"]] = r["toxic"], r["n"]
+    if not 0 < toxic[-1] < held[-1]:
+        return Machine()
+    chosen = telling(toxic[:-1], held[:-1], int(toxic[-1]), int(held[-1]))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInPandas(_features, f"doc_id {kind}, toxic int, buckets binary, counts binary, length int").collect()
+    found = rows.mapInPandas(_features(chosen), f"doc_id {kind}, toxic int, buckets binary, counts binary, length int").collect()
     by_id = {r["doc_id"]: (np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["counts"], "<u4"), r["length"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["buckets"])))}
-    return train(list(by_id.values()))
+    return train(list(by_id.values()), chosen)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,13 +207,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the machine doesn't predict toxic."""
+    """The rows of ``docs``, all columns, that the machine doesn't predict toxic. Only texts go to Python, only scores come back."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [prepared(t) for t in pdf["text"]]
-            for a, b in W.slices(texts):
-                yield pdf.iloc[a:b][shared.value.score(texts[a:b]) < 0.5]
+    @F.pandas_udf("double")
+    def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            texts = [prepared(t) for t in series]
+            parts = [shared.value.score(texts[a:b]) for a, b in W.slices(texts)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(score_of("text") < 0.5)

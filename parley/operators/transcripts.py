@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
@@ -11,7 +11,9 @@ from parley.functions import text as T
 BLOCK_CHARS = 5000
 SEGMENT_OVERHEAD = 8
 
-ORDERED = Window.partitionBy("session_id").orderBy("seg_index")
+
+def in_session() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("seg_index")
 
 
 def speaker_line(source: Column, utterance: Column) -> Column:
@@ -27,13 +29,13 @@ def rendered(segments: DataFrame) -> DataFrame:
 
 def with_run_edges(segments: DataFrame) -> DataFrame:
     """Adds whether a segment begins and ends a run of one source."""
-    before, after = F.lag("source").over(ORDERED), F.lead("source").over(ORDERED)
+    before, after = F.lag("source").over(in_session()), F.lead("source").over(in_session())
     return segments.withColumns({"first_in_run": ~F.col("source").eqNullSafe(before), "last_in_run": ~F.col("source").eqNullSafe(after)})
 
 
 def coalesced_runs(segments: DataFrame) -> DataFrame:
     """Neighbouring segments of one source as one, texts joined by a space."""
-    runs = with_run_edges(segments).withColumn("run", F.sum(F.col("first_in_run").cast("long")).over(ORDERED))
+    runs = with_run_edges(segments).withColumn("run", F.sum(F.col("first_in_run").cast("long")).over(in_session()))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seg_index", "utterance"))), lambda s: s["utterance"])
     grouped = runs.groupBy("session_id", "run", "source").agg(F.min("seg_index").alias("first_index"), F.count(F.lit(1)).alias("n"), F.array_join(texts, " ").alias("utterance"))
     return grouped
@@ -52,7 +54,7 @@ def cost(utterance: Column) -> Column:
 def next_block_end(segments: DataFrame, target: int = BLOCK_CHARS, covered: str | None = None) -> DataFrame:
     """End (exclusive) of the first block after the covered segments whose cost reaches the target; null if none does."""
     left = segments if covered is None else segments.where(F.col("seg_index") >= F.col(covered))
-    running = F.sum(cost(F.col("utterance"))).over(ORDERED)
+    running = F.sum(cost(F.col("utterance"))).over(in_session())
     reached = left.withColumn("running", running)
     return reached.groupBy("session_id").agg(F.min(F.when(F.col("running") >= target, F.col("seg_index") + 1)).alias("block_end"))
 

@@ -6,21 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.functions.fuzzy import jaro_winkler_of
+from parley.functions.fuzzy import BOOST, BOOST_CHARS, jaro_winkler_of
 
 THRESHOLD = 0.86
 LEAST_CHARS = 4
 LENGTH_GAP = 2
 
 
+def _profile(word: str, side: str) -> list[Column]:
+    """Of a word: its characters as a set of 64 bits, and its first characters as numbers."""
+    chars = F.split(F.col(word), "")
+    bits = F.aggregate(chars, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+    return [bits.alias(f"bits_{side}"), *[F.ascii(F.substring(word, k, 1)).alias(f"c{k}_{side}") for k in range(1, BOOST_CHARS + 1)]]
+
+
+def _most(a_size: Column, b_size: Column) -> Column:
+    """A score that the pair can't exceed: characters of one word that the other lacks match nothing."""
+    a, b = F.col("bits_a"), F.col("bits_b")
+    common = F.least(a_size - F.bit_count(a.bitwiseAND(F.bitwise_not(b))), b_size - F.bit_count(b.bitwiseAND(F.bitwise_not(a)))).cast("double")
+    jaro = (common / a_size + common / b_size + 1) / 3
+    prefix = F.lit(BOOST_CHARS)
+    for k in range(BOOST_CHARS, 0, -1):
+        prefix = F.when(F.col(f"c{k}_a") != F.col(f"c{k}_b"), k - 1).otherwise(prefix)
+    return jaro + prefix * BOOST * (1 - jaro)
+
+
 def matches(tokens: DataFrame, terms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """token, term and score of the best term for each distinct token; none for tokens that are a term or too short.
-    Terms (term, rank) with the smaller rank win ties. Pairs are met by length, never as a product."""
-    low = terms.select("term", "rank", F.lower("term").alias("low")).withColumn("size", F.length("low"))
+    Terms (term, rank) with the smaller rank win ties. Pairs are met by length, never as a product, and only those whose
+    characters allow the threshold are scored."""
+    low = terms.select("term", "rank", F.lower("term").alias("low")).withColumn("size", F.length("low")).select("*", *_profile("low", "b"))
     words = tokens.select("token").distinct().withColumn("low_token", F.lower("token")).where(F.length("low_token") >= LEAST_CHARS)
     unknown = words.join(low.select(F.col("low").alias("low_token")).distinct(), "low_token", "left_anti")
-    near = unknown.withColumn("size", F.explode(F.sequence(F.length("low_token") - LENGTH_GAP, F.length("low_token") + LENGTH_GAP)))
-    scored = near.join(low, "size").withColumn("score", jaro_winkler_of("low_token", "low")).where(F.col("score") >= threshold)
+    near = unknown.withColumn("own", F.length("low_token")).select("*", *_profile("low_token", "a"))
+    near = near.withColumn("size", F.explode(F.sequence(F.col("own") - LENGTH_GAP, F.col("own") + LENGTH_GAP)))
+    able = near.join(low, "size").where(_most(F.col("own"), F.col("size")) >= threshold - 1e-9)
+    scored = able.withColumn("score", jaro_winkler_of("low_token", "low")).where(F.col("score") >= threshold)
     best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "rank"))
     return scored.withColumn("n", best).where("n = 1").select("token", "term", "score")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, jaccard, language_model, licenses, mixing, quality, secrets, sharding, substrings, toxicity
+from parley.llm import decontaminate, jaccard, language_model, licenses, mixing, oracles, quality, secrets, sharding, substrings, toxicity
 from parley.llm.tables import table
 
 
@@ -23,7 +24,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.scores(table(spark, sf_dir, "documents"))
+    scores = language_model.scores(table(spark, sf_dir, "documents"))
+    return scores.withColumns({"score": F.round("score", 4), "mean_score": F.round("mean_score", 6)})
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": secrets.ORACLE_SQL}
+    return {"op2_secret_ledger": secrets.ORACLE_SQL, "op4_stupid_backoff": oracles.BACKOFF, "op6_jaccard_trie": oracles.JACCARD, "op9_suffix_automaton": oracles.DECONTAMINATION}

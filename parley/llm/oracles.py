@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import decontaminate, jaccard, language_model
+from parley.llm import decontaminate, jaccard, language_model, substrings
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,3 +65,20 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_backoffs, 0)
   round(coalesce(score / len(ws), 0.0), 6) AS mean_score
 FROM docs LEFT JOIN sums USING (r)
 """
+
+SUBSTRINGS = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+tiles AS (SELECT r, id, len(h) // 2 AS n, p, substr(h, 2 * p + 1, 2 * {256 + substrings.LENGTH - 1}) AS t FROM (SELECT *, unnest(range(0, len(h) // 2, 256)) AS p FROM docs)),
+places AS (SELECT r, id, p, t, unnest(range(0, least(256, n - p - {substrings.LENGTH - 1}))) AS j FROM tiles),
+windows AS (SELECT r, id, p + j AS i, substr(t, 2 * j + 1, {2 * substrings.LENGTH}) AS w FROM places),
+firsts AS (SELECT w, min(id) AS first FROM windows GROUP BY w HAVING count(*) > 1 AND min(id) < max(id)),
+gone AS (SELECT r, i, i > lag(i, 1, -{substrings.LENGTH} - 1) OVER (PARTITION BY r ORDER BY i) + {substrings.LENGTH} AS new FROM windows JOIN firsts USING (w) WHERE first < id),
+numbered AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM gone),
+runs AS (SELECT r, min(i) AS a, max(i) + {substrings.LENGTH} AS b FROM numbered GROUP BY r, run),
+cuts AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM runs),
+kept AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k
+  FROM cuts JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""

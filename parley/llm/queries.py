@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": secrets.ORACLE_SQL, "op4_stupid_backoff": oracles.BACKOFF, "op6_jaccard_trie": oracles.JACCARD, "op9_suffix_automaton": oracles.DECONTAMINATION}
+    return {"op2_secret_ledger": secrets.ORACLE_SQL, "op4_stupid_backoff": oracles.BACKOFF, "op6_jaccard_trie": oracles.JACCARD, "op9_suffix_automaton": oracles.DECONTAMINATION, "op10_suffix_dedup": oracles.SUBSTRINGS}

@@ -193,3 +193,20 @@ def notes_lifecycle(events: DataFrame) -> DataFrame:
 
     ordered = F.array_sort(F.collect_list(F.struct("seq", "status", "text")))
     return events.groupBy("session_id").agg(F.aggregate(ordered, empty, step).alias("n")).select("session_id", "n.status", "n.notes")
+
+
+def skipped_blocks(blocks: DataFrame, limit: int = 125) -> DataFrame:
+    """Blocks (session_id, at, silent) with whether inference is skipped: more than ``limit`` silent blocks in a row up to
+    here. Activity starts the count anew."""
+    in_order = Window.partitionBy("session_id").orderBy("at")
+    runs = blocks.withColumn("_run", F.sum(F.when(F.col("silent"), 0).otherwise(1)).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    silent_so_far = F.count_if(F.col("silent")).over(Window.partitionBy("session_id", "_run").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return runs.withColumn("skipped", F.coalesce(F.col("silent"), F.lit(False)) & (silent_so_far > limit)).drop("_run")
+
+
+def far_alive(chunks: DataFrame, within_ms: int = 400) -> DataFrame:
+    """Chunks (session_id, source near or far, at_ms) of the near source with whether the far one was heard within the time
+    before."""
+    so_far = Window.partitionBy("session_id").orderBy("at_ms", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heard = F.max(F.when(F.col("source") == "far", F.col("at_ms"))).over(so_far)
+    return chunks.withColumn("far_ms", heard).where("source = 'near'").withColumn("far_alive", F.coalesce(F.col("at_ms") - F.col("far_ms") <= within_ms, F.lit(False)))

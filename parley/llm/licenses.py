@@ -1,10 +1,13 @@
 """License scans by conditional compression.
 
-A candidate block is a run of lines that mention licensing (gaps of up to ``GAP`` other lines are bridged). Each block
-is compressed by zstandard alone and with each template as raw dictionary; templates are ranked by the share of bytes
-that the dictionary saves. The best ranked template is confirmed only by wording: its words and the block's words are
-aligned, and the words missing, added inside or replaced must be few. The confirmed words are taken out and what is
-left of the block is searched again, so one block can hold several licenses.
+A candidate block is a run of lines that mention licensing (gaps of up to ``GAP`` other lines are bridged); texts with
+one are searched, whatever their line breaks. For each template, the places are found where so many words in a row, as a
+notice with few changes can have, hold enough of the template's words: no notice lies elsewhere. Places that overlap are
+one stretch. A stretch is compressed by zstandard alone and with each of its templates as raw dictionary, lowered and
+less all but the words; templates are ranked by the share of bytes that the dictionary saves. All of them are confirmed
+by wording: the words are aligned, and those missing, added inside or replaced must be few. Of confirmed notices that
+overlap, the one with the fewest changed words counts, then the better ranked. What is left of the stretch is searched
+again, so one can hold several licenses.
 
 Every whole text is scanned in one pass, with no shuffle; memory is one text and the templates. Defined cases: null and
 empty texts have no blocks; repeated rows and doc_ids get the same answer each; other columns are ignored; an empty
@@ -13,11 +16,13 @@ table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -46,12 +51,8 @@ HINT = re.compile(r"licen[sc]|copyright|permission|redistribut|warrant|spdx", re
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 GAP = 2
 LEVEL = 3
-#: Least share of bytes saved by the dictionary for a template to be compared word by word.
-LEAST_SAVED = 0.2
 #: Most words missing, added or replaced, as a share of the template's words.
 MOST_CHANGED = 0.1
-#: Templates compared word by word, best first.
-RANKED = 5
 
 
 @dataclass(frozen=True)
@@ -67,10 +68,13 @@ class Scanner:
     def __init__(self, templates: dict[str, str] | None = None) -> None:
         self.templates = dict(sorted((templates or TEMPLATES).items()))
         self.words = {name: [w.lower() for w in WORD.findall(text)] for name, text in self.templates.items()}
+        self.spare = {name: int(MOST_CHANGED * len(words)) for name, words in self.words.items()}
+        self.number = {w: i for i, w in enumerate(sorted({w for words in self.words.values() for w in words}), 1)}
+        self.member = {name: np.isin(np.arange(len(self.number) + 1), [self.number[w] for w in words]) for name, words in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.given = {
-            name: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for name, text in self.templates.items()
+            name: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            for name, words in self.words.items()
         }
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
@@ -87,17 +91,19 @@ class Scanner:
             at += len(line) + 1
         return out
 
-    def ranking(self, block: str) -> list[tuple[float, str]]:
+    def ranking(self, text: str) -> list[tuple[float, str]]:
         """Share of bytes that each template saves, largest first; equal ones by name."""
-        data = block.encode("utf-8", "surrogatepass")
+        return self.ranked([w.lower() for w in WORD.findall(text)], self.templates)
+
+    def ranked(self, words: list[str], names: Iterable[str]) -> list[tuple[float, str]]:
+        data = " ".join(words).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        return sorted(((1 - len(self.given[name].compress(data)) / alone, name) for name in names), key=lambda x: (-x[0], x[1]))
 
-    def confirmed(self, block: str, name: str) -> tuple[int, int, int] | None:
-        """Range within the block and number of changed words, if the wording is the template's but for a few words."""
-        found = list(WORD.finditer(block))
+    def confirmed(self, words: list[str], name: str) -> tuple[int, int, int] | None:
+        """Range within the words and number of changed words, if the wording is the template's but for a few words."""
         template = self.words[name]
-        pieces = [p for p in difflib.SequenceMatcher(None, template, [m[0].lower() for m in found], autojunk=False).get_matching_blocks() if p.size]
+        pieces = [p for p in difflib.SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if p.size]
         if not pieces:
             return None
         first, last = pieces[0], pieces[-1]
@@ -106,57 +112,67 @@ class Scanner:
         changed = max(len(template), inside) - equal
         if changed > MOST_CHANGED * len(template):
             return None
-        return found[first.b].start(), found[last.b + last.size - 1].end(), changed
+        return first.b, last.b + last.size, changed
 
     def scan(self, text: str | None) -> tuple[int, list[Finding]]:
-        """Number of candidate blocks, and what is confirmed in them, by place."""
+        """Number of candidate blocks, and what is confirmed in the text, by place."""
         if not text or not HINT.search(text):
             return 0, []
-        blocks = self.blocks(text)
-        out: list[Finding] = []
-        for k, (start, end) in enumerate(blocks):
-            found = self.search(text, start, end)
-            if not found:  # a notice can go on in lines that mention nothing
-                before, after = blocks[k - 1][1] if k else 0, blocks[k + 1][0] if k + 1 < len(blocks) else len(text)
-                found = self.search(text, self.lines_back(text, start, before), self.lines_on(text, end, after), split=False)
-            out += found
-        return len(blocks), sorted(out, key=lambda f: (f.start, f.end, f.license))
-
-    @staticmethod
-    def lines_back(text: str, at: int, least: int) -> int:
-        for _ in range(GAP):
-            at = max(text.rfind("\n", least, max(at - 1, least)) + 1, least)
-        return at
-
-    @staticmethod
-    def lines_on(text: str, at: int, most: int) -> int:
-        for _ in range(GAP):
-            cut = text.find("\n", at + 1, most)
-            at = cut if cut >= 0 else most
-        return at
-
-    def search(self, text: str, start: int, end: int, split: bool = True) -> list[Finding]:
-        """Confirmed notices of a range: of the best ranked templates the one with the fewest changed words; then what is left."""
-        todo, out = [(start, end)], []
+        return len(self.blocks(text)), sorted(self.search(text), key=lambda f: (f.start, f.end, f.license))
+
+    def places(self, numbers: np.ndarray) -> list[tuple[int, int, str]]:
+        """Word ranges that can be a template's notice: as long as the longest, with enough of its words, the first included."""
+        out = []
+        ends = np.arange(len(numbers))
+        for name, member in self.member.items():
+            size, spare = len(self.words[name]), self.spare[name]
+            held = member[numbers]
+            so_far = np.concatenate([[0], np.cumsum(held)])
+            stop = np.minimum(ends + size + spare, len(numbers))
+            out += [(int(at), int(stop[at]), name) for at in np.flatnonzero(held & (so_far[stop] - so_far[:-1] >= size - spare))]
+        return sorted(out)
+
+    def search(self, text: str) -> list[Finding]:
+        """Confirmed notices: of those that overlap the one with the fewest changed words, then the best ranked; then what is left."""
+        spans = [m.span() for m in WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans]
+        numbers = np.array([self.number.get(w, 0) for w in words], dtype=np.int64)
+        todo, out = [(0, len(words))], []
         while todo:
             start, end = todo.pop()
-            block = text[start:end]
-            if not HINT.search(block):
-                continue
-            ranked = [(saved, name, self.confirmed(block, name)) for saved, name in self.ranking(block)[:RANKED] if saved >= LEAST_SAVED]
-            hits = [(hit[2], -saved, name, hit) for saved, name, hit in ranked if hit]
-            if hits:
-                changed, saved, name, hit = min(hits)
-                out.append(Finding(start + hit[0], start + hit[1], name, round(-saved, 6), changed))
-                todo += [(start, start + hit[0]), (start + hit[1], end)]
-            elif split and "\n" in block:  # several notices can hide each other; line by line they don't
-                at = start
-                for line in block.split("\n"):
-                    todo.append((at, at + len(line)))
-                    at += len(line) + 1
+            for low, high, places in stretches(self.places(numbers[start:end])):
+                saved = {name: share for share, name in self.ranked(words[start + low : start + high], {name for _, _, name in places})}
+                hits = set()
+                for a, b, name in places:
+                    hit = self.confirmed(words[start + a : start + b], name)
+                    if hit:
+                        hits.add((hit[2], -saved[name], name, start + a + hit[0], start + a + hit[1]))
+                taken: list[tuple[int, int]] = []
+                for changed, share, name, first, stop in sorted(hits):
+                    k = bisect.bisect(taken, (first, stop))
+                    if (not k or taken[k - 1][1] <= first) and (k == len(taken) or stop <= taken[k][0]):
+                        taken.insert(k, (first, stop))
+                        out.append(Finding(spans[first][0], spans[stop - 1][1], name, round(-share, 6), changed))
+                if taken:
+                    cuts = [start + low, *[x for pair in taken for x in pair], start + high]
+                    todo += [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b]
         return out
 
 
+def stretches(places: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]]:
+    """Ranges of places that overlap, with their places."""
+    group: list[tuple[int, int, str]] = []
+    end = 0
+    for place in places:
+        if group and place[0] >= end:
+            yield group[0][0], end, group
+            group = []
+        end = max(end, place[1]) if group else place[1]
+        group.append(place)
+    if group:
+        yield group[0][0], end, group
+
+
 RESULT = "n_blocks long, n_confirmed long, n_exact long, licenses string, spans string"
 
 

@@ -233,3 +233,25 @@ def test_license_ranking_prefers_the_template_that_saves_most():
     for name, text in licenses.TEMPLATES.items():
         assert scanner.ranking(text)[0][1] in (name, *[n for n, t in licenses.TEMPLATES.items() if text in t])
         assert [f.license for f in scanner.scan(text)[1]] == [name] or name == "Apache-2.0-header"
+
+
+def test_license_notice_inside_a_long_line():
+    """Neither what else stands in the line nor its length hides a notice, whole or with a tenth of its words changed."""
+    scanner = licenses.Scanner()
+    before, after = "the user may read under the line of this work " * 40, " and the rest of the version is in the same line" * 40
+    for name, text in licenses.TEMPLATES.items():
+        for around in (60, 200, 1_000):
+            block = before[-around:] + text + after[:around]
+            found = [f for f in scanner.scan(block)[1] if f.license == name]
+            assert [(block[f.start : f.end], f.changed) for f in found] == [(text.rstrip(".:"), 0)], (name, around)
+        words = text.split(" ")
+        spare = len(scanner.words[name]) // 10
+        for k in range(spare):
+            words[4 + 7 * k] = "changedword"
+        if spare:
+            # a license of its own that is left unchanged inside counts before
+            got = scanner.scan(before[-1_000:] + " ".join(words) + after[:1_000])[1]
+            assert [f.license for f in got] in ([name], ["Apache-2.0"]), name
+    every = before + (after + " ").join(licenses.TEMPLATES.values()) + after
+    assert {f.license for f in scanner.scan(every)[1]} == set(licenses.TEMPLATES)
+    assert len(scanner.scan(" ".join(["Released under the MIT License."] * 300))[1]) == 300

@@ -93,7 +93,7 @@ def envelope(rows: DataFrame, size: int = 96, every: int = 32) -> DataFrame:
     return rows.withColumns({"mean": mean, "modulation": spread / (mean + 1e-9)}).where((F.col("n") >= size) & (F.col("n") % every == 0))
 
 
-def best_lag(rows: DataFrame, most: int = 8, least_pairs: int = 24) -> DataFrame:
+def best_lag(rows: DataFrame, most: int = 32, least_pairs: int = 24) -> DataFrame:
     """Largest correlation of ``near`` with ``far`` up to ``most`` places earlier, over rows (session_id, n, near, far); null for too few pairs."""
     order = Window.partitionBy("session_id").orderBy("n")
     lagged = rows.withColumns({f"far{k}": F.lag("far", k).over(order) for k in range(most + 1)})

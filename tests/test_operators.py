@@ -221,3 +221,11 @@ def test_wav(spark, tmp_path):
     rows = audio.wav_files(spark, f"file://{tmp_path}").collect()
     assert len(rows) == 1 and len(rows[0].samples) == 1_600 and rows[0].source_rate == 48_000
     assert rows[0].samples[10] == pytest.approx(30 / 32768)
+
+
+@pytest.mark.parametrize("lag", [20, 32])
+def test_best_lag_reaches_32_places(spark, lag):
+    noise = np.random.default_rng(5).normal(size=200)
+    rows = [("s", n, float(noise[n - lag]) if n >= lag else 0.0, float(noise[n])) for n in range(200)]
+    out = streams.best_lag(spark.createDataFrame(rows, "session_id string, n long, near double, far double")).first()
+    assert out.correlation > 0.9

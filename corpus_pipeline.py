@@ -21,8 +21,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of alike shingle sets, the one with the smallest doc_id."""
-    return jaccard.without_copies(docs)
+    """One document of each component of sets of five-word shingles that are alike by 80 % or more, the one with the smallest doc_id."""
+    return jaccard.without_copies(docs, size=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-from brute import BENCH_WORD, benchmark_hits, components
+from brute import BENCH_WORD, benchmark_hits, components, hard_frame, shingles
 
 import corpus_pipeline
 from parley.llm import toxicity
@@ -61,3 +61,19 @@ def test_rest_works_without_the_subpackage(tmp_path):
     subprocess.run(["cp", "-r", str(REPO), str(copy)], check=True)
     subprocess.run(["rm", "-rf", str(copy / "parley/llm"), str(copy / "corpus_pipeline.py"), str(copy / "tests/llm")], check=True)
     subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)})
+
+
+def test_near_copies_from_80_percent_of_five_words_on(spark):
+    """Pairs alike by 0.80 to 0.85 are copies for the stage, those below aren't."""
+    word = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    first = word(1, 94)
+    replaced = [*first[:30], "one", *first[31:60], "two", *first[61:]]
+    rows = [
+        (1, " ".join(first)), (2, " ".join(replaced)), (3, " ".join(word(2, 100))), (4, " ".join(word(2, 100) + word(3, 20))),
+        (5, " ".join(word(4, 100))), (6, " ".join(word(4, 100) + word(5, 26))),
+    ]
+    sets = [shingles(t, 5) for _, t in rows]
+    alike = [round(len(a & b) / len(a | b), 3) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert alike == [0.8, 0.828, 0.787]
+    kept = corpus_pipeline.without_near_copies(spark, hard_frame(spark, rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6]

@@ -1,6 +1,7 @@
 """Count tables of 64-bit hashes, partitioned by hash, and their join back to the documents that asked.
 
-Documents are dealt into chunks of about ``CHUNK_BYTES`` of text by a hash of doc_id. A chunk sums its own hashes
+Documents are dealt into chunks of about ``CHUNK_BYTES`` of text by a hash of doc_id, bundles by doc_id and text, so that
+null and repeated doc_ids don't gather. A chunk sums its own hashes
 first, so a hash leaves it once however often it occurs. Hashes go to range partitions ("buckets") of the hash space as
 sorted, delta-coded blocks; a bucket adds up its blocks and answers every block with the totals of its hashes, in the
 block's order. The chunk's documents are then met with the answers: the shuffle of texts by chunk is planned once and
@@ -24,8 +25,8 @@ BLOCKS = "chunk long, bucket long, hashes binary, counts binary"
 ANSWERS = "chunk long, bucket long, totals binary"
 
 
-def chunk_of(doc_id: Column, chunks: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.lit("chunk")), F.lit(chunks))
+def chunk_of(doc_id: Column, chunks: int, *more: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("chunk"), *more), F.lit(chunks))
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -48,7 +49,7 @@ def bundles(docs: DataFrame, chunks: int) -> DataFrame:
         for pdf in batches:  # Spark's larger batches are wanted here: more text of a chunk together
             yield pd.DataFrame([_bundled(int(chunk), rows) for chunk, rows in pdf.groupby("chunk")], columns=["chunk", "body"])
 
-    return docs.select("doc_id", "text", chunk_of(docs["doc_id"], chunks).alias("chunk")).mapInPandas(run, "chunk long, body binary")
+    return docs.select("doc_id", "text", chunk_of(docs["doc_id"], chunks, docs["text"]).alias("chunk")).mapInPandas(run, "chunk long, body binary")
 
 
 def unbundled(bodies: pd.Series) -> tuple[list[int | None], list[bytes]]:

@@ -255,3 +255,10 @@ def test_license_notice_inside_a_long_line():
     every = before + (after + " ").join(licenses.TEMPLATES.values()) + after
     assert {f.license for f in scanner.scan(every)[1]} == set(licenses.TEMPLATES)
     assert len(scanner.scan(" ".join(["Released under the MIT License."] * 300))[1]) == 300
+
+
+def test_bundles_spread_rows_of_one_doc_id(spark):
+    rows = [(i, prose(k, 20)) for i in (None, 7) for k in range(200)]
+    out = hash_tables.bundles(hard_frame(spark, rows, extra=False), 8).toPandas()
+    held = out.groupby("chunk")["body"].apply(lambda bodies: len(hash_tables.unbundled(bodies)[1]))
+    assert len(held) == 8 and held.max() < 100 and held.sum() == 400

@@ -42,14 +42,16 @@ def _bundled(chunk: int, pdf: pd.DataFrame) -> tuple[int, bytes]:
     return chunk, zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts))
 
 
-def bundles(docs: DataFrame, chunks: int) -> DataFrame:
-    """chunk and body: the documents (doc_id, text) that a task has for a chunk, compressed together before they are shuffled."""
+def bundles(docs: DataFrame, chunks: int, content: Column | None = None) -> DataFrame:
+    """chunk and body: the documents (doc_id, text) that a task has for a chunk, compressed together before they are shuffled.
+
+    Documents are dealt by doc_id and ``content``, a value of the text alone (by default the text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:  # Spark's larger batches are wanted here: more text of a chunk together
             yield pd.DataFrame([_bundled(int(chunk), rows) for chunk, rows in pdf.groupby("chunk")], columns=["chunk", "body"])
 
-    return docs.select("doc_id", "text", chunk_of(docs["doc_id"], chunks, docs["text"]).alias("chunk")).mapInPandas(run, "chunk long, body binary")
+    return docs.select("doc_id", "text", chunk_of(docs["doc_id"], chunks, docs["text"] if content is None else content).alias("chunk")).mapInPandas(run, "chunk long, body binary")
 
 
 def unbundled(bodies: pd.Series) -> tuple[list[int | None], list[bytes]]:

@@ -13,7 +13,7 @@ import numpy as np
 
 SLICE_BYTES = 1 << 20
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -86,7 +86,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     edge = np.diff(inside)
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums, down = prefix_sums(data)
-    words = mix((sums[end] - sums[first]) * down[first] ^ (end - first).astype(np.uint64) * _ODD)
+    words = mix((sums[end] - sums[first]) * down[first] ^ (end - first).astype(np.uint64) * ODD)
     starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
     return words, np.searchsorted(starts, first, side="right") - 1, first, end
 
@@ -99,5 +99,5 @@ def ngrams(words: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.
     at = np.flatnonzero(text[:count] == text[n - 1 :])
     out = np.full(len(at), n, dtype=np.uint64)
     for k in range(n):
-        out = mix(out * _ODD + words[at + k])
+        out = mix(out * ODD + words[at + k])
     return out, at

@@ -184,14 +184,37 @@ def test_cleaned_texts_lose_their_spans_only(spark):
     assert all(r.n_chars == len(r.text) for r in out.where("text is not null").collect())
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 22, 3_000])
-def test_substring_dedup(spark, chunk_bytes):
-    rows = hard_rows() + [(i + 1000, t) for i, t in near_rows(4, 3, 12)]
-    out = substrings.removed(hard_frame(spark, rows), chunk_bytes=chunk_bytes, bucket_hashes=2_000, bucket_contexts=500).collect()
+@pytest.mark.parametrize(("chunk_bytes", "hot_texts"), [(1 << 22, 5_000), (3_000, 5_000), (3_000, 3)])
+def test_substring_dedup(spark, chunk_bytes, hot_texts):
+    rule = "-" * 60
+    rows = hard_rows() + [(i + 1000, t) for i, t in near_rows(4, 3, 12)] + [(2000 + i, prose(i, 9) + rule + prose(-i, 9)) for i in range(30)]
+    out = substrings.removed(hard_frame(spark, rows), chunk_bytes=chunk_bytes, bucket_hashes=2_000, bucket_contexts=500, hot_texts=hot_texts).collect()
     assert ordered(tuple(r) for r in out) == ordered(removed_bytes(rows))
     assert substrings.removed(empty_frame(spark)).count() == 0
 
 
+def test_substring_dedup_of_a_text_of_megabytes(spark):
+    long = prose(8, 300_000)
+    rows = [(1, long), (2, "intro<" + long[500_000:1_500_000] + ">outro"), (3, long[:60])]
+    out = {r.doc_id: r for r in substrings.removed(hard_frame(spark, rows, extra=False)).collect()}
+    assert (out[1].n_bytes, out[1].n_removed) == (len(long.encode()), 0)
+    assert (out[2].n_spans, out[2].n_bytes - out[2].n_removed) == (1, len("intro<>outro"))
+    assert out[3].n_removed == out[3].n_bytes
+
+
+def test_anchors_do_not_depend_on_slices(monkeypatch):
+    texts = [prose(1, 900).encode(), b"-" * 700, b"", prose(2, 3).encode(), (prose(3, 40) * 3).encode()]
+    chunk = substrings.Chunk(texts)
+    whole = substrings.anchors(chunk)
+    monkeypatch.setattr(substrings, "SLICE", 256)
+    assert all(np.array_equal(a, b) for a, b in zip(substrings.anchors(chunk), whole, strict=True))
+    rows = substrings.contexts(chunk, whole[1])
+    for row, at in zip(rows, whole[1].tolist(), strict=True):
+        text = int(chunk.owner(np.array([at]))[0])
+        start = at - int(chunk.starts[text])
+        assert row[substrings.BEFORE - row[-2] : substrings.BEFORE + row[-1]].tobytes() == texts[text][start - row[-2] : start + row[-1]]
+
+
 def test_suffixes_sort_like_bytes_also_when_hashes_collide(monkeypatch):
     draw = np.random.default_rng(1)
     data = draw.integers(97, 99, 4_000).astype(np.uint8)

@@ -46,9 +46,12 @@ BEFORE = LENGTH - GRAM
 #: Context bytes, then how many of them before the anchor and from the anchor on are in the text.
 ROW = BEFORE + LENGTH + 2
 ALL = np.uint32((1 << (BEFORE + 1)) - 1)
+#: Smaller than elsewhere: contexts of all shared anchors of a chunk take up to seven times its size.
+CHUNK_BYTES = 2 << 20
+BUCKET_HASHES = 1_000_000
 #: Bytes whose anchors, and contexts whose rows, are made at a time.
-SLICE = 1 << 20
-ROWS_AT_ONCE = 1 << 16
+SLICE = 1 << 18
+ROWS_AT_ONCE = 1 << 15
 BUCKET_CONTEXTS = 100_000
 SORTED_AT_ONCE = 20_000
 #: An anchor of more texts than this is compared window by window.
@@ -116,11 +119,10 @@ def anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def contexts(chunk: Chunk, place: np.ndarray) -> np.ndarray:
-    """One row of ``ROW`` bytes for each anchor; bytes outside its text are 0."""
+def fill_contexts(rows: np.ndarray, chunk: Chunk, place: np.ndarray) -> None:
+    """Rows of ``ROW`` bytes for anchors; bytes outside their text are 0."""
     padded = np.concatenate([np.zeros(BEFORE, np.uint8), chunk.data, np.zeros(LENGTH, np.uint8)])
     around = np.lib.stride_tricks.sliding_window_view(padded, BEFORE + LENGTH)
-    rows = np.empty((len(place), ROW), dtype=np.uint8)
     column = np.arange(BEFORE + LENGTH, dtype=np.int16)
     for i in range(0, len(place), ROWS_AT_ONCE):
         at = place[i : i + ROWS_AT_ONCE]
@@ -130,7 +132,6 @@ def contexts(chunk: Chunk, place: np.ndarray) -> np.ndarray:
         part[:, :-2] = around[at]
         part[:, :-2] *= (column >= BEFORE - before[:, None]) & (column < BEFORE + after[:, None])
         part[:, -2], part[:, -1] = before, after
-    return rows
 
 
 def windows_around(chunk: Chunk, place: np.ndarray) -> np.ndarray:
@@ -143,13 +144,11 @@ def windows_around(chunk: Chunk, place: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def window_rows(chunk: Chunk, place: np.ndarray) -> np.ndarray:
-    """Rows of single windows: a context with nothing before its anchor."""
-    rows = np.zeros((len(place), ROW), dtype=np.uint8)
+def fill_windows(rows: np.ndarray, chunk: Chunk, place: np.ndarray) -> None:
+    """Rows of single windows: contexts with nothing before the anchor."""
+    rows[:, :BEFORE], rows[:, -2], rows[:, -1] = 0, 0, LENGTH
     if len(place):
         rows[:, BEFORE : BEFORE + LENGTH] = np.lib.stride_tricks.sliding_window_view(chunk.data, LENGTH)[place]
-    rows[:, -1] = LENGTH
-    return rows
 
 
 def row_hashes(rows: np.ndarray) -> np.ndarray:
@@ -203,9 +202,11 @@ def _sent(chunk: int, nodes: list[bytes], texts: list[bytes], ids: np.ndarray, t
     times = totals[np.searchsorted(known, grams)]
     hot = windows_around(joined, place[times > hot_texts])
     keep = (times > 1) & (times <= hot_texts)
-    rows, single = contexts(joined, place[keep]), window_rows(joined, hot)
-    route = np.concatenate([grams[keep], row_hashes(single)])
-    place, rows = np.concatenate([place[keep], hot]), np.concatenate([rows, single])
+    grams, place = grams[keep], place[keep]
+    rows = np.empty((len(place) + len(hot), ROW), dtype=np.uint8)
+    fill_contexts(rows[: len(place)], joined, place)
+    fill_windows(rows[len(place) :], joined, hot)
+    route, place = np.concatenate([grams, row_hashes(rows[len(place) :])]), np.concatenate([place, hot])
     owner = joined.owner(place)
     representative, context = _distinct(rows)
     smallest = np.full(len(representative), LAST)
@@ -325,7 +326,7 @@ def _spans(bodies: pd.Series, side: pd.DataFrame) -> Iterator[tuple[int | None,
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(docs: DataFrame, chunk_bytes: int = H.CHUNK_BYTES, bucket_hashes: int = H.BUCKET_HASHES, bucket_contexts: int = BUCKET_CONTEXTS, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES, bucket_contexts: int = BUCKET_CONTEXTS, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """doc_id, bytes, bytes and runs removed, and SHA-256 of what is kept, of every row of ``docs``."""
     total = H.text_bytes(docs)
     chunks = max(1, math.ceil(total / chunk_bytes))

@@ -208,11 +208,12 @@ def test_anchors_do_not_depend_on_slices(monkeypatch):
     whole = substrings.anchors(chunk)
     monkeypatch.setattr(substrings, "SLICE", 256)
     assert all(np.array_equal(a, b) for a, b in zip(substrings.anchors(chunk), whole, strict=True))
-    rows = substrings.contexts(chunk, whole[1])
+    rows = np.empty((len(whole[1]), substrings.ROW), dtype=np.uint8)
+    substrings.fill_contexts(rows, chunk, whole[1])
     for row, at in zip(rows, whole[1].tolist(), strict=True):
         text = int(chunk.owner(np.array([at]))[0])
-        start = at - int(chunk.starts[text])
-        assert row[substrings.BEFORE - row[-2] : substrings.BEFORE + row[-1]].tobytes() == texts[text][start - row[-2] : start + row[-1]]
+        start, before, after = at - int(chunk.starts[text]), int(row[-2]), int(row[-1])
+        assert row[substrings.BEFORE - before : substrings.BEFORE + after].tobytes() == texts[text][start - before : start + after]
 
 
 def test_suffixes_sort_like_bytes_also_when_hashes_collide(monkeypatch):

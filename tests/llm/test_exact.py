@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -255,8 +256,9 @@ def test_licenses(spark):
 def test_license_ranking_prefers_the_template_that_saves_most():
     scanner = licenses.Scanner()
     for name, text in licenses.TEMPLATES.items():
-        assert scanner.ranking(text)[0][1] in (name, *[n for n, t in licenses.TEMPLATES.items() if text in t])
-        assert [f.license for f in scanner.scan(text)[1]] == [name] or name == "Apache-2.0-header"
+        ranking = scanner.ranking(text)
+        assert dict((n, share) for share, n in ranking)[name] >= ranking[0][0] - 0.05  # templates that hold this one save about as much
+        assert [(f.license, f.changed) for f in scanner.scan(text)[1]] == [(name, 0)]
 
 
 def test_license_notice_inside_a_long_line():
@@ -267,15 +269,16 @@ def test_license_notice_inside_a_long_line():
         for around in (60, 200, 1_000):
             block = before[-around:] + text + after[:around]
             found = [f for f in scanner.scan(block)[1] if f.license == name]
-            assert [(block[f.start : f.end], f.changed) for f in found] == [(text.rstrip(".:"), 0)], (name, around)
+            assert [(block[f.start : f.end], f.changed) for f in found] == [(re.sub(r"\W+$", "", text), 0)], (name, around)
         words = text.split(" ")
-        spare = len(scanner.words[name]) // 10
-        for k in range(spare):
-            words[4 + 7 * k] = "changedword"
-        if spare:
-            # a license of its own that is left unchanged inside counts before
-            got = scanner.scan(before[-1_000:] + " ".join(words) + after[:1_000])[1]
+        able = [i for i in range(4, len(words), 7) if not re.search(r"\d", words[i])][: len(scanner.words[name]) // 12]
+        if able:
+            changed = " ".join("changedword" if i in able else w for i, w in enumerate(words))
+            got = scanner.scan(before[-1_000:] + changed + after[:1_000])[1]
+            # a license of its own that is left unchanged inside counts where the rest has too many changes
             assert [f.license for f in got] in ([name], ["Apache-2.0"]), name
+    assert {f.license for f in scanner.scan("x " + licenses.TEMPLATES["GPL-3.0-header-short"].replace("version 3", "version 9"))[1]} == set()
+    assert [f.license for f in scanner.scan("Code is released under MIT. SPDX-License-Identifier: MIT")[1]] == ["MIT-short", "SPDX-MIT"]
     every = before + (after + " ").join(licenses.TEMPLATES.values()) + after
     assert {f.license for f in scanner.scan(every)[1]} == set(licenses.TEMPLATES)
     assert len(scanner.scan(" ".join(["Released under the MIT License."] * 300))[1]) == 300

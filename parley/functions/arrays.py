@@ -91,6 +91,20 @@ def resampled(samples: Column, from_rate: int, to_rate: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), out - 1), value)).otherwise(F.array().cast("array<double>"))
 
 
+def decimated(samples: Column, from_rate: int, to_rate: int) -> Column:
+    """The sample at or before each place of the slower rate; rates that aren't positive count as 48,000."""
+    rate = from_rate if from_rate > 0 else 48_000
+    n = F.size(samples)
+    count = F.ceil(n.cast("long") * to_rate / F.lit(rate)).cast("int")
+    picked = F.transform(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long")), lambda i: F.element_at(samples, (F.floor(i * rate / to_rate) + 1).cast("int")))
+    return F.when(n > 0, picked).otherwise(samples)
+
+
+def emphasised(samples: Column, share: float = 0.97) -> Column:
+    """Each sample less a share of the one before; the first as it is."""
+    return F.transform(samples, lambda x, i: F.when(i == 0, x).otherwise(x - share * F.element_at(samples, F.greatest(i, F.lit(1)))))
+
+
 def shifted(values: Column, by: int) -> Column:
     """Later by ``by`` places (earlier if negative), zeros moving in."""
     n = F.size(values)

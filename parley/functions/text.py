@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parley.functions.times import shown_date
+
 ELLIPSIS = "…"
 EXCERPT_CHARS = 160
 TITLE_CHARS = 80
@@ -100,6 +102,12 @@ def session_title(notes: Column, attendees: Column, ended_at: Column) -> Column:
     return F.coalesce(first_title_line(notes), F.when(F.size(attendees) > 0, with_date), F.when(F.length(date) > 0, date), ended_at)
 
 
+def display_title(title: Column, ended: Column) -> Column:
+    """The trimmed title, or the day it ended."""
+    own = trim_ws(title)
+    return F.coalesce(F.when(F.length(own) > 0, own), shown_date(ended))
+
+
 def speaker_name(label: Column, source: Column) -> Column:
     """The trimmed label, or You / Others by source."""
     own = trim_ws(label)

@@ -37,3 +37,33 @@ def rfc3339(ms: Column) -> Column:
 def backoff_seconds(attempt: Column, first: int = 2, most: int = 60) -> Column:
     """first, 2 first, 4 first ... up to most; attempts from 0."""
     return F.least(F.lit(first) * F.pow(F.lit(2), F.least(attempt, F.lit(30))), F.lit(most)).cast("long")
+
+
+# Patterns of dates and times, and marks of numbers, by language.
+SHOWN = {"en": ("M/d/yyyy", "h:mm a", ",", "."), "pl": ("d.MM.yyyy", "HH:mm", "\u00a0", ",")}
+NEAR = {"en": {("day", -1): "yesterday", ("day", 0): "today", ("day", 1): "tomorrow"}, "pl": {("day", -1): "wczoraj", ("day", 0): "dzisiaj", ("day", 1): "jutro"}}
+
+
+def shown_date(at: Column, language: str = "en") -> Column:
+    return F.date_format(at, SHOWN[language][0])
+
+
+def shown_time(at: Column, language: str = "en") -> Column:
+    return F.date_format(at, SHOWN[language][1])
+
+
+def shown_number(value: Column, language: str = "en") -> Column:
+    """Thousands apart, three decimals at most, none that are zero at the end."""
+    plain = F.regexp_replace(F.format_number(value.cast("double"), 3), r"\.?0+$", "")
+    _, _, thousands, decimal = SHOWN[language]
+    return F.translate(plain, ",.", thousands + decimal)
+
+
+def shown_ago(number: Column, unit: str, language: str = "en") -> Column:
+    """How far away a number of units is; the nearest days have names."""
+    named = {k: name for (u, k), name in NEAR[language].items() if u == unit}
+    several = F.when(F.abs(number) == 1, unit).otherwise(f"{unit}s")
+    other = F.when(number < 0, F.concat_ws(" ", -number, several, F.lit("ago"))).otherwise(F.concat_ws(" ", F.lit("in"), number, several))
+    for k, name in named.items():
+        other = F.when(number == k, name).otherwise(other)
+    return other

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.functions import times
+from parley.operators.live import editable
 
 
 def summarised(sessions: DataFrame) -> DataFrame:
@@ -79,10 +80,10 @@ def split_blocks(blocks: Column, at: Column) -> tuple[Column, Column]:
     return first, second
 
 
-def split(sessions: DataFrame, at: Column) -> DataFrame:
-    """Two sessions for each that can be cut at a segment index inside it. The first keeps chat, outcome and notes root;
-    notes are cleared in both, and automatic titles dropped."""
-    cut = sessions.withColumn("_at", at.cast("long")).where((F.col("_at") > 0) & (F.col("_at") < F.size("segments")))
+def split(sessions: DataFrame, at: Column, live: DataFrame | None = None) -> DataFrame:
+    """Two sessions for each that can be cut at a segment index inside it, is not among the ``live`` ones and has no notes
+    under way. The first keeps chat, outcome and notes root; notes are cleared in both, and automatic titles dropped."""
+    cut = editable(sessions, live).withColumn("_at", at.cast("long")).where((F.col("_at") > 0) & (F.col("_at") < F.size("segments")))
     place = F.col("_at").cast("int")
     insights, blocks = split_insights(F.col("insights"), F.col("_at")), split_blocks(F.col("blocks"), F.col("_at"))
     empty_chat = F.filter("chat", lambda _: F.lit(False))
@@ -109,6 +110,12 @@ def split(sessions: DataFrame, at: Column) -> DataFrame:
     return cut.select(F.explode(F.array(part(0), part(1))).alias("part")).select("part.*")
 
 
+def after_edit(sessions: DataFrame, made: DataFrame) -> DataFrame:
+    """The library after a split or merge: what was made takes the place of its inputs."""
+    ids = made.select(F.explode(F.split(F.regexp_replace("session_id", "-[ab]$", ""), r"\+")).alias("session_id")).distinct()
+    return sessions.join(ids, "session_id", "left_anti").unionByName(made)
+
+
 def picked_label(first: Column, second: Column) -> Column:
     """The first label, unless only the second is a person's."""
     human = (second["provenance"] == "user") & (first["provenance"] != "user")
@@ -116,7 +123,10 @@ def picked_label(first: Column, second: Column) -> Column:
 
 
 def merge(pairs: DataFrame) -> DataFrame:
-    """One session from each pair (first and second as structs of sessions); the one that started first leads."""
+    """One session from each pair (first and second as structs of sessions) without notes under way; the one that started
+    first leads. Pairs of live sessions are to be left out before (``live.editable``)."""
+    for side in ("first", "second"):
+        pairs = pairs.where(~F.col(f"{side}.notes_status").eqNullSafe(F.lit("pending")) & F.col(f"{side}.notes_pending_root_message_id").isNull())
     swap = F.col("first.started_at") > F.col("second.started_at")
     led = pairs.select(F.when(swap, F.col("second")).otherwise(F.col("first")).alias("a"), F.when(swap, F.col("first")).otherwise(F.col("second")).alias("b"))
     a, b = F.col("a"), F.col("b")
@@ -178,7 +188,8 @@ def blocks_still_hold(blocks: Column, before: Column, after: Column) -> Column:
 
 def renamed_speaker(sessions: DataFrame, names: DataFrame) -> DataFrame:
     """New labels (speaker_id, label) on every segment of those speakers, in all sessions. ``names`` may be large: sessions are
-    joined with the map of names of their own speakers only."""
+    joined with the map of names of their own speakers only. A speaker named twice has the label that is first in order."""
+    names = names.groupBy("speaker_id").agg(F.min("label").alias("label"))
     spoken = sessions.select("session_id", F.explode(F.array_distinct(F.transform("segments", lambda s: s["speaker_id"]))).alias("speaker_id"))
     own = spoken.join(names, "speaker_id").groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("speaker_id", "label"))).alias("_names"))
     relabelled = F.transform("segments", lambda s: s.withField("speaker_label", F.coalesce(F.try_element_at(F.col("_names"), s["speaker_id"]), s["speaker_label"])))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley import schemas as S
+from parley.functions import text as T
 
 CHUNK_MS = 32
 
@@ -27,14 +31,68 @@ class Vad:
         return max(ms // CHUNK_MS, 1)
 
 
-def settled(rows: DataFrame, max_wait_ms: int) -> DataFrame:
-    """Rows (session_id, source 0 or 1, captured_ms, now_ms, arrival) with how far both sources are settled when the row
-    arrives, the bound up to which rows are released then, and whether the row is held or released late."""
+class Stretch(NamedTuple):
+    """Where a stretch of speech stands, in places of chunks: its first one (-1: none is open), the last one with speech (or
+    where it was cut), and how many had speech."""
+
+    first: Any
+    spoken: Any
+    heard: Any
+
+
+#: What a chunk does to a stretch; an end that had too little speech isn't told.
+NOTHING, BEGINS, ENDS, CUT, FADES = range(5)
+TOLD = {BEGINS: "start", ENDS: "end", CUT: "force"}
+
+
+def after_chunk(vad: Vad, now: Stretch, at: Any, speech: Any, pick: Callable[[Any, Any, Any], Any]) -> tuple[Any, Stretch]:
+    """What the chunk at a place does, and the stretch after it. The rules, for columns and for plain values alike (``pick``
+    chooses by a condition): speech opens a stretch; one as long as allowed is cut, and goes on from the next chunk; one
+    whose chunks since the last speech reach the allowed silence, which is shorter for a long stretch, ends."""
+    length = at - now.first + 1
+    silence = pick(length >= vad.chunks(vad.late_after_ms), min(vad.chunks(vad.late_silence_ms), vad.chunks(vad.silence_ms)), vad.chunks(vad.silence_ms))
+    closing = pick(now.heard >= vad.chunks(vad.shortest_ms), ENDS, FADES)
+    quiet = pick(at - now.spoken >= silence, closing, NOTHING)
+    inside = pick(length >= vad.chunks(vad.longest_ms), CUT, pick(speech, NOTHING, quiet))
+    does = pick(now.first < 0, pick(speech, BEGINS, NOTHING), inside)
+    first = pick(does == BEGINS, at, pick(does == CUT, at + 1, pick(does == NOTHING, now.first, -1)))
+    spoken = pick(does == CUT, at, pick(speech, at, now.spoken))
+    heard = pick(does == CUT, 0, pick(does == BEGINS, 1, pick(speech, now.heard + 1, now.heard)))
+    return does, Stretch(first, spoken, heard)
+
+
+def settled(rows: DataFrame, max_wait_ms: int, expected: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """Rows (session_id, kind utterance or progress, source, captured_ms, now_ms, arrival) with how far the expected sources are
+    settled when the row arrives (by their progress alone, 0 before any; without expected sources everything is), the bound
+    up to which utterances are released then, and whether the row's own is held or released late."""
     so_far = Window.partitionBy("session_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = [F.coalesce(F.max(F.when(F.col("source") == s, F.col("captured_ms"))).over(so_far), F.lit(0).cast("long")) for s in (0, 1)]
-    out = rows.withColumn("settled_ms", F.least(*reached))
-    out = out.withColumn("bound_ms", F.greatest("settled_ms", F.greatest(F.col("now_ms") - max_wait_ms, F.lit(0).cast("long"))))
-    return out.withColumns({"held": F.col("captured_ms") > F.col("bound_ms"), "late": (F.col("captured_ms") <= F.col("bound_ms")) & (F.col("captured_ms") > F.col("settled_ms"))})
+    zero = F.lit(0).cast("long")
+    reached = [F.coalesce(F.max(F.when((F.col("kind") == "progress") & (F.col("source") == s), F.col("captured_ms"))).over(so_far), zero) for s in expected]
+    all_of_it = F.lit((1 << 63) - 1)
+    out = rows.withColumn("settled_ms", F.least(*reached, all_of_it) if len(reached) else all_of_it)
+    out = out.withColumn("bound_ms", F.greatest("settled_ms", F.greatest(F.col("now_ms") - max_wait_ms, zero)))
+    own = (F.col("kind") == "utterance") & ~F.coalesce(T.is_blank(F.col("text")), F.lit(True)) if "text" in rows.columns else F.col("kind") == "utterance"
+    return out.withColumns({"held": own & (F.col("captured_ms") > F.col("bound_ms")), "late": own & (F.col("captured_ms") <= F.col("bound_ms")) & (F.col("captured_ms") > F.col("settled_ms"))})
+
+
+def released(rows: DataFrame, max_wait_ms: int, expected: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """For each utterance the arrival that releases it: the first from its own on whose bound reaches it (null: it is still held),
+    and whether that is late. Bounds never fall, so it is the number of earlier arrivals with a lower bound."""
+    marked = settled(rows, max_wait_ms, expected)
+    later = Window.partitionBy("session_id").orderBy("at_ms", "is_utterance", "arrival")
+    # bounds and utterances on one line of milliseconds: the arrivals before an utterance are those whose bound is below it
+    bounds = marked.select("session_id", F.col("bound_ms").alias("at_ms"), F.lit(1).alias("is_utterance"), "arrival", F.lit(None).cast("long").alias("own"), F.lit(None).cast("long").alias("settled_ms"))
+    said = marked.where("kind = 'utterance'").select("session_id", F.col("captured_ms").alias("at_ms"), F.lit(0).alias("is_utterance"), "arrival", F.col("arrival").alias("own"), "settled_ms")
+    line = bounds.unionByName(said)
+    reaching = F.min(F.when(F.col("is_utterance") == 1, F.col("arrival"))).over(later.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    found = line.withColumn("first", reaching).where("is_utterance = 0").select("session_id", F.col("own").alias("arrival"), F.col("at_ms").alias("captured_ms"), F.greatest("first", F.when(F.col("first").isNotNull(), F.col("own"))).alias("released_by"))
+    at = marked.select("session_id", F.col("arrival").alias("released_by"), F.col("settled_ms").alias("then_ms"))
+    return found.join(at, ["session_id", "released_by"], "left").select("session_id", "arrival", "captured_ms", "released_by", (F.col("captured_ms") > F.col("then_ms")).alias("late"))
+
+
+def late_counts(released_rows: DataFrame) -> DataFrame:
+    """Utterances of each session that were released, and how many of them late."""
+    return released_rows.groupBy("session_id").agg(F.count("released_by").alias("n_released"), F.count_if(F.col("late")).alias("n_late"))
 
 
 def release_order(rows: DataFrame) -> DataFrame:
@@ -44,38 +102,26 @@ def release_order(rows: DataFrame) -> DataFrame:
 
 
 def speech_events(frames: DataFrame, vad: Vad | None = None) -> DataFrame:
-    """session_id, chunk_idx and event (start, end, force) of frames (session_id, chunk_idx, speech_prob), by a fold over each session."""
+    """session_id, chunk_idx and event (start, end, force) of frames (session_id, chunk_idx, speech_prob), by a fold over each
+    session. Its array grows by events, not by frames."""
     v = vad or Vad()
-    silence = v.chunks(v.silence_ms)
-    late_silence = min(v.chunks(v.late_silence_ms), silence)
-    late_after, longest, shortest = v.chunks(v.late_after_ms), v.chunks(v.longest_ms), v.chunks(v.shortest_ms)
-    events = "array<struct<chunk_idx:long,event:string>>"
-    zero = F.lit(0)
-    start = F.struct(F.lit(False).alias("on"), zero.alias("quiet"), zero.alias("heard"), zero.alias("frames"), F.array().cast(events).alias("events"))
+    none = F.array().cast("array<struct<chunk_idx:long,does:int>>")
+    fields = Stretch._fields
+    start = F.struct(*[F.lit(-1).cast("int").alias(name) for name in fields], F.lit(0).alias("at"), none.alias("events"))
+
+    def pick(condition: Column, a: Column | int, b: Column | int) -> Column:
+        return F.when(condition, a).otherwise(b)
 
     def step(state: Column, frame: Column) -> Column:
-        speech = frame["speech_prob"] >= v.threshold
-        begins = ~state["on"] & speech
-        frames_now = state["frames"] + 1
-        forced = state["on"] & (frames_now >= longest)
-        quiet = F.when(speech, zero).otherwise(state["quiet"] + 1)
-        enough = F.when(frames_now >= late_after, F.lit(late_silence)).otherwise(F.lit(silence))
-        over = state["on"] & ~forced & ~speech & (quiet >= enough)
-        heard = state["heard"] + speech.cast("int")
-        name = F.when(begins, "start").when(forced, "force").when(over & (state["heard"] >= shortest), "end")
-        event = F.array(F.struct(frame["chunk_idx"].cast("long").alias("chunk_idx"), name.alias("event")))
-        running = state["on"] & ~forced & ~over
-        return F.struct(
-            (begins | (state["on"] & ~over)).alias("on"),
-            F.when(running, quiet).otherwise(zero).alias("quiet"),
-            F.when(running, heard).otherwise(begins.cast("int")).alias("heard"),
-            F.when(running, frames_now).otherwise(begins.cast("int")).alias("frames"),
-            F.when(name.isNull(), state["events"]).otherwise(F.concat(state["events"], event)).alias("events"),
-        )
+        does, after = after_chunk(v, Stretch(*[state[name] for name in fields]), state["at"], frame["speech_prob"] >= v.threshold, pick)
+        event = F.array(F.struct(frame["chunk_idx"].cast("long").alias("chunk_idx"), does.cast("int").alias("does")))
+        told = F.when(does.isin(*TOLD), F.concat(state["events"], event)).otherwise(state["events"])
+        return F.struct(*[value.cast("int").alias(name) for name, value in zip(fields, after, strict=True)], (state["at"] + 1).alias("at"), told.alias("events"))
 
     frames_of = F.array_sort(F.collect_list(F.struct("chunk_idx", "speech_prob")))
     folded = frames.groupBy("session_id").agg(F.aggregate(frames_of, start, step)["events"].alias("events"))
-    return folded.select("session_id", F.explode("events").alias("e")).select("session_id", "e.chunk_idx", "e.event")
+    names = F.create_map(*[F.lit(x) for pair in TOLD.items() for x in pair])
+    return folded.select("session_id", F.explode("events").alias("e")).select("session_id", "e.chunk_idx", names[F.col("e.does")].alias("event"))
 
 
 def bursts(rows: DataFrame, gap_ms: int) -> DataFrame:
@@ -108,28 +154,55 @@ def idle_gaps(rows: DataFrame, limit_ms: int) -> DataFrame:
     return rows.withColumn("next_ms", following).where(F.col("next_ms") - F.col("at_ms") > limit_ms).select("session_id", "event_id", (F.col("at_ms") + limit_ms).alias("expired_ms"))
 
 
-def route(events: DataFrame, sessions: DataFrame, pending: DataFrame) -> DataFrame:
+UUID = r"^(\{|urn:uuid:)?[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}\}?$"
+
+
+def route(events: DataFrame, sessions: DataFrame, pending: DataFrame, probes: DataFrame | None = None, turns: DataFrame | None = None, current: str | None = None) -> DataFrame:
     """Dispositions of reply events (task_id, body_task_id, session_id, status, reply_text, seq) for known sessions and
-    pending tasks (task_id, task_session). A task takes one terminal event: the first by seq that fits."""
-    known = sessions.select("session_id").distinct().withColumn("known", F.lit(True))
-    rows = events.join(known, "session_id", "left").join(pending, "task_id", "left")
-    blank = F.length(F.trim(F.coalesce("reply_text", F.lit("")))) == 0
-    terminal = F.col("status").isin(*S.TERMINAL_STATUSES) | (F.col("status") == "message")
+    pending tasks (task_id, task_session).
+
+    Ids must be UUIDs. The first answer to a task of ``probes`` (task_id) resolves it. Sessions are known by the table or
+    as the ``current`` one. A message to an open turn of ``turns`` (task_id, closed_seq: where it closes, null while open)
+    is a part of it and finalizes nothing; to a closed one it comes too late. Of the other terminal events of a task the
+    first by seq is accepted. Only those are ranked, by their task; what fails a check goes to no window."""
+    known = sessions.select(F.col("session_id").cast("string").alias("session_id")).distinct().withColumn("known", F.lit(True))
+    rows = events.withColumn("_session", F.col("session_id")).withColumn("session_id", F.col("session_id").cast("string"))
+    rows = rows.join(known, "session_id", "left").join(pending.withColumn("task_session", F.col("task_session").cast("string")), "task_id", "left")
+    none = F.lit(None).cast("boolean")
+    rows = rows.withColumn("probed", none) if probes is None else rows.join(probes.select("task_id").distinct().withColumn("probed", F.lit(True)), "task_id", "left")
+    if turns is None:
+        rows = rows.withColumns({"turn": none, "closed_seq": F.lit(None).cast("long")})
+    else:
+        rows = rows.join(turns.select("task_id", F.lit(True).alias("turn"), "closed_seq"), "task_id", "left")
+    here = F.col("known").isNotNull() | (F.col("session_id") == F.lit(current) if current is not None else F.lit(False))
+    blank = F.coalesce(T.is_blank(F.col("reply_text")), F.lit(True))
+    message = F.col("status") == "message"
+    terminal = F.col("status").isin(*S.TERMINAL_STATUSES) | message
+    answers = F.col("status").isin("completed", "errored", "message")
     early = (
-        F.when(F.col("task_id").isNull() | (F.length("task_id") == 0), "invalid_task_id")
+        F.when(~F.coalesce(F.rlike("task_id", F.lit(UUID)), F.lit(False)), "invalid_task_id")
         .when(F.col("body_task_id").isNotNull() & (F.col("body_task_id") != F.col("task_id")), "task_id_mismatch")
-        .when(F.length(F.trim(F.coalesce(F.col("session_id").cast("string"), F.lit("")))) == 0, "session_id_required")
+        .when(F.coalesce(T.is_blank(F.col("session_id")), F.lit(True)), "session_id_required")
         .when(~F.coalesce(F.col("status").isin(*S.REPLY_STATUSES), F.lit(False)), "invalid_status")
-        .when(F.col("known").isNull(), "dropped")
-        .when((F.col("status") == "message") & blank, "empty_message_ignored")
-        .when(F.col("task_session").isNotNull() & (F.col("task_session") != F.col("session_id")), "session_mismatch")
+        .when(F.col("probed").isNotNull() & answers, "probe")
+        .when(~here, "dropped")
+        .when(message & blank, "empty_message_ignored")
+        .when(F.col("task_session").isNotNull() & (F.col("task_session") != F.col("session_id")) & (F.col("status") != "stream"), "session_mismatch")
         .when(~terminal, "accepted")
+        .when(message & F.col("turn").isNotNull(), F.when(F.col("closed_seq").isNull() | (F.col("seq") < F.col("closed_seq")), "accepted").otherwise("already_finalized"))
         .when(F.col("task_session").isNull(), "unregistered_task")
     )
     rows = rows.withColumn("early", early)
-    first = F.row_number().over(Window.partitionBy("task_id", F.col("early").isNull()).orderBy("seq"))
-    final = F.when(F.col("early").isNotNull(), F.col("early")).when(first == 1, "accepted").otherwise("already_finalized")
-    return rows.select("task_id", "session_id", "status", "seq", final.alias("disposition"))
+    first = rows.where("early is null").groupBy("task_id").agg(F.min("seq").alias("first_seq"))
+    answered = rows.where("early = 'probe'").groupBy("task_id").agg(F.min("seq").alias("probe_seq"))
+    rows = rows.join(first, "task_id", "left").join(answered, "task_id", "left")
+    final = (
+        F.when(F.col("early") == "probe", F.when(F.col("seq") == F.col("probe_seq"), "probe_resolved").when(~here, "dropped").otherwise("unregistered_task"))
+        .when(F.col("early").isNotNull(), F.col("early"))
+        .when(F.col("seq") == F.col("first_seq"), "accepted")
+        .otherwise("already_finalized")
+    )
+    return rows.select("task_id", F.col("_session").alias("session_id"), "status", "seq", final.alias("disposition"))
 
 
 def token_stream(lines: DataFrame) -> DataFrame:
@@ -171,15 +244,15 @@ def frame_cursor(tokens: Column, blank: int, most_per_frame: int = 10) -> Column
     return F.aggregate(tokens, start, step)["frame"]
 
 
-def noise_floor(values: Column, growth: float = 1.005) -> Column:
-    """Running floor: drops to lower values at once, otherwise grows by a factor."""
-    none = F.array().cast("array<double>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        return F.concat(done, F.array(F.coalesce(F.least(x, last * growth), x)))
-
-    return F.aggregate(values, none, step)
+def noise_floor(values: DataFrame, growth: float = 1.005, least: float = 1e-5) -> DataFrame:
+    """Running floor (session_id, at, floor) of values (session_id, at, value): follows lower values at once, otherwise grows by
+    a factor. The floor after i is the least of value_j * growth^(i - j) for j up to i, so it is a running minimum."""
+    w = Window.partitionBy("session_id").orderBy("at")
+    rows = values.withColumn("i", F.row_number().over(w))
+    # logarithms, as growth^i overflows on long recordings
+    scaled = F.log(F.greatest("value", F.lit(least))) - F.col("i") * math.log(growth)
+    low = F.min(scaled).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("session_id", "at", F.exp(low + F.col("i") * math.log(growth)).alias("floor"))
 
 
 def notes_lifecycle(events: DataFrame) -> DataFrame:

@@ -27,6 +27,13 @@ def rendered(segments: DataFrame) -> DataFrame:
     return segments.groupBy("session_id").agg(F.array_join(lines, "\n").alias("transcript"))
 
 
+def room_transcript(segments: DataFrame) -> DataFrame:
+    """The transcript for questions about a call: trimmed texts without fence markers, by You or the Room."""
+    line = F.concat(F.when(F.col("source") == "you", "You: ").otherwise("Room: "), T.strip_markers(T.trim_ws(F.col("utterance"))))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seg_index", line.alias("line")))), lambda s: s["line"])
+    return segments.groupBy("session_id").agg(F.array_join(lines, "\n").alias("transcript"))
+
+
 def with_run_edges(segments: DataFrame) -> DataFrame:
     """Adds whether a segment begins and ends a run of one source."""
     before, after = F.lag("source").over(in_session()), F.lead("source").over(in_session())
@@ -94,6 +101,12 @@ def coverage(blocks: DataFrame) -> DataFrame:
     )
 
 
+def newest(rows: DataFrame, key: str, most: int, *order: str) -> DataFrame:
+    """The last ``most`` rows of each key in an order of columns, with their rank from the newest."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def severity(value: Column) -> Column:
     """Lowered; anything but red and orange is green."""
     low = F.lower(value)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.plans import documents, streams, transcripts, vectors
+from parley.plans import audio, documents, live, prompts, streams, transcripts, vectors
 
-MODULES = (transcripts, documents, streams, vectors)
+MODULES = (transcripts, documents, streams, vectors, prompts, live, audio)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -13,10 +13,11 @@ GAP_MS = 21_600_000
 
 
 def ordered_two_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of two sources that arrive in the order of event_id and were captured up to two hours before."""
-    captured = F.col("at_ms") - F.col("event_id") % 7 * 1_200_000
-    rows = event_stream(spark, sf_dir).select("session_id", (F.col("event_id") % 2).alias("source"), captured.alias("captured_ms"), F.col("at_ms").alias("now_ms"), F.col("event_id").alias("arrival"))
-    out = streams.release_order(streams.settled(rows, WAIT_MS))
+    """Events of two sources that arrive in the order of event_id and were captured up to two hours before; every third one
+    tells how far its source is."""
+    from parley.plans.audio import ordered_rows
+
+    out = streams.release_order(streams.settled(ordered_rows(spark, sf_dir), WAIT_MS))
     return out.select("session_id", "arrival", "settled_ms", "bound_ms", "held", "late", F.col("place").cast("long").alias("place"))
 
 
@@ -48,16 +49,21 @@ def idle_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exactly_once_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as replies: tasks are hours of users; every seventh names another task, users from 140 on are unknown, tasks of every fifth aren't registered."""
+    """Events as replies: tasks are days of users, by UUID but for every eleventh; every seventh names another task, users from
+    140 on are unknown but for one that is current, tasks of every fifth aren't registered, those of users that end in 3 are
+    probes, and those of users that end in 4 open turns, which close at event 600."""
     status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "errored").when(F.col("event_type") == "signup", "message").when(F.col("event_type") == "click", "typing").otherwise("seen")
-    task = F.concat_ws("-", F.col("session_id"), F.floor(F.col("at_ms") / 86_400_000))
+    day = F.floor(F.col("at_ms") / 86_400_000)
+    task = F.format_string("00000000-0000-4000-8000-%06d%06d", "session_id", day)
     rows = event_stream(spark, sf_dir).select(
-        task.alias("task_id"), F.when(F.col("event_id") % 7 == 0, F.lit("other")).alias("body_task_id"), "session_id", status.alias("status"),
+        F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("no "), task)).otherwise(task).alias("task_id"), F.when(F.col("event_id") % 7 == 0, F.lit("other")).alias("body_task_id"), "session_id", status.alias("status"),
         F.when(F.col("event_id") % 3 != 0, F.lit("text")).alias("reply_text"), F.col("event_id").alias("seq"),
     )
     sessions = rows.where("session_id < 140").select("session_id").distinct()
-    pending = rows.where("session_id % 5 <> 0").select("task_id", "session_id").distinct().withColumnRenamed("session_id", "task_session")
-    return streams.route(rows, sessions, pending)
+    tasks = rows.select("task_id", "session_id").distinct()
+    pending = tasks.where("session_id % 5 <> 0").withColumn("task_session", F.when(F.col("session_id") % 6 == 1, F.lit(-1)).otherwise(F.col("session_id"))).drop("session_id")
+    turns = tasks.where("session_id % 10 = 4").select("task_id", F.lit(600).cast("long").alias("closed_seq"))
+    return streams.route(rows, sessions, pending, tasks.where("session_id % 10 = 3").select("task_id"), turns, current="141")
 
 
 def sse_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +78,19 @@ def sse_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_EVENTS = "(SELECT event_id, user_id AS session_id, epoch_us(ts) // 1000 AS at_ms, event_type, value FROM events)"
 
 SQL = {
-    "ordered_two_source": f"""WITH r AS (SELECT session_id, event_id % 2 AS source, at_ms - event_id % 7 * 1200000 AS captured_ms, at_ms AS now_ms, event_id AS arrival FROM {SQL_EVENTS}),
-s AS (SELECT *, least(coalesce(max(captured_ms) FILTER (WHERE source = 0) OVER w, 0), coalesce(max(captured_ms) FILTER (WHERE source = 1) OVER w, 0)) AS settled_ms FROM r
+    "ordered_two_source": f"""WITH r AS (SELECT session_id, event_id % 3 = 0 AS progress, event_id % 2 AS source, at_ms - event_id % 7 * 1200000 AS captured_ms, at_ms AS now_ms, event_id AS arrival FROM {SQL_EVENTS}),
+s AS (SELECT *, least(coalesce(max(captured_ms) FILTER (WHERE progress AND source = 0) OVER w, 0), coalesce(max(captured_ms) FILTER (WHERE progress AND source = 1) OVER w, 0)) AS settled_ms FROM r
   WINDOW w AS (PARTITION BY session_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 b AS (SELECT *, greatest(settled_ms, now_ms - {WAIT_MS}, 0) AS bound_ms FROM s)
-SELECT session_id, arrival, CAST(settled_ms AS BIGINT) AS settled_ms, CAST(bound_ms AS BIGINT) AS bound_ms, captured_ms > bound_ms AS held, captured_ms <= bound_ms AND captured_ms > settled_ms AS late,
+SELECT session_id, arrival, CAST(settled_ms AS BIGINT) AS settled_ms, CAST(bound_ms AS BIGINT) AS bound_ms, NOT progress AND captured_ms > bound_ms AS held, NOT progress AND captured_ms <= bound_ms AND captured_ms > settled_ms AS late,
   row_number() OVER (PARTITION BY session_id ORDER BY captured_ms, arrival) AS place FROM b""",
+    "vad_segments": f"""WITH RECURSIVE r AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY at_ms, event_id) - 1 AS i, value / 100 >= 0.3 AS speech FROM {SQL_EVENTS}),
+f(session_id, i, speaking, quiet, heard, frames, event) AS (SELECT session_id, CAST(-1 AS BIGINT), false, 0, 0, 0, CAST(NULL AS VARCHAR) FROM r WHERE i = 0
+  UNION ALL SELECT session_id, i, CASE WHEN NOT was THEN speech ELSE NOT over_ END, CASE WHEN was AND NOT forced AND NOT over_ THEN q ELSE 0 END, CASE WHEN NOT was THEN speech::INT WHEN forced OR over_ THEN 0 ELSE heard + speech::INT END,
+    CASE WHEN NOT was THEN speech::INT WHEN forced OR over_ THEN 0 ELSE frames + 1 END, CASE WHEN NOT was AND speech THEN 'start' WHEN forced THEN 'force' WHEN over_ AND heard >= 2 THEN 'end' END
+  FROM (SELECT *, was AND NOT forced AND NOT speech AND q >= CASE WHEN frames + 1 >= 8 THEN 2 ELSE 3 END AS over_ FROM (
+    SELECT r.session_id, r.i, r.speech, f.speaking AS was, f.heard, f.frames, CASE WHEN r.speech THEN 0 ELSE f.quiet + 1 END AS q, f.speaking AND f.frames + 1 >= 20 AS forced FROM f JOIN r ON r.session_id = f.session_id AND r.i = f.i + 1)))
+SELECT session_id, i AS chunk_idx, event FROM f WHERE event IS NOT NULL""",
     "debounce_bursts": f"""WITH e AS (SELECT *, CASE WHEN at_ms - lag(at_ms) OVER (PARTITION BY session_id ORDER BY at_ms, event_id) < {GAP_MS} THEN 0 ELSE 1 END AS edge FROM {SQL_EVENTS}),
 b AS (SELECT *, CAST(sum(edge) OVER (PARTITION BY session_id ORDER BY at_ms, event_id) AS BIGINT) AS burst FROM e)
 SELECT session_id, burst, min(at_ms) AS first_ms, max(at_ms) AS last_ms, count(*) AS n FROM b GROUP BY session_id, burst""",
@@ -85,16 +98,18 @@ SELECT session_id, burst, min(at_ms) AS first_ms, max(at_ms) AS last_ms, count(*
 w AS (SELECT *, avg(value) OVER l AS mean, stddev_pop(value) OVER l AS spread FROM r WINDOW l AS (PARTITION BY session_id ORDER BY n ROWS BETWEEN 95 PRECEDING AND CURRENT ROW))
 SELECT session_id, n, round(mean, 8) AS mean, round(spread / (mean + 1e-9), 8) AS modulation FROM w WHERE n >= 96 AND n % 32 = 0""",
     "lagged_correlation": "WITH r AS (SELECT event_type AS session_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, value AS near, CAST(event_id % 17 AS DOUBLE) AS far FROM events), l AS (SELECT session_id, near, "
-    + ", ".join(f"lag(far, {k}) OVER (PARTITION BY session_id ORDER BY n) AS f{k}" for k in range(9))
+    + ", ".join(f"lag(far, {k}) OVER (PARTITION BY session_id ORDER BY n) AS f{k}" for k in range(33))
     + " FROM r) SELECT session_id, round(greatest("
-    + ", ".join(f"CASE WHEN count(f{k}) >= 24 THEN corr(near, f{k}) END" for k in range(9))
+    + ", ".join(f"CASE WHEN count(f{k}) >= 24 THEN corr(near, f{k}) END" for k in range(33))
     + "), 6) AS correlation FROM l GROUP BY session_id",
     "idle_timeouts": f"""SELECT session_id, event_id, at_ms + {GAP_MS} AS expired_ms FROM (SELECT *, lead(at_ms) OVER (PARTITION BY session_id ORDER BY at_ms, event_id) AS next_ms FROM {SQL_EVENTS}) WHERE next_ms - at_ms > {GAP_MS}""",
-    "exactly_once_router": f"""WITH r AS (SELECT session_id || '-' || (at_ms // 86400000) AS task_id, CASE WHEN event_id % 7 = 0 THEN 'other' END AS body_task_id, session_id,
+    "exactly_once_router": f"""WITH r AS (SELECT CASE WHEN event_id % 11 = 0 THEN 'no ' ELSE '' END || printf('00000000-0000-4000-8000-%06d%06d', session_id, at_ms // 86400000) AS task_id, event_id % 11 <> 0 AS good, event_id % 7 = 0 AS other, session_id,
   CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'errored' WHEN 'signup' THEN 'message' WHEN 'click' THEN 'typing' ELSE 'seen' END AS status, event_id % 3 <> 0 AS has_text, event_id AS seq FROM {SQL_EVENTS}),
-e AS (SELECT *, CASE WHEN body_task_id IS NOT NULL THEN 'task_id_mismatch' WHEN status = 'seen' THEN 'invalid_status' WHEN session_id >= 140 THEN 'dropped' WHEN status = 'message' AND NOT has_text THEN 'empty_message_ignored'
-  WHEN status = 'typing' THEN 'accepted' WHEN session_id % 5 = 0 THEN 'unregistered_task' END AS early FROM r)
-SELECT task_id, session_id, status, seq, CASE WHEN early IS NOT NULL THEN early WHEN row_number() OVER (PARTITION BY task_id, early IS NULL ORDER BY seq) = 1 THEN 'accepted' ELSE 'already_finalized' END AS disposition FROM e""",
+p AS (SELECT *, session_id % 5 <> 0 AS registered, session_id % 6 = 1 AS elsewhere, session_id < 140 OR session_id = 141 AS known, good AND NOT other AND status <> 'seen' AND session_id % 10 = 3 AND status <> 'typing' AS probe FROM r),
+e AS (SELECT *, CASE WHEN NOT good THEN 'invalid_task_id' WHEN other THEN 'task_id_mismatch' WHEN status = 'seen' THEN 'invalid_status' WHEN probe THEN 'probe' WHEN NOT known THEN 'dropped' WHEN status = 'message' AND NOT has_text THEN 'empty_message_ignored'
+  WHEN registered AND elsewhere THEN 'session_mismatch' WHEN status = 'typing' THEN 'accepted' WHEN status = 'message' AND session_id % 10 = 4 THEN CASE WHEN seq < 600 THEN 'accepted' ELSE 'already_finalized' END WHEN NOT registered THEN 'unregistered_task' END AS early FROM p)
+SELECT task_id, session_id, status, seq, CASE WHEN probe THEN CASE WHEN row_number() OVER (PARTITION BY task_id, probe ORDER BY seq) = 1 THEN 'probe_resolved' WHEN NOT known THEN 'dropped' ELSE 'unregistered_task' END
+  WHEN early IS NOT NULL THEN early WHEN row_number() OVER (PARTITION BY task_id, early IS NULL ORDER BY seq) = 1 THEN 'accepted' ELSE 'already_finalized' END AS disposition FROM e""",
     "sse_reduce": f"""WITH d AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY event_id) AS done FROM {SQL_EVENTS})
 SELECT session_id AS key, coalesce(string_agg(event_type || ' ', '' ORDER BY event_id) FILTER (WHERE done = 0 AND event_type NOT IN ('purchase', 'error')), '') AS text, max(done) = 1 AS closed FROM d GROUP BY session_id""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
@@ -11,8 +11,9 @@ from parley.operators.sessions import status_label
 from parley.sources.driver_tables import chat, dense_segments, segments, table, turns
 
 BLOCK_TARGET = 1000
-HISTORY_MESSAGES = 4
-HISTORY_CHARS = 2000
+HISTORY_MESSAGES = chats.HISTORY_MESSAGES
+HISTORY_CHARS = chats.HISTORY_CHARS
+LIVE_ROWS = 500
 
 # SQL pieces: white space of the driver's tables is ASCII.
 SQL_SEGMENTS = """(SELECT conv_id AS session_id, turn AS seg_index, CASE WHEN role = 'user' THEN 'you' ELSE 'others' END AS source,
@@ -90,7 +91,7 @@ def chat_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_chat_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chats.recent(chat(spark, sf_dir), 3).select("session_id", "pos", "id", "role")
+    return chats.recent(chat(spark, sf_dir)).select("session_id", "pos", "id", "role")
 
 
 def history_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,24 +139,10 @@ def append_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.append_outcome(held, offered)
 
 
-def chat_context_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fenced context of each conversation: tail of the transcript and last messages, each within its budget."""
-    transcript = transcripts.rendered(segments(spark, sf_dir))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(": ", "role", "content").alias("line")))), lambda m: m["line"])
-    last = chats.recent(chat(spark, sf_dir).where(F.col("role") != "system"), 12).groupBy("session_id").agg(F.array_join(lines, "\n").alias("messages"))
-
-    def part(name: str, text: Column, budget: int) -> Column:
-        return F.concat(F.lit(f"{name}\n<<<\n"), T.strip_markers(T.tail_chars(text, budget)), F.lit("\n>>>"))
-
-    joined = transcript.join(last, "session_id", "left")
-    messages = F.coalesce("messages", F.lit(""))
-    return joined.select("session_id", F.concat_ws("\n\n", part("TRANSCRIPT", F.col("transcript"), 600), part("MESSAGES", messages, 400)).alias("prompt"))
-
-
 def live_list_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 20 events of each user."""
-    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, sf_dir, "events").withColumn("rank", newest).where("rank <= 20").select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
+    """The newest 500 events of each user, as a live list keeps them."""
+    kept = transcripts.newest(table(spark, sf_dir, "events"), "user_id", LIVE_ROWS, "ts", "event_id")
+    return kept.select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 SQL = {
@@ -181,7 +168,7 @@ SELECT session_id, source, min(seg_index) AS first_index, count(*) AS n, arg_min
     "chat_pairing": f"""WITH c AS (SELECT * FROM {SQL_CHAT}),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id, parent_message_id ORDER BY pos) AS k FROM c WHERE role = 'assistant')
 SELECT u.session_id, u.id, u.pos, r.id AS reply_id, r.status AS reply_status FROM c u LEFT JOIN r ON r.session_id = u.session_id AND r.parent_message_id = u.id AND r.k = 1 WHERE u.role = 'user'""",
-    "recent_chat_12": f"SELECT session_id, pos, id, role FROM {SQL_CHAT} QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) <= 3",
+    "recent_chat_12": f"SELECT session_id, pos, id, role FROM {SQL_CHAT} QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) <= 12",
     "history_budget": f"""WITH c AS (SELECT * FROM {SQL_CHAT}),
 a AS (SELECT * FROM c WHERE role = 'user' AND status = 'completed' AND length(trim(content)) > 0),
 r AS (SELECT * FROM c WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY session_id, parent_message_id ORDER BY pos) = 1),
@@ -219,15 +206,10 @@ offered AS (SELECT session_id, id, role, CASE WHEN session_id % 2 = 0 THEN 'chan
 SELECT o.session_id, o.id, CASE WHEN NOT EXISTS (SELECT 1 FROM held k WHERE k.session_id = o.session_id) THEN 'missing' WHEN h.id IS NULL THEN 'inserted'
   WHEN h.role = o.role AND h.content = o.content AND h.status = o.status AND h.parent_message_id IS NOT DISTINCT FROM o.parent_message_id THEN 'identical' ELSE 'conflicting' END AS verdict
 FROM offered o LEFT JOIN held h ON h.session_id = o.session_id AND h.id = o.id""",
-    "chat_context_prompt": f"""WITH t AS (SELECT session_id, string_agg(CASE WHEN source = 'you' THEN 'user: ' ELSE 'others: ' END || utterance, chr(10) ORDER BY seg_index) AS transcript FROM {SQL_SEGMENTS} GROUP BY session_id),
-l AS (SELECT * FROM {SQL_CHAT} WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) <= 12),
-m AS (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY pos) AS messages FROM l GROUP BY session_id)
-SELECT t.session_id, 'TRANSCRIPT' || chr(10) || '<<<' || chr(10) || replace(replace(right(transcript, 600), '<<<', ''), '>>>', '') || chr(10) || '>>>' || chr(10) || chr(10) ||
-  'MESSAGES' || chr(10) || '<<<' || chr(10) || replace(replace(right(coalesce(messages, ''), 400), '<<<', ''), '>>>', '') || chr(10) || '>>>' AS prompt FROM t LEFT JOIN m ON m.session_id = t.session_id""",
-    "live_list_cap": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 20",
+    "live_list_cap": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 500",
 }
 
 QUERIES = (
     session_library, transcript_render, session_transcript_stripped, tail_and_clamp, excerpt_160, title_from_notes, speaker_runs, coalesced_runs, distinct_speakers, chat_pairing,
-    recent_chat_12, history_budget, next_block_end, block_packing, contiguous_coverage, severity_normalise, status_labels, carry_over_chat, append_outcomes, chat_context_prompt, live_list_cap,
+    recent_chat_12, history_budget, next_block_end, block_packing, contiguous_coverage, severity_normalise, status_labels, carry_over_chat, append_outcomes, live_list_cap,
 )

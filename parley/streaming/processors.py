@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from parley.operators.streams import Vad
+from parley.operators.streams import TOLD, Stretch, Vad, after_chunk
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,46 +29,74 @@ def _in_order(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
 
 
 class Orderer(StatefulProcessor):
-    """Utterances of two sources in event time. A row (kind utterance, progress or end; source 0 or 1; text; captured_ms;
-    now_ms; arrival) releases all held rows up to what both sources have settled, or up to the deadline; late ones are
-    marked. ``end`` drains."""
+    """Utterances of the expected sources in event time, by rows (kind utterance, progress or end; source; text; captured_ms;
+    now_ms; arrival). Progress tells how far a source is, utterances don't. Each row releases what is held up to what all
+    expected sources have passed, or up to the deadline; what the deadline alone releases is late. A timer in event time
+    (of ``now_ms`` as watermark) releases it on a session that has fallen quiet. ``end`` drains."""
 
     OUTPUT = "session_id long, source int, text string, captured_ms long, late boolean"
 
-    def __init__(self, max_wait_ms: int) -> None:
-        self.max_wait_ms = max_wait_ms
+    def __init__(self, max_wait_ms: int, expected: tuple[int, ...] = (0, 1)) -> None:
+        self.max_wait_ms, self.expected = max_wait_ms, expected
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getListState("held", "captured_ms long, arrival long, source int, text string")
-        self.reached = handle.getValueState("reached", "first long, second long")
+        self.passed = handle.getMapState("passed", "source int", "captured_ms long")
+
+    def _settled(self) -> int:
+        known = {key[0]: value[0] for key, value in self.passed.iterator()}
+        return min((known.get(s, 0) for s in self.expected), default=(1 << 63) - 1)
+
+    def _split(self, held: list[tuple], now_ms: int) -> tuple[list[tuple], list[tuple]]:
+        """What a moment releases, marked late or not, and what stays."""
+        settled = self._settled()
+        ready = [x for x in held if x[0] <= max(settled, now_ms - self.max_wait_ms)]
+        return [(x, x[0] > settled) for x in ready], held[len(ready) :]
+
+    def _keep(self, held: list[tuple]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.held.put(held)
+            self.handle.registerTimer(held[0][0] + self.max_wait_ms)
+        else:
+            self.held.clear()
+
+    @staticmethod
+    def _told(key: Any, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": key[0], "source": [x[2] for x, _ in out], "text": [x[3] for x, _ in out], "captured_ms": [x[0] for x, _ in out], "late": [late for _, late in out]})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = sorted(tuple(x) for x in self.held.get())
-        reached = list(self.reached.get()) if self.reached.exists() else [0, 0]
-        out = []
+        out: list[tuple] = []
         for row in _in_order(rows, "arrival").itertuples(index=False):
             if row.kind == "end":
                 out += [(x, False) for x in held]
                 held = []
                 continue
             source, text = int(row.source), (row.text or "").strip()
-            reached[source] = max(reached[source], int(row.captured_ms))
-            if row.kind == "utterance" and text:
+            if row.kind == "progress":
+                before = self.passed.getValue((source,))[0] if self.passed.containsKey((source,)) else 0
+                self.passed.updateValue((source,), (max(before, int(row.captured_ms)),))
+            elif text:
                 held = sorted([*held, (int(row.captured_ms), int(row.arrival), source, text)])
-            settled = min(reached)
-            bound = max(settled, int(row.now_ms) - self.max_wait_ms)
-            out += [(x, x[0] > settled) for x in held if x[0] <= bound]
-            held = [x for x in held if x[0] > bound]
-        self.held.put(held) if held else self.held.clear()
-        self.reached.update(tuple(reached))
-        yield pd.DataFrame({"session_id": key[0], "source": [x[2] for x, _ in out], "text": [x[3] for x, _ in out], "captured_ms": [x[0] for x, _ in out], "late": [late for _, late in out]})
+            released, held = self._split(held, int(row.now_ms))
+            out += released
+        self._keep(held)
+        yield self._told(key, out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        released, held = self._split(sorted(tuple(x) for x in self.held.get()), expiredTimerInfo.getExpiryTimeInMs())
+        self._keep(held)
+        yield self._told(key, released)
 
     def close(self) -> None:
         pass
 
 
 class Segmenter(StatefulProcessor):
-    """Speech events of frames (chunk_idx, speech_prob) by the limits of ``Vad``."""
+    """Speech events of frames (chunk_idx, speech_prob), by the rules of ``after_chunk``."""
 
     OUTPUT = "session_id long, chunk_idx long, event string"
 
@@ -75,34 +104,53 @@ class Segmenter(StatefulProcessor):
         self.vad = vad
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "speaking boolean, quiet int, heard int, frames int")
+        self.state = handle.getValueState("state", "at long, first long, spoken long, heard long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        v = self.vad
-        speaking, quiet, heard, frames = self.state.get() if self.state.exists() else (False, 0, 0, 0)
-        out: list[tuple[int, str]] = []
-        for row in _in_order(rows, "chunk_idx").itertuples(index=False):
-            speech, at = row.speech_prob >= v.threshold, int(row.chunk_idx)
-            if not speaking:
-                if speech:
-                    speaking, quiet, heard, frames = True, 0, 1, 1
-                    out.append((at, "start"))
-                continue
-            frames += 1
-            if frames >= v.chunks(v.longest_ms):
-                quiet = heard = frames = 0
-                out.append((at, "force"))
-                continue
-            quiet, heard = (0, heard + 1) if speech else (quiet + 1, heard)
-            enough = v.chunks(v.silence_ms)
-            if frames >= v.chunks(v.late_after_ms):
-                enough = min(v.chunks(v.late_silence_ms), enough)
-            if quiet >= enough:
-                if heard >= v.chunks(v.shortest_ms):
-                    out.append((at, "end"))
-                speaking, quiet, heard, frames = False, 0, 0, 0
-        self.state.update((speaking, quiet, heard, frames))
-        yield pd.DataFrame({"session_id": key[0], "chunk_idx": [a for a, _ in out], "event": [e for _, e in out]})
+        at, *places = self.state.get() if self.state.exists() else (0, -1, -1, -1)
+        stretch, out = Stretch(*places), []
+        for chunk, probability in _in_order(rows, "chunk_idx")[["chunk_idx", "speech_prob"]].itertuples(index=False):
+            does, stretch = after_chunk(self.vad, stretch, at, bool(probability >= self.vad.threshold), lambda condition, a, b: a if condition else b)
+            out += [(int(chunk), TOLD[does])] if does in TOLD else []
+            at += 1
+        self.state.update((at, *stretch))
+        yield pd.DataFrame({"session_id": key[0], "chunk_idx": [c for c, _ in out], "event": [e for _, e in out]})
+
+    def close(self) -> None:
+        pass
+
+
+class Resampler(StatefulProcessor):
+    """Linear resampling of a stream of chunks (at, samples): the values of all chunks together are those of the joined
+    samples at once. A row whose samples are null ends the stream and gives the rest."""
+
+    OUTPUT = "session_id long, at long, samples array<double>"
+
+    def __init__(self, from_rate: int, to_rate: int) -> None:
+        self.from_rate, self.to_rate = from_rate, to_rate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "given long, taken long, rest array<double>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        given, taken, rest = self.state.get() if self.state.exists() else (0, 0, [])
+        known = np.asarray(rest, dtype=np.float64)  # samples from the place ``taken`` on
+        out = []
+        for at, samples in _in_order(rows, "at")[["at", "samples"]].itertuples(index=False):
+            last = samples is None
+            known = known if last else np.concatenate([known, np.asarray(samples, dtype=np.float64)])
+            total = taken + len(known)
+            # values whose right neighbour is known; at the end all of them, the last sample standing for what is missing
+            count = -(-total * self.to_rate // self.from_rate) if last else -(-max(total - 1, 0) * self.to_rate // self.from_rate)
+            place = np.arange(given, max(count, given)) * self.from_rate
+            left, share = place // self.to_rate - taken, place % self.to_rate / self.to_rate
+            a, b = known[np.minimum(left, len(known) - 1)] if len(place) else known[:0], known[np.minimum(left + 1, len(known) - 1)] if len(place) else known[:0]
+            out.append((int(at), (a + (b - a) * share).tolist()))
+            given = max(count, given)
+            drop = min(max(given * self.from_rate // self.to_rate - taken, 0), max(len(known) - 1, 0))
+            known, taken = known[drop:], taken + drop
+        self.state.update((given, taken, known.tolist()))
+        yield pd.DataFrame({"session_id": key[0], "at": [a for a, _ in out], "samples": [s for _, s in out]})
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -79,18 +80,24 @@ def test_arrays(spark):
         assert value(spark, A.mel_to_hz(A.hz_to_mel(F.col("h"))), h=hz) == pytest.approx(hz)
 
 
-def test_budget_sweep():
+def test_budget_sweep(spark):
     draw = random.Random(1)
     words = ["żółw", "call", "about", "prices", "tomorrow"]
     text = " ".join(draw.choice(words) + draw.choice(["", ".", "\n", "\n\n"]) for _ in range(400))
-    assert budget.cut_to_budget(text, len(text)) == (text, False)
-    for most in range(0, 2000, 37):
-        out, cut = budget.cut_to_budget(text, most)
-        assert len(out) <= most and cut
-        if most > 400:
-            mark = out.index("\n[... ")
-            assert text.startswith(out[:mark]) and text.endswith(out[out.index(" ...]\n") + 6 :])
-            assert not text[mark : mark + 1].isalnum() or not text[mark - 1].isalnum()
+    budgets = [-5, *range(0, 2000, 37), len(text), len(text) + 1]
+    rows = spark.createDataFrame([(text, n) for n in budgets] + [(None, 5), ("", 0), ("x" * 500, 200)], "t string, n int")
+    for r in rows.select("t", "n", budget.within_budget(F.col("t"), F.col("n")).alias("b")).collect():
+        if r.t is None:
+            assert r.b.text is None
+            continue
+        assert len(r.b.text) <= max(r.n, 0) and r.b.cut == (len(r.t) > max(r.n, 0)) and (r.b.cut or r.b.text == r.t)
+        if r.b.cut and r.n > 150:
+            front, back = re.split(r"\n…\[transcript truncated, \d+ characters omitted\]…\n", r.b.text)
+            missing = int(re.search(r"truncated, (\d+) ", r.b.text)[1])
+            assert r.t.startswith(front) and r.t.endswith(back) and missing == len(r.t) - len(front) - len(back)
+            assert len(front) <= 0.6 * r.n
+            if r.t is text and front and back:
+                assert not (text[len(front)].isalnum() and text[len(front) - 1].isalnum()) and not (back[0].isalnum() and text[-len(back) - 1].isalnum())
 
 
 def test_jaro_winkler():

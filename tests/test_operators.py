@@ -11,7 +11,7 @@ from parley.functions import arrays as A
 from parley.operators import catalogs, chats, insights, sessions, speakers, streams, transcripts, vocabulary
 from parley.sources import audio
 from parley.sources.sessions import demo_sessions, read_sessions, session_files
-from parley.sources.store import SessionStore
+from parley.sources.store import SessionStore, SummaryIndex, save_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,7 +112,7 @@ def test_store_versions_reads_and_feed(spark, tmp_path):
     assert store.save(rows) == 1 and store.read().count() == rows.count()
     assert store.save(rows.limit(1).withColumn("title", F.lit("new"))) == 2
     changed = store.changes(after=1).collect()
-    assert [r.change for r in changed] == ["saved"] and store.get(changed[0].session_id).first()["title"] == "new"
+    assert [r.kind for r in changed] == ["saved"] and store.get(changed[0].session_id).first()["title"] == "new"
     assert store.delete(spark.createDataFrame([(changed[0].session_id,), ("unknown",)], "session_id string")) == 3
     assert store.get(changed[0].session_id).count() == 0 and store.read().count() == rows.count() - 1
     assert store.delete(spark.createDataFrame([("unknown",)], "session_id string")) == 3
@@ -120,6 +120,52 @@ def test_store_versions_reads_and_feed(spark, tmp_path):
     assert store.library().count() == rows.count() - 1
 
 
+@pytest.mark.parametrize("step", ["_stage", "_write", "_feed", "_publish"])
+def test_store_goes_on_after_a_change_that_broke_off(spark, tmp_path, monkeypatch, step):
+    rows = demo_sessions(spark, SF)
+    store = SessionStore(spark, f"file://{tmp_path}/store", buckets=2)
+    store.save(rows.limit(3))
+    whole = getattr(SessionStore, step)
+
+    def broken(self, *args):
+        if step != "_publish":
+            whole(self, *args)
+        raise OSError("lost")
+
+    monkeypatch.setattr(SessionStore, step, broken)
+    with pytest.raises(OSError, match="lost"):
+        store.save(rows.withColumn("title", F.lit("lost")))
+    monkeypatch.setattr(SessionStore, step, whole)
+    again = SessionStore(spark, f"file://{tmp_path}/store", buckets=2)
+    assert again.version() == 1 and again.read().count() == 3 and again.changes().count() == 3
+    assert again.save(rows.limit(4).withColumn("title", F.lit("new"))) == 2
+    assert {r.title for r in again.read().collect()} >= {"new"} and "lost" not in {r.title for r in again.read().collect()}
+    assert again.changes(after=1).count() == 4
+
+
+def test_save_stream_keeps_the_last_and_saves_a_batch_once(spark, tmp_path):
+    kind = "session_id string, title string, at long"
+    spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", "x", 1)], kind).coalesce(1).write.parquet(f"{tmp_path}/in")
+    store = SessionStore(spark, f"file://{tmp_path}/store", "session_id string, title string", buckets=2)
+    rows = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
+    for checkpoint in ("one", "two"):  # the second run has lost its checkpoint and sees batch 0 again
+        query = save_stream(store, rows, f"{tmp_path}/{checkpoint}", "at")
+        query.processAllAvailable()
+        query.stop()
+    assert store.version() == 1 and {r.session_id: r.title for r in store.read().collect()} == {"a": "new", "b": "x"}
+
+
+def test_index_of_another_version_is_none(spark, tmp_path):
+    kind = "session_id string, len long, modified_ms long"
+    stats = spark.createDataFrame([("a", 1, 1), ("b", 2, 2)], kind)
+    summaries = spark.createDataFrame([("a", "A"), ("b", "B")], "session_id string, summary string")
+    index = SummaryIndex(spark, f"file://{tmp_path}/index", "string")
+    assert index.load().count() == 0
+    index.save(index.refreshed(stats, summaries))
+    assert {r.session_id: r.summary for r in index.refreshed(stats, summaries.where("session_id = 'zz'")).collect()} == {"a": "A", "b": "B"}
+    assert SummaryIndex(spark, f"file://{tmp_path}/index", "string", format_version=99).load().count() == 0
+
+
 def test_session_documents_with_defaults(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"session_id": "a", "ended_at": "2026", "segments": [], "future": 1, "insights": [{"offset_ms": 1, "message": "m", "severity": "red", "producer": "robot", "feedback": {"verdict": "meh"}}]}')
     (tmp_path / "b.json").write_text("{broken")
@@ -139,27 +185,29 @@ def test_index_is_refreshed_where_files_changed(spark):
     assert {r.session_id: r.summary for r in sessions.refreshed_index(stats, index, read).collect()} == {"same": "old", "longer": "fresh", "later": "fresh", "new": "fresh"}
 
 
-def plain_vad(probabilities, v):
-    on, quiet, heard, frames, out = False, 0, 0, 0, []
-    for i, p in enumerate(probabilities):
-        if not on:
-            if p >= v.threshold:
-                on, quiet, heard, frames = True, 0, 1, 1
-                out.append((i, "start"))
-            continue
-        frames += 1
-        if frames >= v.chunks(v.longest_ms):
-            quiet = heard = frames = 0
-            out.append((i, "force"))
-        elif p >= v.threshold:
-            quiet, heard = 0, heard + 1
+def by_runs(probabilities, vad):
+    """Events from the runs of speech and silence: of each stretch the chunks up to the next cut or long enough silence."""
+    speech = [p >= vad.threshold for p in probabilities]
+    longest, late, shortest = vad.chunks(vad.longest_ms), vad.chunks(vad.late_after_ms), vad.chunks(vad.shortest_ms)
+    allowed = lambda n: min(vad.chunks(vad.late_silence_ms), vad.chunks(vad.silence_ms)) if n >= late else vad.chunks(vad.silence_ms)
+    out, first = [], None
+    while True:
+        if first is None:
+            opening = next((i for i in range(out[-1][0] + 1 if out else 0, len(speech)) if speech[i]), None)
+            if opening is None:
+                return [x for x in out if x[1] != "faded"]
+            out.append((opening, "start"))
+            first = opening
+        trailing = lambda i: next((n for n in range(i - first + 1) if speech[i - n]), i - first + 1)
+        over = next((i for i in range(max(first, out[-1][0] + 1), len(speech)) if i - first + 1 >= longest or trailing(i) >= allowed(i - first + 1)), None)
+        if over is None:
+            return [x for x in out if x[1] != "faded"]
+        if over - first + 1 >= longest:
+            out.append((over, "force"))
+            first = over + 1
         else:
-            quiet += 1
-            if quiet >= (min(v.chunks(v.late_silence_ms), v.chunks(v.silence_ms)) if frames >= v.chunks(v.late_after_ms) else v.chunks(v.silence_ms)):
-                if heard >= v.chunks(v.shortest_ms):
-                    out.append((i, "end"))
-                on, quiet, heard, frames = False, 0, 0, 0
-    return out
+            out.append((over, "end" if sum(speech[first : over + 1]) >= shortest else "faded"))
+            first = None
 
 
 @pytest.mark.parametrize("vad", [streams.Vad(), streams.Vad(silence_ms=96, late_silence_ms=64, late_after_ms=256, longest_ms=640)])
@@ -169,7 +217,7 @@ def test_speech_events(spark, vad):
     p = np.concatenate([*runs, np.full(1200, 0.9)])
     frames = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(p)], "session_id string, chunk_idx long, speech_prob double")
     out = streams.speech_events(frames, vad).orderBy("chunk_idx").collect()
-    assert [(r.chunk_idx, r.event) for r in out] == plain_vad(p, vad) and any(r.event == "force" for r in out)
+    assert [(r.chunk_idx, r.event) for r in out] == by_runs(p, vad) and any(r.event == "force" for r in out)
 
 
 @pytest.mark.parametrize(("pairs", "frame"), [([(1, 0), (1, 0)], 0), ([(1, 0), (1, 0), (0, 0)], 1), ([(1, 3), (0, 2)], 5), ([(1, 0)] * 9, 0), ([(1, 0)] * 10, 1)])

@@ -150,7 +150,7 @@ def ordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir).select("session_id", F.col("event_id").alias("at"), F.col("value"))
-    return streams.noise_floor(rows).select("session_id", "at", F.round("floor", 6).alias("floor"))
+    return streams.noise_floor(rows).select("session_id", "at", F.round(F.col("floor") + 1e-7, 4).alias("floor"))
 
 
 def silence_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +168,8 @@ def decoding_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_stream(spark, sf_dir).groupBy("session_id").agg(pairs.alias("t")).select("session_id", streams.frame_cursor(F.col("t"), 0).alias("frame"))
 
 
-_CHUNK = f"(SELECT vec_id // 10 AS session_id, vec_id AS at, v[1:CAST(vec_id % 5 * 10 + 24 AS BIGINT)] AS samples FROM {SQL_EMB})"
-_CELLS = f"(SELECT session_id, at, start + i - 1 AS pos, samples[i] AS x FROM (SELECT *, unnest(range(1, len(samples) + 1)) AS i FROM (SELECT *, coalesce(sum(len(samples)) OVER (PARTITION BY session_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {_CHUNK})))"
+_CHUNK = f"""(SELECT vec_id // 10 AS session_id, vec_id AS "at", v[1:CAST(vec_id % 5 * 10 + 24 AS BIGINT)] AS samples FROM {SQL_EMB})"""
+_CELLS = f"""(SELECT session_id, "at", start + i - 1 AS pos, samples[i] AS x FROM (SELECT *, unnest(range(1, len(samples) + 1)) AS i FROM (SELECT *, coalesce(sum(len(samples)) OVER (PARTITION BY session_id ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {_CHUNK})))"""
 _FOLD = f"(SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS k FROM {SQL_EVENTS})"
 _PICKED = "list_sum(list_transform(range(0, CAST(ceil(len(v) * 16000 / {r}) AS BIGINT)), lambda i: v[(i * {r}) // 16000 + 1]))"
 _TARGET = "CASE WHEN value / 200 >= 0.65 THEN power(10.0, -18 * power(least((value / 200 - 0.65) / (1 - 0.65), 1), 2) * (3 - 2 * least((value / 200 - 0.65) / (1 - 0.65), 1)) / 20) END"
@@ -177,39 +177,39 @@ _TARGET = "CASE WHEN value / 200 >= 0.65 THEN power(10.0, -18 * power(least((val
 SQL = {
     "reblocked_samples": f"""WITH c AS (SELECT *, CAST(pos // {SIZE} AS BIGINT) AS block FROM {_CELLS})
 SELECT session_id, block, round(sum(x), 6) AS total, round(arg_max(x, pos), 6) AS last FROM c GROUP BY session_id, block HAVING count(*) = {SIZE}""",
-    "preroll_ring": f"""WITH c AS (SELECT * FROM {_CELLS}), e AS (SELECT session_id, at, max(pos) AS last FROM c GROUP BY session_id, at)
-SELECT e.session_id, e.at, count(*) AS n, round(sum(x), 6) AS total, round(arg_min(x, pos), 6) AS first FROM e JOIN c ON c.session_id = e.session_id AND c.pos <= e.last AND c.pos > e.last - {RING} GROUP BY e.session_id, e.at""",
+    "preroll_ring": f"""WITH c AS (SELECT * FROM {_CELLS}), e AS (SELECT session_id, "at", max(pos) AS last FROM c GROUP BY session_id, "at")
+SELECT e.session_id, e."at", count(*) AS n, round(sum(x), 6) AS total, round(arg_min(x, pos), 6) AS first FROM e JOIN c ON c.session_id = e.session_id AND c.pos <= e.last AND c.pos > e.last - {RING} GROUP BY e.session_id, e.at""",
     "overlap_add": f"SELECT session_id, pos, round(sum(x), 6) AS x FROM (SELECT vec_id // 10 AS session_id, vec_id % 10 * 16 + i - 1 AS pos, v[i] AS x FROM {SQL_EMB}, range(1, 65) r(i)) GROUP BY session_id, pos",
     "nearest_decimation": f"SELECT vec_id, CAST(ceil(len(v) * 16000 / 48000) AS INTEGER) AS n_a, CAST(ceil(len(v) * 16000 / 44100) AS INTEGER) AS n_b, round({_PICKED.format(r=48000)}, 6) AS sum_a, round({_PICKED.format(r=44100)}, 6) AS sum_b FROM {SQL_EMB}",
     "vector_arithmetic": f"""WITH e AS (SELECT vec_id, v, v[1] AS f, greatest(least(v[1] * 4, 1), 0) AS t FROM {SQL_EMB})
 SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * 2.5)), 6) AS scaled, round(list_sum(list_transform(v, lambda x, i: CASE WHEN (i - 1) % 7 = 0 OR (i - 1) % 11 = 0 THEN 0 ELSE x END)), 6) AS "finite", round(t * t * (3 - 2 * t), 6) AS smooth, round(power(10.0, f), 6) AS gain,
   round(list_sum(list_transform(v, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - 0.97 * v[i - 1] END)), 6) AS emphasised, round(CASE WHEN abs(f) * 8000 < 1000 THEN abs(f) * 8000 * 3 / 200 ELSE 15 + ln(abs(f) * 8) * 27 / ln(6.4) END, 6) AS mel,
   round(CASE WHEN abs(f) * 40 < 15 THEN abs(f) * 40 * 200 / 3 ELSE 1000 * exp((abs(f) * 40 - 15) * ln(6.4) / 27) END, 4) AS hz FROM e""",
-    "clock_smoothing": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS at, k, CAST(round((k * 400 + event_id % 13 * 9 + k // 9 * 130 - 400) * 16) AS BIGINT) AS expected FROM {_FOLD}),
-f(session_id, k, at, start, resynced) AS (SELECT session_id, k, at, expected, true FROM r WHERE k = 1
-  UNION ALL SELECT r.session_id, r.k, r.at, CASE WHEN abs(r.expected - (f.start + 6400)) > 1600 THEN r.expected ELSE f.start + 6400 END, abs(r.expected - (f.start + 6400)) > 1600 FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1)
-SELECT session_id, at, start, resynced FROM f""",
+    "clock_smoothing": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS "at", k, CAST(round((k * 400 + event_id % 13 * 9 + k // 9 * 130 - 400) * 16) AS BIGINT) AS expected FROM {_FOLD}),
+f(session_id, k, "at", start, resynced) AS (SELECT session_id, k, "at", expected, true FROM r WHERE k = 1
+  UNION ALL SELECT r.session_id, r.k, r."at", CASE WHEN abs(r.expected - (f.start + 6400)) > 1600 THEN r.expected ELSE f.start + 6400 END, abs(r.expected - (f.start + 6400)) > 1600 FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1)
+SELECT session_id, "at", start, resynced FROM f""",
     "aligned_timelines": f"""WITH r AS (SELECT session_id, event_id, k * 60 AS s, k * 60 + event_id % 50 + 10 AS e FROM {_FOLD}), o AS (SELECT session_id, min(s) AS origin FROM r WHERE event_id % 2 = 0 GROUP BY session_id),
 c AS (SELECT r.session_id, event_id % 2 AS far, (p - origin) // 128 AS block, p FROM (SELECT *, unnest(range(s, e)) AS p FROM r) r JOIN o ON o.session_id = r.session_id WHERE p >= origin),
 n AS (SELECT session_id, block, count(*) AS near_n FROM c WHERE far = 0 GROUP BY session_id, block), f AS (SELECT session_id, block, count(*) AS far_n FROM c WHERE far = 1 GROUP BY session_id, block)
 SELECT n.session_id, n.block, near_n, near_n - least(near_n, coalesce(far_n, 0)) AS bypassed FROM n LEFT JOIN f ON f.session_id = n.session_id AND f.block = n.block""",
-    "echo_regimes": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS at, k, value / 200 >= 0.6 AND (k // 18) % 2 = 1 AS shows, (k // 18) % 2 = 0 AS quiet FROM {_FOLD}),
+    "echo_regimes": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS "at", k, value / 200 >= 0.6 AND (k // 18) % 2 = 1 AS shows, (k // 18) % 2 = 0 AS quiet FROM {_FOLD}),
 s AS (SELECT 0),
-f(session_id, k, at, engaged, eng, byp) AS (SELECT session_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), true, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE) FROM r WHERE k = 1
-  UNION ALL SELECT session_id, k, at, CASE WHEN engaged AND b >= 12 THEN false WHEN NOT engaged AND e >= 2 THEN true ELSE engaged END, CASE WHEN NOT engaged AND e >= 2 THEN 0 ELSE e END, CASE WHEN engaged AND b >= 12 THEN 0 ELSE b END FROM (
-    SELECT r.session_id, r.k, r.at, f.engaged, CASE WHEN shows THEN eng + 1 WHEN quiet THEN eng * 0.5 ELSE eng * 0.9 END AS e, CASE WHEN shows THEN 0 WHEN quiet THEN byp + 1 ELSE byp * 0.9 END AS b FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1))
-SELECT session_id, at, engaged FROM f WHERE k > 0""",
-    "reference_gate": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS at, k, {_TARGET} AS target FROM {_FOLD}),
-f(session_id, k, at, target, gain) AS (SELECT session_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(1.0 AS DOUBLE) FROM r WHERE k = 1
-  UNION ALL SELECT r.session_id, r.k, r.at, r.target, f.gain + CASE WHEN coalesce(r.target, 1) < f.gain THEN 0.2 ELSE 0.5 END * (coalesce(r.target, 1) - f.gain) FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1)
-SELECT session_id, at, round(target, 6) AS target, round(gain, 6) AS gain FROM f WHERE k > 0""",
+f(session_id, k, "at", engaged, eng, byp) AS (SELECT session_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), true, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE) FROM r WHERE k = 1
+  UNION ALL SELECT session_id, k, "at", CASE WHEN engaged AND b >= 12 THEN false WHEN NOT engaged AND e >= 2 THEN true ELSE engaged END, CASE WHEN NOT engaged AND e >= 2 THEN 0 ELSE e END, CASE WHEN engaged AND b >= 12 THEN 0 ELSE b END FROM (
+    SELECT r.session_id, r.k, r."at", f.engaged, CASE WHEN shows THEN eng + 1 WHEN quiet THEN eng * 0.5 ELSE eng * 0.9 END AS e, CASE WHEN shows THEN 0 WHEN quiet THEN byp + 1 ELSE byp * 0.9 END AS b FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1))
+SELECT session_id, "at", engaged FROM f WHERE k > 0""",
+    "reference_gate": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS "at", k, {_TARGET} AS target FROM {_FOLD}),
+f(session_id, k, "at", target, gain) AS (SELECT session_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(1.0 AS DOUBLE) FROM r WHERE k = 1
+  UNION ALL SELECT r.session_id, r.k, r."at", r.target, f.gain + CASE WHEN coalesce(r.target, 1) < f.gain THEN 0.2 ELSE 0.5 END * (coalesce(r.target, 1) - f.gain) FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1)
+SELECT session_id, "at", round(target, 6) AS target, round(gain, 6) AS gain FROM f WHERE k > 0""",
     "gate_summary": f"SELECT session_id, count(*) * 5 AS windows, CAST(sum(event_id % 4) AS BIGINT) AS gated, round(coalesce(sum(-value / 20 * (event_id % 4)) / nullif(sum(event_id % 4), 0), 0), 6) AS mean_db FROM {SQL_EVENTS} GROUP BY session_id",
-    "endpoint_mix": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS at, k, CASE WHEN event_id % 40 < 25 THEN event_id % 2 ELSE 0 END AS source, event_id % 20 + 1 AS n FROM {_FOLD}),
-f(session_id, k, at, a, b, n) AS (SELECT session_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM r WHERE k = 1
-  UNION ALL SELECT session_id, k, at, least(a - both_, 30), least(b - both_, 30), both_ + greatest(a - both_ - 30, 0) + greatest(b - both_ - 30, 0) FROM (
-    SELECT r.session_id, r.k, r.at, f.a + CASE WHEN source = 0 THEN r.n ELSE 0 END AS a, f.b + CASE WHEN source = 1 THEN r.n ELSE 0 END AS b, least(f.a + CASE WHEN source = 0 THEN r.n ELSE 0 END, f.b + CASE WHEN source = 1 THEN r.n ELSE 0 END) AS both_
+    "endpoint_mix": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS "at", k, CASE WHEN event_id % 40 < 25 THEN event_id % 2 ELSE 0 END AS source, event_id % 20 + 1 AS n FROM {_FOLD}),
+f(session_id, k, "at", a, b, n) AS (SELECT session_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM r WHERE k = 1
+  UNION ALL SELECT session_id, k, "at", least(a - both_, 30), least(b - both_, 30), both_ + greatest(a - both_ - 30, 0) + greatest(b - both_ - 30, 0) FROM (
+    SELECT r.session_id, r.k, r."at", f.a + CASE WHEN source = 0 THEN r.n ELSE 0 END AS a, f.b + CASE WHEN source = 1 THEN r.n ELSE 0 END AS b, least(f.a + CASE WHEN source = 0 THEN r.n ELSE 0 END, f.b + CASE WHEN source = 1 THEN r.n ELSE 0 END) AS both_
     FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1))
-SELECT session_id, at, n FROM f WHERE k > 0""",
+SELECT session_id, "at", n FROM f WHERE k > 0""",
     "stall_watch": f"""WITH e AS (SELECT session_id, event_type = 'view' AS sys, at_ms FROM {SQL_EVENTS}), o AS (SELECT session_id, max(at_ms) + 1 AS over_ FROM e GROUP BY session_id),
 g AS (SELECT e.session_id, at_ms, coalesce(lead(at_ms) OVER (PARTITION BY e.session_id ORDER BY at_ms), over_) - at_ms AS gap FROM e JOIN o USING (session_id) WHERE sys),
 d AS (SELECT session_id, k, at_ms + k * 43200000 AS due FROM (SELECT *, unnest(range(1, least(gap // 43200000, 4) + 1)) AS k FROM g)), p AS (SELECT session_id, min(due) AS given_up FROM d WHERE k = 4 GROUP BY session_id),
@@ -220,13 +220,13 @@ UNION ALL SELECT session_id, given_up, action FROM v
 UNION ALL SELECT h.session_id, min(h.at_ms + 43200000), 'ended' FROM h JOIN v ON v.session_id = h.session_id AND v.action = 'mic_only' WHERE next_ms - h.at_ms >= 43200000 AND h.at_ms + 43200000 > h.given_up GROUP BY h.session_id""",
     "assembled_utterances": """WITH t AS (SELECT conv_id AS session_id, turn, turn // 3 AS segment, turn % 3 * 700 + 1000 AS n, CASE WHEN turn = 4 THEN '' ELSE trim(left(text, 30)) END AS text FROM conversations WHERE length(trim(text)) > 0),
 p AS (SELECT *, CASE WHEN n > 1600 AND text <> '' THEN text END AS said FROM t),
-g AS (SELECT session_id, segment, string_agg(said, ' ' ORDER BY turn) AS joined, count(*) AS c, sum(n) AS total, max(turn) AS at FROM p GROUP BY session_id, segment),
+g AS (SELECT session_id, segment, string_agg(said, ' ' ORDER BY turn) AS joined, count(*) AS c, sum(n) AS total, max(turn) AS "at" FROM p GROUP BY session_id, segment),
 w AS (SELECT *, CASE WHEN c = 1 THEN joined WHEN session_id % 2 = 0 AND total > 1600 THEN 'whole ' || segment ELSE joined END AS text FROM g),
-f AS (SELECT session_id, string_agg(text, ' ' ORDER BY segment) AS text, max(at) AS at FROM w GROUP BY session_id)
-SELECT session_id, 0 AS utterance, turn AS at, said AS text, false AS final FROM p WHERE said IS NOT NULL UNION ALL SELECT session_id, 0, at, text, true FROM f WHERE text IS NOT NULL""",
+f AS (SELECT session_id, string_agg(text, ' ' ORDER BY segment) AS text, max("at") AS "at" FROM w GROUP BY session_id)
+SELECT session_id, 0 AS utterance, turn AS "at", said AS text, false AS final FROM p WHERE said IS NOT NULL UNION ALL SELECT session_id, 0, "at", text, true FROM f WHERE text IS NOT NULL""",
     "dated_finals": f"""WITH c AS (SELECT session_id, at_ms, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS n FROM {SQL_EVENTS} WHERE event_type = 'purchase'),
 f AS (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS n FROM {SQL_EVENTS} WHERE event_type = 'click')
-SELECT f.session_id, event_id AS at, 't' || event_id AS text, at_ms AS captured_ms FROM f LEFT JOIN c ON c.session_id = f.session_id AND c.n = f.n WHERE event_id % 3 <> 0""",
+SELECT f.session_id, event_id AS "at", 't' || event_id AS text, at_ms AS captured_ms FROM f LEFT JOIN c ON c.session_id = f.session_id AND c.n = f.n WHERE event_id % 3 <> 0""",
     "throttled_partials": f"""WITH RECURSIVE r AS (SELECT session_id, at_ms, event_id % 4 <> 0 AS told, event_type = 'error' AS final, row_number() OVER (PARTITION BY session_id ORDER BY at_ms) AS k FROM {SQL_EVENTS}),
 f(session_id, k, at_ms, last, shown) AS (SELECT session_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false FROM r WHERE k = 1
   UNION ALL SELECT r.session_id, r.k, r.at_ms, CASE WHEN final THEN NULL WHEN told AND (last IS NULL OR r.at_ms - last >= 43200000) THEN r.at_ms ELSE last END, NOT final AND told AND (last IS NULL OR r.at_ms - last >= 43200000) FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1)
@@ -241,13 +241,13 @@ b AS (SELECT *, greatest(settled_ms, now_ms - {WAIT_MS}) AS bound_ms FROM s),
 u AS (SELECT a.session_id, a.arrival, a.captured_ms, min(b.arrival) AS released_by FROM b a LEFT JOIN b ON b.session_id = a.session_id AND b.arrival >= a.arrival AND b.bound_ms >= a.captured_ms WHERE NOT a.progress GROUP BY a.session_id, a.arrival, a.captured_ms),
 l AS (SELECT u.*, u.captured_ms > b.settled_ms AS late FROM u LEFT JOIN b ON b.session_id = u.session_id AND b.arrival = u.released_by)
 SELECT *, count(released_by) OVER (PARTITION BY session_id) AS n_released, count(*) FILTER (WHERE late) OVER (PARTITION BY session_id) AS n_late FROM l""",
-    "noise_floors": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS at, k, value FROM {_FOLD}),
-f(session_id, k, at, floor) AS (SELECT session_id, k, at, greatest(value, 1e-5) FROM r WHERE k = 1 UNION ALL SELECT r.session_id, r.k, r.at, CASE WHEN r.value < f.floor * 1.005 THEN greatest(r.value, 1e-5) ELSE f.floor * 1.005 END FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1)
-SELECT session_id, at, round(floor, 6) AS floor FROM f""",
+    "noise_floors": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS "at", k, value FROM {_FOLD}),
+f(session_id, k, "at", floor) AS (SELECT session_id, k, "at", greatest(value, 1e-5) FROM r WHERE k = 1 UNION ALL SELECT r.session_id, r.k, r."at", CASE WHEN r.value < f.floor * 1.005 THEN greatest(r.value, 1e-5) ELSE f.floor * 1.005 END FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1)
+SELECT session_id, "at", round(floor + 1e-7, 4) AS floor FROM f""",
     "silence_skips": f"""WITH r AS (SELECT *, value < 120 AS silent FROM {SQL_EVENTS}), g AS (SELECT *, sum(CASE WHEN silent THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY event_id) AS run FROM r),
 s AS (SELECT *, silent AND count(*) FILTER (WHERE silent) OVER (PARTITION BY session_id, run ORDER BY event_id) > 3 AS skipped FROM g),
 a AS (SELECT session_id, event_id, event_type, at_ms - max(at_ms) FILTER (WHERE event_type = 'view') OVER (PARTITION BY session_id ORDER BY at_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 86400000 AS alive FROM {SQL_EVENTS})
-SELECT s.session_id, s.event_id AS at, skipped, coalesce(alive, false) AS far_alive FROM s JOIN a ON a.session_id = s.session_id AND a.event_id = s.event_id WHERE a.event_type <> 'view'""",
+SELECT s.session_id, s.event_id AS "at", skipped, coalesce(alive, false) AS far_alive FROM s JOIN a ON a.session_id = s.session_id AND a.event_id = s.event_id WHERE a.event_type <> 'view'""",
     "decoding_cursor": f"""WITH RECURSIVE r AS (SELECT session_id, k, event_id % 5 <> 0 AS told, CASE WHEN event_id % 3 = 0 THEN event_id % 4 ELSE 0 END AS d FROM {_FOLD}),
 f(session_id, k, frame, n) AS (SELECT session_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM r WHERE k = 1
   UNION ALL SELECT session_id, k, frame + m, CASE WHEN m > 0 THEN 0 ELSE c END FROM (SELECT r.session_id, r.k, f.frame, f.n + told::BIGINT AS c, CASE WHEN d = 0 AND (NOT told OR f.n + told::BIGINT >= 10) THEN 1 ELSE d END AS m FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1))

@@ -64,8 +64,10 @@ class Orderer(StatefulProcessor):
             self.held.clear()
 
     @staticmethod
-    def _told(key: Any, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"session_id": key[0], "source": [x[2] for x, _ in out], "text": [x[3] for x, _ in out], "captured_ms": [x[0] for x, _ in out], "late": [late for _, late in out]})
+    def _told(key: Any, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            texts = pd.Series([x[3] for x, _ in out], dtype=object)
+            yield pd.DataFrame({"session_id": key[0], "source": [x[2] for x, _ in out], "text": texts, "captured_ms": [x[0] for x, _ in out], "late": [late for _, late in out]})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = sorted(tuple(x) for x in self.held.get())
@@ -84,12 +86,12 @@ class Orderer(StatefulProcessor):
             released, held = self._split(held, int(row.now_ms))
             out += released
         self._keep(held)
-        yield self._told(key, out)
+        yield from self._told(key, out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         released, held = self._split(sorted(tuple(x) for x in self.held.get()), expiredTimerInfo.getExpiryTimeInMs())
         self._keep(held)
-        yield self._told(key, released)
+        yield from self._told(key, released)
 
     def close(self) -> None:
         pass

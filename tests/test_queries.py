@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as driver
+from parley.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {name: q for name, q in driver.queries().items() if name != "pipeline"}
-SQL = driver.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,4 @@ def test_gives_rows(spark, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+    assert QUERIES.keys() <= driver.queries().keys() and SQL.keys() <= driver.oracle_sql().keys()

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from parley.functions import arrays as A
 from parley.operators import streams
 from parley.streaming import processors as P
 
@@ -35,15 +36,51 @@ def test_segmenter_equals_fold(spark, tmp_path):
     assert {(r.session_id, r.chunk_idx, r.event) for r in live} == batch and batch
 
 
+ROWS = "session_id long, kind string, source int, text string, captured_ms long, now_ms long, arrival long"
+COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
+
+
+def ordered(df, wait, expected=(0, 1)):
+    return P.stateful(df.withColumn("now", F.timestamp_millis("now_ms")).withWatermark("now", "0 seconds"), "session_id", P.Orderer(wait, expected), "EventTime")
+
+
 def test_orderer_releases_in_time_and_marks_late(spark, tmp_path):
-    schema = "session_id long, kind string, source int, text string, captured_ms long, now_ms long, arrival long"
-    columns = [c.split()[0] for c in schema.split(", ")]
-    first = pd.DataFrame([(1, "utterance", 0, " b ", 200, 200, 0), (1, "utterance", 1, "a", 100, 210, 1), (1, "progress", 1, None, 150, 220, 2)], columns=columns)
-    second = pd.DataFrame([(1, "utterance", 0, "c", 900, 5000, 3), (1, "utterance", 0, "d", 6000, 6000, 4), (1, "end", 0, None, 0, 6001, 5)], columns=columns)
-    out = run_stream(spark, tmp_path, [first, second], schema, lambda df: P.stateful(df, "session_id", P.Orderer(1000)))
+    first = pd.DataFrame([(1, "utterance", 0, " b ", 200, 200, 0), (1, "utterance", 1, "a", 100, 210, 1), (1, "progress", 1, None, 150, 220, 2), (1, "progress", 0, None, 150, 221, 3)], columns=COLUMNS)
+    second = pd.DataFrame([(1, "utterance", 0, "c", 900, 5000, 4), (1, "utterance", 0, "d", 6000, 6000, 5), (1, "utterance", 0, " ", 1, 6000, 6), (1, "end", 0, None, 0, 6001, 7)], columns=COLUMNS)
+    out = run_stream(spark, tmp_path, [first, second], ROWS, lambda df: ordered(df, 1000))
     assert [(r.text, r.late) for r in out] == [("a", False), ("b", True), ("c", True), ("d", False)]
 
 
+def test_orderer_expects_the_sources_it_is_told_of(spark, tmp_path):
+    rows = pd.DataFrame([(1, "utterance", 0, "x", 500, 500, 0), (1, "progress", 0, None, 600, 600, 1), (1, "utterance", 0, "y", 650, 660, 2)], columns=COLUMNS)
+    alone = run_stream(spark, tmp_path / "a", [rows], ROWS, lambda df: ordered(df, 10_000, (0,)))
+    assert [(r.text, r.late) for r in alone if r.text == "x"] == [("x", False)]
+    none = run_stream(spark, tmp_path / "b", [rows], ROWS, lambda df: ordered(df, 10_000, ()))
+    assert [(r.text, r.late) for r in none] == [("x", False), ("y", False)]
+
+
+def test_orderer_releases_a_quiet_session_by_its_timer(spark, tmp_path):
+    """Nothing more comes for session 1; time goes on by what comes for another."""
+    first = pd.DataFrame([(1, "utterance", 0, "held", 1_000, 1_000, 0)], columns=COLUMNS)
+    later = pd.DataFrame([(2, "progress", 0, None, 1, 60_000, 1)], columns=COLUMNS)
+    out = run_stream(spark, tmp_path, [first, later, later.assign(now_ms=61_000, arrival=2)], ROWS, lambda df: ordered(df, 5_000))
+    assert [(r.session_id, r.text, r.late) for r in out] == [(1, "held", True)]
+
+
+def test_resampler_equals_one_shot(spark, tmp_path):
+    draw = random.Random(6)
+    chunks = [[draw.uniform(-1, 1) for _ in range(draw.randint(0, 30))] for _ in range(20)]
+    schema = "session_id long, at long, samples array<double>"
+    rows = pd.DataFrame([(s, i, c) for s in (1, 2) for i, c in enumerate(chunks)] + [(s, 99, None) for s in (1, 2)], columns=["session_id", "at", "samples"])
+    frames = [rows[rows["at"] < 7], rows[(rows["at"] >= 7) & (rows["at"] < 15)], rows[rows["at"] >= 15]]
+    for from_rate, to_rate in ((48_000, 16_000), (16_000, 44_100)):
+        out = run_stream(spark, tmp_path / str(to_rate), frames, schema, lambda df: P.stateful(df, "session_id", P.Resampler(from_rate, to_rate)))  # noqa: B023
+        whole = spark.createDataFrame([(sum(chunks, []),)], "s array<double>").select(A.resampled(F.col("s"), from_rate, to_rate).alias("r")).first()["r"]
+        for s in (1, 2):
+            got = [x for r in sorted((r for r in out if r.session_id == s), key=lambda r: r.at) for x in r.samples]
+            assert got == pytest.approx(whole)
+
+
 def test_terminal_events_once_across_batches(spark, tmp_path):
     schema = "task_id string, seq long, early string"
     columns = ["task_id", "seq", "early"]
@@ -84,7 +121,11 @@ def test_bursts_close(spark, tmp_path):
 
 @pytest.mark.parametrize("wait", [0, 500])
 def test_batch_order_holds_what_is_not_settled(spark, wait):
-    rows = spark.createDataFrame([(1, 0, 500, 500, 0), (1, 1, 300, 600, 1), (1, 1, 700, 800, 2)], "session_id long, source int, captured_ms long, now_ms long, arrival long")
+    kind = "session_id long, kind string, source int, captured_ms long, now_ms long, arrival long"
+    rows = spark.createDataFrame([(1, "utterance", 0, 500, 500, 0), (1, "progress", 1, 300, 600, 1), (1, "progress", 0, 350, 620, 2), (1, "utterance", 1, 700, 800, 3), (1, "progress", 1, 900, 2_000, 4)], kind)
     out = streams.settled(rows, wait).orderBy("arrival").collect()
-    assert [r.settled_ms for r in out] == [0, 300, 500]
-    assert [r.held for r in out] == ([False, False, False] if not wait else [True, False, True])
+    assert [r.settled_ms for r in out] == [0, 0, 300, 300, 350]
+    assert [r.held for r in out] == ([False] * 5 if not wait else [True, False, False, True, False])
+    assert streams.settled(rows, wait, ()).where("held or late").count() == 0
+    found = {r.arrival: (r.released_by, r.late) for r in streams.released(rows, 500).collect()}
+    assert found == {0: (4, True), 3: (4, True)}

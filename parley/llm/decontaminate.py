@@ -5,8 +5,9 @@ suffix automaton in which no path crosses items. Training words are streamed thr
 the longest piece of an item that ends at the word. A match of ``WINDOW`` words, or of a whole shorter item, hits those
 words. ``cleaned`` cuts the hit spans out of a text, and drops the document when the hit words cover too much of it.
 
-Items are bundled into blocks of at most ``BLOCK_WORDS`` words; each block is one automaton of bounded size that is
-broadcast, and with several blocks the documents are streamed once per block and the hit runs united.
+Items are bundled into blocks of about ``BLOCK_WORDS`` words; a task builds each block's automaton, of bounded size, and
+the driver passes it on as bytes in a broadcast of its own. The documents are streamed once through all of them and the
+hit runs united, so the benchmark, not the corpus, has to fit a task's memory.
 
 Defined cases: null or empty texts and items have no words and match nothing; repeated items count each; repeated rows
 get the same answer each; a null item_id is left out of the list of ids but hits; other columns are ignored; an empty
@@ -15,7 +16,10 @@ benchmark hits nothing, an empty table of documents gives no rows.
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +31,8 @@ from parley.llm.tables import small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+#: About this many bytes of an item to a word, for the number of blocks only.
+WORD_BYTES = 6
 #: A document whose hit words are more than this share of its words is dropped; otherwise the spans are cut out.
 COVERAGE_LIMIT = 0.5
 #: Of UTF-8 with A-Z lowered: the runs of code points outside 00-2F, 3A-60 and 7B-7F.
@@ -153,77 +159,63 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
-    """One broadcast automaton for each block of items; a block is built from at most ``block_words`` words or one item."""
+    """One broadcast automaton for each block of items, as bytes. Items are dealt into blocks of about ``block_words`` words by
+    a hash of the text, and each block is built by one task."""
     spark = benchmark.sparkSession
-    out: list[Broadcast] = []
-    block: list[tuple[str | None, list[bytes]]] = []
-    size = 0
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").orderBy("item_id", "text")
-    for name, text in rows.toLocalIterator():
-        words = WORD.findall(normalised(text))
-        if block and size + len(words) > block_words:
-            out.append(spark.sparkContext.broadcast(Automaton(block, window)))
-            block, size = [], 0
-        block.append((name, words))
-        size += len(words)
-    return [*out, spark.sparkContext.broadcast(Automaton(block, window))] if block else out
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    words = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(words / WORD_BYTES / block_words))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf["item_id"], pdf["text"], strict=True), key=lambda r: (r[0] is None or r[0] != r[0], str(r[0]), r[1]))
+        automaton = Automaton([(None if pd.isna(name) else name, WORD.findall(normalised(text))) for name, text in rows], window)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "body": [zlib.compress(pickle.dumps(automaton, protocol=5), 1)]})
+
+    built = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks))).groupBy("block").applyInPandas(build, "block long, body binary")
+    return [spark.sparkContext.broadcast(bytes(r["body"])) for r in built.orderBy("block").toLocalIterator()]
+
+
+def unpacked(blocks: list[Broadcast]) -> list[Automaton]:
+    """The automata of broadcasts made here; a worker unpacks them once for all its batches."""
+    return [pickle.loads(zlib.decompress(block.value)) for block in blocks]  # noqa: S301
 
 
 HIT = "n_words long, runs array<struct<first:long,end:long>>, items array<string>"
 
 
-def _hit_by(shared: Broadcast | None):
-    """A column function of the text: words, maximal runs of hit words and sorted item ids, by one automaton."""
+def found_in(words: list[bytes], automata: list[Automaton]) -> tuple[list[tuple[int, int]], set[str | None]]:
+    """Maximal runs of hit words and the items hit, by all automata."""
+    parts = [automaton.runs(words) for automaton in automata]
+    return united([run for runs, _ in parts for run in runs]), {item for _, items in parts for item in items}
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id and a column ``hit`` of every row of ``docs``: n_words, the maximal runs of hit words, and the sorted ids of the items hit."""
+    small_batches(docs.sparkSession)
+    blocks = automata(benchmark, window, block_words)
 
     @F.pandas_udf(HIT)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = shared.value if shared else Automaton([])
+        own = unpacked(blocks)
         for series in batches:
             rows = []
             for text in series:
                 words = WORD.findall(normalised(text))
-                runs, items = automaton.runs(words)
+                runs, items = found_in(words, own)
                 rows.append((len(words), [{"first": a, "end": b} for a, b in runs], sorted(x for x in items if x is not None)))
             yield pd.DataFrame(rows, columns=["n_words", "runs", "items"])
 
-    return found
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs`` and a column ``_hit``: n_words, the maximal runs of hit words, and the sorted ids of the items hit."""
-    small_batches(docs.sparkSession)
-    blocks: list[Broadcast | None] = [*automata(benchmark, window, block_words)] or [None]
-    names = [f"_hit{i}" for i in range(len(blocks))]
-    out = docs.withColumns({name: _hit_by(block)("text") for name, block in zip(names, blocks, strict=True)})
-    if len(blocks) == 1:
-        return out.withColumnRenamed("_hit0", "_hit")
-    runs = united_columns(F.concat(*[F.col(f"{n}.runs") for n in names]))
-    items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.items") for n in names])))
-    return out.withColumn("_hit", F.struct(F.col("_hit0.n_words").alias("n_words"), runs.alias("runs"), items.alias("items"))).drop(*names)
-
-
-def united_columns(runs: Column) -> Column:
-    """Sorted maximal runs of an array of runs."""
-    empty = F.lit(None).cast("array<struct<first:long,end:long>>")
-    start = F.coalesce(empty, F.array().cast("array<struct<first:long,end:long>>"))
-
-    def step(done: Column, run: Column) -> Column:
-        last = F.element_at(done, -1)
-        touches = (F.size(done) > 0) & (run["first"] <= F.try_element_at(done, F.lit(-1))["end"])
-        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], run["end"]).alias("end"))
-        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(run)))
-
-    return F.aggregate(F.array_sort(runs), start, step)
+    return docs.select("doc_id", found("text").alias("hit"))
 
 
 def hit_words() -> Column:
-    return F.aggregate("_hit.runs", F.lit(0).cast("long"), lambda total, run: total + run["end"] - run["first"])
+    return F.aggregate("hit.runs", F.lit(0).cast("long"), lambda total, run: total + run["end"] - run["first"])
 
 
 def report(hit: DataFrame) -> DataFrame:
     """One row for each document: counts, digest of item ids, and whether any word is hit."""
-    items = F.col("_hit.items")
-    out = hit.select("doc_id", "_hit.n_words", hit_words().alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
+    items = F.col("hit.items")
+    out = hit.select("doc_id", "hit.n_words", hit_words().alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -248,22 +240,23 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
 
     @F.pandas_udf("dropped boolean, text string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = unpacked(blocks)
         for series in batches:
             rows: list[tuple[bool, str | None]] = []
             for text in series:
                 words = WORD.findall(normalised(text))
-                runs = united([run for block in blocks for run in block.value.runs(words)[0]])
+                runs, _ = found_in(words, own)
                 hit = sum(end - first for first, end in runs)
                 dropped = hit > coverage * len(words)
                 rows.append((dropped, cut(text, runs) if hit and not dropped else None))
             yield pd.DataFrame(rows, columns=["dropped", "text"])
 
-    changed = docs.withColumn("_clean", clean("text")).where("not _clean.dropped")
-    touched = F.col("_clean.text").isNotNull()
-    out = changed.withColumn("text", F.coalesce("_clean.text", "text"))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), clean.asNondeterministic()("text").alias("clean"))  # no clash with the documents' names; one evaluation, as the filter stays above it
+    touched = F.col("clean.text").isNotNull()
+    new = {"text": F.coalesce("clean.text", "doc.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        new["n_chars"] = F.when(touched, F.length("clean.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return rows.where("not clean.dropped").select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def prose(seed, n):
 
 
 #: Names that operators use inside, as extra columns of their input.
-CLASHES = ["score", "kept", "node", "chunk", "bucket", "key", "runs", "items", "n_words", "copies", "print", "row", "slot", "shard", "size", "blob", "toxic", "lang2", "label", "_hit0", "at"]
+CLASHES = ["score", "kept", "node", "chunk", "bucket", "key", "runs", "items", "n_words", "copies", "print", "row", "slot", "shard", "size", "blob", "toxic", "lang2", "label", "_hit0", "at", "_row", "_number", "_stays", "_once", "_clean", "_hit", "_mix_id", "_mix_print", "_mix_copies", "_mix_copy", "doc", "hit", "clean", "stays", "once", "number", "print2", "rows"]
 
 
 def hard_rows():

@@ -64,20 +64,23 @@ def distinct(text: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tu
 def elsewhere(text: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], n_texts: int, totals: np.ndarray) -> tuple[int, list[np.ndarray]]:
     """Words of the corpus, and for each order the occurrences of its n-grams outside their own documents."""
     every = np.concatenate([g for g, _ in found])
-    order = np.argsort(every)
+    order = np.argsort(every).astype(np.int32)  # a chunk has fewer than 2**31 n-grams
+    every = every[order]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = np.diff(every[order]) != 0
-    run = np.cumsum(new) - 1
-    empty = int(np.searchsorted(every[order[new]], _EMPTY))
+    new[1:] = every[1:] != every[:-1]
+    empty = int(np.searchsorted(every[new], _EMPTY))
+    del every
     words, totals = int(totals[empty]), np.delete(totals, empty)
-    whose = run * n_texts + np.concatenate([text[at] for _, at in found])[order]
-    within = np.argsort(whose, kind="stable")  # almost sorted: only documents within one n-gram are not
+    run = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    whose = run.astype(np.int64) * n_texts + np.concatenate([text[at] for _, at in found])[order]
+    within = np.argsort(whose, kind="stable").astype(np.int32)  # almost sorted: only documents within one n-gram are not
+    whose = whose[within]
     first = np.ones(len(within), dtype=bool)
-    first[1:] = np.diff(whose[within]) != 0
-    begin = np.flatnonzero(first)
-    own = np.diff(np.append(begin, len(within)))
+    first[1:] = whose[1:] != whose[:-1]
+    del whose
+    own = np.diff(np.append(np.flatnonzero(first), len(within))).astype(np.int32)
     rest = np.empty(len(order), dtype=np.int64)
-    rest[order[within]] = totals[run[within]] - own[np.cumsum(first) - 1]
+    rest[order[within]] = totals[run[within]] - own[np.cumsum(first, dtype=np.int32) - 1]
     return words, np.split(rest, np.cumsum([len(g) for g, _ in found])[:-1])
 
 

@@ -270,8 +270,9 @@ def without_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     row = F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").cast("binary")))
     found = jaccard_components(docs.select("doc_id", "text", row.alias("row")), size, percent)
     choice = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))
-    stays = found.where("node is not null").groupBy("label").agg(choice.alias("first")).select(F.col("first.row").alias("_stays"), F.lit(True).alias("_once"))
-    alone = found.where("node is null").select(F.col("row").alias("_stays"), F.lit(False).alias("_once")).distinct()
-    rows = docs.withColumn("_row", row).join(stays.unionByName(alone), F.col("_row") == F.col("_stays"))
-    number = F.row_number().over(Window.partitionBy("_row").orderBy("_once"))
-    return rows.withColumn("_number", number).where("_number = 1 or not _once").select(*[f"`{c}`" for c in docs.columns])
+    stays = found.where("node is not null").groupBy("label").agg(choice.alias("first")).select(F.col("first.row").alias("stays"), F.lit(True).alias("once"))
+    alone = found.where("node is null").select(F.col("row").alias("stays"), F.lit(False).alias("once")).distinct()
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), row.alias("row"))  # no clash with the documents' names
+    rows = rows.join(stays.unionByName(alone), F.col("row") == F.col("stays"))
+    number = F.row_number().over(Window.partitionBy("row").orderBy("once"))
+    return rows.withColumn("number", number).where("number = 1 or not once").select("doc.*")

@@ -159,7 +159,7 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, least: float = 1.0) -> DataFrame:
     """The rows of ``docs``, all columns, each as many times as its copies; with ``least`` 1 no document is lost."""
-    chosen = rates(docs, labels, weights, least).groupBy(F.col("doc_id").alias("_mix_id"), F.col("print").alias("_mix_print")).agg(F.max("copies").alias("_mix_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.xxhash64("text") == F.col("_mix_print"))
-    joined = docs.join(chosen, same)
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    chosen = rates(docs, labels, weights, least).groupBy("doc_id", "print").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"))  # no clash with the documents' names
+    joined = rows.join(chosen, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("doc.text") == F.col("print")))
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc.*")

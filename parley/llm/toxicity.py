@@ -1,13 +1,13 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms of a text (A-Z lowered, ASCII punctuation as blanks) are its words and their first 4, 6 and 7 bytes, hashed into
+Terms of a text (A-Z lowered, ASCII punctuation as blanks) are its words and their first 3 to 7 bytes, hashed into
 ``BUCKETS`` buckets; one more term stands for the text's length class. With x = log(1 + count) a text's logit is
 
     b + sum w_i x_i + sum over i<j of <v_i, v_j> x_i x_j
 
 so pairs of terms (an insult with a group, an insult with a length class) count beyond what each adds alone. The
-machine is trained on at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of doc_id, on the ``TERMS``
-buckets that chi-square finds most telling in them. Texts are scored whole, in one pass without a shuffle. Labels,
+machine is trained on at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of doc_id, on the buckets whose
+chi-square in them is ``TELLING`` or more. Texts are scored whole, in one pass without a shuffle. Labels,
 language, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts have the empty term set and get a score from b and the length class; repeated rows
@@ -31,11 +31,11 @@ from parley.llm.tables import small_batches
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-PREFIXES = (4, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7)
 LENGTHS = 24
 TRAIN_ROWS = 8_000
-TERMS = 2_048
-LEAST_ROWS = 5
+#: Least chi-square of a term that is learned: about one bucket in a million has it by chance.
+TELLING = 24.0
 FACTORS = 8
 EPOCHS = 40
 BATCH = 256
@@ -93,12 +93,13 @@ class Machine:
 
 
 def telling(toxic: np.ndarray, rows: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
-    """The buckets with the largest chi-square, from the numbers of toxic and of all training rows that hold each."""
+    """The buckets whose chi-square is ``TELLING`` or more, the largest first, from the numbers of toxic and of all training
+    rows that hold each. They are as many as the training rows support."""
     share = n_toxic / n
     expected = rows * share
-    chi = np.where(rows >= LEAST_ROWS, (toxic - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - rows / n), 1e-9), -1)
-    chosen = np.argsort(-chi, kind="stable")[:TERMS]
-    return chosen[chi[chosen] > 0]
+    chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - rows / n), 1e-9)
+    chosen = np.argsort(-chi, kind="stable")
+    return chosen[chi[chosen] >= TELLING]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]], chosen: np.ndarray, seed: int = 7) -> Machine:
@@ -106,15 +107,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]], chosen: np.ndarra
     label = np.array([r[3] for r in rows], dtype=np.float64)
     if not rows or label.min() == label.max():
         return Machine()
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    bucket = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    count = np.concatenate([r[1] for r in rows])
     column = np.full(BUCKETS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     width = len(chosen) + LENGTHS
-    x = np.zeros((len(rows), width), dtype=np.float32)
-    x[owner, column[bucket]] = np.log1p(count)
-    x[np.arange(len(rows)), len(chosen) + np.array([r[2] for r in rows])] = 1
+    # the terms of each row, and its length class as the last of them; only these are held, not a column for every bucket
+    terms_of = [np.append(column[r[0].astype(np.int64)], len(chosen) + r[2]) for r in rows]
+    values_of = [np.append(np.log1p(r[1]), 1.0) for r in rows]
     random = np.random.default_rng(seed)
     weight = np.where(label == 1, TOXIC_WEIGHT, 1.0)
     at: list[np.ndarray] = [np.full(1, -2.0), np.zeros(width), random.normal(0, 0.02, (width, FACTORS))]
@@ -124,11 +122,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]], chosen: np.ndarra
         random.shuffle(order)
         for begin in range(0, len(order), BATCH):
             chunk = order[begin : begin + BATCH]
-            part, (bias, linear, factors) = x[chunk], at
-            summed = part @ factors
-            logit = bias + part @ linear + 0.5 * ((summed**2).sum(1) - (part**2 @ factors**2).sum(1))
+            bias, linear, factors = at
+            term, x = np.concatenate([terms_of[i] for i in chunk]), np.concatenate([values_of[i] for i in chunk])
+            begins = np.cumsum([0] + [len(terms_of[i]) for i in chunk])[:-1]
+            row = np.repeat(np.arange(len(chunk)), np.diff(np.append(begins, len(term))))
+            part = factors[term] * x[:, None]
+            summed = np.add.reduceat(part, begins)
+            logit = bias + np.add.reduceat(linear[term] * x, begins) + 0.5 * ((summed**2).sum(1) - np.add.reduceat((part**2).sum(1), begins))
             miss = (1 / (1 + np.exp(-np.clip(logit, -35, 35))) - label[chunk]) * weight[chunk] / len(chunk)
-            slopes = [miss.sum(keepdims=True), part.T @ miss + L2_LINEAR * linear, part.T @ (miss[:, None] * summed) - factors * ((part**2).T @ miss)[:, None] + L2_FACTORS * factors]
+            pull = miss[row] * x
+            pairs = pull[:, None] * (summed[row] - part)
+            slopes = [miss.sum(keepdims=True), np.bincount(term, pull, width) + L2_LINEAR * linear, np.stack([np.bincount(term, pairs[:, k], width) for k in range(FACTORS)], axis=1) + L2_FACTORS * factors]
             step += 1
             for i, slope in enumerate(slopes):  # Adam
                 mean[i] = 0.9 * mean[i] + 0.1 * slope

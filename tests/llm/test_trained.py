@@ -36,6 +36,14 @@ def test_toxicity_on_held_out_rows(documents, labels):
     assert auc > 0.85 and (held.predicted[~toxic]).mean() < 0.03 and rows.score.between(0, 1).all()
 
 
+def test_held_out_recall_on_the_larger_table(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.toxicity(documents, labels).join(labels, "doc_id").where("held_out").toPandas()
+    toxic = rows.toxic == 1
+    assert rows.predicted[toxic].mean() >= 0.9 and rows.predicted[~toxic].mean() <= 0.01 and toxic.sum() > 80
+
+
 def test_pairs_of_terms_count():
     """Insult and group together are toxic, either alone isn't: no additive weights can tell."""
     draw = np.random.default_rng(0)
@@ -91,18 +99,36 @@ def test_mixing_meets_targets(spark, documents, labels):
     assert (named.domain == named.lang).mean() > 0.97
 
 
+def plain_descent(posterior, tokens, want, least):
+    """Projected gradient descent on the documents' rates, one array for each quantity."""
+    have = (posterior * tokens[:, None]).sum(0)
+    target = want / want.sum() * max((have / (want / want.sum()))[want > 0])
+    gram = (posterior * tokens[:, None]).T @ posterior
+    scale = 1 / np.diag(gram)
+    pace = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale))[-1]
+    rate = np.full(len(tokens), max(1.0, least))
+    total = (posterior * (tokens * rate)[:, None]).sum(0)
+    for _ in range(mixing.STEPS):
+        if np.all(np.abs(total - target) <= mixing.TOLERANCE * target):
+            break
+        rate = np.maximum(least, rate - posterior @ (pace * scale * (total - target)))
+        before, total = total, (posterior * (tokens * rate)[:, None]).sum(0)
+        if np.all(np.abs(total - before) <= 1e-6 * target):
+            break
+    return rate, target, total
+
+
 def test_mixing_matches_plain_descent(spark):
     """The fold over steps gives what numpy gives, also where rates hit the bound."""
     draw = np.random.default_rng(3)
     posterior = draw.dirichlet([0.4, 0.4, 0.4], 200)
     tokens = draw.integers(1, 500, 200).astype(float)
-    members = spark.createDataFrame([(i, i, float(t), [float(x) for x in p]) for i, (t, p) in enumerate(zip(tokens, posterior, strict=True))], "doc_id long, print long, tokens double, posterior array<double>")
-    for least in (0.0, 1.0):
-        rate, target, total = mixing.fitted_rates(members, ["a", "b", "c"], {"a": 0.9, "b": 0.1}, least)
+    members = spark.createDataFrame([(i, i, float(t), [float(x) for x in p]) for i, (t, p) in enumerate(zip(tokens, posterior, strict=True))], "doc_id long, print long, tokens double, posterior array<double>").cache()
+    for least, weights in ((0.0, {"a": 0.9, "b": 0.05, "c": 0.05}), (1.0, {"a": 0.5, "b": 0.3, "c": 0.2})):
+        rate, target, total = mixing.fitted_rates(members, ["a", "b", "c"], weights, least)
         got = np.array([r.rate for r in members.select("doc_id", rate.alias("rate")).orderBy("doc_id").collect()])
-        assert got.min() >= least and np.allclose((posterior * (tokens * got)[:, None]).sum(0), total)
-        if not least:
-            assert np.abs(np.array(total) - target).sum() < np.abs((posterior * tokens[:, None]).sum(0) - target).sum()
+        want, aim, reached = plain_descent(posterior, tokens, np.array(list(weights.values())), least)
+        assert np.allclose(got, want) and np.allclose(target, aim) and np.allclose(total, reached) and got.min() >= least
 
 
 def test_mixing_hard_rows(spark):

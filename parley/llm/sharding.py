@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,11 +63,21 @@ def rebalanced(shard_of: list[int], size_of: dict[int, int], shards: int) -> lis
 
 
 class SlotMaps:
-    """Versions of the slot-to-shard map, each a table ``version=N`` below one folder."""
+    """Versions of the slot-to-shard map, each a table ``version=N`` below one folder; a folder can be opened again."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
+    def latest(self) -> tuple[int, list[int]] | None:
+        """Number and shards by slot of the last version; none in an empty folder."""
+        try:
+            rows = self.spark.read.option("basePath", self.path).parquet(self.path)
+        except AnalysisException:
+            return None
+        last = rows.agg(F.max("version")).first()[0]
+        held = {r["virtual_slot"]: r["shard"] for r in rows.where(F.col("version") == last).select("virtual_slot", "shard").collect()}  # a row for each slot
+        return int(last), [held[slot] for slot in range(len(held))]
+
     def write(self, version: int, shard_of: list[int], rows_of: dict[int, int]) -> None:
         """``first_place``: place within its shard of the first row of the slot."""
         places, begin = [0] * len(shard_of), [0] * (max(shard_of) + 1)
@@ -88,15 +99,20 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return rows.withColumn("rank", rank).join(F.broadcast(slot_map), "virtual_slot").withColumn("slot", F.col("first_place") + F.col("rank") - 1).drop("rank", "first_place")
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """Every row's shard under the ``bytes`` law: version 0 of the map, then version 1 edited to the measured bytes."""
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
+    """Every row's shard under the ``bytes`` law, by a new version of the map in ``folder``: its last version, edited to the
+    measured bytes, so that most slots stay where they were. In a folder without one (by default a new one) version 0 is
+    written first. A map keeps its number of slots."""
     spark = docs.sparkSession
+    maps = SlotMaps(spark, folder or new_folder(spark, "slot-map"))
+    known = maps.latest() if folder else None
+    slots = len(known[1]) if known else slots
     rows = stored(digest(docs, slots), "slot-digest")
     totals = slot_totals(rows)
     rows_of = {slot: n for slot, (_, n) in totals.items()}
-    maps = SlotMaps(spark, new_folder(spark, "slot-map"))
-    first = first_map(shards, slots)
-    maps.write(0, first, rows_of)
-    maps.write(1, rebalanced(first, {slot: size for slot, (size, _) in totals.items()}, shards), rows_of)
-    out = placed(rows, maps.read(1))
+    version, before = known or (0, first_map(shards, slots))
+    if not known:
+        maps.write(0, before, rows_of)
+    maps.write(version + 1, rebalanced(before, {slot: size for slot, (size, _) in totals.items()}, shards), rows_of)
+    out = placed(rows, maps.read(version + 1))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from brute import backoff_scores, base_quality, benchmark_hits, components, empty_frame, hard_frame, hard_rows, ordered, prose, removed_bytes, secret_spans, shingles
 
-from parley.llm import decontaminate, hash_tables, jaccard, language_model, licenses, quality, secrets, sharding, substrings
+from parley.llm import decontaminate, hash_tables, jaccard, language_model, licenses, quality, secrets, sharding, substrings, words
 from parley.llm import components as graph
 from parley.llm.suffix_sort import Bytes, equal_runs, sorted_suffixes
 from parley.llm.trie import Tree
@@ -31,6 +33,38 @@ def test_quality_base_columns_and_verdict(spark):
     assert quality.quality(hard_frame(spark), labels.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def test_quality_scores_and_threshold_by_brute_force(spark):
+    """Counts, ratios, means and the fence from plain dictionaries over the same hashed words and pairs."""
+    docs = hard_rows() + [(i, prose(i % 7, 60) if i % 3 else prose(i, 60)) for i in range(100, 160)]
+    labels = [(i, 1, 0) for i in range(100, 150)]
+    got = quality.quality(hard_frame(spark, docs), labels_of(spark, labels)).collect()
+    back = {r.doc_id for r in labels_of(spark, labels).where(quality.held_back()).collect()}
+
+    def buckets(text):
+        hashes, owner, _, _ = words.hashed_words([(text or "").encode()])
+        return quality.features(hashes, owner)[0].tolist()
+
+    raw, target = Counter(), Counter()
+    for i, text in docs:
+        raw.update(buckets(text))
+        if i is not None and 100 <= i < 150 and i not in back:
+            target.update(buckets(text))
+    n, whole, trusted = quality.BUCKETS, sum(raw.values()), sum(target.values())
+
+    def score(text):
+        found = buckets(text)
+        q = {b: (raw[b] + 1) / (whole + n) for b in found}
+        return sum(math.log((target[b] + n * q[b]) / (trusted + n) / q[b]) for b in found) / max(len(found), 1)
+
+    want = [(i, score(t)) for i, t in docs]
+    held = [s for (i, t), (_, s) in zip(docs, want, strict=True) if i in back and len((t or "").split()) >= 20]
+    low, high = np.quantile(held, [0.25, 0.75])
+    fence = low - 3 * (high - low)
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert np.allclose([s for _, s in order((r.doc_id, r.score) for r in got)], [s for _, s in order(want)])
+    assert all(r.kept == (not r.base_failed and r.score >= fence) for r in got if abs(r.score - fence) > 1e-9) and len(held) > 5
+
+
 def test_secrets(spark):
     out = secrets.secrets(hard_frame(spark)).collect()
     assert ordered((r.doc_id, r.spans) for r in out) == ordered((i, secret_spans(t)) for i, t in hard_rows())
@@ -137,6 +171,30 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_sharding_by_brute_force_and_a_map_opened_again(spark, tmp_path):
+    """Places follow from the stored map and each slot's rows; the next version moves few slots."""
+    rows = hard_rows() + [(i, prose(i, i % 90)) for i in range(100, 500)]
+    folder = f"file://{tmp_path}/map"
+    out = sharding.shard(hard_frame(spark, rows), shards=6, slots=64, folder=folder).collect()
+    maps = sharding.SlotMaps(spark, folder)
+    version, shard_of = maps.latest()
+    size_of, rows_of = {}, {}
+    for r in out:
+        size_of[r.virtual_slot] = size_of.get(r.virtual_slot, 0) + r["size"]
+        rows_of.setdefault(r.virtual_slot, []).append((r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"]))
+    assert version == 1 and shard_of == sharding.rebalanced(sharding.first_map(6, 64), size_of, 6)
+    want = []
+    for shard in range(6):
+        ranked = [row for slot in range(64) if shard_of[slot] == shard for row in sorted(rows_of.get(slot, []))]
+        want += [(shard, place, *row) for place, row in enumerate(ranked)]
+    assert sorted((r.shard, r.slot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"]) for r in out) == sorted(want)
+    more = sharding.shard(hard_frame(spark, [*rows, *[(i, prose(i, 20)) for i in range(600, 640)]]), shards=6, slots=64, folder=folder).collect()
+    version, after = maps.latest()
+    assert version == 2 and sum(a != b for a, b in zip(shard_of, after, strict=True)) < 16 and len(more) == len(rows) + 40
+    grown = sharding.rebalanced(after, {s: 1 for s in range(64)}, 7)
+    assert {grown[s] for s in range(64) if grown[s] != after[s]} <= set(range(7)) and 6 in grown
+
+
 def test_sharding_is_even_gapless_and_stable(spark):
     rows = hard_rows() + [(i, prose(i, i % 90)) for i in range(100, 600)]
     out = sharding.shard(hard_frame(spark, rows)).collect()

@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages: toxicity, near duplicates, benchmark decontamination, mixing and sharding.
 
 Each stage is called with the rows that its predecessor kept. All but the last return the columns of ``documents``.
+Whatever a column holds (nulls, empty and very long texts, repeated rows, names that operators use inside), a stage
+treats it as its operator says; an empty table passes through all of them.
 Stages 1 to 3 filter or cut; stage 4 repeats documents of domains that are short of their target and drops none; stage 5
 assigns every row to a shard.
 """
@@ -48,7 +50,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", sharded),
 ]
 
-#: Trained and iterative stages can't be written in SQL; tests compare run() with brute force.
+#: Trained and iterative stages can't be written in SQL; tests compare each stage with a brute-force version on its own input,
+#: and run() row by row with the stages.
 ORACLE_SQL = None
 
 

@@ -172,6 +172,11 @@ def line_kind(line: Column) -> Column:
     return reduce(lambda chain, rule: chain.when(F.rlike(line, F.lit(rule[0])), rule[1]), rules[1:], F.when(F.rlike(line, F.lit(rules[0][0])), rules[0][1])).otherwise("paragraph")
 
 
+def marked_spans(line: Column) -> Column:
+    """Bold and code spans of a line, marks included, in order."""
+    return F.regexp_extract_all(line, F.lit(r"\*\*[^*]+\*\*|`[^`]+`"), F.lit(0))
+
+
 def cased_like(word: Column, model: Column) -> Column:
     """``word`` in the casing of ``model``: all capitals, leading capital, or as it is."""
     letters = F.regexp_replace(model, r"[^\p{L}]", "")

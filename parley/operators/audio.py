@@ -86,6 +86,13 @@ def overlap_added(frames: DataFrame, shift: int = SHIFT) -> DataFrame:
     return cells.groupBy("session_id", (F.col("k") * shift + F.col("i")).alias("pos")).agg(F.sum("x").alias("x"))
 
 
+def normalised(cells: DataFrame, *keys: str) -> DataFrame:
+    """Values (x) less their mean over the rows of the same keys, by the sample deviation (z); a single one stays as it is."""
+    stats = cells.groupBy(*keys).agg(F.avg("x").alias("_mean"), F.stddev_samp("x").alias("_sd"), F.count(F.lit(1)).alias("_n"))
+    z = F.when(F.col("_n") > 1, (F.col("x") - F.col("_mean")) / (F.col("_sd") + 1e-5)).otherwise(F.col("x"))
+    return cells.join(stats, list(keys)).withColumn("z", z).drop("_mean", "_sd", "_n")
+
+
 def sample_offset(captured_ms: Column, epoch_ms: Column) -> Column:
     """Samples from the epoch to a time, signed, rounded."""
     return F.round((captured_ms - epoch_ms) * RATE / 1000).cast("long")

@@ -20,9 +20,9 @@ def _listed(items: str, *fields: str) -> Column:
     return F.array_join(F.transform(items, lambda i: F.concat_ws(":", *[F.coalesce(i[f].cast("string"), F.lit("-")) for f in fields])), ",")
 
 
-def _shown(rows: DataFrame) -> DataFrame:
+def _shown(rows: DataFrame, *more: Column | str) -> DataFrame:
     first = F.left(F.try_element_at("segments", F.lit(1))["utterance"], F.lit(20))
-    return rows.select("session_id", "started_at", "ended_at", "title", F.size("segments").cast("long").alias("n_segments"), first.alias("opening"), _listed("insights", "segment_index", "offset_ms").alias("notes"), _listed("blocks", "start_index", "end_index").alias("covered"))
+    return rows.select("session_id", "started_at", "ended_at", "title", F.size("segments").cast("long").alias("n_segments"), first.alias("opening"), _listed("insights", "segment_index", "offset_ms").alias("notes"), _listed("blocks", "start_index", "end_index").alias("covered"), *more)
 
 
 def split_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +32,12 @@ def split_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions 2k and 2k + 1 as one, given in the wrong order for odd k."""
     rows = demo_sessions(spark, sf_dir).withColumn("n", F.substring("session_id", 2, 6).cast("int"))
-    packed = rows.select("n", F.struct(*[c for c in rows.columns if c != "n"]).alias("s"))
-    even, odd = packed.where("n % 2 = 0").select(F.floor(F.col("n") / 2).alias("k"), F.col("s").alias("e")), packed.where("n % 2 = 1").select(F.floor(F.col("n") / 2).alias("k"), F.col("s").alias("o"))
-    swapped = F.col("k") % 2 == 1
-    pairs = even.join(odd, "k").select(F.when(swapped, F.col("o")).otherwise(F.col("e")).alias("first"), F.when(swapped, F.col("e")).otherwise(F.col("o")).alias("second"))
-    merged = sessions.merge(pairs)
-    return _shown(merged).join(merged.select("session_id", F.array_join("attendees", ",").alias("attendees"), "playbook", "backend_session_id", "notes_markdown", F.col("outcome.felt.provenance").alias("felt_by")), "session_id")
+    packed = rows.select("n", F.floor(F.col("n") / 2).alias("k"), F.struct(*[c for c in rows.columns if c != "n"]).alias("s"))
+    swapped = F.col("k") % 2 == 1  # one grouping brings the two of a pair together
+    side = lambda parity: F.any_value(F.when(F.col("n") % 2 == F.when(swapped, 1 - parity).otherwise(parity), F.col("s")), True)
+    pairs = packed.groupBy("k").agg(side(0).alias("first"), side(1).alias("second")).where("first is not null and second is not null")
+    more = [F.array_join("attendees", ",").alias("attendees"), "playbook", "backend_session_id", "notes_markdown", F.col("outcome.felt.provenance").alias("felt_by")]
+    return _shown(sessions.merge(pairs), *more)
 
 
 def insight_anchor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +126,11 @@ SELECT s.session_id, '## Suggestions' || chr(10) || string_agg(line, '' ORDER BY
     "insight_upsert": f"""WITH i AS (SELECT * FROM {SQL_NOTES}), s AS (SELECT * FROM {SQL_SESSION})
 SELECT s.session_id, string_agg(offset_ms || ':note ' || i || ':' || CASE WHEN i % 2 = 0 THEN 'n-' || i ELSE 'late-' || offset_ms END || ':' || CASE WHEN i % 2 = 0 THEN 'signals' ELSE 'assistant' END, ',' ORDER BY i) || ',0:new:new:signals' AS notes,
   CAST(1 AS BIGINT) AS n_rated FROM s JOIN i ON i.n = s.n GROUP BY s.session_id""",
+    "insight_dedupe_last": """WITH RECURSIVE r AS (SELECT user_id, event_id, event_type AS message, CASE WHEN event_id % 4 = 0 THEN event_id % 40 END AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f(user_id, k, event_id, kept, last, ids) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST(NULL AS VARCHAR), CAST([] AS BIGINT[]) FROM r WHERE k = 1
+  UNION ALL SELECT user_id, k, event_id, NOT same, CASE WHEN same THEN last ELSE message END, CASE WHEN same OR id IS NULL THEN ids ELSE list_append(ids, id) END FROM (
+    SELECT r.*, f.last, f.ids, r.message IS NOT DISTINCT FROM f.last OR (r.id IS NOT NULL AND list_contains(f.ids, r.id)) AS same FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1))
+SELECT user_id, event_id FROM f WHERE kept""",
     "outcome_precedence": """WITH o AS (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 'user' ELSE 'crm' END AS provenance FROM orders)
 SELECT o_custkey, o_orderstatus AS value, provenance FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN provenance = 'user' THEN 0 ELSE 1 END, o_orderkey DESC) = 1""",
     "unpublished_outcomes": f"""WITH s AS (SELECT *, 'b' || (n // 4) AS backend_session_id FROM {SQL_SESSION} WHERE n % 2 = 0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions import arrays as A
 from parley.functions import budget, signal
 from parley.functions import text as T
-from parley.operators import catalogs, speakers, vocabulary
+from parley.operators import audio, catalogs, speakers, vocabulary
 from parley.sources.driver_tables import table, turns
 
 SIMILAR = 0.2
@@ -88,9 +88,7 @@ def downmix_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each position of the vectors of a label normalised by mean and sample deviation."""
     cells = _embeddings(spark, sf_dir).select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))
-    stats = cells.groupBy("label", "pos").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count(F.lit(1)).alias("n"))
-    z = F.when(F.col("n") > 1, (F.col("x") - F.col("mean")) / (F.col("sd") + 1e-5)).otherwise(F.col("x"))
-    return cells.join(stats, ["label", "pos"]).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(z, 6).alias("z"))
+    return audio.normalised(cells, "label", "pos").select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("z", 6).alias("z"))
 
 
 def chunk_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +124,9 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small string functions over page addresses and part names."""
     url = F.col("url")
     return table(spark, sf_dir, "pages").select(
-        "page_id", T.joined_url(url, F.lit("/api")).alias("api"), T.folder_name(url).alias("folder"), T.is_safe_path(url).alias("safe"), T.locale_of(F.lit("pl-PL")).alias("locale"),
-        T.continuation(F.left(url, F.lit(8)), url).alias("rest"), T.cased_like(F.lit("word"), F.lit("LOUD")).alias("loud"), T.line_kind(F.concat(F.lit("## "), url)).alias("kind"),
+        "page_id", T.joined_url(url, F.lit("/api")).alias("api"), T.folder_name(url).alias("folder"), T.is_safe_path(url).alias("safe"), T.locale_of(F.concat(F.when(F.col("page_id") % 3 == 0, "pl").when(F.col("page_id") % 3 == 1, "EN").otherwise("de"), F.lit("-XX"))).alias("locale"),
+        T.continuation(F.left(url, F.lit(8)), url).alias("rest"), T.cased_like(F.lit("word"), F.when(F.col("page_id") % 3 == 0, "LOUD").when(F.col("page_id") % 3 == 1, "Loud").otherwise("loud")).alias("cased"),
+        T.line_kind(F.concat(F.element_at(F.split(F.lit("- [x] ,- ,### ,## ,# ,"), ","), (F.col("page_id") % 6 + 1).cast("int")), url)).alias("kind"), F.size(T.marked_spans(F.concat(F.lit("a **b** `"), url, F.lit("` **c**")))).cast("long").alias("n_spans"),
     )
 
 
@@ -158,7 +157,7 @@ SELECT repo, base, shards FROM g QUALIFY row_number() OVER (PARTITION BY repo OR
     "catalog_parity": """SELECT p_partkey AS key, CASE WHEN p_partkey % 12 = 0 THEN 'missing right' WHEN p_partkey % 10 = 0 THEN 'missing left' ELSE 'other marks' END AS problem
 FROM part WHERE (p_partkey % 10 <> 0 OR p_partkey % 12 <> 0) AND (p_partkey % 10 = 0 OR p_partkey % 12 = 0 OR p_size % 2 <> 0)""",
     "text_helpers": """SELECT page_id, CASE WHEN regexp_matches(u, '^https?://[^/]') THEN u END AS api, regexp_replace(url, '[/\\\\]', '__', 'g') AS folder, NOT contains(url, ':') AND NOT contains(url, chr(92)) AND NOT list_has_any(string_split(url, '/'), ['', '.', '..']) AS safe,
-  'pl' AS locale, substr(url, 9) AS rest, 'WORD' AS loud, 'h2' AS kind FROM (SELECT *, rtrim(url, '/') || '/api' AS u FROM pages)""",
+  CASE WHEN page_id % 3 = 0 THEN 'pl' ELSE 'en' END AS locale, substr(url, 9) AS rest, CASE page_id % 3 WHEN 0 THEN 'WORD' WHEN 1 THEN 'Word' ELSE 'word' END AS cased, (['checkbox', 'bullet', 'h3', 'h2', 'h1', 'paragraph'])[page_id % 6 + 1] AS kind, 3 AS n_spans FROM (SELECT *, rtrim(url, '/') || '/api' AS u FROM pages)""",
 }
 
 QUERIES = (

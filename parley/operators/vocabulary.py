@@ -34,14 +34,14 @@ def _most(a_size: Column, b_size: Column) -> Column:
 def matches(tokens: DataFrame, terms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """token, term and score of the best term for each distinct token; none for tokens that are a term or too short.
     Terms (term, rank) with the smaller rank win ties. Pairs are met by length, never as a product, and only those whose
-    characters allow the threshold are scored."""
+    characters allow the threshold are scored, once each (the filter stays above a score that isn't deterministic to Spark)."""
     low = terms.select("term", "rank", F.lower("term").alias("low")).withColumn("size", F.length("low")).select("*", *_profile("low", "b"))
     words = tokens.select("token").distinct().withColumn("low_token", F.lower("token")).where(F.length("low_token") >= LEAST_CHARS)
     unknown = words.join(low.select(F.col("low").alias("low_token")).distinct(), "low_token", "left_anti")
     near = unknown.withColumn("own", F.length("low_token")).select("*", *_profile("low_token", "a"))
     near = near.withColumn("size", F.explode(F.sequence(F.col("own") - LENGTH_GAP, F.col("own") + LENGTH_GAP)))
     able = near.join(low, "size").where(_most(F.col("own"), F.col("size")) >= threshold - 1e-9)
-    scored = able.withColumn("score", jaro_winkler_of("low_token", "low")).where(F.col("score") >= threshold)
+    scored = able.withColumn("score", jaro_winkler_of.asNondeterministic()("low_token", "low")).where(F.col("score") >= threshold)
     best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "rank"))
     return scored.withColumn("n", best).where("n = 1").select("token", "term", "score")
 

@@ -32,15 +32,19 @@ def debounce_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.bursts(event_stream(spark, sf_dir), GAP_MS)
 
 
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in thousands as recordings, numbered from 1."""
+    session = F.floor(F.col("event_id") / 1000)
+    return table(spark, sf_dir, "events").select(session.alias("session_id"), F.row_number().over(Window.partitionBy(session).orderBy("ts", "event_id")).alias("n"), "value", "event_id")
+
+
 def sliding_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("session_id"), place.cast("long").alias("n"), "value")
+    rows = _recordings(spark, sf_dir).select("session_id", F.col("n").cast("long").alias("n"), "value")
     return streams.envelope(rows).select("session_id", "n", F.round("mean", 8).alias("mean"), F.round("modulation", 8).alias("modulation"))
 
 
 def lagged_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("session_id"), place.alias("n"), F.col("value").alias("near"), (F.col("event_id") % 17).cast("double").alias("far"))
+    rows = _recordings(spark, sf_dir).select("session_id", "n", F.col("value").alias("near"), (F.col("event_id") % 17).cast("double").alias("far"))
     return streams.best_lag(rows).select("session_id", F.round("correlation", 6).alias("correlation"))
 
 
@@ -94,10 +98,10 @@ SELECT session_id, i AS chunk_idx, event FROM f WHERE event IS NOT NULL""",
     "debounce_bursts": f"""WITH e AS (SELECT *, CASE WHEN at_ms - lag(at_ms) OVER (PARTITION BY session_id ORDER BY at_ms, event_id) < {GAP_MS} THEN 0 ELSE 1 END AS edge FROM {SQL_EVENTS}),
 b AS (SELECT *, CAST(sum(edge) OVER (PARTITION BY session_id ORDER BY at_ms, event_id) AS BIGINT) AS burst FROM e)
 SELECT session_id, burst, min(at_ms) AS first_ms, max(at_ms) AS last_ms, count(*) AS n FROM b GROUP BY session_id, burst""",
-    "sliding_envelope": """WITH r AS (SELECT event_type AS session_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, value FROM events),
+    "sliding_envelope": """WITH r AS (SELECT event_id // 1000 AS session_id, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY ts, event_id) AS n, value FROM events),
 w AS (SELECT *, avg(value) OVER l AS mean, stddev_pop(value) OVER l AS spread FROM r WINDOW l AS (PARTITION BY session_id ORDER BY n ROWS BETWEEN 95 PRECEDING AND CURRENT ROW))
 SELECT session_id, n, round(mean, 8) AS mean, round(spread / (mean + 1e-9), 8) AS modulation FROM w WHERE n >= 96 AND n % 32 = 0""",
-    "lagged_correlation": "WITH r AS (SELECT event_type AS session_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, value AS near, CAST(event_id % 17 AS DOUBLE) AS far FROM events), l AS (SELECT session_id, near, "
+    "lagged_correlation": "WITH r AS (SELECT event_id // 1000 AS session_id, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY ts, event_id) AS n, value AS near, CAST(event_id % 17 AS DOUBLE) AS far FROM events), l AS (SELECT session_id, near, "
     + ", ".join(f"lag(far, {k}) OVER (PARTITION BY session_id ORDER BY n) AS f{k}" for k in range(33))
     + " FROM r) SELECT session_id, round(greatest("
     + ", ".join(f"CASE WHEN count(f{k}) >= 24 THEN corr(near, f{k}) END" for k in range(33))

@@ -42,7 +42,7 @@ def centroid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _embeddings(spark, sf_dir).select((F.col("vec_id") % 20).alias("session_id"), F.col("vec_id").alias("idx"), "embedding")
+    rows = _embeddings(spark, sf_dir).select((F.floor(F.col("vec_id") / 25)).alias("session_id"), F.col("vec_id").alias("idx"), "embedding")
     return speakers.session_clusters(rows, SIMILAR)
 
 
@@ -97,8 +97,8 @@ def chunk_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean absolute normalised log-mel value of the joined vectors of each label."""
-    rows = _embeddings(spark, sf_dir).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    """Mean absolute normalised log-mel value of every fifty vectors joined."""
+    rows = _embeddings(spark, sf_dir).withColumn("label", F.floor(F.col("vec_id") / 50)).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
     joined = rows.select("label", F.flatten(F.transform("v", lambda v: v["embedding"])).alias("samples"))
     mel = joined.select("label", F.size("samples").alias("n_samples"), signal.log_mel_of("samples").alias("mel"))
     level = F.aggregate(F.flatten("mel"), F.lit(0.0), lambda t, x: t + F.abs(x)) / F.greatest(F.size(F.flatten("mel")), F.lit(1))
@@ -140,6 +140,12 @@ SQL = {
   SELECT e.vec_id, c.label, list_cosine_similarity(e.v, c.c) AS s FROM {SQL_EMB} e, {SQL_CENTROIDS} c QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY s DESC, c.label) = 1) WHERE s >= {SIMILAR}""",
     "centroid_mean": f"SELECT label, pos - 1 AS pos, round(avg(v[pos]), 6) AS x, count(*) AS n FROM {SQL_EMB}, range(1, 65) r(pos) GROUP BY label, pos",
     "centroid_update": f"SELECT CAST(label AS VARCHAR) AS speaker_id, count(*) AS sample_count, round(sum(list_sum(v)) / count(*), 6) AS total FROM {SQL_EMB} GROUP BY label",
+    "leader_clusters": f"""WITH RECURSIVE e AS (SELECT vec_id // 25 AS session_id, vec_id AS idx, v, row_number() OVER (PARTITION BY vec_id // 25 ORDER BY vec_id) AS k FROM {SQL_EMB}),
+f(session_id, k, idx, cluster, sums) AS (SELECT session_id, k, idx, CAST(0 AS BIGINT), [v] FROM e WHERE k = 1
+  UNION ALL SELECT session_id, k, idx, coalesce(best - 1, len(sums)), CASE WHEN best IS NULL THEN list_append(sums, v) ELSE list_transform(sums, lambda s, i: CASE WHEN i = best THEN list_transform(s, lambda x, j: x + v[j]) ELSE s END) END
+  FROM (SELECT *, CASE WHEN list_max(scores) >= {SIMILAR} THEN list_position(scores, list_max(scores)) END AS best FROM (
+    SELECT e.*, f.sums, list_transform(f.sums, lambda s: list_cosine_similarity(s, e.v)) AS scores FROM f JOIN e ON e.session_id = f.session_id AND e.k = f.k + 1)))
+SELECT session_id, idx, cluster FROM f""",
     "fuzzy_vocab_match": f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM conversations), k AS (SELECT term FROM {SQL_TERMS}),
 s AS (SELECT token, term, jaro_winkler_similarity(token, term) AS score FROM t JOIN k ON abs(length(token) - length(term)) <= 2 WHERE length(token) >= 4 AND token NOT IN (SELECT term FROM k))
 SELECT token, term, round(score, 6) AS score FROM s WHERE score >= 0.86 QUALIFY row_number() OVER (PARTITION BY token ORDER BY score DESC, term) = 1""",

@@ -53,7 +53,7 @@ BUCKET_HASHES = 1_000_000
 SLICE = 1 << 18
 ROWS_AT_ONCE = 1 << 15
 BUCKET_CONTEXTS = 100_000
-SORTED_AT_ONCE = 20_000
+SORTED_AT_ONCE = 8_000
 #: An anchor of more texts than this is compared window by window.
 HOT_TEXTS = 5_000
 #: About this many bytes to an anchor, for numbers of buckets only.

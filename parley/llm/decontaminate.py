@@ -10,7 +10,8 @@ the driver passes it on as bytes in a broadcast of its own. The documents are st
 hit runs united, so the benchmark, not the corpus, has to fit a task's memory.
 
 Defined cases: null or empty texts and items have no words and match nothing; repeated items count each; repeated rows
-get the same answer each; a null item_id is left out of the list of ids but hits; other columns are ignored; an empty
+get the same answer each; of pieces that end at one word all count, whatever their lengths; a very long text is one list of
+words; a null item_id is left out of the list of ids but hits; other columns are ignored; an empty
 benchmark hits nothing, an empty table of documents gives no rows.
 """
 

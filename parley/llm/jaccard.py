@@ -16,7 +16,8 @@ union. The steps, each over all documents:
 Nothing is capped or sampled: every pair of classes that can link meets in one task. Shingles are compared by 64-bit
 hashes. Defined cases: null, empty and wordless texts have empty sets, link with nothing and are their own component;
 repeated rows are documents with equal sets; a null doc_id takes part, and a component of null ids only has a null id;
-an empty table gives no rows; other columns are ignored.
+shingles that as many classes hold are ordered by hash; a pair at exactly the threshold links; a very long text is worked
+on whole, in arrays of about 40 times its bytes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

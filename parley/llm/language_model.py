@@ -12,7 +12,8 @@ and at the empty history a word not seen elsewhere counts ``UNSEEN``. ``score``
 
 Counts are exact up to collisions of 64-bit hashes. Defined cases: null and empty texts have no words and score 0;
 repeated rows and copies count as other documents; a null doc_id is a document like any other; a corpus of one document
-has every word unseen; an empty table gives no rows; other columns are ignored.
+has every word unseen; n-grams that count alike are told apart by their hash alone; a very long text is worked on whole,
+in arrays of about 60 times its bytes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ copies by a hash of the document: ``floor(rate + u)``.
 
 Defined cases: a null or empty text has no tokens and the prior as posterior; repeated rows are counted each; a null
 doc_id is mixed like any other; rows without a language aren't trained on; without labelled rows every rate is 1 (or
-``least``, if more); an empty table gives no rows; other columns are kept by ``mixed`` and ignored elsewhere.
+``least``, if more); of equal posteriors the first domain by name is the likeliest; a very long text is exploded into
+words like any other; an empty table gives no rows; other columns are kept by ``mixed`` and ignored elsewhere.
 """
 
 from __future__ import annotations

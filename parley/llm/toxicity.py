@@ -12,7 +12,8 @@ language, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts have the empty term set and get a score from b and the length class; repeated rows
 score alike; a null doc_id counts as held out (the CRC of no bytes is 0) and is never trained on; without labelled
-rows, or with one class only, every score is 0; empty tables give no rows; other columns are ignored.
+rows, or with one class only, every score is 0; a score of exactly 0.5 counts as toxic; a very long text is worked on whole,
+in arrays of about 100 times its bytes; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -195,6 +195,24 @@ def test_sharding_by_brute_force_and_a_map_opened_again(spark, tmp_path):
     assert {grown[s] for s in range(64) if grown[s] != after[s]} <= set(range(7)) and 6 in grown
 
 
+def test_texts_of_megabytes(spark):
+    """Two texts of over two million characters that differ at their end, and a short one."""
+    long = prose(8, 300_000)
+    rows = [(1, long), (2, long + " and more"), (3, "short"), (None, None)]
+    docs = hard_frame(spark, rows)
+    n = len(long.split(" "))
+    got = {r.doc_id: r for r in quality.quality(docs, labels_of(spark, [(1, 1, 0)])).collect()}
+    assert (got[1].n_words, got[2].n_words, got[1].word_chars) == (n, n + 2, len(long) - n + 1)
+    got = {r.doc_id: r for r in language_model.scores(docs).collect()}
+    assert (got[1].n_words, got[1].n_backoffs, got[2].n_words) == (n, 0, n + 2) and got[2].n_backoffs > 0
+    got = {r.doc_id: r for r in jaccard.jaccard_components(docs).collect()}
+    assert (got[1].component_id, got[2].component_id, got[3].component_id, got[1].n_links) == (1, 1, 3, 1)
+    passage = " ".join(long.split(" ")[200_000:200_040])
+    got = {r.doc_id: r for r in decontaminate.decontamination(docs, spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()}
+    assert got[1].n_hit >= 40 and got[1].n_items == 1 and got[3].n_hit == 0
+    assert len(licenses.licenses(docs).collect()) == 4
+
+
 def test_sharding_is_even_gapless_and_stable(spark):
     rows = hard_rows() + [(i, prose(i, i % 90)) for i in range(100, 600)]
     out = sharding.shard(hard_frame(spark, rows)).collect()

@@ -205,6 +205,37 @@ def route(events: DataFrame, sessions: DataFrame, pending: DataFrame, probes: Da
     return rows.select("task_id", F.col("_session").alias("session_id"), "status", "seq", final.alias("disposition"))
 
 
+def turn_outputs(events: DataFrame) -> DataFrame:
+    """What the events of chat turns (turn_id, seq, action, text) put out (turn_id, seq, n, type, text): a turn is registered
+    once, takes deltas while it is open, replays its text on a resume, and ends once by a reply, a cancellation or an error."""
+    turn = Window.partitionBy("turn_id")
+    before = turn.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    action, text = F.col("action"), F.coalesce("text", F.lit(""))
+    rows = events.withColumn("begun", F.min(F.when(action == "register", F.col("seq"))).over(turn)).where("seq >= begun")
+    rows = rows.withColumn("closed", F.min(F.when(action.isin("reply", "cancel", "error") & (F.col("seq") > F.col("begun")), F.col("seq"))).over(turn))
+    open_ = F.col("closed").isNull() | (F.col("seq") < F.col("closed"))
+    rows = rows.withColumn("said", F.array_join(F.collect_list(F.when((action == "delta") & open_, text)).over(before), ""))
+    rest = T.continuation(F.col("said"), text)
+    ends = action.isin("reply", "cancel", "error") & (F.col("seq") == F.col("closed"))
+    rows = rows.withColumn("added", F.when(ends & (action == "reply"), F.when(F.startswith(text, F.col("said")), F.substring(text, F.length("said") + 1, F.length(text))).otherwise(rest)).otherwise(F.lit("")))
+    rows = rows.withColumn("whole", F.concat("said", F.coalesce(F.max("added").over(before), F.lit(""))))
+
+    def out(kind: str, value: Column | str = "") -> Column:
+        return F.struct(F.lit(kind).alias("type"), (F.lit(value) if isinstance(value, str) else value).alias("text"))
+
+    finished = [out("text-end"), out("finish")]
+    parts = (
+        F.when(action == "register", F.array(F.when(F.col("seq") == F.col("begun"), out("start")).otherwise(out("refused"))))
+        .when(action == "resume", F.array(out("start"), out("text-start"), out("text-delta", F.col("whole"))))
+        .when((action == "delta") & open_, F.array(out("text-delta", text)))
+        .when(ends & (action == "cancel"), F.array(out("finish")))
+        .when(ends & (action == "error"), F.array(out("error", text), out("finish")))
+        .when(ends & (F.col("added") == ""), F.array(*finished))
+        .when(ends, F.array(out("text-delta", F.col("added")), *finished))
+    )
+    return rows.select("turn_id", "seq", F.posexplode(parts).alias("n", "o")).select("turn_id", "seq", "n", "o.type", "o.text")
+
+
 def token_stream(lines: DataFrame) -> DataFrame:
     """Kind (token, reasoning, finished, error, other) and text of server-sent lines (key, at, line)."""
     body = F.trim(F.regexp_extract("line", r"^data:(.*)$", 1))

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from parley.functions import arrays as A
 from parley.functions import text as T
 from parley.functions import times
-from parley.operators import catalogs, insights, sessions, speakers
+from parley.operators import catalogs, insights, speakers, streams
 from parley.plans.documents import SQL_NOTES, SQL_SESSION
+from parley.plans.streams import SQL_EVENTS
 from parley.plans.vectors import SQL_CENTROIDS, SQL_EMB, _embeddings
-from parley.sources.driver_tables import table
+from parley.sources import audio as audio_files
+from parley.sources.driver_tables import event_stream, table
 from parley.sources.folders import new_folder
 from parley.sources.sessions import demo_sessions, read_sessions, session_files, write_sessions
 from parley.sources.store import SessionStore, SummaryIndex
+from parley.streaming import processors
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -93,7 +96,45 @@ def voiceprints_after_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("speaker_id", "sample_count", F.round(A.total(F.col("centroid")), 6).alias("total"))
 
 
+def wav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as WAV files of 16 and 48 kHz, read as samples of 16 kHz."""
+    folder = new_folder(spark, "wav")
+    rate = F.when(F.col("vec_id") % 2 == 0, 16_000).otherwise(48_000)
+    audio_files.write_wav(_embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("name"), A.to_pcm(F.transform("embedding", lambda x: x * 4)).alias("samples"), rate.alias("rate")), folder)
+    read = audio_files.wav_files(spark, folder)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return read.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("vec_id"), "source_rate", F.size("samples").cast("long").alias("n"), F.round(total, 3).alias("total"))
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as chat turns: signups register, views are deltas, clicks resume, purchases reply, errors cancel."""
+    kind = F.col("event_type")
+    action = F.when(kind == "signup", "register").when(kind == "view", "delta").when(kind == "click", "resume").when((kind == "purchase") & (F.col("event_id") % 3 == 0), "reply").when((kind == "error") & (F.col("event_id") % 4 == 0), "cancel").otherwise("none")
+    text = F.when(kind == "view", F.concat(F.lit("d"), F.col("event_id"))).when(kind == "purchase", F.concat(F.lit("r"), F.col("event_id")))
+    rows = event_stream(spark, sf_dir).select(F.col("session_id").alias("turn_id"), F.col("event_id").alias("seq"), action.alias("action"), text.alias("text"))
+    return streams.turn_outputs(rows).select("turn_id", "seq", F.col("n").cast("long").alias("n"), "type", "text")
+
+
+def coalesced_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types of users as deltas, joined by hours."""
+    rows = event_stream(spark, sf_dir).select(F.col("session_id").alias("key"), F.timestamp_millis("at_ms").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("delta"))
+    return processors.coalesced_deltas(rows, "1 hour").select("key", F.unix_millis("start").alias("start_ms"), "text")
+
+
 SQL = {
+    "wav_roundtrip": f"""WITH s AS (SELECT vec_id, list_transform(v, lambda x: CAST(trunc(greatest(least(x * 4, 1), -1) * 32767) AS DOUBLE) / 32768) AS a FROM {SQL_EMB})
+SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 16000 ELSE 48000 END AS source_rate, CASE WHEN vec_id % 2 = 0 THEN len(a) ELSE CAST(ceil(len(a) / 3.0) AS BIGINT) END AS n,
+  round(CASE WHEN vec_id % 2 = 0 THEN list_sum(a) ELSE list_sum(list_transform(range(0, CAST(ceil(len(a) / 3.0) AS BIGINT)), lambda i: a[i * 3 + 1])) END, 3) AS total FROM s""",
+    "chat_turns": f"""WITH r AS (SELECT session_id AS turn_id, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'register' WHEN event_type = 'view' THEN 'delta' WHEN event_type = 'click' THEN 'resume' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'reply' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'cancel' END AS a FROM {SQL_EVENTS}),
+b AS (SELECT *, min(seq) FILTER (WHERE a = 'register') OVER (PARTITION BY turn_id) AS begun FROM r), c AS (SELECT *, min(seq) FILTER (WHERE a IN ('reply', 'cancel') AND seq > begun) OVER (PARTITION BY turn_id) AS closed FROM b WHERE seq >= begun),
+s AS (SELECT *, closed IS NULL OR seq < closed AS open_, coalesce(string_agg('d' || seq, '' ORDER BY seq) FILTER (WHERE a = 'delta' AND (closed IS NULL OR seq < closed)) OVER (PARTITION BY turn_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS said FROM c),
+t AS (SELECT *, CASE WHEN a = 'reply' AND seq = closed THEN CASE WHEN said = '' THEN 'r' || seq ELSE chr(10) || chr(10) || 'r' || seq END ELSE '' END AS added FROM s),
+w AS (SELECT *, said || coalesce(max(added) OVER (PARTITION BY turn_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS whole FROM t),
+o AS (SELECT turn_id, seq, unnest(CASE WHEN a = 'register' THEN [{{'n': 0, 't': CASE WHEN seq = begun THEN 'start' ELSE 'refused' END, 'x': ''}}] WHEN a = 'resume' THEN [{{'n': 0, 't': 'start', 'x': ''}}, {{'n': 1, 't': 'text-start', 'x': ''}}, {{'n': 2, 't': 'text-delta', 'x': whole}}]
+  WHEN a = 'delta' AND open_ THEN [{{'n': 0, 't': 'text-delta', 'x': 'd' || seq}}] WHEN a = 'cancel' AND seq = closed THEN [{{'n': 0, 't': 'finish', 'x': ''}}]
+  WHEN a = 'reply' AND seq = closed THEN [{{'n': 0, 't': 'text-delta', 'x': added}}, {{'n': 1, 't': 'text-end', 'x': ''}}, {{'n': 2, 't': 'finish', 'x': ''}}] ELSE [] END) AS e FROM w)
+SELECT turn_id, seq, CAST(e.n AS BIGINT) AS n, e.t AS type, e.x AS text FROM o""",
+    "coalesced_deltas": f"SELECT session_id AS key, at_ms // 3600000 * 3600000 AS start_ms, string_agg(event_type, '' ORDER BY event_id) AS text FROM {SQL_EVENTS} GROUP BY 1, 2",
     "stored_sessions": f"""SELECT session_id, CASE WHEN n % 5 = 0 THEN 'removed' ELSE 'saved' END AS last_change, 1 + (n % 3 = 1)::INT + (n % 5 = 0)::INT AS n_changes,
   CASE WHEN n % 5 <> 0 THEN CASE WHEN n % 3 = 1 THEN 'Again ' || n ELSE title END END AS title, CASE WHEN n % 5 <> 0 THEN size END AS n_segments FROM {SQL_SESSION}""",
     "session_documents_read": f"""SELECT session_id, title, size AS n_segments, 0 AS n_chat, CASE WHEN n % 2 = 0 THEN (SELECT count(*) FROM {SQL_NOTES} i WHERE i.n = s.n AND i.i % 2 = 0) ELSE 0 END AS n_known, true AS is_long, n % 2 = 1 AS title_is_auto FROM {SQL_SESSION} s""",
@@ -112,4 +153,4 @@ a AS (SELECT label, count(*) AS k, sum(list_sum(v)) AS s FROM b GROUP BY label)
 SELECT 'spk_' || c.label AS speaker_id, n + coalesce(k, 0) AS sample_count, round((list_sum(c) * n + coalesce(s, 0)) / (n + coalesce(k, 0)), 6) AS total FROM c LEFT JOIN a ON a.label = c.label""",
 }
 
-QUERIES = (stored_sessions, session_documents_read, summary_index_refresh, small_selections, text_pieces, insights_appended, voiceprints_after_session)
+QUERIES = (stored_sessions, session_documents_read, summary_index_refresh, small_selections, text_pieces, insights_appended, voiceprints_after_session, wav_roundtrip, chat_turns, coalesced_deltas)

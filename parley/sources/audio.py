@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, StructField, StructType
+
+from parley.sources.folders import write_files
 
 RATE = 16_000
 _DECODED = StructType([StructField("samples", ArrayType(FloatType())), StructField("rate", IntegerType())])
@@ -56,3 +58,22 @@ def wav_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
     rows = files.select("path", _decoded("content").alias("d"))
     return rows.where("d.samples is not null").select("path", "d.samples", F.col("d.rate").alias("source_rate"))
+
+
+@F.pandas_udf(BinaryType())
+def _encoded(samples: pd.Series, rates: pd.Series) -> pd.Series:
+    out = []
+    for values, rate in zip(samples, rates, strict=True):
+        held = io.BytesIO()
+        with wave.open(held, "wb") as file:
+            file.setnchannels(1)
+            file.setsampwidth(2)
+            file.setframerate(int(rate))
+            file.writeframes(np.asarray(values, dtype="<i2").tobytes())
+        out.append(held.getvalue())
+    return pd.Series(out, dtype=object)
+
+
+def write_wav(rows: DataFrame, folder: str) -> None:
+    """A mono WAV file of 16 bits for each row (name, samples, rate)."""
+    write_files(rows.select("name", _encoded("samples", "rate").alias("content")), folder, ".wav")

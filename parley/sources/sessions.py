@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import schemas as S
 from parley.functions.text import is_session_id
 from parley.sources.driver_tables import dense_segments
+from parley.sources.folders import write_files
 
 SUFFIX = ".json"
 
@@ -43,23 +39,9 @@ def session_file(spark: SparkSession, folder: str, session_id: str) -> DataFrame
 
 
 def write_sessions(sessions: DataFrame, folder: str) -> None:
-    """One JSON document for each session, named by its id, written by the tasks; ids that could leave the folder are refused.
-    Spark names its own files, so each task moves what it wrote into place: a document is there whole or not at all."""
-    rows = sessions.where(is_session_id(F.col("session_id"))).select("session_id", F.to_json(F.struct(*sessions.columns), {"ignoreNullFields": "false"}).alias("document"))
-    target = folder.removeprefix("file://")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), target)
-        place.create_dir(root, recursive=True)
-        for batch in batches:
-            for name, document in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                draft = f"{root}/.{name}-{uuid.uuid4().hex}"
-                with place.open_output_stream(draft) as out:
-                    out.write(document.encode("utf-8"))
-                place.move(draft, f"{root}/{name}{SUFFIX}")
-            yield batch.select(["session_id"])
-
-    rows.mapInArrow(run, "session_id string").write.format("noop").mode("overwrite").save()
+    """One JSON document for each session, named by its id; ids that could leave the folder are refused."""
+    document = F.to_json(F.struct(*sessions.columns), {"ignoreNullFields": "false"})
+    write_files(sessions.where(is_session_id(F.col("session_id"))).select(F.col("session_id").alias("name"), document.cast("binary").alias("content")), folder, SUFFIX)
 
 
 def with_defaults(sessions: DataFrame) -> DataFrame:

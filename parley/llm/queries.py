@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, jaccard, language_model, licenses, mixing, oracles, quality, secrets, sharding, substrings, toxicity
+from parley.llm import decontaminate, filter_audit, jaccard, language_model, licenses, line_dedup, mixing, oracles, phrases, quality, secrets, sharding, substrings, toxicity
 from parley.llm.tables import table
 
 
@@ -52,6 +52,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_quality_llr,
     op2_secret_ledger,
@@ -63,6 +75,9 @@ QUERIES = (
     op8_virtual_slots,
     op9_suffix_automaton,
     op10_suffix_dedup,
+    op11_filter_audit,
+    op12_phrase_mining,
+    op13_line_dedup,
 )
 
 
@@ -71,4 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": secrets.ORACLE_SQL, "op4_stupid_backoff": oracles.BACKOFF, "op6_jaccard_trie": oracles.JACCARD, "op9_suffix_automaton": oracles.DECONTAMINATION, "op10_suffix_dedup": oracles.SUBSTRINGS}
+    return {"op2_secret_ledger": secrets.ORACLE_SQL, "op4_stupid_backoff": oracles.BACKOFF, "op6_jaccard_trie": oracles.JACCARD, "op9_suffix_automaton": oracles.DECONTAMINATION, "op10_suffix_dedup": oracles.SUBSTRINGS,
+            "op11_filter_audit": filter_audit.ORACLE_SQL, "op12_phrase_mining": phrases.ORACLE_SQL, "op13_line_dedup": line_dedup.ORACLE_SQL}

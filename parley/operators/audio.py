@@ -1,15 +1,12 @@
 """Streams of samples as tables: blocks, alignment of two sides, echo, gate, mixing, stalls and utterances.
 
 A chunk is a row (session_id, at, samples) or, where only lengths matter, (session_id, start, n). Work on positions is
-joins, windows and grouping; what depends on its own past step by step (clock, echo regime, gate, mixer) runs through
-the rows of one session in a task, which are bounded by the length of a recording.
+joins, windows and grouping (more of them in ``recordings``); what depends on its own past step by step (clock, echo
+regime, gate) runs through the rows of one session in a task, which are bounded by the length of a recording.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +14,9 @@ from pyspark.sql import functions as F
 from parley.functions import text as T
 
 RATE = 16_000
-BLOCK = 512
 SHIFT = 128
 PREROLL = 3_200
 DRIFT = 1_600
-MOST_LEAD = 3_200
 LEAST_SAMPLES = 1_600
 STALL_MS = 10_000
 RESTARTS = 3
@@ -65,13 +60,6 @@ def _offsets(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("end", end).withColumn("start", F.col("end") - F.size("samples"))
 
 
-def reblocked(chunks: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Full blocks of ``size`` samples of each session, whatever the chunks' lengths; a rest makes none."""
-    cells = _offsets(chunks).select("session_id", "start", F.posexplode("samples").alias("i", "x")).select("session_id", (F.col("start") + F.col("i")).alias("pos"), "x")
-    blocks = cells.groupBy("session_id", F.floor(F.col("pos") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("cells"))
-    return blocks.where(F.size("cells") == size).select("session_id", "block", F.transform("cells", lambda c: c["x"]).alias("samples"))
-
-
 def with_preroll(chunks: DataFrame, most: int = PREROLL) -> DataFrame:
     """Each chunk with the last ``most`` samples up to its end: what is put before speech that starts there."""
     rows = _offsets(chunks)
@@ -80,12 +68,6 @@ def with_preroll(chunks: DataFrame, most: int = PREROLL) -> DataFrame:
     return rows.withColumn("ring", ring).withColumn("preroll", F.slice("ring", F.greatest(F.size("ring") - most + 1, F.lit(1)), F.lit(most))).drop("ring", "start", "end")
 
 
-def overlap_added(frames: DataFrame, shift: int = SHIFT) -> DataFrame:
-    """Samples (session_id, pos, x) of frames (session_id, k, samples), each laid ``shift`` after the one before and added up."""
-    cells = frames.select("session_id", "k", F.posexplode("samples").alias("i", "x"))
-    return cells.groupBy("session_id", (F.col("k") * shift + F.col("i")).alias("pos")).agg(F.sum("x").alias("x"))
-
-
 def normalised(cells: DataFrame, *keys: str) -> DataFrame:
     """Values (x) less their mean over the rows of the same keys, by the sample deviation (z); a single one stays as it is."""
     stats = cells.groupBy(*keys).agg(F.avg("x").alias("_mean"), F.stddev_samp("x").alias("_sd"), F.count(F.lit(1)).alias("_n"))
@@ -195,27 +177,6 @@ def gate_stats(parts: DataFrame, *keys: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.sum("windows").alias("windows"), gated.alias("gated"), mean.alias("mean_db"))
 
 
-def mixed_pushes(pushes: DataFrame, sources: int = 2, lead: int = MOST_LEAD) -> DataFrame:
-    """What each push (session_id, at, source, samples) lets out: sums of what all sources have, clipped to 16 bits; where one
-    has nothing, what another is ahead by more than ``lead``."""
-
-    def run(pdf: pd.DataFrame) -> dict[str, list]:
-        waiting = [deque() for _ in range(sources)]
-        out = []
-        for source, samples in zip(pdf["source"], pdf["samples"], strict=True):
-            mixed: list[int] = []
-            if 0 <= source < sources:
-                waiting[source].extend(np.asarray(samples, dtype=np.int64).tolist())
-                while take := min(map(len, waiting)) or max(max(map(len, waiting)) - lead, 0):
-                    parts = [[q.popleft() for _ in range(min(take, len(q)))] for q in waiting]
-                    total = np.sum([np.pad(np.array(p, dtype=np.int64), (0, take - len(p))) for p in parts], axis=0)
-                    mixed += np.clip(total, -32768, 32767).tolist()
-            out.append(mixed)
-        return {"mixed": out}
-
-    return _by_session(pushes, "at", run, "mixed array<int>")
-
-
 def stall_actions(chunks: DataFrame, limit_ms: int = STALL_MS, restarts: int = RESTARTS) -> DataFrame:
     """What a watch over the system's audio does (session_id, at_ms, action), for chunks (session_id, source system or mic,
     at_ms) and a last row (source ``end``): each time that ``limit_ms`` pass without system audio or restart, a restart;

@@ -11,35 +11,10 @@ from parley.plans.streams import SQL_EVENTS, WAIT_MS
 from parley.plans.vectors import SQL_EMB, _embeddings
 from parley.sources.driver_tables import event_stream, turns
 
-SIZE = 24
-RING = 100
-
-
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors in tens as the chunks of a session, of 64 samples and fewer."""
-    rows = _embeddings(spark, sf_dir)
-    return rows.select(F.floor(F.col("vec_id") / 10).alias("session_id"), F.col("vec_id").alias("at"), F.slice("embedding", 1, (F.col("vec_id") % 5 * 10 + 24).cast("int")).alias("samples"))
-
-
 def _total(samples: str):
     return F.round(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x), 6)
 
 
-def reblocked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.reblocked(_chunks(spark, sf_dir), SIZE).select("session_id", "block", _total("samples").alias("total"), F.round(F.element_at("samples", -1), 6).alias("last"))
-
-
-def preroll_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio.with_preroll(_chunks(spark, sf_dir), RING)
-    return rows.select("session_id", "at", F.size("preroll").cast("long").alias("n"), _total("preroll").alias("total"), F.round(F.element_at("preroll", 1), 6).alias("first"))
-
-
-def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors in tens as frames of 64 samples, each 16 after the one before."""
-    frames = _embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 10).alias("session_id"), (F.col("vec_id") % 10).alias("k"), F.col("embedding").alias("samples"))
-    return audio.overlap_added(frames, 16).select("session_id", "pos", F.round("x", 6).alias("x"))
-
-
 def nearest_decimation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir).withColumns({"a": A.decimated(F.col("embedding"), 48_000, 16_000), "b": A.decimated(F.col("embedding"), 44_100, 16_000)})
     return rows.select("vec_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), _total("a").alias("sum_a"), _total("b").alias("sum_b"))
@@ -90,13 +65,6 @@ def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.gate_stats(rows, "session_id").select("session_id", "windows", "gated", F.round("mean_db", 6).alias("mean_db"))
 
 
-def endpoint_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' events as pushes of 1 to 20 samples by two sources, one of which pauses."""
-    source = F.when(F.col("event_id") % 40 < 25, F.col("event_id") % 2).otherwise(F.lit(0)).cast("int")
-    rows = event_stream(spark, sf_dir).select("session_id", F.col("event_id").alias("at"), source.alias("source"), F.array_repeat(F.lit(1), (F.col("event_id") % 20 + 1).cast("int")).alias("samples"))
-    return audio.mixed_pushes(rows, 2, 30).select("session_id", "at", F.size("mixed").cast("long").alias("n"))
-
-
 def stall_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' views as system audio, other events as the microphone; what a watch of three days does until the last event."""
     rows = event_stream(spark, sf_dir)
@@ -168,18 +136,11 @@ def decoding_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_stream(spark, sf_dir).groupBy("session_id").agg(pairs.alias("t")).select("session_id", streams.frame_cursor(F.col("t"), 0).alias("frame"))
 
 
-_CHUNK = f"""(SELECT vec_id // 10 AS session_id, vec_id AS "at", v[1:CAST(vec_id % 5 * 10 + 24 AS BIGINT)] AS samples FROM {SQL_EMB})"""
-_CELLS = f"""(SELECT session_id, "at", start + i - 1 AS pos, samples[i] AS x FROM (SELECT *, unnest(range(1, len(samples) + 1)) AS i FROM (SELECT *, coalesce(sum(len(samples)) OVER (PARTITION BY session_id ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {_CHUNK})))"""
 _FOLD = f"(SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS k FROM {SQL_EVENTS})"
 _PICKED = "list_sum(list_transform(range(0, CAST(ceil(len(v) * 16000 / {r}) AS BIGINT)), lambda i: v[(i * {r}) // 16000 + 1]))"
 _TARGET = "CASE WHEN value / 200 >= 0.65 THEN power(10.0, -18 * power(least((value / 200 - 0.65) / (1 - 0.65), 1), 2) * (3 - 2 * least((value / 200 - 0.65) / (1 - 0.65), 1)) / 20) END"
 
 SQL = {
-    "reblocked_samples": f"""WITH c AS (SELECT *, CAST(pos // {SIZE} AS BIGINT) AS block FROM {_CELLS})
-SELECT session_id, block, round(sum(x), 6) AS total, round(arg_max(x, pos), 6) AS last FROM c GROUP BY session_id, block HAVING count(*) = {SIZE}""",
-    "preroll_ring": f"""WITH c AS (SELECT * FROM {_CELLS}), e AS (SELECT session_id, "at", max(pos) AS last FROM c GROUP BY session_id, "at")
-SELECT e.session_id, e."at", count(*) AS n, round(sum(x), 6) AS total, round(arg_min(x, pos), 6) AS first FROM e JOIN c ON c.session_id = e.session_id AND c.pos <= e.last AND c.pos > e.last - {RING} GROUP BY e.session_id, e.at""",
-    "overlap_add": f"SELECT session_id, pos, round(sum(x), 6) AS x FROM (SELECT vec_id // 10 AS session_id, vec_id % 10 * 16 + i - 1 AS pos, v[i] AS x FROM {SQL_EMB}, range(1, 65) r(i)) GROUP BY session_id, pos",
     "nearest_decimation": f"SELECT vec_id, CAST(ceil(len(v) * 16000 / 48000) AS INTEGER) AS n_a, CAST(ceil(len(v) * 16000 / 44100) AS INTEGER) AS n_b, round({_PICKED.format(r=48000)}, 6) AS sum_a, round({_PICKED.format(r=44100)}, 6) AS sum_b FROM {SQL_EMB}",
     "vector_arithmetic": f"""WITH e AS (SELECT vec_id, v, v[1] AS f, greatest(least(v[1] * 4, 1), 0) AS t FROM {SQL_EMB})
 SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * 2.5)), 6) AS scaled, round(list_sum(list_transform(v, lambda x, i: CASE WHEN (i - 1) % 7 = 0 OR (i - 1) % 11 = 0 THEN 0 ELSE x END)), 6) AS "finite", round(t * t * (3 - 2 * t), 6) AS smooth, round(power(10.0, f), 6) AS gain,
@@ -204,12 +165,6 @@ f(session_id, k, "at", target, gain) AS (SELECT session_id, CAST(0 AS BIGINT), C
   UNION ALL SELECT r.session_id, r.k, r."at", r.target, f.gain + CASE WHEN coalesce(r.target, 1) < f.gain THEN 0.2 ELSE 0.5 END * (coalesce(r.target, 1) - f.gain) FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1)
 SELECT session_id, "at", round(target, 6) AS target, round(gain, 6) AS gain FROM f WHERE k > 0""",
     "gate_summary": f"SELECT session_id, count(*) * 5 AS windows, CAST(sum(event_id % 4) AS BIGINT) AS gated, round(coalesce(sum(-value / 20 * (event_id % 4)) / nullif(sum(event_id % 4), 0), 0), 6) AS mean_db FROM {SQL_EVENTS} GROUP BY session_id",
-    "endpoint_mix": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS "at", k, CASE WHEN event_id % 40 < 25 THEN event_id % 2 ELSE 0 END AS source, event_id % 20 + 1 AS n FROM {_FOLD}),
-f(session_id, k, "at", a, b, n) AS (SELECT session_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM r WHERE k = 1
-  UNION ALL SELECT session_id, k, "at", least(a - both_, 30), least(b - both_, 30), both_ + greatest(a - both_ - 30, 0) + greatest(b - both_ - 30, 0) FROM (
-    SELECT r.session_id, r.k, r."at", f.a + CASE WHEN source = 0 THEN r.n ELSE 0 END AS a, f.b + CASE WHEN source = 1 THEN r.n ELSE 0 END AS b, least(f.a + CASE WHEN source = 0 THEN r.n ELSE 0 END, f.b + CASE WHEN source = 1 THEN r.n ELSE 0 END) AS both_
-    FROM f JOIN r ON r.session_id = f.session_id AND r.k = f.k + 1))
-SELECT session_id, "at", n FROM f WHERE k > 0""",
     "stall_watch": f"""WITH e AS (SELECT session_id, event_type = 'view' AS sys, at_ms FROM {SQL_EVENTS}), o AS (SELECT session_id, max(at_ms) + 1 AS over_ FROM e GROUP BY session_id),
 g AS (SELECT e.session_id, at_ms, coalesce(lead(at_ms) OVER (PARTITION BY e.session_id ORDER BY at_ms), over_) - at_ms AS gap FROM e JOIN o USING (session_id) WHERE sys),
 d AS (SELECT session_id, k, at_ms + k * 43200000 AS due FROM (SELECT *, unnest(range(1, least(gap // 43200000, 4) + 1)) AS k FROM g)), p AS (SELECT session_id, min(due) AS given_up FROM d WHERE k = 4 GROUP BY session_id),
@@ -255,6 +210,6 @@ SELECT session_id, CAST(arg_max(frame, k) AS INTEGER) AS frame FROM f GROUP BY s
 }
 
 QUERIES = (
-    reblocked_samples, preroll_ring, overlap_add, nearest_decimation, vector_arithmetic, clock_smoothing, aligned_timelines, echo_regimes, reference_gate, gate_summary, endpoint_mix, stall_watch,
+    nearest_decimation, vector_arithmetic, clock_smoothing, aligned_timelines, echo_regimes, reference_gate, gate_summary, stall_watch,
     assembled_utterances, dated_finals, throttled_partials, two_phase_timeouts, released_order, noise_floors, silence_skips, decoding_cursor,
 )

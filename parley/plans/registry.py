@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.plans import audio, documents, library, live, prompts, streams, transcripts, vectors
+from parley.plans import audio, documents, library, live, prompts, recordings, streams, transcripts, vectors
 
-MODULES = (transcripts, documents, streams, vectors, prompts, live, audio, library)
+MODULES = (transcripts, documents, streams, vectors, prompts, live, audio, recordings, library)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

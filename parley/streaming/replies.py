@@ -8,53 +8,38 @@ from typing import Any
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from parley.operators.replies import CAPACITY, RETIRED, SCHEMA, Registry, outcomes
+from parley.operators.replies import CAPACITY, RETIRED, SCHEMA, InMemory, Registry, outcomes
 
 
 class Stored:
-    """A bounded ``Memory`` in map state: entries by id with their places, and ids by place. The oldest is looked for from where
-    the last one was found, so that each place is passed once."""
+    """A bounded memory in map state, entries by id with their places. A batch loads them at once, as there are only so many,
+    and writes back those that it changed."""
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str, value: str, capacity: int | None, ttl_ms: int | None) -> None:
+    def __init__(self, handle: StatefulProcessorHandle, name: str, value: str, capacity: int | None, ttl_ms: int | None = None) -> None:
         self.capacity = capacity
-        self.entries = handle.getMapState(name, "id string", ", ".join(filter(None, ["place long", value])), ttl_ms)
-        self.order = handle.getMapState(f"{name}_order", "place long", "id string", ttl_ms)
-        self.ends = handle.getValueState(f"{name}_ends", "first long, next long, size long")
-
-    def get(self, name: str) -> tuple | None:
-        return tuple(self.entries.getValue((name,)))[1:] if self.entries.containsKey((name,)) else None
-
-    def _span(self) -> tuple[int, int, int]:
-        return tuple(self.ends.get()) if self.ends.exists() else (0, 0, 0)
-
-    def add(self, name: str, *value: Any) -> str | None:
-        if self.entries.containsKey((name,)):
-            return None
-        first, place, size = self._span()
-        self.entries.updateValue((name,), (place, *value))
-        self.order.updateValue((place,), (name,))
-        oldest = None
-        if self.capacity is not None and size == self.capacity:
-            while not self.order.containsKey((first,)):
-                first += 1
-            oldest = self.order.getValue((first,))[0]
-            self.order.removeKey((first,))
-            self.entries.removeKey((oldest,))
-            first, size = first + 1, size - 1
-        self.ends.update((first, place + 1, size + 1))
-        return oldest
-
-    def change(self, name: str, *value: Any) -> None:
-        self.entries.updateValue((name,), (self.entries.getValue((name,))[0], *value))
-
-    def drop(self, name: str) -> bool:
-        if not self.entries.containsKey((name,)):
-            return False
-        self.order.removeKey((self.entries.getValue((name,))[0],))
-        self.entries.removeKey((name,))
-        first, place, size = self._span()
-        self.ends.update((first, place, size - 1))
-        return True
+        self.state = handle.getMapState(name, "id string", ", ".join(filter(None, ["place long", value])), ttl_ms)
+
+    def load(self) -> InMemory:
+        self.before = {name: tuple(value) for (name,), value in self.state.iterator()}
+        self.memory = InMemory(self.capacity)
+        self.memory.entries = {name: value[1:] for name, value in sorted(self.before.items(), key=lambda e: e[1][0])}
+        return self.memory
+
+    def save(self) -> None:
+        """An entry keeps its place while places rise along the order; one that has left and come back gets a new one."""
+        top = max((value[0] for value in self.before.values()), default=0)
+        last = 0
+        for name, value in self.memory.entries.items():
+            old = self.before.pop(name, None)
+            if old is not None and old[0] > last and last <= top:
+                place = old[0]
+            else:
+                place = top = max(top, last) + 1
+            last = place
+            if (place, *value) != old:
+                self.state.updateValue((name,), (place, *value))
+        for name in self.before:
+            self.state.removeKey((name,))
 
 
 class Replies(StatefulProcessor):
@@ -67,13 +52,16 @@ class Replies(StatefulProcessor):
         self.capacity, self.retired, self.ttl_ms = capacity, retired, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.registry = Registry(
-            Stored(handle, "pending", "session_id string, reserved boolean", self.capacity, None), Stored(handle, "finalized", "", self.capacity, self.ttl_ms),
-            Stored(handle, "turns", "", None, None), Stored(handle, "retired", "", self.retired, self.ttl_ms),
+        self.memories = (
+            Stored(handle, "pending", "session_id string, reserved boolean", self.capacity), Stored(handle, "finalized", "", self.capacity, self.ttl_ms),
+            Stored(handle, "turns", "", None), Stored(handle, "retired", "", self.retired, self.ttl_ms),
         )
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = pd.DataFrame(outcomes(self.registry, pd.concat(list(rows))), columns=["seq", "outcome", "evicted"])
+        registry = Registry(*(memory.load() for memory in self.memories))
+        out = pd.DataFrame(outcomes(registry, pd.concat(list(rows))), columns=["seq", "outcome", "evicted"])
+        for memory in self.memories:
+            memory.save()
         out.insert(0, "owner", key[0])
         yield out.astype({"evicted": object})
 

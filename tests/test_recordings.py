@@ -288,11 +288,11 @@ def test_stall_watch_equals_batch(spark, tmp_path):
     draw = random.Random(8)
     rows = []
     for s in range(12):
-        at = 0
+        at = 1_000
         for _ in range(40):
             at += draw.choice([100, 300, 1_000, 2_500, 7_000] if s % 3 else [100, 300, 900])
             rows.append((s, "system" if draw.random() < (0.2 if s % 2 else 0.6) else "mic", at))
-        rows.append((s, "system", 0))
+        rows.append((s, "system", 1_000))  # rows at 0 would be late: that is where watermarks begin
     pdf = frame(rows, WATCH)
     over = pdf.groupby("session_id", as_index=False)["at_ms"].max().assign(source="end")
     over["at_ms"] = 400_000
@@ -309,11 +309,11 @@ EVENTS = "owner string, seq long, action string, task_id string, session_id stri
 
 def test_replies_are_bounded_and_released(spark, tmp_path):
     draw = random.Random(9)
-    rows = [(f"o{draw.randint(0, 2)}", k, draw.choice(["register", "register", "reply", "reply", "message", "saved", "failed", "open", "close"]), f"t{draw.randint(0, 11)}", draw.choice("ssu")) for k in range(900)]
+    rows = [(f"o{draw.randint(0, 2)}", k, draw.choice(["register", "register", "reply", "reply", "message", "saved", "failed", "open", "close"]), f"t{draw.randint(0, 11)}", draw.choice("ssu")) for k in range(600)]
     pdf = frame(rows, EVENTS)
     want = {(r.owner, r.seq): (r.outcome, r.evicted) for r in replies.routed(spark.createDataFrame(pdf, EVENTS), 4, 3).collect()}
     out = run_stream(spark, tmp_path, cut(pdf, "seq"), EVENTS, lambda df: P.stateful(df, "owner", Replies(4, 3)))
-    assert {(r.owner, r.seq): (r.outcome, r.evicted) for r in out} == want and len(out) == 900
+    assert {(r.owner, r.seq): (r.outcome, r.evicted) for r in out} == want and len(out) == 600
     assert {o for o, _ in want.values()} >= {"registered", "known", "accepted", "already_finalized", "unregistered_task", "session_mismatch", "finalized", "released", "opened", "refused", "closed", "already_closed", "unknown_turn", "part"}
     assert sum(e is not None for _, e in want.values()) > 20
 
@@ -321,13 +321,16 @@ def test_replies_are_bounded_and_released(spark, tmp_path):
 def test_a_reply_survives_a_failed_save_and_a_restart(spark, tmp_path):
     steps = [("register", "s", "registered"), ("reply", "u", "session_mismatch"), ("reply", "s", "accepted"), ("reply", "s", "already_finalized"), ("failed", "s", "released"), ("reply", "s", "accepted"), ("saved", "s", "finalized"), ("reply", "s", "already_finalized"), ("register", "s", "registered"), ("reply", "s", "already_finalized")]
     frames = [frame([("o", k, action, "t", session)], EVENTS) for k, (action, session, _) in enumerate(steps)]
-    out = run_stream(spark, tmp_path, frames, EVENTS, lambda df: P.stateful(df, "owner", Replies(), "ProcessingTime"))
+    out = run_stream(spark, tmp_path, frames, EVENTS, lambda df: P.stateful(df, "owner", Replies()))
     assert [r.outcome for r in sorted(out, key=lambda r: r.seq)] == [outcome for *_, outcome in steps]
 
 
 def test_the_oldest_of_many_tasks_makes_room(spark, tmp_path):
-    rows = [("o", k, "register", f"t{k}", "s") for k in range(1_030)] + [("o", 2_000, "reply", "t5", "s"), ("o", 2_001, "reply", "t6", "s")]
-    out = run_stream(spark, tmp_path, cut(frame(rows, EVENTS), "seq", 2), EVENTS, lambda df: P.stateful(df, "owner", Replies(ttl_ms=86_400_000), "ProcessingTime"))
+    # as processing time goes on by itself, batches without rows would never end
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    rows = [("o", k, "register", f"t{k}", "s") for k in range(46)] + [("o", 100, "reply", "t5", "s"), ("o", 101, "reply", "t6", "s")]
+    out = run_stream(spark, tmp_path, cut(frame(rows, EVENTS), "seq", 2), EVENTS, lambda df: P.stateful(df, "owner", Replies(40, ttl_ms=86_400_000), "ProcessingTime"))
     evicted = [r.evicted for r in sorted(out, key=lambda r: r.seq) if r.evicted is not None]
-    assert evicted == [f"t{k}" for k in range(6)]
-    assert {r.seq: r.outcome for r in out if r.seq >= 2_000} == {2_000: "unregistered_task", 2_001: "accepted"}
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert evicted == [f"t{k}" for k in range(6)] and replies.CAPACITY == 1_024
+    assert {r.seq: r.outcome for r in out if r.seq >= 100} == {100: "unregistered_task", 101: "accepted"}

@@ -8,7 +8,8 @@ The steps, over whole texts as UTF-8 bytes:
    more than one text holds. All other windows occur in one text only.
 3. A shared anchor sends its context, the LENGTH - GRAM bytes before it and the LENGTH bytes from it on, which hold all
    windows around it. Equal contexts of one chunk of documents are sent once, for the smallest doc_id.
-   An anchor that more than ``HOT_TEXTS`` texts hold sends each of those windows as a context of its own instead.
+   An anchor of more than ``HOT_CONTEXTS`` contexts, each chunk's different ones counted, sends each of those windows as a
+   context of its own instead.
 4. Contexts meet by anchor, windows of a hot anchor by their own hash, so that no anchor is one task's. Their suffixes
    are sorted by hash-compared mergesort (``suffix_sort``); equal contexts give everything to the smallest doc_id. Of
    what is left, the suffixes that start the windows are sorted, and equal windows go to the smallest doc_id. Equality
@@ -54,8 +55,8 @@ SLICE = 1 << 18
 ROWS_AT_ONCE = 1 << 15
 BUCKET_CONTEXTS = 100_000
 SORTED_AT_ONCE = 8_000
-#: An anchor of more texts than this is compared window by window.
-HOT_TEXTS = 5_000
+#: An anchor of more contexts than this is compared window by window; one context takes 3.6 KB while it is sorted.
+HOT_CONTEXTS = 12_000
 #: About this many bytes to an anchor, for numbers of buckets only.
 ANCHOR_BYTES = (BEFORE + 2) // 2
 LAST = np.iinfo(np.int64).max
@@ -176,13 +177,30 @@ def _represented(bodies: pd.Series, chosen: pd.DataFrame) -> tuple[list[bytes],
     return nodes, [found[n] for n in nodes], np.array([wanted[n] for n in nodes], dtype=np.int64)
 
 
-def _asked(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct anchor hashes of a chunk, and how many of its texts hold each."""
-    order = np.lexsort((text, hashes))
-    hashes, text = hashes[order], text[order]
-    once = np.ones(len(order), dtype=bool)
-    once[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-    return np.unique(hashes[once], return_counts=True)
+def context_hashes(chunk: Chunk, place: np.ndarray) -> np.ndarray:
+    """Hashes of the contexts of anchors (in order), without their rows."""
+    out = np.empty(len(place), dtype=np.uint64)
+    for i in range(0, len(place), ROWS_AT_ONCE):
+        at = place[i : i + ROWS_AT_ONCE]
+        text = chunk.owner(at)
+        start, stop = np.maximum(at - BEFORE, chunk.starts[text]), np.minimum(at + LENGTH, chunk.ends[text])
+        low = int(start.min())
+        sums, down = W.prefix_sums(chunk.data[low : int(stop.max())])
+        sides = ((at - start) * 256 + stop - at).astype(np.uint64)
+        out[i : i + ROWS_AT_ONCE] = W.mix((sums[stop - low] - sums[start - low]) * down[start - low] ^ sides * W.ODD)
+    return out
+
+
+def _asked(hashes: np.ndarray, text: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct anchor hashes of a chunk, and how many different contexts of each it has to send; 2 at least for an anchor
+    of several texts, so that over all chunks a sum of 1 tells an anchor of one text."""
+    order = np.lexsort((context, hashes))
+    hashes, text, context = hashes[order], text[order], context[order]
+    first = np.flatnonzero(np.diff(hashes, prepend=hashes[0] + np.uint64(1)) != 0)
+    other = np.ones(len(order), dtype=np.int64)
+    other[1:] = (hashes[1:] != hashes[:-1]) | (context[1:] != context[:-1])
+    several = np.maximum.reduceat(text, first) != np.minimum.reduceat(text, first)
+    return hashes[first], np.maximum(np.add.reduceat(other, first), 1 + several)
 
 
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,14 +212,13 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, number
 
 
-def _sent(chunk: int, nodes: list[bytes], texts: list[bytes], ids: np.ndarray, totals: np.ndarray, buckets: int, hot_texts: int) -> pd.DataFrame:
+def _sent(chunk: int, nodes: list[bytes], texts: list[bytes], ids: np.ndarray, totals: np.ndarray, buckets: int, hot_contexts: int) -> pd.DataFrame:
     """Distinct contexts of the shared anchors by bucket, and one row that keeps for each text which contexts it holds."""
     joined = Chunk(texts)
     grams, place = anchors(joined)
-    known = _asked(grams, joined.owner(place))[0]
-    times = totals[np.searchsorted(known, grams)]
-    hot = windows_around(joined, place[times > hot_texts])
-    keep = (times > 1) & (times <= hot_texts)
+    times = totals[np.searchsorted(np.unique(grams), grams)]
+    hot = windows_around(joined, place[times > hot_contexts])
+    keep = (times > 1) & (times <= hot_contexts)
     grams, place = grams[keep], place[keep]
     rows = np.empty((len(place) + len(hot), ROW), dtype=np.uint8)
     fill_contexts(rows[: len(place)], joined, place)
@@ -326,7 +343,7 @@ def _spans(bodies: pd.Series, side: pd.DataFrame) -> Iterator[tuple[int | None,
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES, bucket_contexts: int = BUCKET_CONTEXTS, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES, bucket_contexts: int = BUCKET_CONTEXTS, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, bytes, bytes and runs removed, and SHA-256 of what is kept, of every row of ``docs``."""
     total = H.text_bytes(docs)
     chunks = max(1, math.ceil(total / chunk_bytes))
@@ -346,13 +363,13 @@ def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int
         grams, place = anchors(joined)
         if not len(grams):
             return H.no_blocks()
-        return H.blocks(int(pdf["chunk"].iloc[0]), *_asked(grams, joined.owner(place)), hash_buckets)
+        return H.blocks(int(pdf["chunk"].iloc[0]), *_asked(grams, joined.owner(place), context_hashes(joined, place)), hash_buckets)
 
     def send(pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         nodes, texts, ids = _represented(pdf["body"], side[side["node"].notna()])
         if not texts:
             return blank
-        return _sent(int(pdf["chunk"].iloc[0]), nodes, texts, ids, H.answered(side[side["node"].isna()]), context_buckets, hot_texts)
+        return _sent(int(pdf["chunk"].iloc[0]), nodes, texts, ids, H.answered(side[side["node"].isna()]), context_buckets, hot_contexts)
 
     def finish(pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         ids, rows = [], []

@@ -261,11 +261,40 @@ def test_cleaned_texts_lose_their_spans_only(spark):
     assert all(r.n_chars == len(r.text) for r in out.where("text is not null").collect())
 
 
-@pytest.mark.parametrize(("chunk_bytes", "hot_texts"), [(1 << 22, 5_000), (3_000, 5_000), (3_000, 3)])
-def test_substring_dedup(spark, chunk_bytes, hot_texts):
+def ruled(seed, texts, rules):
+    """Few texts with very many contexts of one piece, some of them shared."""
+    draw = random.Random(seed)
+    shared = [prose(1_000 + k, 8) for k in range(5)]
+    return [(i, "".join("-" * 30 + (draw.choice(shared) if draw.random() < 0.2 else prose(seed * 10_000 + i * rules + k, 6)) for k in range(rules))) for i in range(texts)]
+
+
+@pytest.mark.parametrize("hot_contexts", [40, 12_000])
+def test_an_anchor_of_many_contexts_in_few_texts(spark, hot_contexts):
+    rows = ruled(3, 8, 60)
+    out = substrings.removed(hard_frame(spark, rows), chunk_bytes=8_000, bucket_hashes=2_000, bucket_contexts=500, hot_contexts=hot_contexts).collect()
+    assert ordered((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == ordered(removed_bytes(rows))
+
+
+def test_contexts_of_anchors_are_counted():
+    texts = [t.encode() for _, t in ruled(5, 4, 50)] + [b"", b"short", (prose(1, 300) + "-" * 200).encode() * 2]
+    chunk = substrings.Chunk(texts)
+    grams, place = substrings.anchors(chunk)
+    rows = np.empty((len(place), substrings.ROW), dtype=np.uint8)
+    substrings.fill_contexts(rows, chunk, place)
+    contexts = {}
+    for gram, row, text in zip(grams.tolist(), rows, chunk.owner(place).tolist(), strict=True):
+        contexts.setdefault(gram, ([], []))[0].append(row.tobytes())
+        contexts[gram][1].append(text)
+    want = {gram: max(len(set(rows)), min(len(set(owners)), 2)) for gram, (rows, owners) in contexts.items()}
+    hashes, counts = substrings._asked(grams, chunk.owner(place), substrings.context_hashes(chunk, place))
+    assert dict(zip(hashes.tolist(), counts.tolist(), strict=True)) == want and max(want.values()) > 20
+
+
+@pytest.mark.parametrize(("chunk_bytes", "hot_contexts"), [(1 << 22, 12_000), (3_000, 12_000), (3_000, 3)])
+def test_substring_dedup(spark, chunk_bytes, hot_contexts):
     rule = "-" * 60
     rows = hard_rows() + [(i + 1000, t) for i, t in near_rows(4, 3, 12)] + [(2000 + i, prose(i, 9) + rule + prose(-i, 9)) for i in range(30)]
-    out = substrings.removed(hard_frame(spark, rows), chunk_bytes=chunk_bytes, bucket_hashes=2_000, bucket_contexts=500, hot_texts=hot_texts).collect()
+    out = substrings.removed(hard_frame(spark, rows), chunk_bytes=chunk_bytes, bucket_hashes=2_000, bucket_contexts=500, hot_contexts=hot_contexts).collect()
     assert ordered(tuple(r) for r in out) == ordered(removed_bytes(rows))
     assert substrings.removed(empty_frame(spark)).count() == 0
 

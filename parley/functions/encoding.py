@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
-# Tags of stream chunks with the JSON names of their fields, the name space of reply ids, settings with defaults.
+# Fields of an insight that are left out when null (or false), tags of stream chunks with the JSON names of their fields, the name space of reply ids, settings with defaults.
 CHUNK_FIELDS = {
     "start": ("messageId",), "text-start": ("id",), "text-delta": ("id", "delta"), "text-end": ("id",), "data-activity": ("data", "transient"), "error": ("errorText",), "finish": ("finishReason",),
 }
+OPTIONAL = ("source", "id", "producer", "feedback", "feedback_withdraw_pending")
 OID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
 SETTINGS = {"micEnabled": ("boolean", "false")}
 
@@ -23,12 +25,29 @@ def text_delta(chunk: Column) -> Column:
     return F.when(F.get_json_object(chunk, "$.type") == "text-delta", F.get_json_object(chunk, "$.delta"))
 
 
-def session_json(session: Column) -> Column:
-    """A stored session: null fields are kept, but those of insights that mean nothing when null, or false, are left out."""
-    kept = F.to_json(session, {"ignoreNullFields": "false"})
-    optional = "source|id|producer|feedback"
-    bare = F.regexp_replace(kept, rf',"(?:{optional})":null(?=[,}}\]][^{{]*"feedback_withdraw_pending")', "")
-    return F.regexp_replace(bare, r',"feedback_withdraw_pending":false', "")
+def _member(name: str, value: Column, bare: bool = False) -> Column:
+    """``"name":value`` of a JSON object; null for a null value that is to be left out."""
+    whole = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
+    member = F.substring(whole, F.lit(2), F.length(whole) - 2)
+    return F.when(value.isNotNull(), member) if bare else member
+
+
+def _insight_json(insight: Column, names: list[str]) -> Column:
+    stored = {name: F.nullif(insight[name], F.lit(False)) if name == "feedback_withdraw_pending" else insight[name] for name in names}
+    members = F.array_compact(F.array(*[_member(name, value, name in OPTIONAL) for name, value in stored.items()]))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def session_json(sessions: DataFrame) -> Column:
+    """The rows as stored sessions: null fields are kept, but those of insights that mean nothing when null, or false, are left out."""
+
+    def member(field: StructField) -> Column:
+        if field.name != "insights":
+            return _member(field.name, sessions[field.name])
+        texts = F.transform(sessions["insights"], lambda i: _insight_json(i, field.dataType.elementType.names))
+        return F.concat(F.lit('"insights":'), F.coalesce(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")), F.lit("null")))
+
+    return F.concat(F.lit("{"), F.concat_ws(",", *map(member, sessions.schema)), F.lit("}"))
 
 
 def settings(document: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any, NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,18 +78,31 @@ def settled(rows: DataFrame, max_wait_ms: int, expected: tuple[int, ...] = (0, 1
 
 
 def released(rows: DataFrame, max_wait_ms: int, expected: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """For each utterance the arrival that releases it: the first from its own on whose bound reaches it (null: it is still held),
-    and whether that is late. Bounds never fall, so it is the number of earlier arrivals with a lower bound."""
+    """For each utterance (with a ``text``, only those that aren't blank) the arrival that releases it: the first from its own on
+    whose bound reaches it (null: it is still held), and whether that is late. A clock may step back, and bounds with it, so
+    what is held goes through the arrivals of its session in order; one task has the utterances of a session."""
     marked = settled(rows, max_wait_ms, expected)
-    later = Window.partitionBy("session_id").orderBy("at_ms", "is_utterance", "arrival")
-    # bounds and utterances on one line of milliseconds: the arrivals before an utterance are those whose bound is below it
-    bounds = marked.select("session_id", F.col("bound_ms").alias("at_ms"), F.lit(1).alias("is_utterance"), "arrival", F.lit(None).cast("long").alias("own"), F.lit(None).cast("long").alias("settled_ms"))
-    said = marked.where("kind = 'utterance'").select("session_id", F.col("captured_ms").alias("at_ms"), F.lit(0).alias("is_utterance"), "arrival", F.col("arrival").alias("own"), "settled_ms")
-    line = bounds.unionByName(said)
-    reaching = F.min(F.when(F.col("is_utterance") == 1, F.col("arrival"))).over(later.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = line.withColumn("first", reaching).where("is_utterance = 0").select("session_id", F.col("own").alias("arrival"), F.col("at_ms").alias("captured_ms"), F.greatest("first", F.when(F.col("first").isNotNull(), F.col("own"))).alias("released_by"))
-    at = marked.select("session_id", F.col("arrival").alias("released_by"), F.col("settled_ms").alias("then_ms"))
-    return found.join(at, ["session_id", "released_by"], "left").select("session_id", "arrival", "captured_ms", "released_by", (F.col("captured_ms") > F.col("then_ms")).alias("late"))
+    spoken = F.col("kind") == "utterance"
+    if "text" in rows.columns:
+        spoken &= ~F.coalesce(T.is_blank(F.col("text")), F.lit(True))
+    kind = rows.schema["session_id"].dataType.simpleString()
+
+    def session(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        held: list[tuple[int, int]] = []
+        out: list[tuple] = []
+        for arrival, captured, bound, passed, own in pdf.sort_values("arrival", kind="stable")[["arrival", "captured_ms", "bound_ms", "settled_ms", "own"]].itertuples(index=False):
+            if own:
+                heapq.heappush(held, (captured, arrival))
+            while held and held[0][0] <= bound:
+                captured, first = heapq.heappop(held)
+                out.append((first, captured, arrival, captured > passed))
+        out += [(arrival, captured, None, None) for captured, arrival in held]
+        found = pd.DataFrame(out, columns=["arrival", "captured_ms", "released_by", "late"]).astype({"released_by": "Int64", "late": "boolean"})
+        found.insert(0, "session_id", key[0])
+        return found
+
+    told = marked.select("session_id", "arrival", "captured_ms", "bound_ms", "settled_ms", spoken.alias("own"))
+    return told.groupBy("session_id").applyInPandas(session, f"session_id {kind}, arrival long, captured_ms long, released_by long, late boolean")
 
 
 def late_counts(released_rows: DataFrame) -> DataFrame:
@@ -214,7 +229,14 @@ def turn_outputs(events: DataFrame) -> DataFrame:
     rows = events.withColumn("begun", F.min(F.when(action == "register", F.col("seq"))).over(turn)).where("seq >= begun")
     rows = rows.withColumn("closed", F.min(F.when(action.isin("reply", "cancel", "error") & (F.col("seq") > F.col("begun")), F.col("seq"))).over(turn))
     open_ = F.col("closed").isNull() | (F.col("seq") < F.col("closed"))
-    rows = rows.withColumn("said", F.array_join(F.collect_list(F.when((action == "delta") & open_, text)).over(before), ""))
+    # the text of a turn is joined once; what was said before a row is as much of it as the deltas so far are long
+    delta = (action == "delta") & open_
+    rows = rows.withColumn("length", F.coalesce(F.sum(F.when(delta, F.length(text))).over(before), F.lit(0)).cast("int"))
+    deltas = F.transform(F.array_sort(F.collect_list(F.struct("seq", text.alias("text")))), lambda d: d["text"])
+    texts = rows.where(delta).groupBy("turn_id").agg(F.array_join(deltas, "").alias("all"))
+    telling = action.isin("resume", "reply")
+    told = rows.where(telling).join(texts, "turn_id", "left").withColumn("said", F.left(F.coalesce("all", F.lit("")), F.col("length"))).drop("all")
+    rows = rows.where(~telling | action.isNull()).withColumn("said", F.lit("")).unionByName(told)
     rest = T.continuation(F.col("said"), text)
     ends = action.isin("reply", "cancel", "error") & (F.col("seq") == F.col("closed"))
     rows = rows.withColumn("added", F.when(ends & (action == "reply"), F.when(F.startswith(text, F.col("said")), F.substring(text, F.length("said") + 1, F.length(text))).otherwise(rest)).otherwise(F.lit("")))

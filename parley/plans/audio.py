@@ -77,7 +77,7 @@ def assembled_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as pieces of 1,000 to 2,400 samples, three to a segment; a conversation is an utterance. Some segments have no text of their own."""
     rows = turns(spark, sf_dir)
     n = F.col("turn") % 3 * 700 + 1000
-    pieces = rows.select(F.col("conv_id").alias("session_id"), F.lit(0).alias("utterance"), F.floor(F.col("turn") / 3).alias("segment"), F.col("turn").alias("piece"), F.col("turn").alias("at"), n.alias("n"), F.when(F.col("turn") == 4, " ").otherwise(F.left("text", F.lit(30))).alias("text"))
+    pieces = rows.select(F.col("conv_id").alias("session_id"), F.lit(0).alias("utterance"), F.floor(F.col("turn") / 3).alias("segment"), F.col("turn").alias("piece"), F.col("turn").alias("at"), n.alias("n"), F.when(F.col("turn") == 4, " ").otherwise(F.col("text")).alias("text"))
     wholes = pieces.groupBy("session_id", "utterance", "segment").agg(F.sum("n").alias("n")).withColumn("text", F.when(F.col("session_id") % 2 == 0, F.concat(F.lit(" whole "), F.col("segment"))).otherwise(F.lit(" ")))
     return audio.utterances(pieces, wholes)
 
@@ -105,8 +105,12 @@ def two_phase_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def released_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which arrival releases each utterance of two sources, and how many were late; every third event tells progress."""
-    found = streams.released(ordered_rows(spark, sf_dir), WAIT_MS)
+    """Which arrival releases each utterance of two sources, and how many were late; every third event tells progress, some
+    utterances are blank, and the clock steps back now and then."""
+    rows = ordered_rows(spark, sf_dir)
+    text = F.when(F.col("arrival") % 10 == 4, " ").otherwise("x")
+    now = F.col("now_ms") - F.when(F.col("arrival") % 11 == 5, 40_000_000).otherwise(0)
+    found = streams.released(rows.withColumns({"text": text, "now_ms": now}), WAIT_MS)
     return found.join(streams.late_counts(found), "session_id")
 
 
@@ -173,7 +177,7 @@ v AS (SELECT session_id, given_up, CASE WHEN given_up - max(at_ms) FILTER (WHERE
 SELECT d.session_id, due AS at_ms, 'restart' AS action FROM d LEFT JOIN p USING (session_id) WHERE k <= 3 AND (given_up IS NULL OR due < given_up)
 UNION ALL SELECT session_id, given_up, action FROM v
 UNION ALL SELECT h.session_id, min(h.at_ms + 43200000), 'ended' FROM h JOIN v ON v.session_id = h.session_id AND v.action = 'mic_only' WHERE next_ms - h.at_ms >= 43200000 AND h.at_ms + 43200000 > h.given_up GROUP BY h.session_id""",
-    "assembled_utterances": """WITH t AS (SELECT conv_id AS session_id, turn, turn // 3 AS segment, turn % 3 * 700 + 1000 AS n, CASE WHEN turn = 4 THEN '' ELSE trim(left(text, 30)) END AS text FROM conversations WHERE length(trim(text)) > 0),
+    "assembled_utterances": """WITH t AS (SELECT conv_id AS session_id, turn, turn // 3 AS segment, turn % 3 * 700 + 1000 AS n, CASE WHEN turn = 4 THEN '' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS text FROM conversations WHERE length(trim(text)) > 0),
 p AS (SELECT *, CASE WHEN n > 1600 AND text <> '' THEN text END AS said FROM t),
 g AS (SELECT session_id, segment, string_agg(said, ' ' ORDER BY turn) AS joined, count(*) AS c, sum(n) AS total, max(turn) AS "at" FROM p GROUP BY session_id, segment),
 w AS (SELECT *, CASE WHEN c = 1 THEN joined WHEN session_id % 2 = 0 AND total > 1600 THEN 'whole ' || segment ELSE joined END AS text FROM g),
@@ -190,10 +194,10 @@ SELECT session_id, at_ms FROM f WHERE shown""",
 t AS (SELECT *, CASE WHEN k = 1 THEN 'request' WHEN event_type = 'purchase' THEN 'done' ELSE 'token' END AS kind FROM n),
 l AS (SELECT *, lead(at_ms) OVER (PARTITION BY key ORDER BY at_ms, kind <> 'request') AS next_ms, at_ms + CASE WHEN kind = 'request' THEN 36000000 ELSE 18000000 END AS due FROM t)
 SELECT key, min(due) AS expired_ms, arg_min(CASE WHEN kind = 'request' THEN 'startup' ELSE 'stalled' END, due) AS phase FROM l WHERE kind <> 'done' AND (next_ms IS NULL OR next_ms > due) GROUP BY key""",
-    "released_order": f"""WITH r AS (SELECT session_id, event_id % 3 = 0 AS progress, event_id % 2 AS source, at_ms - event_id % 7 * 1200000 AS captured_ms, at_ms AS now_ms, event_id AS arrival FROM {SQL_EVENTS}),
+    "released_order": f"""WITH r AS (SELECT session_id, event_id % 3 = 0 AS progress, event_id % 2 AS source, at_ms - event_id % 7 * 1200000 AS captured_ms, at_ms - CASE WHEN event_id % 11 = 5 THEN 40000000 ELSE 0 END AS now_ms, event_id AS arrival FROM {SQL_EVENTS}),
 s AS (SELECT *, least(coalesce(max(captured_ms) FILTER (WHERE progress AND source = 0) OVER w, 0), coalesce(max(captured_ms) FILTER (WHERE progress AND source = 1) OVER w, 0)) AS settled_ms FROM r WINDOW w AS (PARTITION BY session_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 b AS (SELECT *, greatest(settled_ms, now_ms - {WAIT_MS}) AS bound_ms FROM s),
-u AS (SELECT a.session_id, a.arrival, a.captured_ms, min(b.arrival) AS released_by FROM b a LEFT JOIN b ON b.session_id = a.session_id AND b.arrival >= a.arrival AND b.bound_ms >= a.captured_ms WHERE NOT a.progress GROUP BY a.session_id, a.arrival, a.captured_ms),
+u AS (SELECT a.session_id, a.arrival, a.captured_ms, min(b.arrival) AS released_by FROM b a LEFT JOIN b ON b.session_id = a.session_id AND b.arrival >= a.arrival AND b.bound_ms >= a.captured_ms WHERE NOT a.progress AND a.arrival % 10 <> 4 GROUP BY a.session_id, a.arrival, a.captured_ms),
 l AS (SELECT u.*, u.captured_ms > b.settled_ms AS late FROM u LEFT JOIN b ON b.session_id = u.session_id AND b.arrival = u.released_by)
 SELECT *, count(released_by) OVER (PARTITION BY session_id) AS n_released, count(*) FILTER (WHERE late) OVER (PARTITION BY session_id) AS n_late FROM l""",
     "noise_floors": f"""WITH RECURSIVE r AS (SELECT session_id, event_id AS "at", k, value FROM {_FOLD}),

@@ -21,8 +21,8 @@ def _listed(items: str, *fields: str) -> Column:
 
 
 def _shown(rows: DataFrame, *more: Column | str) -> DataFrame:
-    first = F.left(F.try_element_at("segments", F.lit(1))["utterance"], F.lit(20))
-    return rows.select("session_id", "started_at", "ended_at", "title", F.size("segments").cast("long").alias("n_segments"), first.alias("opening"), _listed("insights", "segment_index", "offset_ms").alias("notes"), _listed("blocks", "start_index", "end_index").alias("covered"), *more)
+    said = F.md5(F.array_join(F.transform("segments", lambda r: r["utterance"]), "\n"))
+    return rows.select("session_id", "started_at", "ended_at", "title", F.size("segments").cast("long").alias("n_segments"), said.alias("said"), _listed("insights", "segment_index", "offset_ms").alias("notes"), _listed("blocks", "start_index", "end_index").alias("covered"), *more)
 
 
 def split_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,14 +105,14 @@ SQL = {
     "split_session": f"""WITH s AS (SELECT * FROM {SQL_SESSION} WHERE size > {CUT}), p AS (SELECT *, 0 AS part FROM s UNION ALL SELECT *, 1 FROM s),
 d AS (SELECT * FROM {SQL_DENSE}), i AS (SELECT * FROM {SQL_NOTES}), b AS (SELECT * FROM {SQL_BLOCKS})
 SELECT session_id || CASE WHEN part = 0 THEN '-a' ELSE '-b' END AS session_id, started_at, ended_at, CASE WHEN n % 2 = 0 THEN title END AS title,
-  CASE WHEN part = 0 THEN {CUT} ELSE size - {CUT} END AS n_segments, (SELECT left(utterance, 20) FROM d WHERE d.session_id = p.n AND d.seg_index = part * {CUT}) AS opening,
+  CASE WHEN part = 0 THEN {CUT} ELSE size - {CUT} END AS n_segments, (SELECT md5(string_agg(utterance, chr(10) ORDER BY seg_index)) FROM d WHERE d.session_id = p.n AND (CASE WHEN d.seg_index < {CUT} THEN 0 ELSE 1 END) = part) AS said,
   coalesce((SELECT string_agg((anchor - part * {CUT}) || ':' || offset_ms, ',' ORDER BY i.i) FROM i WHERE i.n = p.n AND anchor IS NOT NULL AND (CASE WHEN anchor < {CUT} THEN 0 ELSE 1 END) = part), '') AS notes,
   coalesce((SELECT string_agg((s - part * {CUT}) || ':' || (e - part * {CUT}), ',' ORDER BY s) FROM b WHERE b.n = p.n AND CASE WHEN part = 0 THEN e <= {CUT} ELSE s >= {CUT} END), '') AS covered
 FROM p""",
     "merge_sessions": f"""WITH s AS (SELECT * FROM {SQL_SESSION}), d AS (SELECT * FROM {SQL_DENSE}), i AS (SELECT * FROM {SQL_NOTES}), b AS (SELECT * FROM {SQL_BLOCKS}),
 m AS (SELECT a.*, z.n AS zn, z.session_id AS zid, z.size AS zsize, z.started_at AS zstart, z.ended_at AS zend, z.title AS ztitle FROM s a JOIN s z ON z.n = a.n + 1 AND a.n % 2 = 0)
 SELECT session_id || '+' || zid AS session_id, started_at, greatest(ended_at, zend) AS ended_at, coalesce(title, ztitle) AS title, size + zsize AS n_segments,
-  (SELECT left(utterance, 20) FROM d WHERE d.session_id = m.n AND d.seg_index = 0) AS opening,
+  (SELECT md5(string_agg(utterance, chr(10) ORDER BY d.session_id, seg_index)) FROM d WHERE d.session_id IN (m.n, m.zn)) AS said,
   (SELECT string_agg(coalesce(CAST(anchor + CASE WHEN i.n = m.n THEN 0 ELSE m.size END AS VARCHAR), '-') || ':' || (offset_ms + CASE WHEN i.n = m.n THEN 0 ELSE 60000 END), ',' ORDER BY i.n, i.i) FROM i WHERE i.n IN (m.n, m.zn)) AS notes,
   coalesce((SELECT string_agg((s + CASE WHEN b.n = m.n THEN 0 ELSE m.size END) || ':' || (e + CASE WHEN b.n = m.n THEN 0 ELSE m.size END), ',' ORDER BY b.n, s) FROM b WHERE b.n IN (m.n, m.zn)), '') AS covered,
   array_to_string(list_concat(['p' || (n % 3), 'p' || (n % 5)], list_filter(CASE WHEN (zn % 3) = (zn % 5) THEN ['p' || (zn % 3)] ELSE ['p' || (zn % 3), 'p' || (zn % 5)] END, lambda x: NOT list_contains(['p' || (n % 3), 'p' || (n % 5)], x))), ',') AS attendees,

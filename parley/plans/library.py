@@ -70,7 +70,7 @@ def small_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and gaps, joined word pieces, titles of sessions and elapsed times over documents."""
-    text = F.left("text", F.lit(60))
+    text = F.col("text")
     pieces = F.transform(F.split(text, " "), lambda w: F.concat(F.lit("▁"), w))
     title = T.session_title(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# "), F.col("lang"))), F.when(F.col("doc_id") % 3 == 1, F.array("lang", "source")).otherwise(F.array().cast("array<string>")), F.when(F.col("doc_id") % 5 == 0, "").otherwise("2026-01-02T03:04:05Z"))
     shown = table(spark, sf_dir, "documents").where("text is not null and lang is not null and source is not null")
@@ -141,7 +141,7 @@ SELECT turn_id, seq, CAST(e.n AS BIGINT) AS n, e.t AS type, e.x AS text FROM o""
     "summary_index_refresh": "SELECT CAST(o_orderkey AS VARCHAR) AS session_id, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0 THEN 'old' ELSE 'new' END AS summary FROM orders WHERE o_orderkey % 5 <> 0",
     "small_selections": """SELECT p_brand AS piece, p_partkey AS id, CAST(NULL AS VARCHAR) AS folder FROM part WHERE p_partkey % 9 <> 0
 UNION ALL SELECT 'key ' || p_size, NULL, 'f' || min(p_partkey) FROM part WHERE p_partkey % 4 = 1 GROUP BY p_size""",
-    "text_pieces": """WITH d AS (SELECT *, left(text, 60) AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)
+    "text_pieces": """WITH d AS (SELECT *, text AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)
 SELECT doc_id, len(regexp_extract_all(regexp_replace(t, '[^a-zA-Z0-9'' ]', '', 'g'), '[a-zA-Z0-9'']+|[^a-zA-Z0-9'']+')) AS n_pieces, regexp_replace(t, '^[\\s\\x{0085}\\x{2028}\\x{2029}\\x{00A0}]+', '') AS again,
   CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN lang || ', ' || source || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' (2026-01-02)' END WHEN doc_id % 5 = 0 THEN '' ELSE '2026-01-02' END AS title,
   greatest(doc_id * 10 - 500, 0) AS since, doc_id % 4 > 1 AS is_id FROM d""",

@@ -77,8 +77,8 @@ def ui_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The insights of sessions as stored, with what means nothing left out."""
-    rows = demo_sessions(spark, sf_dir)
-    return rows.select("session_id", E.session_json(F.struct("session_id", "title", F.slice("insights", 1, 1).alias("insights"))).alias("document"))
+    rows = demo_sessions(spark, sf_dir).select("session_id", "title", "insights")
+    return rows.select("session_id", E.session_json(rows).alias("document"))
 
 
 def settings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +236,10 @@ FROM l LEFT JOIN r USING (session_id) LEFT JOIN k USING (session_id)""",
     "ui_chunks": f"""WITH t AS (SELECT *, conv_id || '-' || turn AS k FROM conversations WHERE length({_BARE.format("text")}) > 0)
 SELECT conv_id, turn, concat_ws(chr(10), '{{"type":"start","messageId":"' || k || '"}}', '{{"type":"text-start","id":"' || k || '"}}', '{{"type":"text-delta","id":"' || k || '","delta":' || CAST(to_json(text) AS VARCHAR) || '}}', '{{"type":"text-end","id":"' || k || '"}}',
   '{{"type":"data-activity","data":{{"label":"' || role || '"}},"transient":true}}', '{{"type":"error","errorText":"it failed"}}', '{{"type":"finish","finishReason":"stop"}}') AS chunks, text AS again, CAST(NULL AS VARCHAR) AS "none" FROM t""",
-    "session_documents": f"""SELECT session_id, '{{"session_id":"' || session_id || '","title":' || coalesce('"' || title || '"', 'null') || ',"insights":[{{"offset_ms":0,"severity":"green","message":"note 0","segment_index":0,"id":"n-0","producer":"signals","feedback":{{"verdict":"helpful","rated_at":"2026-01-01T00:00:00Z","surface":"library","publish_pending":true}}}}]}}' AS document FROM {SQL_SESSION}""",
+    "session_documents": f"""WITH i AS (SELECT n, string_agg('{{"offset_ms":' || offset_ms || ',"severity":"green","message":"note ' || i || '","segment_index":' || coalesce(CAST(anchor AS VARCHAR), 'null')
+    || CASE WHEN i % 2 = 0 THEN ',"id":"n-' || i || '","producer":"signals"' ELSE '' END
+    || CASE WHEN i % 6 = 0 THEN ',"feedback":{{"verdict":"helpful","rated_at":"2026-01-01T00:00:00Z","surface":"library","publish_pending":' || (i = 0) || '}}' ELSE '' END || '}}', ',' ORDER BY i) AS notes FROM {SQL_NOTES} GROUP BY n)
+SELECT session_id, '{{"session_id":"' || session_id || '","title":' || coalesce('"' || title || '"', 'null') || ',"insights":[' || coalesce(notes, '') || ']}}' AS document FROM {SQL_SESSION} s LEFT JOIN i ON i.n = s.n""",
     "settings_documents": "SELECT event_id, event_id % 5 = 0 AS mic_enabled FROM events",
     "ids_and_digests": f"""WITH t AS (SELECT *, conv_id || '-' || turn AS k FROM conversations WHERE length({_BARE.format("text")}) > 0), h AS (SELECT *, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(k)) AS d, sha256(text) AS digest FROM t),
 w AS (SELECT conv_id, left(sha256(string_agg(printf('%03d', turn) || ':' || digest, chr(10) ORDER BY printf('%03d', turn))), 16) AS revision FROM h GROUP BY conv_id)

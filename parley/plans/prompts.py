@@ -23,10 +23,12 @@ def _playbook() -> Column:
 
 
 def block_summary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The request to digest the first segments of each session, with what was carried over from earlier ones."""
-    stretch = transcripts.rendered(dense_segments(spark, sf_dir).where(F.col("seg_index") < STRETCH))
+    """The requests to digest each stretch of three segments of each session, with what was carried over from earlier ones."""
+    block = F.floor(F.col("seg_index") / STRETCH)
+    stretches = transcripts.rendered(dense_segments(spark, sf_dir).withColumn("session_id", F.concat_ws(":", "session_id", block))).withColumnRenamed("session_id", "key")
+    stretches = stretches.withColumns({"session_id": F.split_part("key", F.lit(":"), F.lit(1)).cast("long"), "block": F.split_part("key", F.lit(":"), F.lit(2)).cast("long")})
     blocks = F.array(F.struct(F.lit("old").alias("summary")), F.struct(F.when(F.col("session_id") % 2 == 0, F.concat(F.lit(" covered "), F.col("session_id"))).otherwise(F.lit(" ")).alias("summary")))
-    return P.block_messages(stretch.withColumns({"playbook": _playbook(), "state": P.carried_summary(blocks)})).select("session_id", "prompt")
+    return P.block_messages(stretches.withColumns({"playbook": _playbook(), "state": P.carried_summary(blocks)})).select("session_id", "block", "prompt")
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +99,8 @@ _RENDERED = "string_agg(CASE WHEN source = 'you' THEN 'user: ' ELSE 'others: ' E
 _SCREEN = f"{sql(P.SCREEN_GUARD + chr(10) + '<<<SCREEN_CONTEXT>>>' + chr(10))} || 'window' || {sql(chr(10) + '<<<END_SCREEN_CONTEXT>>>' + chr(10) + chr(10))}"
 
 SQL = {
-    "block_summary_prompt": f"""WITH t AS (SELECT session_id, {_RENDERED} AS transcript FROM {SQL_DENSE} WHERE seg_index < {STRETCH} GROUP BY session_id)
-SELECT session_id, {sql(P.BLOCK_LEAD)} || CASE WHEN {_PLAYBOOK} = '' THEN '' ELSE {sql(P.BLOCK_LENS)} || {_PLAYBOOK} || CASE WHEN session_id % 2 = 0 THEN {sql(P.BLOCK_CARRY)} || 'covered ' || session_id ELSE '' END END || {sql(P.BLOCK_TAIL)} || transcript AS prompt FROM t""",
+    "block_summary_prompt": f"""WITH t AS (SELECT session_id, seg_index // {STRETCH} AS block, {_RENDERED} AS transcript FROM {SQL_DENSE} GROUP BY ALL)
+SELECT session_id, block, {sql(P.BLOCK_LEAD)} || CASE WHEN {_PLAYBOOK} = '' THEN '' ELSE {sql(P.BLOCK_LENS)} || {_PLAYBOOK} || CASE WHEN session_id % 2 = 0 THEN {sql(P.BLOCK_CARRY)} || 'covered ' || session_id ELSE '' END END || {sql(P.BLOCK_TAIL)} || transcript AS prompt FROM t""",
     "session_summary_prompt": f"""WITH d AS (SELECT * FROM {SQL_DENSE}), t AS (SELECT session_id, {_RENDERED} AS transcript FROM d GROUP BY session_id), a AS (SELECT session_id, {_RENDERED} AS tail FROM d WHERE seg_index >= 2 GROUP BY session_id)
 SELECT t.session_id, {sql(P.SUMMARY_LEAD)} || CASE WHEN t.session_id % 3 = 0 THEN {sql(P.SUMMARY_LENS)} || 'step ' || t.session_id ELSE '' END || {sql(P.SUMMARY_TAIL)} ||
   CASE WHEN t.session_id % 2 = 0 THEN {sql(P.ROLLING_PREFACE)} || 'SECTION 1 SUMMARY:' || chr(10) || 'first block' || chr(10) || chr(10) || 'SECTION 2 SUMMARY:' || chr(10) || 'block of ' || t.session_id || {sql(P.FINAL_STRETCH)} || coalesce(tail, '') ELSE transcript END ||

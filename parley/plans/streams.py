@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.operators import streams
+from parley.operators import replies, streams
 from parley.sources.driver_tables import event_stream, table
 
 WAIT_MS = 3_600_000
@@ -79,9 +79,47 @@ def sse_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.reduced_stream(rows).select("key", "text", "closed")
 
 
+def bounded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the log of each user's tasks: few tasks come again and again, four are remembered at a time and three closed
+    turns, some answers name another session, and some saves fail."""
+    n = F.col("event_id")
+    turn = n % 2 == 0
+    action = (
+        F.when(n % 11 < 4, "register").when(n % 11 < 7, "reply").when(n % 11 == 7, "saved").when(n % 11 == 8, "failed")
+        .when(n % 11 == 9, F.when(turn, "open").otherwise("message")).otherwise(F.when(turn, "close").otherwise("message"))
+    )
+    task = F.floor(n / 3) % 9
+    session = F.when(n % 17 == 3, "other").otherwise(F.concat(F.lit("s"), task % 2))
+    rows = event_stream(spark, sf_dir).select(F.col("session_id").cast("string").alias("owner"), n.alias("seq"), action.alias("action"), F.concat(F.lit("t"), task).alias("task_id"), session.alias("session_id"))
+    return replies.routed(rows, 4, 3)
+
+
 SQL_EVENTS = "(SELECT event_id, user_id AS session_id, epoch_us(ts) // 1000 AS at_ms, event_type, value FROM events)"
 
 SQL = {
+    "bounded_replies": f"""WITH RECURSIVE e AS (SELECT CAST(session_id AS VARCHAR) AS owner, event_id AS seq, event_id % 11 AS m, 't' || (event_id // 3 % 9) AS task,
+  CASE WHEN event_id % 17 = 3 THEN 'other' ELSE 's' || (event_id // 3 % 9 % 2) END AS sess FROM {SQL_EVENTS}),
+r AS (SELECT *, CASE WHEN m < 4 THEN 'register' WHEN m < 7 THEN 'reply' WHEN m = 7 THEN 'saved' WHEN m = 8 THEN 'failed' WHEN seq % 2 = 1 THEN 'message' WHEN m = 9 THEN 'open' ELSE 'close' END AS action,
+  row_number() OVER (PARTITION BY owner ORDER BY seq) AS k FROM e),
+f(owner, k, seq, outcome, evicted, pend, fin, turns, ret) AS (
+  SELECT owner, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::STRUCT(t VARCHAR, s VARCHAR, r BOOLEAN)[], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[] FROM r WHERE k = 1
+  UNION ALL SELECT owner, k, seq, outcome,
+    CASE WHEN outcome = 'registered' AND len(pend) = 4 THEN pend[1].t WHEN outcome = 'finalized' AND NOT list_contains(fin, task) AND len(fin) = 4 THEN fin[1] WHEN outcome = 'closed' AND NOT list_contains(ret, task) AND len(ret) = 3 THEN ret[1] END,
+    CASE WHEN outcome = 'registered' THEN list_append(pend, {{'t': task, 's': sess, 'r': false}})[-4:] WHEN outcome IN ('accepted', 'released') THEN list_transform(pend, lambda x: {{'t': x.t, 's': x.s, 'r': CASE WHEN x.t = task THEN outcome = 'accepted' ELSE x.r END}})
+      WHEN outcome = 'finalized' THEN list_filter(pend, lambda x: x.t <> task) ELSE pend END,
+    CASE WHEN outcome = 'finalized' AND NOT list_contains(fin, task) THEN list_append(fin, task)[-4:] ELSE fin END,
+    CASE WHEN outcome = 'opened' THEN list_append(turns, task) WHEN outcome = 'closed' THEN list_filter(turns, lambda x: x <> task) ELSE turns END,
+    CASE WHEN outcome = 'closed' AND NOT list_contains(ret, task) THEN list_append(ret, task)[-3:] ELSE ret END
+  FROM (SELECT r.owner, r.k, r.seq, task, sess, pend, fin, turns, ret, CASE
+      WHEN action = 'register' THEN CASE WHEN list_contains(list_transform(pend, lambda x: x.t), task) THEN 'known' ELSE 'registered' END
+      WHEN action = 'saved' THEN 'finalized' WHEN action = 'failed' THEN 'released'
+      WHEN action = 'open' THEN CASE WHEN list_contains(ret, task) OR list_contains(turns, task) THEN 'refused' ELSE 'opened' END
+      WHEN action = 'close' THEN CASE WHEN list_contains(turns, task) THEN 'closed' WHEN list_contains(ret, task) THEN 'already_closed' ELSE 'unknown_turn' END
+      WHEN action = 'message' AND list_contains(turns, task) THEN 'part' WHEN action = 'message' AND list_contains(ret, task) THEN 'already_finalized'
+      WHEN list_contains(fin, task) THEN 'already_finalized' WHEN NOT list_contains(list_transform(pend, lambda x: x.t), task) THEN 'unregistered_task'
+      WHEN list_filter(pend, lambda x: x.t = task)[1].s <> sess THEN 'session_mismatch' WHEN list_filter(pend, lambda x: x.t = task)[1].r THEN 'already_finalized' ELSE 'accepted' END AS outcome
+    FROM f JOIN r ON r.owner = f.owner AND r.k = f.k + 1))
+SELECT owner, seq, outcome, evicted FROM f WHERE k > 0""",
     "ordered_two_source": f"""WITH r AS (SELECT session_id, event_id % 3 = 0 AS progress, event_id % 2 AS source, at_ms - event_id % 7 * 1200000 AS captured_ms, at_ms AS now_ms, event_id AS arrival FROM {SQL_EVENTS}),
 s AS (SELECT *, least(coalesce(max(captured_ms) FILTER (WHERE progress AND source = 0) OVER w, 0), coalesce(max(captured_ms) FILTER (WHERE progress AND source = 1) OVER w, 0)) AS settled_ms FROM r
   WINDOW w AS (PARTITION BY session_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -118,4 +156,4 @@ SELECT task_id, session_id, status, seq, CASE WHEN probe THEN CASE WHEN row_numb
 SELECT session_id AS key, coalesce(string_agg(event_type || ' ', '' ORDER BY event_id) FILTER (WHERE done = 0 AND event_type NOT IN ('purchase', 'error')), '') AS text, max(done) = 1 AS closed FROM d GROUP BY session_id""",
 }
 
-QUERIES = (ordered_two_source, vad_segments, debounce_bursts, sliding_envelope, lagged_correlation, idle_timeouts, exactly_once_router, sse_reduce)
+QUERIES = (ordered_two_source, vad_segments, debounce_bursts, sliding_envelope, lagged_correlation, idle_timeouts, exactly_once_router, sse_reduce, bounded_replies)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import schemas as S
+from parley.functions.encoding import session_json
 from parley.functions.text import is_session_id
 from parley.sources.driver_tables import dense_segments
 from parley.sources.folders import write_files
@@ -40,8 +41,8 @@ def session_file(spark: SparkSession, folder: str, session_id: str) -> DataFrame
 
 def write_sessions(sessions: DataFrame, folder: str) -> None:
     """One JSON document for each session, named by its id; ids that could leave the folder are refused."""
-    document = F.to_json(F.struct(*sessions.columns), {"ignoreNullFields": "false"})
-    write_files(sessions.where(is_session_id(F.col("session_id"))).select(F.col("session_id").alias("name"), document.cast("binary").alias("content")), folder, SUFFIX)
+    known = sessions.where(is_session_id(F.col("session_id")))
+    write_files(known.select(F.col("session_id").alias("name"), session_json(known).cast("binary").alias("content")), folder, SUFFIX)
 
 
 def with_defaults(sessions: DataFrame) -> DataFrame:

@@ -116,3 +116,23 @@ def test_signal():
     assert signal.coherence(noise, noise) > 0.99 and signal.coherence(noise, np.random.default_rng(1).normal(size=2048)) < 0.8
     assert signal.best_lag(np.roll(noise[:512], 20), noise[:512]) == 20
     assert pd.isna(signal.coherence(noise[:4], noise[:4])) is False
+
+
+def test_stored_insights_leave_out_what_means_nothing(spark):
+    """Fields are left out one by one, whatever stands behind them and whatever texts hold."""
+    import json
+
+    from parley import schemas as S
+    from parley.functions import encoding
+
+    rating = ("helpful", None, "live", False)
+    notes = [
+        (5, "red", 'a ","producer":null,"feedback_withdraw_pending":false', None, "x", None, rating, False), (6, None, "m", 2, None, "signals", None, True), (7, "red", "", 0, None, None, None, None),
+    ]
+    rows = spark.createDataFrame([("s1", None, notes), ("s2", "t", []), ("s3", "t", None)], f"session_id string, title string, insights array<{S.INSIGHT}>")
+    got = [json.loads(r[0], object_pairs_hook=dict) for r in rows.select(encoding.session_json(rows)).collect()]
+    assert got[0] == {"session_id": "s1", "title": None, "insights": [
+        {"offset_ms": 5, "severity": "red", "message": notes[0][2], "segment_index": None, "id": "x", "feedback": {"verdict": "helpful", "rated_at": None, "surface": "live", "publish_pending": False}},
+        {"offset_ms": 6, "severity": None, "message": "m", "segment_index": 2, "producer": "signals", "feedback_withdraw_pending": True}, {"offset_ms": 7, "severity": "red", "message": "", "segment_index": 0},
+    ]}
+    assert got[1] == {"session_id": "s2", "title": "t", "insights": []} and got[2]["insights"] is None

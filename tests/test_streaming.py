@@ -129,3 +129,22 @@ def test_batch_order_holds_what_is_not_settled(spark, wait):
     assert streams.settled(rows, wait, ()).where("held or late").count() == 0
     found = {r.arrival: (r.released_by, r.late) for r in streams.released(rows, 500).collect()}
     assert found == {0: (4, True), 3: (4, True)}
+
+
+def test_batch_release_drops_blanks_and_follows_a_clock_that_steps_back(spark):
+    rows = [
+        (1, "utterance", 0, "a", 500, 9_000, 0), (1, "utterance", 0, "  ", 100, 9_000, 1), (1, "utterance", 1, None, 100, 9_000, 2), (1, "utterance", 0, "b", 4_000, 2_000, 3),
+        (1, "utterance", 1, "c", 7_500, 2_500, 4), (1, "utterance", 1, "d", 900, 2_600, 5), (1, "progress", 1, None, 0, 5_200, 6),
+    ]
+    found = {r.arrival: (r.released_by, r.late) for r in streams.released(spark.createDataFrame(rows, ROWS), 1_000).collect()}
+    assert found == {0: (0, True), 3: (6, True), 4: (None, None), 5: (5, True)}
+    assert {(r.n_released, r.n_late) for r in streams.late_counts(streams.released(spark.createDataFrame(rows, ROWS), 1_000)).collect()} == {(3, 3)}
+
+
+def test_a_turn_of_many_deltas_is_joined_once(spark):
+    """Texts of 50,000 deltas; what a resume replays is cut from the joined text."""
+    n = 50_000
+    rows = spark.range(n).selectExpr("'t' as turn_id", "id + 1 as seq", "case when id = 0 then 'register' when id = 30000 then 'resume' when id = 49998 then 'reply' else 'delta' end as action", "if(id = 49998, 'other', concat('d', id)) as text")
+    out = streams.turn_outputs(rows).where("type in ('text-delta', 'finish')").where("seq in (30001, 49999)").orderBy("seq", "n").collect()
+    said = "".join(f"d{i}" for i in range(1, 30_000))
+    assert [(r.seq, r.type, r.text) for r in out] == [(30_001, "text-delta", said), (49_999, "text-delta", "\n\nother"), (49_999, "finish", "")]

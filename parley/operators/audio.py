@@ -21,6 +21,13 @@ LEAST_SAMPLES = 1_600
 STALL_MS = 10_000
 RESTARTS = 3
 
+# From which correlation on there is an echo, from which share of loud blocks on the near side is heard, and up to
+# which one it is quiet; by kind of analysis, what is kept of the evidence for an echo and added to it, and against one; how
+# much of either switches.
+ECHO_FROM, HEARD_FROM, QUIET_TO = 0.6, 0.2, 0.1
+EVIDENCE = {"echo": (1.0, 1.0, 0.0, 0.0), "quiet": (0.5, 0.0, 1.0, 1.0), "other": (0.9, 0.0, 0.9, 0.0)}
+ENOUGH = (2.0, 12.0)
+
 # What is known of an output by its transport, and of its echo by its route.
 ROUTES = {
     "bltn": "internal_speakers", "blue": "bluetooth", "blea": "bluetooth", "usb ": "usb", "hdmi": "external_display", "dprt": "external_display", "thun": "external_display", "airp": "airplay",
@@ -129,25 +136,28 @@ def _by_session(rows: DataFrame, order: str, run, schema: str) -> DataFrame:
 
 def echo_regimes(analyses: DataFrame, engaged: bool = True) -> DataFrame:
     """Whether echo cancelling is engaged after each analysis (session_id, at, correlation, active: share of blocks with
-    sound nearby). Two analyses that show an echo engage it, twelve quiet ones bypass it; other evidence decays."""
-    echo, quiet_share, active_share, decay = 0.6, 0.1, 0.2, 0.9
-    engage_at, bypass_at = 2.0, 12.0
-
-    def run(pdf: pd.DataFrame) -> dict[str, list]:
-        on, to_engage, to_bypass, out = engaged, 0.0, 0.0, []
-        for correlation, active in zip(pdf["correlation"], pdf["active"], strict=True):
-            shows = correlation >= echo and active >= active_share
-            quiet = not shows and active <= quiet_share
-            to_engage = to_engage + 1 if shows else to_engage * (0.5 if quiet else decay)
-            to_bypass = 0.0 if shows else to_bypass + 1 if quiet else to_bypass * decay
-            if on and to_bypass >= bypass_at:
-                on, to_bypass = False, 0.0
-            elif not on and to_engage >= engage_at:
-                on, to_engage = True, 0.0
-            out.append(on)
-        return {"engaged": out}
-
-    return _by_session(analyses, "at", run, "engaged boolean")
+    sound nearby). Evidence for it and against it fades or grows with each analysis by the factors of its kind, and is used
+    up by a switch. The fold over a session keeps its switches only; the analyses between them follow by a window."""
+    kind = F.when((F.col("correlation") >= ECHO_FROM) & (F.col("active") >= HEARD_FROM), "echo").when(F.col("active") <= QUIET_TO, "quiet").otherwise("other")
+    weights = {name: F.array(*[F.lit(x) for x in factors]) for name, factors in EVIDENCE.items()}
+    weight = F.when(kind == "echo", weights["echo"]).when(kind == "quiet", weights["quiet"]).otherwise(weights["other"])
+    none = F.array().cast("array<struct<at:long,on:boolean>>")
+    start = F.struct(F.lit(engaged).alias("on"), F.lit(0.0).alias("pro"), F.lit(0.0).alias("con"), none.alias("switches"))
+
+    def step(state: Column, row: Column) -> Column:
+        pro, con = (state[name] * row["weight"][i] + row["weight"][i + 1] for name, i in (("pro", 0), ("con", 2)))
+        up, down = ~state["on"] & (pro >= ENOUGH[0]), state["on"] & (con >= ENOUGH[1])
+        on = up | (state["on"] & ~down)
+        switch = F.array(F.struct(row["at"].cast("long").alias("at"), on.alias("on")))
+        told = F.when(up | down, F.concat(state["switches"], switch)).otherwise(state["switches"])
+        return F.struct(on.alias("on"), F.when(up, 0.0).otherwise(pro).alias("pro"), F.when(down, 0.0).otherwise(con).alias("con"), told.alias("switches"))
+
+    rows = analyses.select("session_id", F.col("at").cast("long").alias("at"), weight.alias("weight"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "weight")))
+    switches = rows.groupBy("session_id").agg(F.aggregate(ordered, start, step)["switches"].alias("s")).select("session_id", F.inline("s"))
+    so_far = Window.partitionBy("session_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.coalesce(F.last("on", ignorenulls=True).over(so_far), F.lit(engaged))
+    return rows.join(switches, ["session_id", "at"], "left").select("session_id", "at", known.alias("engaged"))
 
 
 def gate_gains(windows: DataFrame, attack: float = 0.2, release: float = 0.5) -> DataFrame:

@@ -87,6 +87,62 @@ def best_lag(near: np.ndarray, far: np.ndarray, most: int = 1024) -> int:
     return best
 
 
+# Fixed values of the reference gate: least level of the far side; level of the near side, absolute and as a multiple of the far
+# side's, from which somebody speaks; band of the coherence; least power; coherence from which the gate closes, and how far.
+FAR_LEVEL, NEAR_LEVEL, NEAR_TIMES = 1e-4, 3e-3, 2.0
+GATE_BAND = (300, 3400)
+LEAST_POWER = 1e-9
+GATE_FROM, GATE_DB = 0.65, 18.0
+
+
+def window_lags(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """For each pair of windows (rows) the shift of the far one with the largest product, without sign, over the level of what
+    meets; all shifts at once by a product of spectra."""
+    n = near.shape[1]
+    spectra = np.conj(np.fft.rfft(near, 2 * n)) * np.fft.rfft(far, 2 * n)
+    products = np.fft.irfft(spectra, 2 * n)
+    products = np.concatenate([products[:, n + 1 :], products[:, :n]], axis=1)  # shifts -(n - 1) to n - 1
+    power = np.cumsum(far * far, axis=1)
+    met = np.concatenate([power[:, :-1], power[:, -1:], power[:, -1:] - power[:, :-1]], axis=1)
+    scores = np.where(met > LEAST_POWER, np.abs(products) / np.sqrt(np.maximum(met, LEAST_POWER)), 0.0)
+    return np.argmax(scores, axis=1) - (n - 1)
+
+
+def shifted(samples: np.ndarray, lags: np.ndarray) -> np.ndarray:
+    """Each row from its lag on, zeros beyond either end."""
+    n = samples.shape[1]
+    place = np.arange(n) + lags[:, None]
+    return np.where((place >= 0) & (place < n), np.take_along_axis(samples, np.clip(place, 0, n - 1), axis=1), 0.0)
+
+
+def window_coherences(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Coherence of each pair of windows over the band, from three half overlapping segments under a periodic Hann window."""
+    size = near.shape[1] // 2
+    shape = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    place = np.arange(3)[:, None] * (size // 2) + np.arange(size)
+    x, y = (np.fft.rfft(side[:, place] * shape, axis=2) for side in (near, far))
+    low, high = int(GATE_BAND[0] * size // RATE), -int(-GATE_BAND[1] * size // RATE)
+    cross = np.abs((x * y.conj()).sum(1))[:, low:high] ** 2
+    power = ((np.abs(x) ** 2).sum(1) * (np.abs(y) ** 2).sum(1))[:, low:high]
+    loud = power > LEAST_POWER
+    return np.where(loud, cross / np.where(loud, power, 1.0), 0.0).sum(1) / np.maximum(loud.sum(1), 1)
+
+
+def gate_targets(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The gain that each pair of windows asks for: NaN where the far side has gaps or is silent, somebody speaks nearby, or
+    the near side isn't the far side's echo. All windows are worked through at once."""
+    near, whole = np.nan_to_num(near), np.isfinite(far).all(axis=1)
+    far = np.nan_to_num(far, posinf=0.0, neginf=0.0)
+    far_level, near_level = (np.sqrt((side * side).mean(axis=1)) for side in (far, near))
+    asked = np.flatnonzero(whole & (far_level >= FAR_LEVEL) & (near_level < NEAR_LEVEL) & (near_level < NEAR_TIMES * far_level))
+    out = np.full(len(near), np.nan)
+    if len(asked):
+        echo = window_coherences(near[asked], shifted(far[asked], window_lags(near[asked], far[asked])))
+        t = np.clip((echo - GATE_FROM) / (1 - GATE_FROM), 0, 1)
+        out[asked] = np.where(echo >= GATE_FROM, 10.0 ** (-GATE_DB * t * t * (3 - 2 * t) / 20), np.nan)
+    return out
+
+
 @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
 def log_mel_of(samples: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else log_mel(np.asarray(s, dtype=np.float64)).tolist() for s in samples])

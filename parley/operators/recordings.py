@@ -7,10 +7,16 @@ many groups as it has blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions.signal import gate_targets
+from parley.operators.audio import gate_gains
+
 RATE = 16_000
 BLOCK = 512
 SHIFT = 128
@@ -179,3 +185,25 @@ def mixed_blocks(pushes: DataFrame, sources: int = 2, lead: int = LEAD, size: in
 def trailing(array: Column, most: int) -> Column:
     """The last ``most`` values."""
     return F.slice(array, F.greatest(F.size(array) - most + 1, F.lit(1)), F.lit(most))
+
+
+def _targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        near, far = (np.array([[np.nan if x is None else x for x in side] for side in pdf[name]], dtype=np.float64).reshape(len(pdf), -1) for name in ("near", "far"))
+        targets = gate_targets(near, far) if len(pdf) else np.zeros(0)
+        yield pd.DataFrame({"session_id": pdf["session_id"], "at": pdf["at"], "target": targets})
+
+
+def reference_gated(near: DataFrame, far: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The near side (chunks of both session_id, at, start, samples) with the far side's echo turned down: blocks (session_id,
+    block, target, gain, samples) of ``size`` samples. Both sides are laid on one timeline; windows are judged in Arrow batches,
+    whatever session they are of; only the gain, a number for each window, follows the windows of its session in order. The
+    rest at the end has the last gain."""
+    blocks = aligned_samples(near, far, size).withColumnRenamed("block", "at")
+    kind = near.schema["session_id"].dataType.simpleString()
+    targets = blocks.where(F.size("near") == size).select("session_id", "at", "near", "far").mapInPandas(_targets, f"session_id {kind}, at long, target double")
+    gains = gate_gains(targets)
+    told = blocks.select("session_id", "at", "near").join(targets, ["session_id", "at"], "left").join(gains, ["session_id", "at"], "left")
+    so_far = Window.partitionBy("session_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gain = F.coalesce(F.last("gain", ignorenulls=True).over(so_far), F.lit(1.0))
+    return told.withColumn("gain", gain).select("session_id", F.col("at").alias("block"), "target", "gain", F.transform("near", lambda x: x * F.col("gain")).alias("samples"))

@@ -66,6 +66,16 @@ def endpoint_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mixed_blocks(rows, 2, LEAD, MIX).select("session_id", "block", F.size("samples").cast("long").alias("n"), _total("samples").alias("total"), _weighted("samples").alias("weighted"))
 
 
+def gated_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in hundreds as a far side; the near side is a faint echo of it a few samples later in even sessions, and other
+    vectors in odd ones. Without SQL: a test compares the gate with loops over its formulas."""
+    rows = _embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 100).alias("session_id"), F.col("vec_id").alias("at"), (F.col("vec_id") % 100 * 64).alias("start"), F.col("embedding").alias("samples"))
+    echo = F.when(F.col("session_id") % 2 == 0, F.transform("samples", lambda x: x * 0.01)).otherwise(F.transform(F.reverse("samples"), lambda x: x * 0.01))
+    near = rows.withColumns({"start": F.col("start") + F.when(F.col("session_id") % 2 == 0, 7).otherwise(0), "samples": echo})
+    gated = R.reference_gated(near, rows)
+    return gated.select("session_id", "block", F.round("target", 6).alias("target"), F.round("gain", 6).alias("gain"), F.size("samples").cast("long").alias("n"), _total("samples").alias("total"))
+
+
 _PARTS = f"""(SELECT vec_id // 10 AS session_id, vec_id * 2 AS "at", v[1:vec_id % 5 * 10 + 24] AS samples FROM {SQL_EMB} UNION ALL SELECT vec_id // 10, vec_id * 2 + 1, v[vec_id % 5 * 10 + 25:64] FROM {SQL_EMB})"""
 _CELLS = f"""(SELECT session_id, "at", start + i - 1 AS pos, samples[i] AS x FROM (SELECT *, unnest(range(1, len(samples) + 1)) AS i FROM
   (SELECT *, coalesce(sum(len(samples)) OVER (PARTITION BY session_id ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {_PARTS})))"""
@@ -97,4 +107,4 @@ m AS (SELECT session_id, pos, least(greatest(sum(x), -32768), 32767) AS x FROM c
 SELECT session_id, pos // {MIX} AS block, count(*) AS n, CAST(sum(x) AS DOUBLE) AS total, CAST(sum(x * (pos % {MIX} + 1)) AS DOUBLE) AS weighted FROM m GROUP BY ALL""",
 }
 
-QUERIES = (reblocked_samples, preroll_ring, overlap_add, aligned_samples, endpoint_mix)
+QUERIES = (reblocked_samples, preroll_ring, overlap_add, aligned_samples, endpoint_mix, gated_recordings)

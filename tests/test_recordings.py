@@ -334,3 +334,57 @@ def test_the_oldest_of_many_tasks_makes_room(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert evicted == [f"t{k}" for k in range(6)] and replies.CAPACITY == 1_024
     assert {r.seq: r.outcome for r in out if r.seq >= 100} == {100: "unregistered_task", 101: "accepted"}
+
+
+def gated_by_hand(near, far):
+    """One window by the formulas, sum by sum."""
+    n = len(near)
+    level = lambda x: (sum(v * v for v in x) / n) ** 0.5
+    if any(v != v for v in far) or level(far) < 1e-4 or level(near) >= 2 * level(far) or level(near) >= 3e-3:
+        return None
+    scores = []
+    for lag in range(1 - n, n):
+        met = [(near[i], far[i + lag]) for i in range(n) if 0 <= i + lag < n]
+        energy = sum(f * f for _, f in met)
+        scores.append(abs(sum(a * f for a, f in met)) / energy**0.5 if energy > 1e-9 else 0.0)
+    lag = scores.index(max(scores)) - n + 1
+    far = [far[i + lag] if 0 <= i + lag < n else 0.0 for i in range(n)]
+    size = n // 2
+    hann = [0.5 - 0.5 * np.cos(2 * np.pi * i / size) for i in range(size)]
+    total, count = 0.0, 0
+    for b in range(int(300 * size / 16_000), int(np.ceil(3_400 * size / 16_000))):
+        wave = np.exp(-2j * np.pi * b * np.arange(size) / size)
+        x, y = ([sum(side[k * size // 2 + i] * hann[i] * wave[i] for i in range(size)) for k in range(3)] for side in (near, far))
+        power = sum(abs(v) ** 2 for v in x) * sum(abs(v) ** 2 for v in y)
+        if power > 1e-9:
+            total, count = total + abs(sum(a * v.conjugate() for a, v in zip(x, y, strict=True))) ** 2 / power, count + 1
+    coherence = total / count if count else 0.0
+    t = min(max((coherence - 0.65) / 0.35, 0), 1)
+    return 10 ** (-18 * t * t * (3 - 2 * t) / 20) if coherence >= 0.65 else None
+
+
+def test_reference_gate_end_to_end(spark):
+    draw = np.random.default_rng(10)
+    size, windows = 64, 14
+    far = draw.normal(0, 0.2, size * windows)
+    near = 0.005 * np.concatenate([np.zeros(3), far])[: size * windows] + draw.normal(0, 1e-4, size * windows)
+    near[size * 4 : size * 6] = draw.normal(0, 0.001, size * 2)  # no echo
+    near[size * 7 : size * 8] += 0.1  # somebody speaks
+    far[size * 9 : size * 10] = 1e-6  # silence
+    chunk = lambda line, a, b, at: (1, at, a, line[a:b].tolist())
+    kind = "session_id long, at long, start long, samples array<double>"
+    left = spark.createDataFrame([chunk(near, 0, 500, 0), chunk(near, 500, size * windows - 20, 1)], kind)
+    right = spark.createDataFrame([chunk(far, 0, size * 11, 0), chunk(far, size * 11 + 5, size * windows, 1)], kind)  # five samples are lost
+    got = R.reference_gated(left, right, size).orderBy("block").collect()
+    want, gain = [], 1.0
+    for w in range(windows - 1):
+        heard = [float("nan")] if w == 11 else far[size * w : size * w + size].tolist()
+        target = gated_by_hand(near[size * w : size * w + size].tolist(), heard)
+        gain += (0.2 if (target or 1.0) < gain else 0.5) * ((target or 1.0) - gain)
+        want.append((target, gain))
+    assert [r.block for r in got] == list(range(windows)) and len(got[-1].samples) == size - 20
+    assert [r.gain for r in got] == pytest.approx([g for _, g in want] + [gain])
+    assert [(r.target is None) for r in got[:-1]] == [t is None for t, _ in want] and sum(t is not None for t, _ in want) >= 6
+    assert [r.target for r in got[:-1] if r.target is not None] == pytest.approx([t for t, _ in want if t is not None])
+    line = np.concatenate([r.samples for r in got])
+    assert line == pytest.approx(near[: len(line)] * np.repeat([r.gain for r in got], size)[: len(line)])

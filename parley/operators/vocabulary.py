@@ -13,34 +13,66 @@ LEAST_CHARS = 4
 LENGTH_GAP = 2
 
 
-def _profile(word: str, side: str) -> list[Column]:
-    """Of a word: its characters as a set of 64 bits, and its first characters as numbers."""
+#: Letters from rare to frequent; all other characters are rarer. Any order gives the same matches, this one fewer meetings.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
+SALTS = 4
+
+
+def _marks(word: str) -> Column:
+    """A word's characters, each with how many times it has come up, rare ones first: a set that two words share as much of as
+    they have characters in common."""
     chars = F.split(F.col(word), "")
-    bits = F.aggregate(chars, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
-    return [bits.alias(f"bits_{side}"), *[F.ascii(F.substring(word, k, 1)).alias(f"c{k}_{side}") for k in range(1, BOOST_CHARS + 1)]]
+    marks = F.transform(chars, lambda c, i: F.struct((F.instr(F.lit(RARE_FIRST), c) - 32 * F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c))).alias("rank"), F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c))).alias("mark")))
+    return F.transform(F.array_sort(marks), lambda m: m["mark"])
+
+
+def _needed(a: Column, b: Column, threshold: float) -> Column:
+    """How many characters words of ``a`` and ``b`` characters must have in common at least. With the largest boost a score of
+    ``threshold`` takes a similarity of (threshold - boost) / (1 - boost), and that is at most (m / a + m / b + 1) / 3 for m matches."""
+    boost = BOOST_CHARS * BOOST
+    least = max(3 * (threshold - boost) / (1 - boost) - 1, 0)
+    return F.greatest(F.ceil(F.lit(least) * a * b / (a + b) - 1e-9), F.lit(1))
+
 
+def _met_by(size: Column, threshold: float) -> Column:
+    """How many of a word's marks, from the rarest on, reach one that any word of a comparable length and enough common
+    characters has among its own."""
+    fewest = F.array_min(F.transform(F.sequence(F.greatest(size - LENGTH_GAP, F.lit(1)), size + LENGTH_GAP), lambda b: _needed(size, b, threshold)))
+    return (F.greatest(size - fewest, F.lit(0)) + 1).cast("int")
 
-def _most(a_size: Column, b_size: Column) -> Column:
-    """A score that the pair can't exceed: characters of one word that the other lacks match nothing."""
-    a, b = F.col("bits_a"), F.col("bits_b")
-    common = F.least(a_size - F.bit_count(a.bitwiseAND(F.bitwise_not(b))), b_size - F.bit_count(b.bitwiseAND(F.bitwise_not(a)))).cast("double")
-    jaro = (common / a_size + common / b_size + 1) / 3
-    prefix = F.lit(BOOST_CHARS)
-    for k in range(BOOST_CHARS, 0, -1):
-        prefix = F.when(F.col(f"c{k}_a") != F.col(f"c{k}_b"), k - 1).otherwise(prefix)
-    return jaro + prefix * BOOST * (1 - jaro)
+
+def _most(threshold: float) -> Column:
+    """Whether a pair can score ``threshold``, by the characters in common and the first ones that are equal."""
+    a, b = F.col("size_a"), F.col("size_b")
+    common = F.size(F.array_intersect("marks_a", "marks_b")).cast("double")
+    jaro = (common / a + common / b + 1) / 3
+    prefix = F.lit(0)
+    for k in range(1, BOOST_CHARS + 1):
+        prefix = F.when(F.left("low_token", F.lit(k)) == F.left("low", F.lit(k)), k).otherwise(prefix)
+    return (common >= _needed(a, b, threshold)) & (jaro + prefix * BOOST * (1 - jaro) >= threshold - 1e-9)
 
 
 def matches(tokens: DataFrame, terms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """token, term and score of the best term for each distinct token; none for tokens that are a term or too short.
-    Terms (term, rank) with the smaller rank win ties. Pairs are met by length, never as a product, and only those whose
-    characters allow the threshold are scored, once each (the filter stays above a score that isn't deterministic to Spark)."""
-    low = terms.select("term", "rank", F.lower("term").alias("low")).withColumn("size", F.length("low")).select("*", *_profile("low", "b"))
+    Terms (term, rank) with the smaller rank win ties.
+
+    Words are met by an index of marks (a character and its how-manieth time): of two words that can score the threshold,
+    each has among its rarest marks, as many as ``_met_by`` tells, one of the other's. A pair counts at the first mark that it shares, so
+    it is scored once, and only if its characters allow the threshold (the filter stays above a score that isn't
+    deterministic to Spark). Frequent marks are spread over ``SALTS`` parts of the tokens."""
+    low = terms.select("term", "rank", F.lower("term").alias("low"))
     words = tokens.select("token").distinct().withColumn("low_token", F.lower("token")).where(F.length("low_token") >= LEAST_CHARS)
     unknown = words.join(low.select(F.col("low").alias("low_token")).distinct(), "low_token", "left_anti")
-    near = unknown.withColumn("own", F.length("low_token")).select("*", *_profile("low_token", "a"))
-    near = near.withColumn("size", F.explode(F.sequence(F.col("own") - LENGTH_GAP, F.col("own") + LENGTH_GAP)))
-    able = near.join(low, "size").where(_most(F.col("own"), F.col("size")) >= threshold - 1e-9)
+
+    def indexed(rows: DataFrame, word: str, side: str, salt: Column) -> DataFrame:
+        sized = rows.withColumns({f"size_{side}": F.length(word), f"marks_{side}": _marks(word)})
+        first = F.slice(f"marks_{side}", F.lit(1), _met_by(F.col(f"size_{side}"), threshold))
+        return sized.withColumns({f"first_{side}": first, "salt": salt}).withColumn("mark", F.explode(f"first_{side}"))
+
+    near = indexed(unknown, "low_token", "a", F.pmod(F.xxhash64("low_token"), F.lit(SALTS)).cast("int"))
+    known = indexed(low.where(F.length("low") > 0), "low", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = near.join(known, ["mark", "salt"]).where(F.abs(F.col("size_a") - F.col("size_b")) <= LENGTH_GAP)
+    able = met.where((F.col("mark") == F.element_at(F.array_intersect("first_a", "first_b"), 1)) & _most(threshold))
     scored = able.withColumn("score", jaro_winkler_of.asNondeterministic()("low_token", "low")).where(F.col("score") >= threshold)
     best = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "rank"))
     return scored.withColumn("n", best).where("n = 1").select("token", "term", "score")

@@ -1,5 +1,6 @@
 """Operators on literal rows."""
 
+import random
 import wave
 
 import numpy as np
@@ -277,3 +278,22 @@ def test_best_lag_reaches_32_places(spark, lag):
     rows = [("s", n, float(noise[n - lag]) if n >= lag else 0.0, float(noise[n])) for n in range(200)]
     out = streams.best_lag(spark.createDataFrame(rows, "session_id string, n long, near double, far double")).first()
     assert out.correlation > 0.9
+
+
+@pytest.mark.parametrize("threshold", [0.86, 0.75, 0.97])
+def test_the_index_of_marks_loses_no_match(spark, threshold):
+    """All pairs of words of few letters, which nearly all meet, and of many."""
+    from parley.functions.fuzzy import jaro_winkler
+
+    draw = random.Random(11)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randint(1, 11)))
+    words = sorted({word(letters) for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyzéß'") for _ in range(60)})
+    terms = sorted({w[:k] + draw.choice("ez") + w[k + 1 :] for w in words for k in [draw.randint(0, len(w))]} | {word("etaoin") for _ in range(40)})
+    got = vocabulary.matches(spark.createDataFrame([(w,) for w in words], "token string"), spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, rank int"), threshold)
+    want = {}
+    for w in words:
+        if len(w) >= vocabulary.LEAST_CHARS and w not in terms:
+            best = max(((jaro_winkler(w, t), -i) for i, t in enumerate(terms) if abs(len(w) - len(t)) <= 2), default=(0, 0))
+            if best[0] >= threshold:
+                want[w] = (terms[-best[1]], best[0])
+    assert {r.token: (r.term, pytest.approx(r.score)) for r in got.collect()} == want and len(want) > 10

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,32 +35,42 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def _bundled(chunk: int, pdf: pd.DataFrame) -> tuple[int, bytes]:
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-    null = pdf["doc_id"].isna().to_numpy()
-    ids = pdf["doc_id"].fillna(0).to_numpy(dtype=np.int64)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    head = np.array([len(texts)], dtype=np.int64).tobytes() + ids.tobytes() + null.astype(np.int64).tobytes() + lengths.tobytes()
-    return chunk, zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts))
+def _bundled(ids: pa.Array, texts: pa.Array) -> bytes:
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    null = pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    head = np.array([len(texts)], dtype=np.int64).tobytes() + known.tobytes() + null.tobytes() + lengths.tobytes()
+    packer = zstandard.ZstdCompressor(level=3).compressobj()
+    parts = [packer.compress(head)]
+    parts += [packer.compress(text.as_buffer()) for text in texts if text.is_valid and len(text.as_buffer())]
+    return b"".join([*parts, packer.flush()])
 
 
 def bundles(docs: DataFrame, chunks: int, content: Column | None = None) -> DataFrame:
     """chunk and body: the documents (doc_id, text) that a task has for a chunk, compressed together before they are shuffled.
 
-    Documents are dealt by doc_id and ``content``, a value of the text alone (by default the text)."""
+    Documents are dealt by doc_id and ``content``, a value of the text alone (by default the text). Texts stay in Arrow's
+    buffers, as Spark's larger batches are wanted here: more text of a chunk together."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:  # Spark's larger batches are wanted here: more text of a chunk together
-            yield pd.DataFrame([_bundled(int(chunk), rows) for chunk, rows in pdf.groupby("chunk")], columns=["chunk", "body"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch["chunk"].to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(chunk[order], prepend=-1)), len(order))
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                rows = pa.array(order[i:j])
+                body = _bundled(batch["doc_id"].take(rows), batch["text"].take(rows))
+                yield pa.record_batch([pa.array([int(chunk[order[i]])], pa.int64()), pa.array([body], pa.binary())], names=["chunk", "body"])
 
-    return docs.select("doc_id", "text", chunk_of(docs["doc_id"], chunks, docs["text"] if content is None else content).alias("chunk")).mapInPandas(run, "chunk long, body binary")
+    chunk = chunk_of(docs["doc_id"], chunks, docs["text"] if content is None else content)
+    return docs.select("doc_id", docs["text"].cast("binary").alias("text"), chunk.alias("chunk")).mapInArrow(run, "chunk long, body binary")
 
 
 def unbundled(bodies: pd.Series) -> tuple[list[int | None], list[bytes]]:
     """doc_ids and texts of a chunk, by doc_id (nulls last), then text, however they arrived."""
     rows: list[tuple[bool, int, bytes]] = []
     for body in bodies:
-        data = zstandard.ZstdDecompressor().decompress(body)
+        data = zstandard.ZstdDecompressor().decompressobj().decompress(body)
         n = int.from_bytes(data[:8], "little")
         ids, null, lengths = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
         at = 8 + 24 * n

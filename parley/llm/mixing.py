@@ -2,7 +2,8 @@
 
 A naive Bayes classifier over hashed words is fitted on at most ``TRAIN_ROWS`` rows of the labelled table (those with
 the smallest hash of doc_id); a labelled document's domain is its language. It gives every document a posterior over
-domains, from the whole text; the evidence of a text counts as at most ``EVIDENCE`` words, so posteriors stay soft.
+domains, from the whole text; log-likelihoods of texts of any length are divided by ``TEMPERATURE``, as words that follow each
+other aren't independent, so posteriors stay soft.
 
 Document rates r >= ``least`` (0, or more where no document may be lost) minimise the weighted squares of
 
@@ -34,9 +35,12 @@ from parley.llm.tables import stored
 
 TRAIN_ROWS = 5_000
 BUCKETS = 4096
-EVIDENCE = 32
+#: Ten words of a text count as one.
+TEMPERATURE = 10.0
 SMOOTHING = 0.5
 ALPHA = 0.7
+#: Descent ends when all totals are within TOLERANCE of their targets, or when they move no more, as a bound on rates holds
+#: them; else after STEPS passes over the stored posteriors. What was reached is told beside each target.
 STEPS = 40
 TOLERANCE = 1e-3
 
@@ -80,8 +84,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     rows = numbered.select("row", "doc_id", F.xxhash64("text").alias("print"), F.explode(_words(F.col("text"))).alias("word"))
     hit = rows.select("row", "doc_id", "print", (F.col("word") != "").cast("int").alias("one"), _bucket(F.col("word")).alias("bucket")).join(F.broadcast(table), "bucket")
     sums = hit.groupBy("row", "doc_id", "print").agg(F.sum("one").cast("double").alias("tokens"), *[F.sum(F.col(f"l{i}") * F.col("one")).alias(f"s{i}") for i in range(k)])
-    soften = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest("tokens", F.lit(1.0)))
-    logits = [F.col(f"s{i}") * soften + model.priors[i] for i in range(k)]
+    logits = [F.col(f"s{i}") / TEMPERATURE + model.priors[i] for i in range(k)]
     scaled = sums.select("doc_id", "print", "tokens", F.array(*logits).alias("logits")).withColumn("top", F.array_max("logits"))
     raised = scaled.withColumn("raised", F.transform("logits", lambda x: F.exp(x - F.col("top"))))
     total = F.aggregate("raised", F.lit(0.0), lambda a, x: a + x)
@@ -145,17 +148,19 @@ def copies_of(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
-    """doc_id, print, tokens, likeliest domain and its posterior, rate and copies of every row of ``docs``."""
+    """doc_id, print, tokens, likeliest domain and its posterior, rate and copies of every row of ``docs``, and of that domain the
+    target and the expected total of tokens that the rates reach."""
     model = fit(docs, labels)
     if not model.domains:
         blank = docs.select("doc_id", F.xxhash64("text").alias("print"), F.size(F.filter(_words(F.col("text")), lambda w: w != "")).cast("long").alias("tokens"))
-        return blank.select("*", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("membership"), F.lit(max(1.0, least)).alias("rate"), F.lit(max(1, math.ceil(least))).cast("long").alias("copies"))
+        return blank.select("*", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("membership"), F.lit(max(1.0, least)).alias("rate"), F.lit(max(1, math.ceil(least))).cast("long").alias("copies"), F.lit(None).cast("double").alias("target"), F.lit(None).cast("double").alias("reached"))
     members = stored(memberships(docs, model), "memberships")
-    rate, _, _ = fitted_rates(members, model.domains, weights, least)
+    rate, target, reached = fitted_rates(members, model.domains, weights, least)
     top = F.array_max("posterior")
-    named = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("posterior", top).cast("int"))
-    out = members.select("doc_id", "print", F.col("tokens").cast("long").alias("tokens"), named.alias("domain"), top.alias("membership"), rate.alias("rate"))
-    return out.withColumn("copies", copies_of(F.col("rate")))
+    place = F.array_position("posterior", top).cast("int")
+    of_domain = lambda values: F.element_at(F.array(*map(F.lit, values)), place)
+    out = members.select("doc_id", "print", F.col("tokens").cast("long").alias("tokens"), of_domain(model.domains).alias("domain"), top.alias("membership"), rate.alias("rate"), of_domain(target).alias("target"), of_domain(reached).alias("reached"))
+    return out.select("doc_id", "print", "tokens", "domain", "membership", "rate", copies_of(F.col("rate")).alias("copies"), "target", "reached")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, least: float = 1.0) -> DataFrame:

@@ -191,9 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machine:
         return Machine()
     chosen = telling(toxic[:-1], held[:-1], int(toxic[-1]), int(held[-1]))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInPandas(_features(chosen), f"doc_id {kind}, toxic int, buckets binary, counts binary, length int").collect()
-    by_id = {r["doc_id"]: (np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["counts"], "<u4"), r["length"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["buckets"])))}
-    return train(list(by_id.values()), chosen)
+    found = rows.mapInPandas(_features(chosen), f"doc_id {kind}, toxic int, buckets binary, counts binary, length int")
+    one = found.groupBy("doc_id").agg(F.max(F.struct("buckets", "counts", "length", "toxic")).alias("row")).orderBy("doc_id").select("row.*").collect()  # ``limit`` rows at most
+    return train([(np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["counts"], "<u4"), r["length"], r["toxic"]) for r in one], chosen)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,75 @@ def catalog_parity(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("key", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
+# Endings of keys that name a plural form, what a placeholder and a tag look like, forms that a locale must have.
+PLURAL = r"_(zero|one|two|few|many|other)$"
+PLACEHOLDER = r"\{\{\s*([\w.]+)[^}]*\}\}"
+TAG = r"</?(\w+)\s*/?>"
+FORMS = {"pl": ("one", "few", "many", "other")}
+
+
+def nested_texts(documents: DataFrame, column: str = "document") -> DataFrame:
+    """The texts of nested JSON documents: their other columns, key (names joined by dots; places of arrays count as names) and
+    text. What is neither text nor nested is left out, and so is what isn't JSON. One step for each level of nesting."""
+    others = [c for c in documents.columns if c != column]
+    spark = documents.sparkSession
+    level = documents.select(*others, F.lit("").alias("key"), F.try_parse_json(column).alias("node"))
+    found = []
+    while True:
+        kind = F.schema_of_variant("node")
+        found.append(level.where(kind == "STRING").select(*others, "key", F.try_variant_get("node", "$", "string").alias("text")))
+        nested = level.where(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
+        if nested.isEmpty():
+            break
+        inside = spark.sql("SELECT t.*, e.pos AS _pos, e.key AS _name, e.value AS _value FROM {nested} t, LATERAL variant_explode(t.node) e", nested=nested)
+        name = F.coalesce("_name", F.col("_pos").cast("string"))
+        level = inside.select(*others, F.when(F.col("key") == "", name).otherwise(F.concat_ws(".", "key", name)).alias("key"), F.col("_value").alias("node"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def catalog_problems(documents: DataFrame, source: str = "en", forms: dict[str, tuple[str, ...]] = FORMS) -> DataFrame:
+    """What is wrong with the catalogs (locale, namespace, document: nested JSON) next to those of the source locale: locale,
+    namespace, key, problem and detail.
+
+    Keys of plural forms are one key. A namespace can be missing, or have no source; a key can be missing or extra, a text empty;
+    placeholders (but for ``count``) or tags can differ, whichever form they stand in; plural forms can be missing where
+    the source has any. A key is compared by one join of all locales at once."""
+    texts = nested_texts(documents.select("locale", "namespace", "document")).withColumn("base", F.regexp_replace("key", PLURAL, ""))
+    form = F.nullif(F.regexp_extract("key", PLURAL, 1), F.lit(""))
+
+    def marks(pattern: str) -> Column:
+        return F.array_sort(F.array_remove(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))))), "count"))
+
+    keys = texts.groupBy("locale", "namespace", "base").agg(marks(PLACEHOLDER).alias("placeholders"), marks(TAG).alias("tags"), F.array_sort(F.collect_set(form)).alias("forms"))
+    held = documents.select("locale", "namespace").distinct()
+    ours = held.where(F.col("locale") == source).select("namespace")
+    theirs = held.where(F.col("locale") != source)
+    every = theirs.agg(F.collect_set("locale").alias("locales"))  # one row
+    gone = ours.crossJoin(F.broadcast(every)).select(F.explode("locales").alias("locale"), "namespace").join(theirs, ["locale", "namespace"], "left_anti")
+    none = F.lit(None).cast("string")
+
+    def told(rows: DataFrame, problem: Column | str, key: Column = none, detail: Column = none) -> DataFrame:
+        return rows.select("locale", "namespace", key.alias("key"), (F.lit(problem) if isinstance(problem, str) else problem).alias("problem"), detail.alias("detail"))
+
+    both = theirs.join(ours, "namespace", "left_semi")
+    wanted = both.join(keys.where(F.col("locale") == source).drop("locale"), "namespace").select("locale", "namespace", "base", F.struct("placeholders", "tags", "forms").alias("a"))
+    given = keys.where(F.col("locale") != source).join(both, ["locale", "namespace"], "left_semi").select("locale", "namespace", "base", F.struct("placeholders", "tags", "forms").alias("b"))
+    pairs = wanted.join(given, ["locale", "namespace", "base"], "full")
+    table = F.create_map(*[x for name, needed in forms.items() for x in (F.lit(name), F.array(*map(F.lit, needed)))])
+    lacking = F.when(F.size("a.forms") > 0, F.array_join(F.array_except(F.try_element_at(table, F.col("locale")), F.col("b.forms")), ", "))
+    matched = F.col("a").isNotNull() & F.col("b").isNotNull()
+    problems = F.array_compact(F.array(
+        F.when(F.col("b").isNull(), F.struct(F.lit("missing").alias("problem"), none.alias("detail"))), F.when(F.col("a").isNull(), F.struct(F.lit("extra").alias("problem"), none.alias("detail"))),
+        F.when(matched & (F.col("a.placeholders") != F.col("b.placeholders")), F.struct(F.lit("placeholders").alias("problem"), none.alias("detail"))),
+        F.when(matched & (F.col("a.tags") != F.col("b.tags")), F.struct(F.lit("tags").alias("problem"), none.alias("detail"))),
+        F.when(matched & (F.length(lacking) > 0), F.struct(F.lit("plural forms").alias("problem"), lacking.alias("detail"))),
+    ))
+    compared = pairs.select("locale", "namespace", F.col("base").alias("key"), F.inline(problems))
+    empty = texts.where(F.col("locale") != source).join(both, ["locale", "namespace"], "left_semi").where(T.is_blank(F.col("text")))
+    parts = [told(gone, "missing namespace"), told(theirs.join(ours, "namespace", "left_anti"), "namespace without source"), told(empty, "empty", F.col("key")), compared]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def first_existing(candidates: DataFrame) -> DataFrame:
     """The first folder by rank for each key of (key, rank, folder, present)."""
     return candidates.where("present").groupBy("key").agg(F.min_by("folder", "rank").alias("folder"))

@@ -113,6 +113,21 @@ def shard_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogs.model_files(files).select("repo", "base", F.array_join("shards", ",").alias("shards"))
 
 
+def catalog_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as catalogs of three locales and a namespace for each brand, keys nested by kind; Polish and French ones lack, add and
+    change some, and one brand each has no French and no English catalog."""
+    parts = table(spark, sf_dir, "part").crossJoin(F.broadcast(spark.createDataFrame([("en",), ("fr",), ("pl",)], "locale string")))
+    n, locale = F.col("p_partkey"), F.col("locale")
+    other = locale != "en"
+    kept = parts.where(~(other & (n % 12 == 0)) & ~((locale == "en") & (n % 10 == 0))).where(~((locale == "fr") & (F.col("p_brand") == "Brand#11")) & ~((locale == "en") & (F.col("p_brand") == "Brand#22")))
+    text = F.when(other & (n % 13 == 0), " ").otherwise(F.concat(F.lit("{{count}} of {{ "), F.when(other & (n % 7 == 0), "other").otherwise("name"), F.lit(" }} in <b>"), F.col("p_size"), F.when(other & (n % 11 == 0), "</i>").otherwise("</b>")))
+    forms = F.when(n % 5 != 0, F.array(F.lit(""))).when(locale != "pl", F.array(F.lit("_one"), F.lit("_other"))).when(n % 15 == 0, F.array(F.lit("_one"), F.lit("_few"), F.lit("_other"))).otherwise(F.array(F.lit("_one"), F.lit("_few"), F.lit("_many"), F.lit("_other")))
+    keyed = kept.select("locale", F.col("p_brand").alias("namespace"), F.concat(F.lit("kind"), n % 3).alias("kind"), F.explode(forms).alias("form"), n.alias("n"), text.alias("text"))
+    inner = keyed.groupBy("locale", "namespace", "kind").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), "n", "form").alias("k"), "text"))).alias("texts"))
+    documents = inner.groupBy("locale", "namespace").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("kind", "texts"))).alias("parts"), F.lit(1).alias("version"))).alias("document"))
+    return catalogs.catalog_problems(documents)
+
+
 def catalog_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     left = parts.where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("key"), F.concat("p_name", F.lit(" {count} <b>x</b>")).alias("text"))
@@ -160,6 +175,19 @@ SELECT vec_id, c.pos AS pos, round(CASE WHEN n > 1 THEN (x - mean) / (sd + 1e-5)
     "shard_grouping": """WITH f AS (SELECT DISTINCT p_brand AS repo, 'models/m-' || p_size || CASE WHEN p_size % 4 = 0 THEN '-Q4_K_M' ELSE '-Q8' END AS base, CASE WHEN p_partkey % 3 = 0 THEN '-00001-of-00003' ELSE '' END AS part FROM part WHERE p_partkey % 11 <> 0),
 g AS (SELECT repo, base, string_agg(base || part || '.gguf', ',' ORDER BY base || part || '.gguf') AS shards FROM f GROUP BY repo, base)
 SELECT repo, base, shards FROM g QUALIFY row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN contains(lower(base), 'q4_k_m') THEN 0 ELSE 1 END, base) = 1""",
+    "catalog_problems": """WITH p AS (SELECT *, locale <> 'en' AS o FROM part, (VALUES ('en'), ('fr'), ('pl')) l(locale)),
+k AS (SELECT * FROM p WHERE NOT (o AND p_partkey % 12 = 0) AND NOT (NOT o AND p_partkey % 10 = 0) AND NOT (locale = 'fr' AND p_brand = 'Brand#11') AND NOT (locale = 'en' AND p_brand = 'Brand#22')),
+h AS (SELECT DISTINCT locale, p_brand AS namespace FROM k), s AS (SELECT namespace FROM h WHERE locale = 'en'),
+b AS (SELECT a.p_brand AS namespace, 'parts.kind' || (a.p_partkey % 3) || '.k' || a.p_partkey AS key, a.p_partkey AS n, l.locale, e.p_partkey IS NOT NULL AS ours, t.p_partkey IS NOT NULL AS theirs
+  FROM part a, (SELECT DISTINCT locale FROM h WHERE locale <> 'en') l LEFT JOIN k e ON e.locale = 'en' AND e.p_partkey = a.p_partkey LEFT JOIN k t ON t.locale = l.locale AND t.p_partkey = a.p_partkey),
+c AS (SELECT * FROM b WHERE namespace IN (SELECT namespace FROM s) AND (locale, namespace) IN (SELECT (locale, namespace) FROM h))
+SELECT l.locale, s.namespace, NULL AS key, 'missing namespace' AS problem, NULL AS detail FROM s, (SELECT DISTINCT locale FROM h WHERE locale <> 'en') l WHERE (l.locale, s.namespace) NOT IN (SELECT (locale, namespace) FROM h)
+UNION ALL SELECT locale, namespace, NULL, 'namespace without source', NULL FROM h WHERE locale <> 'en' AND namespace NOT IN (SELECT namespace FROM s)
+UNION ALL SELECT locale, namespace, key || f, 'empty', NULL FROM (SELECT *, unnest(CASE WHEN n % 5 <> 0 THEN [''] WHEN locale <> 'pl' THEN ['_one', '_other'] WHEN n % 15 = 0 THEN ['_one', '_few', '_other'] ELSE ['_one', '_few', '_many', '_other'] END) AS f FROM c WHERE theirs AND n % 13 = 0)
+UNION ALL SELECT locale, namespace, key, 'missing', NULL FROM c WHERE ours AND NOT theirs UNION ALL SELECT locale, namespace, key, 'extra', NULL FROM c WHERE theirs AND NOT ours
+UNION ALL SELECT locale, namespace, key, 'placeholders', NULL FROM c WHERE ours AND theirs AND (n % 7 = 0 OR n % 13 = 0)
+UNION ALL SELECT locale, namespace, key, 'tags', NULL FROM c WHERE ours AND theirs AND (n % 11 = 0 OR n % 13 = 0)
+UNION ALL SELECT locale, namespace, key, 'plural forms', 'many' FROM c WHERE ours AND theirs AND locale = 'pl' AND n % 15 = 0""",
     "catalog_parity": """SELECT p_partkey AS key, CASE WHEN p_partkey % 12 = 0 THEN 'missing right' WHEN p_partkey % 10 = 0 THEN 'missing left' ELSE 'other marks' END AS problem
 FROM part WHERE (p_partkey % 10 <> 0 OR p_partkey % 12 <> 0) AND (p_partkey % 10 = 0 OR p_partkey % 12 = 0 OR p_size % 2 <> 0)""",
     "text_helpers": """SELECT page_id, CASE WHEN regexp_matches(u, '^https?://[^/]') THEN u END AS api, regexp_replace(url, '[/\\\\]', '__', 'g') AS folder, NOT contains(url, ':') AND NOT contains(url, chr(92)) AND NOT list_has_any(string_split(url, '/'), ['', '.', '..']) AS safe,
@@ -168,5 +196,5 @@ FROM part WHERE (p_partkey % 10 <> 0 OR p_partkey % 12 <> 0) AND (p_partkey % 10
 
 QUERIES = (
     cosine_top1, centroid_mean, centroid_update, leader_clusters, fuzzy_vocab_match, vocab_correction, pcm_mix_clip, resample_linear, downmix_shift, feature_normalise, chunk_to_budget, mel_features,
-    shard_grouping, catalog_parity, text_helpers,
+    shard_grouping, catalog_problems, catalog_parity, text_helpers,
 )

@@ -297,3 +297,17 @@ def test_the_index_of_marks_loses_no_match(spark, threshold):
             if best[0] >= threshold:
                 want[w] = (terms[-best[1]], best[0])
     assert {r.token: (r.term, pytest.approx(r.score)) for r in got.collect()} == want and len(want) > 10
+
+
+def test_nested_catalogs(spark):
+    english = '{"a": {"b": "hi {{ name }}", "n_one": "{{count}} <b>x</b>", "n_other": "{{count}} {{x.y, number}}"}, "list": ["p", {"q": "r"}], "only": "e", "no": 3, "null": null}'
+    polish = '{"a": {"b": "{{ other }}", "n_one": "<i>", "n_few": " "}, "list": ["p", {"q": "r"}], "more": {"deep": {"er": "z"}}}'
+    rows = [("en", "app", english), ("pl", "app", polish), ("de", "app", english), ("en", "old", "{}"), ("pl", "new", '{"k": "v"}'), ("de", "old", "no json")]
+    documents = spark.createDataFrame(rows, "locale string, namespace string, document string").withColumn("key", F.lit("x"))
+    texts = {(r.locale, r.key): r.text for r in catalogs.nested_texts(documents.where("namespace = 'app'").select("locale", "document")).collect()}
+    assert texts["en", "list.1.q"] == "r" and texts["en", "list.0"] == "p" and texts["pl", "more.deep.er"] == "z" and ("en", "no") not in texts and len(texts) == 6 + 6 + 6
+    out = sorted(((r.locale, r.namespace, r.key, r.problem, r.detail) for r in catalogs.catalog_problems(documents).collect()), key=repr)
+    assert out == sorted([
+        ("pl", "app", "a.b", "placeholders", None), ("pl", "app", "a.n", "placeholders", None), ("pl", "app", "a.n", "tags", None), ("pl", "app", "a.n", "plural forms", "many, other"), ("pl", "app", "a.n_few", "empty", None),
+        ("pl", "app", "more.deep.er", "extra", None), ("pl", "app", "only", "missing", None), ("pl", "old", None, "missing namespace", None), ("pl", "new", None, "namespace without source", None),
+    ], key=repr)

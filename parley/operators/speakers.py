@@ -15,27 +15,33 @@ NAMING_CONFIDENCE = 0.85
 PRINTS_AT_ONCE = 2_000
 
 
-def leaders(vectors: list[np.ndarray], threshold: float) -> list[int]:
-    """Cluster of each vector in order: the first most alike centroid from the threshold on, else a new cluster."""
-    sums: list[np.ndarray] = []
-    counts: list[int] = []
-    out = []
-    for vector in vectors:
-        best, best_score = -1, threshold
-        for k, (total, n) in enumerate(zip(sums, counts, strict=True)):
+class Clusters:
+    """Vectors gathered one by one: each joins the first most alike centroid from the threshold on, else begins a cluster."""
+
+    def __init__(self, threshold: float, sums: list[np.ndarray] | None = None, counts: list[int] | None = None) -> None:
+        self.threshold, self.sums, self.counts = threshold, sums or [], counts or []
+
+    def add(self, vector: np.ndarray) -> int:
+        best, best_score = -1, self.threshold
+        for k, (total, n) in enumerate(zip(self.sums, self.counts, strict=True)):
             centroid = total / n
             norms = np.linalg.norm(centroid) * np.linalg.norm(vector)
             score = float(centroid @ vector / norms) if norms and len(centroid) == len(vector) else 0.0
-            if score >= threshold and (best < 0 or score > best_score):
+            if score >= self.threshold and (best < 0 or score > best_score):
                 best, best_score = k, score
         if best < 0:
-            best = len(sums)
-            sums.append(np.zeros_like(vector))
-            counts.append(0)
-        sums[best] = sums[best] + vector
-        counts[best] += 1
-        out.append(best)
-    return out
+            best = len(self.sums)
+            self.sums.append(np.zeros_like(vector))
+            self.counts.append(0)
+        self.sums[best] = self.sums[best] + vector
+        self.counts[best] += 1
+        return best
+
+
+def leaders(vectors: list[np.ndarray], threshold: float) -> list[int]:
+    """Cluster of each vector in order."""
+    clusters = Clusters(threshold)
+    return [clusters.add(vector) for vector in vectors]
 
 
 def session_clusters(embeddings: DataFrame, threshold: float = SAME_SPEAKER) -> DataFrame:
@@ -84,6 +90,22 @@ def updated_prints(prints: DataFrame, added: DataFrame) -> DataFrame:
     return both.select("speaker_id", "label", centroid.alias("centroid"), count.cast("long").alias("sample_count"))
 
 
+def identified(clusters: DataFrame, prints: DataFrame, threshold: float = SAME_SPEAKER) -> DataFrame:
+    """The clusters of sessions (session_id, cluster, centroid, n) with the speaker_id and label of their most alike voiceprint;
+    a cluster that is like none is a new speaker, named by its session and number."""
+    named = clusters.withColumn("idx", F.concat_ws(":", "session_id", "cluster"))
+    found = best_prints(named.select("idx", F.col("centroid").alias("embedding")), prints, threshold).select("idx", "speaker_id", "label")
+    return named.join(found, "idx", "left").withColumn("speaker_id", F.coalesce("speaker_id", F.concat(F.lit("new:"), "idx"))).drop("idx")
+
+
+def folded(prints: DataFrame, identified_clusters: DataFrame) -> DataFrame:
+    """Voiceprints after the sessions of identified clusters: one merge adds each speaker's clusters, weighted by their sizes."""
+    parts = identified_clusters.select("speaker_id", "n", F.posexplode("centroid").alias("pos", "x"))
+    sums = parts.groupBy("speaker_id", "pos").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
+    return updated_prints(prints, sums.groupBy("speaker_id").agg(vector.alias("mean"), F.max("n").alias("n")))
+
+
 def relabelled(segments: DataFrame, assigned: DataFrame) -> DataFrame:
     """Segments (session_id, seg_index, ...) with the speakers assigned to their places; others stay."""
     new = assigned.select("session_id", F.col("idx").alias("seg_index"), F.col("speaker_id").alias("_id"), F.col("label").alias("_label"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parley.operators.recordings import BLOCK, LEAD, RATE, SHIFT
+from parley.operators.speakers import SAME_SPEAKER, Clusters
 from parley.operators.streams import BEGINS, CUT, ENDS, TOLD, Stretch, Vad, after_chunk
 from parley.streaming.processors import _in_order
 
@@ -433,3 +434,40 @@ class StallWatch(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class SpeakerClusters(StatefulProcessor):
+    """Speakers of a session as they speak, by rows (idx, embedding), with the rules of ``session_clusters``: each embedding is told
+    with its cluster at once. A row without embedding ends the session and gives its clusters: centroid and size, to be
+    identified and folded into the stored voiceprints (``identified``, ``folded``)."""
+
+    OUTPUT = "session_id long, idx long, cluster long, centroid array<double>, n long"
+
+    def __init__(self, threshold: float = SAME_SPEAKER) -> None:
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("clusters", "cluster long", "total array<double>, n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = [(np.array(total), n) for _, (total, n) in sorted(self.state.iterator(), key=lambda e: e[0][0])]
+        clusters = Clusters(self.threshold, [total for total, _ in held], [n for _, n in held])
+        out: list[tuple] = []
+        changed = set()
+        for idx, embedding in _in_order(rows, "idx")[["idx", "embedding"]].itertuples(index=False):
+            if embedding is None:
+                out += [(None, k, (total / n).tolist(), n) for k, (total, n) in enumerate(zip(clusters.sums, clusters.counts, strict=True))]
+                self.state.clear()
+                clusters, changed = Clusters(self.threshold), set()
+            else:
+                cluster = clusters.add(_numbers(embedding))
+                changed.add(cluster)
+                out.append((int(idx), cluster, None, None))
+        for k in changed:
+            self.state.updateValue((k,), (clusters.sums[k].tolist(), clusters.counts[k]))
+        frame = pd.DataFrame(out, columns=["idx", "cluster", "centroid", "n"]).astype({"idx": "Int64", "n": "Int64", "centroid": object})
+        frame.insert(0, "session_id", key[0])
+        yield frame
+
+    def close(self) -> None:
+        pass

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import audio, replies, streams
+from parley.operators import audio, replies, speakers, streams
 from parley.operators import recordings as R
 from parley.streaming import processors as P
 from parley.streaming import recordings as L
@@ -388,3 +388,33 @@ def test_reference_gate_end_to_end(spark):
     assert [r.target for r in got[:-1] if r.target is not None] == pytest.approx([t for t, _ in want if t is not None])
     line = np.concatenate([r.samples for r in got])
     assert line == pytest.approx(near[: len(line)] * np.repeat([r.gain for r in got], size)[: len(line)])
+
+
+SPOKEN = "session_id long, idx long, embedding array<double>"
+
+
+def test_speakers_as_they_speak_and_after_the_session(spark, tmp_path):
+    draw = np.random.default_rng(12)
+    voices = np.eye(4, 6)
+    said = [(s, i, (voices[draw.integers(0, 3) if s == 1 else 3] * draw.uniform(1, 2) + draw.normal(0, 0.1, 6)).tolist()) for s in (1, 2) for i in range(30)]
+    pdf = frame(said + [(s, 99, None) for s in (1, 2)], SPOKEN)
+    whole = spark.createDataFrame(frame(said, SPOKEN), SPOKEN)
+    out = run_stream(spark, tmp_path, cut(pdf, "idx"), SPOKEN, lambda df: P.stateful(df, "session_id", L.SpeakerClusters(0.8)))
+    want = {(r.session_id, r.idx): r.cluster for r in speakers.session_clusters(whole, 0.8).collect()}
+    assert {(r.session_id, r.idx): r.cluster for r in out if r.idx is not None} == want
+    ends = [(r.session_id, r.cluster, r.centroid, r.n) for r in out if r.idx is None]
+    for s, k, centroid, n in ends:
+        members = [e for session, i, e in said if session == s and want[s, i] == k]
+        assert n == len(members) and centroid == pytest.approx(np.mean(members, axis=0))
+    assert len(ends) == 4
+    known = spark.createDataFrame([("ann", 0, "Ann", voices[0].tolist(), 10), ("bob", 1, "Bob", voices[1].tolist(), 5), ("eve", 2, "Eve", (-voices[2]).tolist(), 1)], "speaker_id string, rank int, label string, centroid array<double>, sample_count long")
+    clusters = spark.createDataFrame(ends, "session_id long, cluster long, centroid array<double>, n long")
+    found = speakers.identified(clusters, known, 0.7)
+    names = {(r.session_id, r.cluster): r.speaker_id for r in found.collect()}
+    prints = {r.speaker_id: r for r in speakers.folded(known.drop("rank"), found).collect()}
+    assert {"ann", "bob"} <= set(names.values()) and sum(n.startswith("new:") for n in names.values()) == 2 and len(prints) == 5
+    for speaker, before, size in (("ann", voices[0], 10), ("bob", voices[1], 5)):
+        (s, k), = [key for key, name in names.items() if name == speaker]
+        _, _, centroid, n = next(e for e in ends if e[:2] == (s, k))
+        assert prints[speaker].sample_count == size + n and prints[speaker].centroid == pytest.approx((before * size + np.array(centroid) * n) / (size + n))
+    assert prints["eve"].sample_count == 1 and all(prints[n].sample_count == next(e[3] for e in ends if e[:2] == key) for key, n in names.items() if n.startswith("new:"))

@@ -12,6 +12,7 @@ from parley.operators import audio, catalogs, speakers, vocabulary
 from parley.sources.driver_tables import table, turns
 
 SIMILAR = 0.2
+KNOWN = 0.4
 BUDGET = 400
 LEAST_TERM = 9
 
@@ -46,6 +47,17 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speakers.session_clusters(rows, SIMILAR)
 
 
+def speakers_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of even number as known voices by label; the others, in sessions of fifty numbers, as voices that are clustered,
+    identified and folded into the known ones."""
+    rows = _embeddings(spark, sf_dir)
+    prints = speakers.centroids(rows.where("vec_id % 2 = 0"), "label").select(F.concat(F.lit("spk_"), "label").alias("speaker_id"), F.col("label").alias("rank"), F.lit(None).cast("string").alias("label"), "centroid", F.col("n").alias("sample_count"))
+    heard = rows.where("vec_id % 2 = 1").select(F.floor(F.col("vec_id") / 50).alias("session_id"), F.col("vec_id").alias("idx"), "embedding")
+    clusters = speakers.centroids(heard.join(speakers.session_clusters(heard, SIMILAR), ["session_id", "idx"]), "session_id", "cluster")
+    out = speakers.folded(prints.drop("rank"), speakers.identified(clusters, prints, KNOWN))
+    return out.select("speaker_id", "sample_count", F.round(A.total(F.col("centroid")), 6).alias("total"))
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long words of the benchmark as a vocabulary; the rank is the order of the alphabet."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).where(F.length("term") >= LEAST_TERM).distinct()
@@ -155,6 +167,18 @@ SQL = {
   SELECT e.vec_id, c.label, list_cosine_similarity(e.v, c.c) AS s FROM {SQL_EMB} e, {SQL_CENTROIDS} c QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY s DESC, c.label) = 1) WHERE s >= {SIMILAR}""",
     "centroid_mean": f"SELECT label, pos - 1 AS pos, round(avg(v[pos]), 6) AS x, count(*) AS n FROM {SQL_EMB}, range(1, 65) r(pos) GROUP BY label, pos",
     "centroid_update": f"SELECT CAST(label AS VARCHAR) AS speaker_id, count(*) AS sample_count, round(sum(list_sum(v)) / count(*), 6) AS total FROM {SQL_EMB} GROUP BY label",
+    "speakers_end_to_end": f"""WITH RECURSIVE e AS (SELECT vec_id // 50 AS session_id, vec_id AS idx, v, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS k FROM {SQL_EMB} WHERE vec_id % 2 = 1),
+f(session_id, k, idx, cluster, sums) AS (SELECT session_id, k, idx, CAST(0 AS BIGINT), [v] FROM e WHERE k = 1
+  UNION ALL SELECT session_id, k, idx, coalesce(best - 1, len(sums)), CASE WHEN best IS NULL THEN list_append(sums, v) ELSE list_transform(sums, lambda s, i: CASE WHEN i = best THEN list_transform(s, lambda x, j: x + v[j]) ELSE s END) END
+  FROM (SELECT *, CASE WHEN list_max(scores) >= {SIMILAR} THEN list_position(scores, list_max(scores)) END AS best FROM (
+    SELECT e.*, f.sums, list_transform(f.sums, lambda s: list_cosine_similarity(s, e.v)) AS scores FROM f JOIN e ON e.session_id = f.session_id AND e.k = f.k + 1))),
+m AS (SELECT session_id, cluster, count(*) AS n FROM f GROUP BY ALL), z AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY k DESC) = 1),
+l AS (SELECT session_id, unnest(sums) AS s, unnest(range(0, len(sums))) AS cluster FROM z),
+p AS (SELECT 'spk_' || label AS speaker_id, label, c, n FROM {SQL_CENTROIDS.replace(SQL_EMB, f"(SELECT * FROM {SQL_EMB} WHERE vec_id % 2 = 0)")} JOIN (SELECT label, count(*) AS n FROM {SQL_EMB} WHERE vec_id % 2 = 0 GROUP BY label) USING (label)),
+b AS (SELECT l.session_id, l.cluster, l.s, m.n, p.speaker_id, list_cosine_similarity(l.s, p.c) AS score FROM l JOIN m ON m.session_id = l.session_id AND m.cluster = l.cluster, p QUALIFY row_number() OVER (PARTITION BY l.session_id, l.cluster ORDER BY list_cosine_similarity(l.s, p.c) DESC, label) = 1),
+w AS (SELECT CASE WHEN score >= {KNOWN} THEN speaker_id ELSE 'new:' || session_id || ':' || cluster END AS speaker_id, sum(n) AS k, sum(list_sum(s)) AS total FROM b GROUP BY 1)
+SELECT coalesce(w.speaker_id, p.speaker_id) AS speaker_id, CAST(coalesce(n, 0) + coalesce(k, 0) AS BIGINT) AS sample_count, round((coalesce(list_sum(c) * n, 0) + coalesce(total, 0)) / (coalesce(n, 0) + coalesce(k, 0)), 6) AS total
+FROM p FULL JOIN w ON w.speaker_id = p.speaker_id""",
     "leader_clusters": f"""WITH RECURSIVE e AS (SELECT vec_id // 25 AS session_id, vec_id AS idx, v, row_number() OVER (PARTITION BY vec_id // 25 ORDER BY vec_id) AS k FROM {SQL_EMB}),
 f(session_id, k, idx, cluster, sums) AS (SELECT session_id, k, idx, CAST(0 AS BIGINT), [v] FROM e WHERE k = 1
   UNION ALL SELECT session_id, k, idx, coalesce(best - 1, len(sums)), CASE WHEN best IS NULL THEN list_append(sums, v) ELSE list_transform(sums, lambda s, i: CASE WHEN i = best THEN list_transform(s, lambda x, j: x + v[j]) ELSE s END) END
@@ -196,5 +220,5 @@ FROM part WHERE (p_partkey % 10 <> 0 OR p_partkey % 12 <> 0) AND (p_partkey % 10
 
 QUERIES = (
     cosine_top1, centroid_mean, centroid_update, leader_clusters, fuzzy_vocab_match, vocab_correction, pcm_mix_clip, resample_linear, downmix_shift, feature_normalise, chunk_to_budget, mel_features,
-    shard_grouping, catalog_problems, catalog_parity, text_helpers,
+    shard_grouping, speakers_end_to_end, catalog_problems, catalog_parity, text_helpers,
 )

@@ -9,7 +9,7 @@ steps follow from the cells, however many documents there are.
 
 Rows with the same text, part and labels are added up before they meet: a text that a third of all rows hold is a row of
 each task. Labels are met by doc_id and one of ``SALTS`` parts of the texts, so that a doc_id of very many rows, or none,
-doesn't gather in one task.
+doesn't gather in one task. They meet sorted, and pass through no driver.
 
 Defined cases: a null text is empty, and fails A only (no word of none is distinct or not) besides E; a null lang is the
 part ``''``; a null doc_id counts as greater than all others, and equal to other nulls, so it fails E next to the same text
@@ -62,7 +62,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("content"), text_failures(text).alias("mask"))
     says = labels.where("doc_id is not null and (quality = 1 or toxic = 1)").groupBy("doc_id")
     known = says.agg(F.max(F.expr("quality <=> 1")).alias("good"), F.max(F.expr("toxic <=> 1")).alias("toxic"))
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Spark's estimate of the size leaves the salts out, so by itself it would broadcast SALTS times what it allows
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     met = rows.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int")).join(known, ["doc_id", "salt"], "left")
     return met.fillna(False, ["good", "toxic"])
 

@@ -54,6 +54,13 @@ def audited(rows, labels):
     return out
 
 
+def test_filter_audit_never_broadcasts_labels(spark):
+    """Spark's estimate of the salted labels lacks the salts, so it would broadcast them from an input of some GB on."""
+    met = filter_audit._labelled(hard_frame(spark), labels_of(spark, [(i, 1, 0) for i in range(1, 17)]))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_filter_audit(spark):
     shout = "WORD other " * 110
     texts = hard_rows() + [(20, shout), (21, shout), (21, shout), (None, shout), (22, prose(8, 300)), (None, prose(9, 250)), (None, prose(9, 250)), (23, "x # y"), (1, shout), (24, "É" * 97 + "ABC"), (25, "É" * 96 + "ABCD")]

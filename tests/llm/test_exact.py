@@ -33,6 +33,21 @@ def test_quality_base_columns_and_verdict(spark):
     assert quality.quality(hard_frame(spark), labels.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def test_quality_trusts_every_good_row(spark):
+    """No bound on trusted rows: before, 20,000 made the target and the threshold."""
+    labels = spark.range(25_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality.trusted_ids(labels.unionByName(labels)).count() == 25_000
+    docs = spark.range(25_000).selectExpr("id as doc_id", "'one two' as text")
+    assert quality._bucket_counts(quality._among(docs, quality.trusted_ids(labels))).sum() == 75_000
+
+
+def test_quantiles_are_exact(spark):
+    for values in ([3.0], [1.0, 1.0, 2.0], [0.0, -0.0, 5e-324, 1e-323], [-1e300, 0.0, 1e-9, 2e-9, 1e300], [random.Random(3).gauss(0, 1) for _ in range(500)]):
+        rows = spark.createDataFrame([(x,) for x in values], "x double")
+        for share in (0.25, 0.75):
+            assert math.isclose(quality.quantile(rows, "x", len(values), share), np.quantile(values, share), rel_tol=1e-12)
+
+
 def test_quality_scores_and_threshold_by_brute_force(spark):
     """Counts, ratios, means and the fence from plain dictionaries over the same hashed words and pairs."""
     docs = hard_rows() + [(i, prose(i % 7, 60) if i % 3 else prose(i, 60)) for i in range(100, 160)]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,29 +80,43 @@ def settled(rows: DataFrame, max_wait_ms: int, expected: tuple[int, ...] = (0, 1
 def released(rows: DataFrame, max_wait_ms: int, expected: tuple[int, ...] = (0, 1)) -> DataFrame:
     """For each utterance (with a ``text``, only those that aren't blank) the arrival that releases it: the first from its own on
     whose bound reaches it (null: it is still held), and whether that is late. A clock may step back, and bounds with it, so
-    what is held goes through the arrivals of its session in order; one task has the utterances of a session."""
-    marked = settled(rows, max_wait_ms, expected)
+    what is held goes through the arrivals of its session in order. Sessions stream through a task one after the other, in
+    batches that don't end with a session; only what is held is kept. Without a time an utterance is never released."""
+    marked = settled(rows.repartition("session_id"), max_wait_ms, expected)
     spoken = F.col("kind") == "utterance"
     if "text" in rows.columns:
         spoken &= ~F.coalesce(T.is_blank(F.col("text")), F.lit(True))
     kind = rows.schema["session_id"].dataType.simpleString()
 
-    def session(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []
-        out: list[tuple] = []
-        for arrival, captured, bound, passed, own in pdf.sort_values("arrival", kind="stable")[["arrival", "captured_ms", "bound_ms", "settled_ms", "own"]].itertuples(index=False):
-            if own:
-                heapq.heappush(held, (captured, arrival))
-            while held and held[0][0] <= bound:
-                captured, first = heapq.heappop(held)
-                out.append((first, captured, arrival, captured > passed))
-        out += [(arrival, captured, None, None) for captured, arrival in held]
-        found = pd.DataFrame(out, columns=["arrival", "captured_ms", "released_by", "late"]).astype({"released_by": "Int64", "late": "boolean"})
-        found.insert(0, "session_id", key[0])
-        return found
-
-    told = marked.select("session_id", "arrival", "captured_ms", "bound_ms", "settled_ms", spoken.alias("own"))
-    return told.groupBy("session_id").applyInPandas(session, f"session_id {kind}, arrival long, captured_ms long, released_by long, late boolean")
+        session, session_type = None, pa.null()
+
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = [session_type, pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["session_id", "arrival", "captured_ms", "released_by", "late"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            session_type = batch["session_id"].type
+            for of, arrival, captured, bound, passed, own in zip(*(batch[name].to_pylist() for name in ("session_id", "arrival", "captured_ms", "bound_ms", "settled_ms", "own")), strict=True):
+                if of != session:
+                    out += [(session, first, at, None, None) for at, first in held]
+                    session, held = of, []
+                if own and captured is None:
+                    out.append((of, arrival, None, None, None))
+                elif own:
+                    heapq.heappush(held, (captured, arrival))
+                while held and held[0][0] <= bound:
+                    at, first = heapq.heappop(held)
+                    out.append((of, first, at, arrival, at > passed))
+            yield told(out)
+        if held:
+            yield told([(session, first, at, None, None) for at, first in held])
+
+    told = marked.select("session_id", "arrival", "captured_ms", "bound_ms", "settled_ms", spoken.alias("own")).sortWithinPartitions("session_id", "arrival")
+    return told.mapInArrow(run, f"session_id {kind}, arrival long, captured_ms long, released_by long, late boolean")
 
 
 def late_counts(released_rows: DataFrame) -> DataFrame:
@@ -110,6 +124,12 @@ def late_counts(released_rows: DataFrame) -> DataFrame:
     return released_rows.groupBy("session_id").agg(F.count("released_by").alias("n_released"), F.count_if(F.col("late")).alias("n_late"))
 
 
+def with_late_counts(released_rows: DataFrame) -> DataFrame:
+    """The utterances with the counts of their session beside them; the release is worked out once."""
+    session = Window.partitionBy("session_id")
+    return released_rows.withColumns({"n_released": F.count("released_by").over(session), "n_late": F.count_if(F.col("late")).over(session)})
+
+
 def release_order(rows: DataFrame) -> DataFrame:
     """Place of each row in event time within its session; arrival decides ties."""
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("captured_ms", "arrival"))

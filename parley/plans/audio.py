@@ -111,7 +111,7 @@ def released_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("arrival") % 10 == 4, " ").otherwise("x")
     now = F.col("now_ms") - F.when(F.col("arrival") % 11 == 5, 40_000_000).otherwise(0)
     found = streams.released(rows.withColumns({"text": text, "now_ms": now}), WAIT_MS)
-    return found.join(streams.late_counts(found), "session_id")
+    return streams.with_late_counts(found.where("session_id is not null"))
 
 
 def ordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

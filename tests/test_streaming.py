@@ -148,3 +148,34 @@ def test_a_turn_of_many_deltas_is_joined_once(spark):
     out = streams.turn_outputs(rows).where("type in ('text-delta', 'finish')").where("seq in (30001, 49999)").orderBy("seq", "n").collect()
     said = "".join(f"d{i}" for i in range(1, 30_000))
     assert [(r.seq, r.type, r.text) for r in out] == [(30_001, "text-delta", said), (49_999, "text-delta", "\n\nother"), (49_999, "finish", "")]
+
+
+def test_release_streams_sessions_and_is_worked_out_once(spark):
+    """Sessions pass on over batches of three rows; an utterance without a time stays; no group of a session is made."""
+    chance = random.Random(5)
+    rows = [(i % 4, chance.choice(["utterance", "utterance", "progress"]), i % 2, chance.choice([None, *range(0, 4_000, 100)]), i * 40 - chance.choice([0, 0, 900]), i) for i in range(120)]
+    want = {}
+    for session in range(4):
+        reached, waiting = {0: 0, 1: 0}, []
+        for _, kind, source, captured, now, arrival in rows[session::4]:
+            if kind == "progress":
+                reached[source] = max(reached[source], captured or 0)
+            else:
+                waiting.append((captured, arrival))
+                want[session, arrival] = (None, None)
+            bound = max(*[min(reached.values())], now - 1_000)
+            for at, first in [x for x in waiting if x[0] is not None and x[0] <= bound]:
+                waiting.remove((at, first))
+                want[session, first] = (arrival, at > min(reached.values()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = streams.with_late_counts(streams.released(spark.createDataFrame(rows, ROWS.replace("text string, ", "")), 1_000))
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.session_id, r.arrival): (r.released_by, r.late) for r in got} == want
+    counts = {s: (sum(k[0] == s and v[0] is not None for k, v in want.items()), sum(k[0] == s and bool(v[1]) for k, v in want.items())) for s in range(4)}
+    assert all((r.n_released, r.n_late) == counts[r.session_id] for r in got)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan

@@ -199,9 +199,18 @@ def route(events: DataFrame, sessions: DataFrame, pending: DataFrame, probes: Da
     Ids must be UUIDs. The first answer to a task of ``probes`` (task_id) resolves it. Sessions are known by the table or
     as the ``current`` one. A message to an open turn of ``turns`` (task_id, closed_seq: where it closes, null while open)
     is a part of it and finalizes nothing; to a closed one it comes too late. Of the other terminal events of a task the
-    first by seq is accepted. Only those are ranked, by their task; what fails a check goes to no window."""
+    first by seq is accepted. What a row tells by itself is found before it meets the tables, so that its texts stay behind; the
+    first answer of a task is found where the tables are met by task, in the same pass."""
     known = sessions.select(F.col("session_id").cast("string").alias("session_id")).distinct().withColumn("known", F.lit(True))
-    rows = events.withColumn("_session", F.col("session_id")).withColumn("session_id", F.col("session_id").cast("string"))
+    session = F.col("session_id").cast("string")
+    fault = (
+        F.when(~F.coalesce(F.rlike("task_id", F.lit(UUID)), F.lit(False)), "invalid_task_id")
+        .when(F.col("body_task_id").isNotNull() & (F.col("body_task_id") != F.col("task_id")), "task_id_mismatch")
+        .when(F.coalesce(T.is_blank(session), F.lit(True)), "session_id_required")
+        .when(~F.coalesce(F.col("status").isin(*S.REPLY_STATUSES), F.lit(False)), "invalid_status")
+    )
+    blank = F.coalesce(T.is_blank(F.col("reply_text")), F.lit(True))
+    rows = events.select("task_id", session.alias("session_id"), F.col("session_id").alias("_session"), "status", "seq", fault.alias("fault"), blank.alias("blank"))
     rows = rows.join(known, "session_id", "left").join(pending.withColumn("task_session", F.col("task_session").cast("string")), "task_id", "left")
     none = F.lit(None).cast("boolean")
     rows = rows.withColumn("probed", none) if probes is None else rows.join(probes.select("task_id").distinct().withColumn("probed", F.lit(True)), "task_id", "left")
@@ -210,27 +219,23 @@ def route(events: DataFrame, sessions: DataFrame, pending: DataFrame, probes: Da
     else:
         rows = rows.join(turns.select("task_id", F.lit(True).alias("turn"), "closed_seq"), "task_id", "left")
     here = F.col("known").isNotNull() | (F.col("session_id") == F.lit(current) if current is not None else F.lit(False))
-    blank = F.coalesce(T.is_blank(F.col("reply_text")), F.lit(True))
     message = F.col("status") == "message"
     terminal = F.col("status").isin(*S.TERMINAL_STATUSES) | message
     answers = F.col("status").isin("completed", "errored", "message")
     early = (
-        F.when(~F.coalesce(F.rlike("task_id", F.lit(UUID)), F.lit(False)), "invalid_task_id")
-        .when(F.col("body_task_id").isNotNull() & (F.col("body_task_id") != F.col("task_id")), "task_id_mismatch")
-        .when(F.coalesce(T.is_blank(F.col("session_id")), F.lit(True)), "session_id_required")
-        .when(~F.coalesce(F.col("status").isin(*S.REPLY_STATUSES), F.lit(False)), "invalid_status")
+        F.when(F.col("fault").isNotNull(), F.col("fault"))
         .when(F.col("probed").isNotNull() & answers, "probe")
         .when(~here, "dropped")
-        .when(message & blank, "empty_message_ignored")
+        .when(message & F.col("blank"), "empty_message_ignored")
         .when(F.col("task_session").isNotNull() & (F.col("task_session") != F.col("session_id")) & (F.col("status") != "stream"), "session_mismatch")
         .when(~terminal, "accepted")
         .when(message & F.col("turn").isNotNull(), F.when(F.col("closed_seq").isNull() | (F.col("seq") < F.col("closed_seq")), "accepted").otherwise("already_finalized"))
         .when(F.col("task_session").isNull(), "unregistered_task")
     )
     rows = rows.withColumn("early", early)
-    first = rows.where("early is null").groupBy("task_id").agg(F.min("seq").alias("first_seq"))
-    answered = rows.where("early = 'probe'").groupBy("task_id").agg(F.min("seq").alias("probe_seq"))
-    rows = rows.join(first, "task_id", "left").join(answered, "task_id", "left")
+    task = Window.partitionBy("task_id")
+    first, answered = F.min(F.when(F.col("early").isNull(), F.col("seq"))), F.min(F.when(F.col("early") == "probe", F.col("seq")))
+    rows = rows.withColumns({"first_seq": first.over(task), "probe_seq": answered.over(task)})
     final = (
         F.when(F.col("early") == "probe", F.when(F.col("seq") == F.col("probe_seq"), "probe_resolved").when(~here, "dropped").otherwise("unregistered_task"))
         .when(F.col("early").isNotNull(), F.col("early"))

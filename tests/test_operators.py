@@ -311,3 +311,14 @@ def test_nested_catalogs(spark):
         ("pl", "app", "a.b", "placeholders", None), ("pl", "app", "a.n", "placeholders", None), ("pl", "app", "a.n", "tags", None), ("pl", "app", "a.n", "plural forms", "many, other"), ("pl", "app", "a.n_few", "empty", None),
         ("pl", "app", "more.deep.er", "extra", None), ("pl", "app", "only", "missing", None), ("pl", "old", None, "missing namespace", None), ("pl", "new", None, "namespace without source", None),
     ], key=repr)
+
+
+def test_route_meets_tables_once(spark):
+    """What makes the first answer of a task is not worked out from the joins again, which took a multiple of their memory."""
+    rows = spark.createDataFrame([(f"00000000-0000-4000-8000-{i % 3:012d}", None, "s", "completed", "x", i) for i in range(9)] + [("no id", None, "s", "completed", "x", 9), (None, None, "s", "completed", "x", 10)], "task_id string, body_task_id string, session_id string, status string, reply_text string, seq long")
+    tasks = rows.select("task_id", F.lit("s").alias("task_session")).where("seq < 2").distinct()
+    out = streams.route(rows, rows.select("session_id").distinct(), tasks)
+    got = {r.seq: r.disposition for r in out.collect()}
+    assert got == {0: "accepted", 1: "accepted"} | {i: "unregistered_task" if i % 3 == 2 else "already_finalized" for i in range(2, 9)} | {9: "invalid_task_id", 10: "invalid_task_id"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2

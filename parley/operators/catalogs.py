@@ -38,39 +38,52 @@ TAG = r"</?(\w+)\s*/?>"
 FORMS = {"pl": ("one", "few", "many", "other")}
 
 
+def _depth(document: Column) -> Column:
+    """Levels of nesting of a JSON document, from its brackets outside of strings; 0 for what isn't JSON."""
+    brackets = F.regexp_replace(F.regexp_replace(document, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]++", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, bracket: Column) -> Column:
+        now = at["now"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    most = F.aggregate(F.array_remove(F.split(brackets, ""), ""), zero, step)["most"]
+    return F.when(F.try_parse_json(document).isNotNull(), most).otherwise(0)
+
+
 def nested_texts(documents: DataFrame, column: str = "document") -> DataFrame:
     """The texts of nested JSON documents: their other columns, key (names joined by dots; places of arrays count as names) and
-    text. What is neither text nor nested is left out, and so is what isn't JSON. One step for each level of nesting."""
+    text. What is neither text nor nested is left out, and so is what isn't JSON. All documents go through one step for each
+    level of nesting, which is counted first; what isn't nested any more passes on."""
     others = [c for c in documents.columns if c != column]
     spark = documents.sparkSession
     level = documents.select(*others, F.lit("").alias("key"), F.try_parse_json(column).alias("node"))
-    found = []
-    while True:
-        kind = F.schema_of_variant("node")
-        found.append(level.where(kind == "STRING").select(*others, "key", F.try_variant_get("node", "$", "string").alias("text")))
-        nested = level.where(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
-        if nested.isEmpty():
-            break
-        inside = spark.sql("SELECT t.*, e.pos AS _pos, e.key AS _name, e.value AS _value FROM {nested} t, LATERAL variant_explode(t.node) e", nested=nested)
+    kind = F.schema_of_variant("node")
+    for _ in range(documents.agg(F.max(_depth(F.col(column)))).first()[0] or 0):
+        nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+        rows = level.where("node is not null").withColumn("_nested", nested)
+        inside = spark.sql("SELECT t.*, e.pos AS _pos, e.key AS _name, e.value AS _value FROM {rows} t, LATERAL variant_explode_outer(t.node) e", rows=rows)
         name = F.coalesce("_name", F.col("_pos").cast("string"))
-        level = inside.select(*others, F.when(F.col("key") == "", name).otherwise(F.concat_ws(".", "key", name)).alias("key"), F.col("_value").alias("node"))
-    return reduce(DataFrame.unionByName, found)
+        longer = F.when(F.col("key") == "", name).otherwise(F.concat_ws(".", "key", name))
+        level = inside.select(*others, F.when(F.col("_nested"), longer).otherwise(F.col("key")).alias("key"), F.when(F.col("_nested"), F.col("_value")).otherwise(F.col("node")).alias("node"))
+    return level.where(kind == "STRING").select(*others, "key", F.try_variant_get("node", "$", "string").alias("text"))
 
 
 def catalog_problems(documents: DataFrame, source: str = "en", forms: dict[str, tuple[str, ...]] = FORMS) -> DataFrame:
     """What is wrong with the catalogs (locale, namespace, document: nested JSON) next to those of the source locale: locale,
-    namespace, key, problem and detail.
+    namespace, key, problem and detail. A catalog can be dealt over several documents.
 
     Keys of plural forms are one key. A namespace can be missing, or have no source; a key can be missing or extra, a text empty;
     placeholders (but for ``count``) or tags can differ, whichever form they stand in; plural forms can be missing where
-    the source has any. A key is compared by one join of all locales at once."""
+    the source has any. A key meets those of all locales in one group, so texts are read once."""
     texts = nested_texts(documents.select("locale", "namespace", "document")).withColumn("base", F.regexp_replace("key", PLURAL, ""))
     form = F.nullif(F.regexp_extract("key", PLURAL, 1), F.lit(""))
 
     def marks(pattern: str) -> Column:
         return F.array_sort(F.array_remove(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))))), "count"))
 
-    keys = texts.groupBy("locale", "namespace", "base").agg(marks(PLACEHOLDER).alias("placeholders"), marks(TAG).alias("tags"), F.array_sort(F.collect_set(form)).alias("forms"))
+    blank = F.collect_list(F.when(T.is_blank(F.col("text")), F.col("key")))
+    keys = texts.groupBy("locale", "namespace", "base").agg(marks(PLACEHOLDER).alias("placeholders"), marks(TAG).alias("tags"), F.array_sort(F.collect_set(form)).alias("forms"), blank.alias("blank"))
     held = documents.select("locale", "namespace").distinct()
     ours = held.where(F.col("locale") == source).select("namespace")
     theirs = held.where(F.col("locale") != source)
@@ -81,10 +94,14 @@ def catalog_problems(documents: DataFrame, source: str = "en", forms: dict[str,
     def told(rows: DataFrame, problem: Column | str, key: Column = none, detail: Column = none) -> DataFrame:
         return rows.select("locale", "namespace", key.alias("key"), (F.lit(problem) if isinstance(problem, str) else problem).alias("problem"), detail.alias("detail"))
 
-    both = theirs.join(ours, "namespace", "left_semi")
-    wanted = both.join(keys.where(F.col("locale") == source).drop("locale"), "namespace").select("locale", "namespace", "base", F.struct("placeholders", "tags", "forms").alias("a"))
-    given = keys.where(F.col("locale") != source).join(both, ["locale", "namespace"], "left_semi").select("locale", "namespace", "base", F.struct("placeholders", "tags", "forms").alias("b"))
-    pairs = wanted.join(given, ["locale", "namespace", "base"], "full")
+    both = theirs.join(ours, "namespace", "left_semi").groupBy("namespace").agg(F.collect_set("locale").alias("others"))
+    sides = keys.groupBy("namespace", "base").agg(F.collect_list(F.struct("locale", "placeholders", "tags", "forms", "blank")).alias("sides"))
+    pairs = sides.join(both, "namespace").select("namespace", "base", "sides", F.explode("others").alias("locale"))
+
+    def side(locale: Column) -> Column:
+        return F.try_element_at(F.filter("sides", lambda s: s["locale"] == locale), F.lit(1))
+
+    pairs = pairs.select("locale", "namespace", "base", side(F.lit(source)).alias("a"), side(F.col("locale")).alias("b")).where("a is not null or b is not null")
     table = F.create_map(*[x for name, needed in forms.items() for x in (F.lit(name), F.array(*map(F.lit, needed)))])
     lacking = F.when(F.size("a.forms") > 0, F.array_join(F.array_except(F.try_element_at(table, F.col("locale")), F.col("b.forms")), ", "))
     matched = F.col("a").isNotNull() & F.col("b").isNotNull()
@@ -95,8 +112,8 @@ def catalog_problems(documents: DataFrame, source: str = "en", forms: dict[str,
         F.when(matched & (F.length(lacking) > 0), F.struct(F.lit("plural forms").alias("problem"), lacking.alias("detail"))),
     ))
     compared = pairs.select("locale", "namespace", F.col("base").alias("key"), F.inline(problems))
-    empty = texts.where(F.col("locale") != source).join(both, ["locale", "namespace"], "left_semi").where(T.is_blank(F.col("text")))
-    parts = [told(gone, "missing namespace"), told(theirs.join(ours, "namespace", "left_anti"), "namespace without source"), told(empty, "empty", F.col("key")), compared]
+    empty = pairs.select("locale", "namespace", F.explode("b.blank").alias("key"), F.lit("empty").alias("problem"), none.alias("detail"))
+    parts = [told(gone, "missing namespace"), told(theirs.join(ours, "namespace", "left_anti"), "namespace without source"), empty, compared]
     return reduce(DataFrame.unionByName, parts)
 
 

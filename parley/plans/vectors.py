@@ -127,16 +127,16 @@ def shard_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as catalogs of three locales and a namespace for each brand, keys nested by kind; Polish and French ones lack, add and
-    change some, and one brand each has no French and no English catalog."""
+    change some, and one brand each has no French and no English catalog. A document has the parts of 20,000 numbers at most."""
     parts = table(spark, sf_dir, "part").crossJoin(F.broadcast(spark.createDataFrame([("en",), ("fr",), ("pl",)], "locale string")))
     n, locale = F.col("p_partkey"), F.col("locale")
     other = locale != "en"
     kept = parts.where(~(other & (n % 12 == 0)) & ~((locale == "en") & (n % 10 == 0))).where(~((locale == "fr") & (F.col("p_brand") == "Brand#11")) & ~((locale == "en") & (F.col("p_brand") == "Brand#22")))
     text = F.when(other & (n % 13 == 0), " ").otherwise(F.concat(F.lit("{{count}} of {{ "), F.when(other & (n % 7 == 0), "other").otherwise("name"), F.lit(" }} in <b>"), F.col("p_size"), F.when(other & (n % 11 == 0), "</i>").otherwise("</b>")))
     forms = F.when(n % 5 != 0, F.array(F.lit(""))).when(locale != "pl", F.array(F.lit("_one"), F.lit("_other"))).when(n % 15 == 0, F.array(F.lit("_one"), F.lit("_few"), F.lit("_other"))).otherwise(F.array(F.lit("_one"), F.lit("_few"), F.lit("_many"), F.lit("_other")))
-    keyed = kept.select("locale", F.col("p_brand").alias("namespace"), F.concat(F.lit("kind"), n % 3).alias("kind"), F.explode(forms).alias("form"), n.alias("n"), text.alias("text"))
-    inner = keyed.groupBy("locale", "namespace", "kind").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), "n", "form").alias("k"), "text"))).alias("texts"))
-    documents = inner.groupBy("locale", "namespace").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("kind", "texts"))).alias("parts"), F.lit(1).alias("version"))).alias("document"))
+    keyed = kept.select("locale", F.col("p_brand").alias("namespace"), F.concat(F.lit("kind"), n % 3).alias("kind"), F.explode(forms).alias("form"), n.alias("n"), F.floor(n / 20_000).alias("file"), text.alias("text"))
+    inner = keyed.groupBy("locale", "namespace", "file", "kind").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), "n", "form").alias("k"), "text"))).alias("texts"))
+    documents = inner.groupBy("locale", "namespace", "file").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("kind", "texts"))).alias("parts"), F.lit(1).alias("version"))).alias("document"))
     return catalogs.catalog_problems(documents)
 
 

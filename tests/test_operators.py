@@ -322,3 +322,20 @@ def test_route_meets_tables_once(spark):
     assert got == {0: "accepted", 1: "accepted"} | {i: "unregistered_task" if i % 3 == 2 else "already_finalized" for i in range(2, 9)} | {9: "invalid_task_id", 10: "invalid_task_id"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 2
+
+
+def test_catalogs_over_many_documents_are_read_once(spark):
+    """A catalog dealt over documents; levels that end early, brackets and quotes inside texts, and what isn't JSON."""
+    rows = [
+        ("en", "n", '{"a": {"b": "x {{n}}", "c": ["[[[{", {"d": "\\\\"}]}}'), ("en", "n", '{"top": "\\"{{{", "one": {"k_one": " "}}'), ("en", "n", "[[[[[["), ("en", "n", None),
+        ("fr", "n", '{"a": {"b": "x {{m}}"}}'), ("fr", "n", '{"top": " ", "e": {}, "f": []}'),
+    ]
+    documents = spark.createDataFrame(rows, "locale string, namespace string, document string")
+    assert documents.agg(F.max(catalogs._depth(F.col("document")))).first()[0] == 4
+    texts = catalogs.nested_texts(documents)
+    assert sorted((r.key, r.text) for r in texts.where("locale = 'en'").collect()) == [("a.b", "x {{n}}"), ("a.c.0", "[[[{"), ("a.c.1.d", "\\"), ("one.k_one", " "), ("top", '"{{{')]
+    found = catalogs.catalog_problems(documents)
+    got = sorted((r.locale, r.key, r.problem) for r in found.collect())
+    assert got == sorted([("fr", "a.b", "placeholders"), ("fr", "a.c.0", "missing"), ("fr", "a.c.1.d", "missing"), ("fr", "one.k", "missing"), ("fr", "top", "empty")])
+    plan = catalogs.nested_texts(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan

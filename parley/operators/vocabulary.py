@@ -20,10 +20,10 @@ SALTS = 4
 
 def _marks(word: str) -> Column:
     """A word's characters, each with how many times it has come up, rare ones first: a set that two words share as much of as
-    they have characters in common."""
+    they have characters in common. A mark is a number, rank and code point, as sets of numbers are far faster to compare."""
     chars = F.split(F.col(word), "")
-    marks = F.transform(chars, lambda c, i: F.struct((F.instr(F.lit(RARE_FIRST), c) - 32 * F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c))).alias("rank"), F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c))).alias("mark")))
-    return F.transform(F.array_sort(marks), lambda m: m["mark"])
+    rank = lambda c, i: F.instr(F.lit(RARE_FIRST), c) - 32 * F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c))
+    return F.array_sort(F.transform(chars, lambda c, i: rank(c, i).cast("long") * (1 << 21) + F.ascii(c)))
 
 
 def _needed(a: Column, b: Column, threshold: float) -> Column:
@@ -59,10 +59,12 @@ def matches(tokens: DataFrame, terms: DataFrame, threshold: float = THRESHOLD) -
     Words are met by an index of marks (a character and its how-manieth time): of two words that can score the threshold,
     each has among its rarest marks, as many as ``_met_by`` tells, one of the other's. A pair counts at the first mark that it shares, so
     it is scored once, and only if its characters allow the threshold (the filter stays above a score that isn't
-    deterministic to Spark). Frequent marks are spread over ``SALTS`` parts of the tokens."""
+    deterministic to Spark). Frequent marks are spread over ``SALTS`` parts of the tokens. Words are few bytes and much work, so they are
+    dealt over all shuffle partitions, which adaptive execution would otherwise merge into one task."""
     low = terms.select("term", "rank", F.lower("term").alias("low"))
     words = tokens.select("token").distinct().withColumn("low_token", F.lower("token")).where(F.length("low_token") >= LEAST_CHARS)
     unknown = words.join(low.select(F.col("low").alias("low_token")).distinct(), "low_token", "left_anti")
+    unknown = unknown.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "low_token")
 
     def indexed(rows: DataFrame, word: str, side: str, salt: Column) -> DataFrame:
         sized = rows.withColumns({f"size_{side}": F.length(word), f"marks_{side}": _marks(word)})

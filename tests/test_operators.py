@@ -339,3 +339,12 @@ def test_catalogs_over_many_documents_are_read_once(spark):
     assert got == sorted([("fr", "a.b", "placeholders"), ("fr", "a.c.0", "missing"), ("fr", "a.c.1.d", "missing"), ("fr", "one.k", "missing"), ("fr", "top", "empty")])
     plan = catalogs.nested_texts(documents)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_words_to_match_are_dealt_over_all_partitions(spark):
+    """Words are few bytes, so adaptive execution put all of them into one task, however much work they are."""
+    tokens = spark.createDataFrame([("platfrom",), ("schédule",), ("databse",)], "token string")
+    terms = spark.createDataFrame([("platform", "a"), ("schédules", "b"), ("database", "c")], "term string, rank string")
+    found = vocabulary.matches(tokens, terms)
+    assert {r.token: r.term for r in found.collect()} == {"platfrom": "platform", "schédule": "schédules", "databse": "database"}
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
